@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters: space and 0x09 to 0x0D.
@@ -74,3 +77,17 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     done = first.where(F.col("_hot").isNotNull()).drop("_hot")
     rest = first.where(F.col("_hot").isNull()).drop("_hot", *names).join(right.where(F.col(weight) <= bar), keys, "left")
     return done.select(*left.columns, *names).unionByName(rest.select(*left.columns, *names))
+
+
+def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow with columns as Python lists: fn takes one dict of lists at a time and gives one, or an iterator of them."""
+    fields = StructType.fromDDL(schema).fields
+    out_names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches):
+        for b in batches:
+            made = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+            for cols in [made] if isinstance(made, dict) else made:
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n], type=t) for n, t in zip(out_names, types)], names=out_names)
+
+    return df.mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER, WORD_RE
+from .decontamination import N
 from .mixing import MOST, SIZE_RE, WEIGHTS
 
 FIRST_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RE}')"
@@ -32,3 +33,32 @@ SELECT doc_id, size, source_size, target,
        CAST(least(floor(place * rate + off) - floor((place - 1) * rate + off), {MOST}) AS BIGINT) * size AS taken
 FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source
 """
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, {FIRST_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {FIRST_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bl AS (SELECT item_id, w, least({N}, len(w)) AS l FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, l, unnest(list_transform(range(1, CAST(len(w) - l + 2 AS BIGINT)), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS g FROM bl),
+ls AS (SELECT DISTINCT l FROM bl),
+p AS (SELECT doc_id, l, unnest(range(1, CAST(len(w) - l + 2 AS BIGINT))) AS i,
+      unnest(list_transform(range(1, CAST(len(w) - l + 2 AS BIGINT)), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS g FROM d, ls WHERE len(w) >= l),
+h AS (SELECT p.doc_id, p.i, p.l, g.item_id FROM p JOIN g ON p.l = g.l AND p.g = g.g),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS x FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ESCAPED = r"regexp_replace({}, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"
+OP10 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, '<s>' || {ESCAPED.format("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")} || chr(10) || CASE WHEN role = 'user' THEN '[INST] ' ELSE '' END
+      || {ESCAPED.format("text")} || CASE WHEN role = 'user' THEN ' [/INST]' ELSE '' END || '</s>' AS formatted FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
