@@ -15,7 +15,9 @@ from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import score_quality
+from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .token_store import read_index, write_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Scratch(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), store, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return read_index(store)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -56,6 +64,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -64,7 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op6_token_counts, op7_license_scan, op8_quality, op10_chat_format]
+    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
