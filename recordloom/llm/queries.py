@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import score_quality
+from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_store import read_index, write_store
@@ -45,6 +46,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), store, tokenizer_file("word_bpe_49k.json"), end_id=2)
@@ -76,7 +81,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format]
+    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op4_suffix_repeats, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
