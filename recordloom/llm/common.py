@@ -38,6 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Recent(dict):
+    """A table of the values used last: on reaching size, it starts anew, and what is still asked for comes back from before."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.before = size, {}
+
+    def found(self, key, make):
+        """For a key that get() misses."""
+        value = self.before.get(key)
+        if value is None:
+            value = make(key)
+        if len(key) <= 48:  # longer ones hardly come again
+            if len(self) >= self.size:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
 

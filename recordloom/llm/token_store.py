@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, lookup, map_batches, pick
+from .common import Recent, Scratch, lookup, map_batches, pick
 
 #: A chunk ends where the rolling hash of the last WINDOW ids has MASK's bits zero: every 256 ids on average.
 WINDOW, MASK = 8, np.uint64(0xFF << 40)
 SHORTEST, LONGEST = 64, 1024
-#: Encodings of chunks of text that a worker keeps; on reaching it, the table starts anew.
-CACHE = 150_000
-CACHED_LENGTH = 48
+#: Encodings of pieces of text that a worker keeps from one task to the next (two generations of about 40 MB each).
+CACHE = 300_000
 
 
 class Encoder:
@@ -43,19 +42,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Recent(CACHE)
 
-    def piece(self, b: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(b.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(b) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[b] = ids
-        return ids
+    def new_piece(self, b: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(b.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
-        get, piece = self.cache.get, self.piece
-        return b"".join([get(b) or piece(b) for b in (text or b"").split()])
+        get, found, new = self.cache.get, self.cache.found, self.new_piece
+        return b"".join([get(b) or found(b, new) for b in (text or b"").split()])
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, width: int) -> Encoder:
+    """This worker's encoder for a file."""
+    if (path, width) not in _encoders:
+        _encoders.clear()
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
 def id_width(path: str) -> int:
@@ -128,7 +133,7 @@ def crc_joined(a: int, b: int, length: int) -> int:
 def _encode(path: str, end_id: int, width: int):
     """mapInArrow over (id, text): rows of chunks (hash, n, data), each once in a task's reach, and rows of recipes."""
     def run(batches):
-        encoder, tail, size = Encoder(path, width), np.array([end_id], f"<u{width}").tobytes(), 1 << 16
+        encoder, tail, size = encoder_of(path, width), np.array([end_id], f"<u{width}").tobytes(), 1 << 16
         row, seen = TaskContext.get().partitionId() << 33, set()
         names = ["row", "doc_id", "n_tokens", "hashes", "lengths", "root", "hash", "n", "data"]
         kinds = [pa.int64(), None, pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
