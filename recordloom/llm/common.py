@@ -84,6 +84,14 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*(df[f"`{src}`"].alias(new) for new, src in cols.items()))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """left LEFT JOIN right on keys (null-free, unique in right), whatever share of left one key holds.
 

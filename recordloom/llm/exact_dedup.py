@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACES, Scratch, lookup, pick
+from .common import SPACES, Scratch, free, lookup, pick
 
 #: Distinct keys that a bucket holds before it is split.
 CAPACITY = 8192
@@ -87,6 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns, once each."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    best = marked.join(kept, marked[f"`{id_col}`"].eqNullSafe(kept["_id"]) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    return best.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    name = free(docs, "text_digest")
+    marked = docs.withColumn(name, F.sha2(normalised(docs[f"`{text_col}`"]), 256))
+    best = marked.join(kept, marked[f"`{id_col}`"].eqNullSafe(kept["_id"]) & (marked[name] == kept["_sha"]), "left_semi")
+    return best.dropDuplicates([id_col, name]).drop(name)

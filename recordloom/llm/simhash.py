@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup, map_batches, pick
+from .common import Scratch, free, lookup, map_batches, pick
 
 #: Words of a shingle, seed of its hash, and differing bits at which fingerprints still link.
 WORDS, SEED, BUDGET = 3, 42, 2
@@ -184,6 +184,24 @@ def _star(pairs: DataFrame, part) -> DataFrame:
     return found.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
+def _assign(docs: DataFrame, id_col: str, text_col: str, words: int, budget: int) -> DataFrame:
+    """A row per document: id, key (hash of the text, for rows that repeat an id), fp, head (of its component: its smallest
+    (id, key), null ids last)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    marked = map_batches(base, lambda c: {"id": c["id"], "key": c["key"], "fp": [signed(fingerprint(t, words)) for t in c["text"]]}, f"id {kind}, key long, fp long")
+    marked = scratch.store(marked, "fingerprints")
+    head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key"))
+    classes = scratch.store(marked.groupBy("fp").agg(head.alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    roots = components(scratch.store(link(classes.select("fp"), scratch, budget), "links"), scratch)
+    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = scratch.store(joined, "joined")
+    own = joined.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("k"))
+    named = lookup(joined, own, ["root"], "k", max(1, joined.count())).select("fp", "n", "head")
+    return lookup(marked, scratch.store(named, "components"), ["fp"], "n", max(1, marked.count()))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
@@ -191,27 +209,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or null one has fingerprint zero and is linked like any other. Equal fingerprints form a class, whatever its size, which
     is joined once; rows that repeat an id each give a row. Null ids are never a component's id unless all its ids are null.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("binary").alias("text"))
-    marked = map_batches(base, lambda c: {"id": c["id"], "fp": [signed(fingerprint(t, words)) for t in c["text"]]}, f"id {kind}, fp long")
-    marked = scratch.store(marked, "fingerprints")
-    classes = scratch.store(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    roots = components(scratch.store(link(classes.select("fp"), scratch, budget), "links"), scratch)
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = scratch.store(joined, "joined")
-    own = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    named = lookup(joined, own, ["root"], "k", max(1, joined.count())).select("fp", "n", "component_id")
-    found = lookup(marked, scratch.store(named, "components"), ["fp"], "n", max(1, marked.count()))
-    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _assign(docs, id_col, text_col, words, budget)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """The documents whose id is their component's, with all their columns: one of each group stays (rows that repeat that id
-    stay once). A document with a null id stays only where its whole component has none."""
-    found = near_duplicates(docs, id_col, text_col, words, budget)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates([id_col])
-
-
+    """One document of each component, with all its columns: that of the smallest id (of rows that repeat the id, one)."""
+    found = _assign(docs, id_col, text_col, words, budget)
+    kept = found.where(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    name = free(docs, "text_hash")
+    d = docs.withColumn(name, F.xxhash64(docs[f"`{text_col}`"]))
+    return d.join(kept, d[f"`{id_col}`"].eqNullSafe(kept["_id"]) & (d[name] == kept["_key"]), "left_semi").dropDuplicates([id_col, name]).drop(name)

@@ -187,6 +187,15 @@ def write_store(docs: DataFrame, root: Scratch, path: str, end_id: int, id_col:
     root.store(recipes.withColumn("range", F.spark_partition_id()), "recipes")
     root.drop("staged")
 
+    _sealed(root, kind).write.mode("overwrite").parquet(root.path("manifest"))
+
+
+def _recipes(root: Scratch) -> DataFrame:
+    return root.spark.read.parquet(root.path("recipes"))
+
+
+def _sealed(root: Scratch, kind: str) -> DataFrame:
+    """A manifest made from the recipes: each range's rows stream through a task in order."""
     def seal(batches):
         leaves, docs_n, tokens, first, last, number = [], 0, 0, None, None, None
         kind_of = pa.int64()
@@ -206,18 +215,9 @@ def write_store(docs: DataFrame, root: Scratch, path: str, end_id: int, id_col:
         cols = zip((number, docs_n, tokens, first, last, merkle(leaves)), (pa.int32(), pa.int64(), pa.int64(), kind_of, kind_of, pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in cols], names=["range", "n_docs", "n_tokens", "first_doc", "last_doc", "root"])
 
-    schema = f"range int, n_docs long, n_tokens long, first_doc {kind}, last_doc {kind}, root binary"
-    _sealed(root, kind).mapInArrow(seal, schema).write.mode("overwrite").parquet(root.path("manifest"))
-
-
-def _recipes(root: Scratch) -> DataFrame:
-    return root.spark.read.parquet(root.path("recipes"))
-
-
-def _sealed(root: Scratch, kind: str) -> DataFrame:
-    """Recipes by range, in order: what a manifest's root is taken over."""
     d = _recipes(root).select("range", "doc_id", "n_tokens", "root", "row").repartition("range")
-    return d.sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "row").drop("row")
+    d = d.sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "row").drop("row")
+    return d.mapInArrow(seal, f"range int, n_docs long, n_tokens long, first_doc {kind}, last_doc {kind}, root binary")
 
 
 def read_index(root: Scratch) -> DataFrame:
@@ -275,14 +275,8 @@ def read_index(root: Scratch) -> DataFrame:
 def verify_manifest(root: Scratch) -> bool:
     """Whether each manifest row is what its recipes give."""
     kind = _recipes(root).schema["doc_id"].dataType.simpleString()
-    rows = root.spark.read.parquet(root.path("manifest")).select("range", "root", "n_docs")
-    def run(c: dict) -> dict:
-        return {"range": c["range"], "made": [merkle([x["root"] for x in docs]) for docs in c["docs"]]}
-
-    gathered = _recipes(root).groupBy("range").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit(-(10**37))).alias("d"), "row", "root"))).alias("docs"))
-    made = map_batches(gathered.select("range", F.transform("docs", lambda x: F.struct(x["root"].alias("root"))).alias("docs")), run, "range int, made binary")
-    assert kind
-    return rows.join(made, "range", "full").where(~F.col("root").eqNullSafe(F.col("made"))).head(1) == []
+    held, made = root.spark.read.parquet(root.path("manifest")), _sealed(root, kind)
+    return not held.exceptAll(made).unionByName(made.exceptAll(held)).head(1)
 
 
 def read_ids(root: Scratch) -> DataFrame:
