@@ -50,13 +50,17 @@ class Recent(dict):
         value = self.before.get(key)
         if value is None:
             value = make(key)
-        if len(key) <= 48:  # longer ones hardly come again
-            if len(self) >= self.size:
-                self.before = dict(self)
-                self.clear()
-            self[key] = value
+        self.keep({key: value})
         return value
 
+    def keep(self, values: dict) -> None:
+        for key, value in values.items():
+            if len(key) <= 48:  # longer ones hardly come again
+                if len(self) >= self.size:
+                    self.before = dict(self)
+                    self.clear()
+                self[key] = value
+
 
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
