@@ -54,12 +54,10 @@ class Recent(dict):
         return value
 
     def keep(self, values: dict) -> None:
-        for key, value in values.items():
-            if len(key) <= 48:  # longer ones hardly come again
-                if len(self) >= self.size:
-                    self.before = dict(self)
-                    self.clear()
-                self[key] = value
+        if len(self) + len(values) > self.size:
+            self.before = dict(self)
+            self.clear()
+        self.update((k, v) for k, v in values.items() if len(k) <= 48)  # longer ones hardly come again
 
 
 class Scratch:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,22 +152,21 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     sets = [spark.sparkContext.broadcast(g) for g in blocks_of(benchmark, "item_id", "text", n, block)]
 
-    @F.pandas_udf("boolean")
-    def leaked(texts):
-        import pandas as pd
-
-        hit, rows, i = [], texts.tolist(), 0
-        while i < len(rows):
-            j, held = i, 0
-            while j < len(rows) and held < 4_000_000:
-                held += len(rows[j] or b"")
-                j += 1
-            found = zip(*(scan(rows[i:j], s.value) for s in sets))
-            hit += [any(f[2] for f in per) for per in found]
-            i = j
-        return pd.Series(hit, dtype=bool)
-
-    return docs.where(~leaked(docs[f"`{text_col}`"].cast("binary")))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            rows, keep, i = b.column(place), [], 0
+            while i < len(rows):
+                j, held, some = i, 0, []
+                while j < len(rows) and held < 4_000_000:
+                    some.append((rows[j].as_py() or "").encode())
+                    held, j = held + len(some[-1]), j + 1
+                keep += [not any(f[2] for f in per) for per in zip(*(scan(some, s.value) for s in sets))]
+                i = j
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def cut_spans(text: bytes | None, runs: list[tuple[int, int]]) -> bytes | None:

@@ -18,7 +18,7 @@ BITS = 64
 #: Fingerprints under one trie root that a task joins; larger roots take the exact way of flipped bits.
 ROOT = 16_384
 #: Node pairs that a task holds at once.
-FRONTIER = 400_000
+FRONTIER = 100_000
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:

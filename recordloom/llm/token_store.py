@@ -9,7 +9,9 @@ Files, all Parquet, under one root:
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import zlib
+from array import array as pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from .common import Recent, Scratch, lookup, map_batches, pick
 #: A chunk ends where the rolling hash of the last WINDOW ids has MASK's bits zero: every 256 ids on average.
 WINDOW, MASK = 8, np.uint64(0xFF << 40)
 SHORTEST, LONGEST = 64, 1024
-#: Encodings of pieces of text that a worker keeps from one task to the next (two generations of about 40 MB each).
-CACHE = 300_000
+#: Encodings of pieces of text that a worker keeps from one task to the next (two generations of about 50 MB each).
+CACHE = 280_000
 
 
 class Encoder:
@@ -43,13 +45,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
         self.cache = Recent(CACHE)
-
-    def new_piece(self, b: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(b.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def encode(self, text: bytes | None) -> bytes:
-        get, found, new = self.cache.get, self.cache.found, self.new_piece
-        return b"".join([get(b) or found(b, new) for b in (text or b"").split()])
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        #: The byte-level alphabet: bytes that aren't shown as they are get the code points from 256 on.
+        self.names = {b: 256 + i for i, b in enumerate(hidden)}
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new pieces. A full stop or comma behind an ASCII letter always begins a token, so "word," is looked up as
+        "word" and ","."""
+        parts = {p: (p[:-1], p[-1:]) if p[-1] in b".," and p[-2:-1].isalpha() else (p,) for p in pieces}
+        known = {q: self.cache.get(q) or self.cache.before.get(q) for q in dict.fromkeys(q for qs in parts.values() for q in qs)}
+        odd, tokenize, code = [], self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for q in [q for q, ids in known.items() if ids is None]:
+            text = q.decode()
+            if text.isalpha() and text == text.lower() and (q.isascii() or unicodedata.is_normalized("NFC", text)):
+                # a word of small letters passes the normaliser as it is and is one piece: the library's merges alone are left
+                known[q] = pack(code, [t.id for t in tokenize(text if q.isascii() else q.decode("latin-1").translate(self.names))]).tobytes()
+            else:
+                odd.append(text)
+        for i in range(0, len(odd), 1000):
+            made = self.tokenizer.encode(odd[i : i + 1000], is_pretokenized=True, add_special_tokens=False)
+            at = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(odd[i : i + 1000]) + 1)) * self.dtype.itemsize
+            data = np.array(made.ids, self.dtype).tobytes()
+            known.update((w.encode(), data[x:y]) for w, x, y in zip(odd[i : i + 1000], at.tolist(), at[1:].tolist()))
+        found = {p: b"".join([known[q] for q in qs]) for p, qs in parts.items()}
+        self.cache.keep(known)
+        self.cache.keep(found)
+        return found
+
+    def pieces(self, text: bytes | None) -> list[bytes]:
+        """Pieces between white space, in lower case as the tokenizer's normaliser has it, unless they might hold its
+        special strings."""
+        text = text or b""
+        return (text if b"<|" in text else text.lower()).split()
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        get = self.cache.get
+        pieces = [self.pieces(t) for t in texts]
+        ids = [list(map(get, ps)) for ps in pieces]
+        gaps = [k for k, got in enumerate(ids) if None in got]
+        found = self.learn(list(dict.fromkeys(p for k in gaps for p, x in zip(pieces[k], ids[k]) if x is None)))
+        for k in gaps:
+            ids[k] = [found[p] if x is None else x for p, x in zip(pieces[k], ids[k])]
+        return list(map(b"".join, ids))
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -143,28 +183,34 @@ def _encode(path: str, end_id: int, width: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(cols, kinds)], names=names)
 
         for b in batches:
-            kind, rows, held = b.schema.field(0).type, [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = encoder.encode(text.as_py()) + tail
-                ends = cut(np.frombuffer(data, encoder.dtype))
-                hashes, lengths, at = [], [], 0
-                for e in ends:
-                    chunk = data[at * width : e * width]
-                    h = hashlib.sha256(chunk).digest()[:16]
-                    if h not in seen:
-                        if len(seen) >= size:
-                            seen.clear()
-                        seen.add(h)
-                        rows.append((None, None, None, None, None, None, h, e - at, chunk))
-                    hashes.append(h)
-                    lengths.append(e - at)
-                    at = e
-                rows.append((row, doc, at, hashes, lengths, merkle(hashes), None, None, None))
-                row, held = row + 1, held + len(data)
-                if held > 4_000_000:
-                    yield batch(rows, kind)
-                    rows, held = [], 0
-            yield batch(rows, kind)
+            kind, ids_, texts = b.schema.field(0).type, b.column(0).to_pylist(), b.column(1)
+            i = 0
+            while i < len(ids_):
+                j, held, some = i, 0, []
+                while j < len(ids_) and held < 2_000_000:
+                    some.append(texts[j].as_py())
+                    held, j = held + len(some[-1] or b""), j + 1
+                rows = []
+                for doc, data in zip(ids_[i:j], encoder.encode(some)):
+                    data += tail
+                    hashes, lengths, at = [], [], 0
+                    for e in cut(np.frombuffer(data, encoder.dtype)):
+                        chunk = data[at * width : e * width]
+                        h = hashlib.sha256(chunk).digest()[:16]
+                        if h not in seen:
+                            if len(seen) >= size:
+                                seen.clear()
+                            seen.add(h)
+                            rows.append((None, None, None, None, None, None, h, e - at, chunk))
+                        hashes.append(h)
+                        lengths.append(e - at)
+                        at = e
+                    rows.append((row, doc, at, hashes, lengths, merkle(hashes), None, None, None))
+                    row += 1
+                yield batch(rows, kind)
+                i = j
+            if not ids_:
+                yield batch([], kind)
 
     return run
 
