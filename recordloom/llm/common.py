@@ -39,26 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Recent(dict):
-    """A table of the values used last: on reaching size, it starts anew, and what is still asked for comes back from before."""
+    """A table of the values used last, made for keys that it lacks. On reaching size it starts anew, and what is still asked
+    for comes back from the generation before."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, make):
         super().__init__()
-        self.size, self.before = size, {}
+        self.size, self.make, self.before = size, make, {}
 
-    def found(self, key, make):
-        """For a key that get() misses."""
+    def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
-            value = make(key)
-        self.keep({key: value})
+            value = self.make(key)
+        if len(key) <= 48:  # longer ones hardly come again
+            if len(self) >= self.size:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
-    def keep(self, values: dict) -> None:
-        if len(self) + len(values) > self.size:
-            self.before = dict(self)
-            self.clear()
-        self.update((k, v) for k, v in values.items() if len(k) <= 48)  # longer ones hardly come again
-
 
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""

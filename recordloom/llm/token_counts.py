@@ -81,11 +81,7 @@ class Counter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.cache, self.known = Recent(CACHE), Recent(CACHE)
-
-    def piece(self, p: str) -> int:
-        n = self.known.get(p)
-        return self.known.found(p, self.new_piece) if n is None else n
+        self.cache, self.known = Recent(CACHE, self.new_chunk), Recent(CACHE, self.new_piece)
 
     def new_piece(self, p: str) -> int:
         return len(p) - self.merges.done_in(p)
@@ -93,17 +89,12 @@ class Counter:
     def new_chunk(self, s: str) -> int:
         if plain := PLAIN(s):  # letters and marks of ASCII: two pieces at most, and the library's byte names but for the space
             word, marks = plain.groups()
-            return self.piece(word.replace(" ", SPACE_NAME)) + (self.piece(marks) if marks else 0)
-        return sum(self.piece(p) for p, _ in self.pieces(s))
+            return self.known[word.replace(" ", SPACE_NAME)] + (self.known[marks] if marks else 0)
+        return sum(self.known[p] for p, _ in self.pieces(s))
 
     def count(self, text: str) -> int:
-        get, found, total = self.cache.get, self.cache.found, 0
         parts = self.special.split(text) if self.special else [text]
-        for part in parts:
-            for s in CHUNK.findall(part):
-                n = get(s)
-                total += found(s, self.new_chunk) if n is None else n
-        return total + len(parts) - 1
+        return sum(sum(map(self.cache.__getitem__, CHUNK.findall(part))) for part in parts) + len(parts) - 1
 
 
 _counters: dict[str, Counter] = {}

@@ -25,8 +25,8 @@ from .common import Recent, Scratch, lookup, map_batches, pick
 #: A chunk ends where the rolling hash of the last WINDOW ids has MASK's bits zero: every 256 ids on average.
 WINDOW, MASK = 8, np.uint64(0xFF << 40)
 SHORTEST, LONGEST = 64, 1024
-#: Encodings of pieces of text that a worker keeps from one task to the next (two generations of about 50 MB each).
-CACHE = 280_000
+#: Encodings of pieces of text that a worker keeps from one task to the next (two generations of about 75 MB each).
+CACHE = 400_000
 
 
 class Encoder:
@@ -44,35 +44,29 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
-        self.cache = Recent(CACHE)
+        self.code = "H" if width == 2 else "I"
+        self.cache = Recent(CACHE, self.new_piece)
         self.model = self.tokenizer.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         #: The byte-level alphabet: bytes that aren't shown as they are get the code points from 256 on.
         self.names = {b: 256 + i for i, b in enumerate(hidden)}
 
-    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new pieces. A full stop or comma behind an ASCII letter always begins a token, so "word," is looked up as
-        "word" and ","."""
-        parts = {p: (p[:-1], p[-1:]) if p[-1] in b".," and p[-2:-1].isalpha() else (p,) for p in pieces}
-        known = {q: self.cache.get(q) or self.cache.before.get(q) for q in dict.fromkeys(q for qs in parts.values() for q in qs)}
-        odd, tokenize, code = [], self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for q in [q for q, ids in known.items() if ids is None]:
-            text = q.decode()
-            if text.isalpha() and text == text.lower() and (q.isascii() or unicodedata.is_normalized("NFC", text)):
-                # a word of small letters passes the normaliser as it is and is one piece: the library's merges alone are left
-                known[q] = pack(code, [t.id for t in tokenize(text if q.isascii() else q.decode("latin-1").translate(self.names))]).tobytes()
-            else:
-                odd.append(text)
-        for i in range(0, len(odd), 1000):
-            made = self.tokenizer.encode(odd[i : i + 1000], is_pretokenized=True, add_special_tokens=False)
-            at = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(odd[i : i + 1000]) + 1)) * self.dtype.itemsize
-            data = np.array(made.ids, self.dtype).tobytes()
-            known.update((w.encode(), data[x:y]) for w, x, y in zip(odd[i : i + 1000], at.tolist(), at[1:].tolist()))
-        found = {p: b"".join([known[q] for q in qs]) for p, qs in parts.items()}
-        self.cache.keep(known)
-        self.cache.keep(found)
-        return found
+    def new_piece(self, b: bytes) -> bytes:
+        """A full stop or comma behind an ASCII letter always begins a token, so "word," is "word" and ",". A word of small
+        letters passes the normaliser as it is and is one piece, so that only the library's merges are left to do."""
+        if b[-1] in b".," and b[-2:-1].isalpha():
+            return self.cache[b[:-1]] + self.cache[b[-1:]]
+        text = b.decode()
+        if text.isascii():
+            small = text.isalpha() and text.islower()
+        else:
+            small = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+        if small:
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else b.decode("latin-1").translate(self.names))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(self.code, ids).tobytes()
 
     def pieces(self, text: bytes | None) -> list[bytes]:
         """Pieces between white space, in lower case as the tokenizer's normaliser has it, unless they might hold its
@@ -82,14 +76,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        get = self.cache.get
-        pieces = [self.pieces(t) for t in texts]
-        ids = [list(map(get, ps)) for ps in pieces]
-        gaps = [k for k, got in enumerate(ids) if None in got]
-        found = self.learn(list(dict.fromkeys(p for k in gaps for p, x in zip(pieces[k], ids[k]) if x is None)))
-        for k in gaps:
-            ids[k] = [found[p] if x is None else x for p, x in zip(pieces[k], ids[k])]
-        return list(map(b"".join, ids))
+        return [b"".join(map(self.cache.__getitem__, self.pieces(t))) for t in texts]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
