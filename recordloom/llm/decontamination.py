@@ -92,10 +92,12 @@ def scan(texts: list[bytes | None], grams: GramSet) -> Iterator[tuple[int, np.nd
     return found
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, n: int, block: int) -> Iterator[GramSet]:
-    """Streams the benchmark to the driver, a partition at a time, in sets of a bounded number of windows."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, n: int, block: int, nameless: bool = False) -> Iterator[GramSet]:
+    """Streams the benchmark to the driver, a partition at a time, in sets of a bounded number of windows; items with a null id
+    only if nameless."""
     now = GramSet()
-    for row in pick(benchmark, id=id_col, text=text_col).where("id is not null").select("id", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
+    items = pick(benchmark, id=id_col, text=text_col)
+    for row in (items if nameless else items.where("id is not null")).select("id", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
         words = words_of(row["text"] and bytes(row["text"]))
         for i in range(0, max(1, len(words) - n + 1) if words else 0, block):
             now.add(row["id"], words[i : i + block + n - 1], n)
@@ -147,10 +149,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return made.select(F.col("_id").alias(id_col), "n_words", "n_hit", "hits", "items", *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)))
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, block: int = BLOCK) -> DataFrame:
-    """The documents without any hit word, with all their columns, unchanged; repeated rows stay repeated."""
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, block: int = BLOCK, nameless: bool = False) -> DataFrame:
+    """The documents without any hit word, with all their columns, unchanged; repeated rows stay repeated. Items with a null id
+    count if nameless."""
     spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(g) for g in blocks_of(benchmark, "item_id", "text", n, block)]
+    sets = [spark.sparkContext.broadcast(g) for g in blocks_of(benchmark, "item_id", "text", n, block, nameless)]
 
     place = docs.columns.index(text_col)
 
