@@ -1,6 +1,12 @@
 """The pipeline's stages on small tables."""
 
+from collections import Counter
+
 import corpus_pipeline
+from recordloom.llm.mixing import mix
+from recordloom.llm.quality import score_quality
+from test_near_copies import brute_kept, planted
+from test_operators import brute_leaks, empty, make
 
 
 def test_leaks_of_items_without_an_id(spark, tmp_path):
@@ -8,3 +14,47 @@ def test_leaks_of_items_without_an_id(spark, tmp_path):
     spark.createDataFrame([(None, " ".join(words[:15])), (7, "nothing like it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, " ".join(["so", *words])), (2, " ".join(words[::-1]))], "doc_id long, text string")
     assert [x.doc_id for x in corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_stages_and_run(spark, tmp_path):
+    values = planted(30, 8)
+    passage = " ".join(f"bench{i}" for i in range(14))
+    values += [f"so {passage} said", f"{values[20]} {passage}", passage.upper()]
+    rows, docs = make(spark, values, True)
+    items = [(1, passage), (None, "w1 w2 w3"), (2, None), (3, "")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(len(values))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sf_dir = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+
+    def stage(k, d):
+        d = spark.createDataFrame(corpus_pipeline.STAGES[k][1](spark, d, sf_dir).collect(), d.schema)
+        return d, [tuple(r) for r in d.collect()]
+
+    bad = {r.doc_id for r in score_quality(docs, labels).collect() if r.predicted == 0}
+    now, got = stage(0, docs)
+    want = [r for r in rows if r[0] not in bad]
+    assert Counter(got) == Counter(want) and want
+    now, got = stage(1, now)
+    assert Counter(r[0] for r in got) == brute_kept(want) and not Counter(got) - Counter(want) and len(got) < len(want)
+    want = [r for r in got if not any(k[2] for k in brute_leaks([r], [(-1 if i is None else i, t) for i, t in items]))]
+    assert len(want) < len(got)
+    now, got = stage(2, now)
+    assert Counter(got) == Counter(want)
+    copies = {}
+    for r in mix(now).collect():
+        copies[r.doc_id] = max(copies.get(r.doc_id, 0), int(r.copies))
+    want = Counter()
+    for r in got:
+        want[r] += copies[r[0]]
+    now, got = stage(3, now)
+    assert Counter(got) == +want and max(want.values()) > 1
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == Counter(r[0] for r in got)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), str(tmp_path)).count() == 0
