@@ -12,21 +12,29 @@ import hashlib
 import unicodedata
 import zlib
 from array import array as pack
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Recent, Scratch, lookup, map_batches, pick
+from .common import Scratch, lookup, map_batches, pick
 
 #: A chunk ends where the rolling hash of the last WINDOW ids has MASK's bits zero: every 256 ids on average.
 WINDOW, MASK = 8, np.uint64(0xFF << 40)
 SHORTEST, LONGEST = 64, 1024
 #: Encodings of pieces of text that a worker keeps from one task to the next (two generations of about 75 MB each).
 CACHE = 400_000
+#: New words that the library merges in one call.
+WORDS = 8192
+#: Bytes of text whose pieces are told apart at once.
+AT_ONCE = 12_000_000
+#: ASCII marks: behind a letter and before white space they are one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -41,42 +49,86 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
         self.code = "H" if width == 2 else "I"
-        self.cache = Recent(CACHE, self.new_piece)
-        self.model = self.tokenizer.model
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        #: The library's merges alone, for words that need no normaliser, in the byte-level alphabet, with spaces between.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        #: The byte-level alphabet: bytes that aren't shown as they are get the code points from 256 on.
-        self.names = {b: 256 + i for i, b in enumerate(hidden)}
-
-    def new_piece(self, b: bytes) -> bytes:
-        """A full stop or comma behind an ASCII letter always begins a token, so "word," is "word" and ",". A word of small
-        letters passes the normaliser as it is and is one piece, so that only the library's merges are left to do."""
-        if b[-1] in b".," and b[-2:-1].isalpha():
-            return self.cache[b[:-1]] + self.cache[b[-1:]]
-        text = b.decode()
-        if text.isascii():
-            small = text.isalpha() and text.islower()
-        else:
-            small = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
-        if small:
-            ids = [t.id for t in self.model.tokenize(text if text.isascii() else b.decode("latin-1").translate(self.names))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return pack(self.code, ids).tobytes()
-
-    def pieces(self, text: bytes | None) -> list[bytes]:
-        """Pieces between white space, in lower case as the tokenizer's normaliser has it, unless they might hold its
-        special strings."""
-        text = text or b""
-        return (text if b"<|" in text else text.lower()).split()
+        #: Bytes that aren't shown as they are get the code points from 256 on; spaces between words stay.
+        self.names = {b: 256 + i for i, b in enumerate(hidden) if b != 32}
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of new pieces. A word of small letters passes the normaliser as it is and is one piece of the tokenizer's, so that
+        only its merges are left to do, for many words at once; all else takes the library's whole way."""
+        texts = [b.decode() for b in pieces]
+        made: list[bytes] = [b""] * len(pieces)
+        ascii_ = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha() and t.islower()]
+        other = [i for i, t in enumerate(texts) if not t.isascii() and t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)]
+        for some in (plain[k : k + WORDS] for plain in (ascii_, other) for k in range(0, len(plain), WORDS)):
+            named = b" ".join([pieces[i] for i in some]).decode("latin-1")
+            found = self.words.encode(named if texts[some[0]].isascii() else named.translate(self.names), add_special_tokens=False)
+            data, ends = np.array(found.ids, self.dtype).tobytes(), np.cumsum(np.bincount(found.word_ids, minlength=len(some))) * self.dtype.itemsize
+            at = 0
+            for i, e in zip(some, ends.tolist()):
+                made[i], at = data[at:e], e
+        for i in set(range(len(pieces))).difference(ascii_, other):
+            made[i] = pack(self.code, self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return made
+
+    def known(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces: those of short ones are kept, in two generations."""
+        found = [self.now.get(b) or self.before.get(b) for b in pieces]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self.learn([pieces[i] for i in new])):
+            found[i] = ids
+        if len(self.now) >= CACHE:
+            self.now, self.before = {}, self.now
+        self.now.update((b, ids) for b, ids in zip(pieces, found) if len(b) <= 48)
+        return found
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (and the end). Null texts have none.
+
+        Each different piece of the texts is looked up once. Pieces are in lower case, as the tokenizer's normaliser has them,
+        but for texts that might hold its special strings. ASCII marks at the end of a piece, behind a letter, are a piece too.
+        """
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        whole = coded.dictionary
+        words = pc.utf8_rtrim(whole, MARKS)
+        words = pc.if_else(pc.and_(pc.match_substring_regex(words, r"\pL$"), pc.invert(pc.match_substring(whole, "<|"))), words, whole)
+        parted = words.dictionary_encode()
+        ids_of = self.known(parted.dictionary.cast(pa.binary()).to_pylist())
+        cut_at = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(pc.binary_length(whole).to_numpy(zero_copy_only=False) > cut_at)
+        found = [ids_of[i] for i in parted.indices.to_pylist()]
+        marks = [t[n:] for t, n in zip(whole.take(pa.array(odd)).cast(pa.binary()).to_pylist(), cut_at[odd].tolist())]
+        kinds = list(dict.fromkeys(marks))
+        mark_ids = dict(zip(kinds, self.known(kinds)))
+        for i, m in zip(odd.tolist(), marks):
+            found[i] += mark_ids[m]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        data = np.frombuffer(b"".join(found), self.dtype)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = data[np.repeat(begins[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[bounds - bounds[0]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        return [b"".join(map(self.cache.__getitem__, self.pieces(t))) for t in texts]
+        ids, at = self.encode_array(pa.array([None if t is None else t.decode() for t in texts], pa.string()))
+        return [ids[a:z].tobytes() for a, z in zip(at, at[1:])]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -96,26 +148,38 @@ def id_width(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 65_536 else 4
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; where it is cut depends on the last WINDOW ids only, but for the length bounds."""
-    n = len(ids)
-    ends, at = [], 0
-    if n > SHORTEST:
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> Iterator[list[int]]:
+    """Ends of the chunks of each id stream; stream k lies between bounds[k] and bounds[k + 1], and its ends count from its start.
+    Where it is cut depends on the last WINDOW ids only, but for the length bounds."""
+    marks = np.zeros(0, np.int64)
+    if len(ids) >= WINDOW:
         g = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h = np.zeros(n - WINDOW + 1, np.uint64)
+        h = np.zeros(len(ids) - WINDOW + 1, np.uint64)
         for j in range(WINDOW):
-            h = h * np.uint64(0x100000001B3) + g[j : n - WINDOW + 1 + j]
-        for e in (np.flatnonzero((h & MASK) == 0) + WINDOW).tolist():
+            h = h * np.uint64(0x100000001B3) + g[j : len(g) - WINDOW + 1 + j]
+        marks = np.flatnonzero((h & MASK) == 0) + WINDOW
+    first = np.searchsorted(marks, bounds[:-1] + SHORTEST)
+    last = np.searchsorted(marks, bounds[1:], "right")
+    marks = marks.tolist()
+    for a, z, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first.tolist(), last.tolist()):
+        n, at, ends = z - a, 0, []
+        for e in marks[i:j] if n > SHORTEST else ():
+            e -= a
             while e - at > LONGEST:
                 at += LONGEST
                 ends.append(at)
             if e - at >= SHORTEST:
                 ends.append(e)
                 at = e
-    while n - at > LONGEST:
-        at += LONGEST
-        ends.append(at)
-    return ends + [n] if n > at or not ends else ends
+        while n - at > LONGEST:
+            at += LONGEST
+            ends.append(at)
+        yield [*ends, n] if n > at or not ends else ends
+
+
+def cut(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return next(cuts(ids, np.array([0, len(ids)])))
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -160,7 +224,7 @@ def crc_joined(a: int, b: int, length: int) -> int:
 def _encode(path: str, end_id: int, width: int):
     """mapInArrow over (id, text): rows of chunks (hash, n, data), each once in a task's reach, and rows of recipes."""
     def run(batches):
-        encoder, tail, size = encoder_of(path, width), np.array([end_id], f"<u{width}").tobytes(), 1 << 16
+        encoder, size = encoder_of(path, width), 1 << 16
         row, seen = TaskContext.get().partitionId() << 33, set()
         names = ["row", "doc_id", "n_tokens", "hashes", "lengths", "root", "hash", "n", "data"]
         kinds = [pa.int64(), None, pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -170,19 +234,19 @@ def _encode(path: str, end_id: int, width: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(cols, kinds)], names=names)
 
         for b in batches:
-            kind, ids_, texts = b.schema.field(0).type, b.column(0).to_pylist(), b.column(1)
+            kind, docs, texts = b.schema.field(0).type, b.column(0).to_pylist(), b.column(1)
+            filled = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             i = 0
-            while i < len(ids_):
-                j, held, some = i, 0, []
-                while j < len(ids_) and held < 2_000_000:
-                    some.append(texts[j].as_py())
-                    held, j = held + len(some[-1] or b""), j + 1
-                rows = []
-                for doc, data in zip(ids_[i:j], encoder.encode(some)):
-                    data += tail
+            while i < len(docs):
+                j = max(i + 1, int(np.searchsorted(filled, (filled[i - 1] if i else 0) + AT_ONCE, "right")))
+                ids, bounds = encoder.encode_array(texts.slice(i, j - i))
+                ids = np.insert(ids, bounds[1:], end_id)
+                bounds = bounds + np.arange(len(bounds))
+                data, rows = ids.tobytes(), []
+                for doc, start, ends in zip(docs[i:j], bounds.tolist(), cuts(ids, bounds)):
                     hashes, lengths, at = [], [], 0
-                    for e in cut(np.frombuffer(data, encoder.dtype)):
-                        chunk = data[at * width : e * width]
+                    for e in ends:
+                        chunk = data[(start + at) * width : (start + e) * width]
                         h = hashlib.sha256(chunk).digest()[:16]
                         if h not in seen:
                             if len(seen) >= size:
@@ -196,7 +260,7 @@ def _encode(path: str, end_id: int, width: int):
                     row += 1
                 yield batch(rows, kind)
                 i = j
-            if not ids_:
+            if not docs:
                 yield batch([], kind)
 
     return run
@@ -210,7 +274,7 @@ def write_store(docs: DataFrame, root: Scratch, path: str, end_id: int, id_col:
     """
     width = id_width(path)
     kind = docs.schema[id_col].dataType.simpleString()
-    base = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("binary").alias("text"))
+    base = pick(docs, id=id_col, text=text_col)
     staged = base.mapInArrow(_encode(path, end_id, width), f"row long, doc_id {kind}, n_tokens long, hashes array<binary>, lengths array<int>, root binary, hash binary, n int, data binary")
     staged = root.store(staged, "staged")
     root.store(staged.where("hash is not null").select("hash", "n", "data").dropDuplicates(["hash"]), "chunks")
@@ -280,20 +344,25 @@ def read_index(root: Scratch) -> DataFrame:
     found = lookup(parts, index, ["hash"], "uses", total)
     per_doc = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc", "hash"))).alias("parts"))
 
-    def join(c: dict) -> dict:
-        out = {"row": c["row"], "crc": [], "n_read": [], "root_read": []}
-        for parts in c["parts"]:
-            crc, n = 0, 0
-            for p in parts:
-                if p["crc"] is None:
-                    raise ValueError("a recipe names a chunk that is not in the store")
-                crc, n = crc_joined(crc, p["crc"], 4 * p["n"]), n + p["n"]
-            out["crc"].append(crc)
-            out["n_read"].append(n)
-            out["root_read"].append(merkle([p["hash"] for p in parts]))
-        return out
-
-    read = map_batches(per_doc.select("row", "parts"), join, "row long, crc long, n_read long, root_read binary")
+    def join(batches):
+        for b in batches:
+            parts = b.column(1)
+            flat = parts.flatten()
+            ns, crcs, hashes = (flat.field(k).to_pylist() for k in ("n", "crc", "hash"))
+            if None in crcs:
+                raise ValueError("a recipe names a chunk that is not in the store")
+            bounds = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+            out: tuple[list, list, list] = ([], [], [])
+            for a, z in zip(bounds, bounds[1:]):
+                crc = 0
+                for n, c in zip(ns[a:z], crcs[a:z]):
+                    crc = crc_joined(crc, c, 4 * n)
+                for held, value in zip(out, (crc, sum(ns[a:z]), merkle(hashes[a:z]))):
+                    held.append(value)
+            made = [b.column(0), *(pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "crc", "n_read", "root_read"])
+
+    read = per_doc.select("row", "parts").mapInArrow(join, "row long, crc long, n_read long, root_read binary")
     docs = recipes.select("row", "range", "doc_id", "n_tokens", "root").join(read, "row", "left")
     good = F.col("n_tokens").eqNullSafe(F.col("n_read")) & F.col("root").eqNullSafe(F.col("root_read"))
     manifest = root.spark.read.parquet(root.path("manifest"))
