@@ -115,6 +115,41 @@ def test_directory_splits(spark):
     held = keys.withColumn("leaf", exact_dedup.leaf_of(keys.h)).join(d, "leaf")
     assert held.count() == 4000
     assert held.groupBy("bucket", "local_depth").count().agg({"count": "max"}).first()[0] <= 200
+    assert d.agg({"pages": "max"}).first()[0] == 1
+
+
+def test_buckets_at_full_depth_have_pages(spark):
+    keys = spark.range(3000).selectExpr("shiftrightunsigned(xxhash64(id), 16) AS h")
+    d = exact_dedup.build_directory(Scratch(spark, "t"), keys, 100)
+    assert [(r.local_depth, r.pages) for r in d.collect()] == [(exact_dedup.MAX_DEPTH, 30)]
+    held = exact_dedup._owned(keys, d).groupBy("bucket", "page").count()
+    assert held.count() == 30 and held.agg({"count": "max"}).first()[0] < 200
+
+
+def test_results_come_through_the_index(spark):
+    _, docs = make(spark, texts())
+    scratch = Scratch(spark, "t")
+    exact_dedup.build_index(docs, scratch, capacity=4)
+    index = spark.read.parquet(scratch.path("index"))
+    before = by_rows(exact_dedup.probe(scratch), "id", "keep_id", "group_size")
+    hot = index.orderBy("group_size", ascending=False).first()
+    assert hot.group_size > 1
+    scratch.store(index.selectExpr("bucket", "page", "h", "link", "tag", "group_size", f"IF(h = {hot.h}, -7, keep_id) AS keep_id"), "index-2")
+    scratch.drop("index")
+    scratch.store(spark.read.parquet(scratch.path("index-2")), "index")
+    after = by_rows(exact_dedup.probe(scratch), "id", "keep_id", "group_size")
+    assert sum((before - after).values()) == hot.group_size == sum(n for k, n in after.items() if k[1] == -7)
+    scratch.drop("directory")
+    scratch.store(spark.createDataFrame([], "leaf int, bucket int, local_depth int, pages int"), "directory")
+    assert exact_dedup.probe(scratch).count() == 0
+
+
+def test_colliding_texts_are_chained_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: exact_dedup.F.length(c).cast("long"))
+    rows, docs = make(spark, texts())
+    got = by_rows(exact_dedup.exact_dedup(docs, capacity=3), "doc_id", "keep_id", "group_size")
+    monkeypatch.undo()
+    assert got == by_rows(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size")
 
 
 # 3
