@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -27,17 +28,6 @@ def byte_table() -> bytes:
     return bytes(low[b] if low[b] in keep else 32 for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary folder is set as it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
-            found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 class Recent(dict):
     """A table of the values used last, made for keys that it lacks. On reaching size it starts anew, and what is still asked
     for comes back from the generation before."""

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, map_batches, pick
+from .common import Scratch, byte_table, pick
 
 #: Words of a window; an item of fewer words is one window.
 N = 10
-#: Most windows in one broadcast set (at about 250 bytes, 60 MB); more are taken in blocks, each scanned in the same pass.
+#: Most windows in one broadcast set (at about 250 bytes, 60 MB); more are taken in blocks, a pass each.
 BLOCK = 250_000
+#: Bytes of text that are scanned at once.
+SLICE = 4_000_000
+RUNS = "array<struct<first:bigint,number:bigint>>"
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("number", pa.int64())]))
+_FOUND = f"n_words bigint, hits {RUNS}, items array<string>"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = byte_table()
 
@@ -65,7 +71,7 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def scan(texts: list[bytes | None], grams: GramSet) -> Iterator[tuple[int, np.ndarray, list]]:
+def scan(texts: list[bytes | None], grams: GramSet) -> list[tuple[int, np.ndarray, list]]:
     """For each text: words, hit words' positions (ascending), ids of items with occurring windows."""
     get, found = grams.vocab.get, []
     docs = [words_of(t) for t in texts]
@@ -107,6 +113,49 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, n: int, block: i
     yield now.freeze()
 
 
+def _first_two(blocks: Iterator[GramSet]) -> tuple[GramSet, Iterator[GramSet] | None]:
+    """The first block, and all if there are more."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE bytes."""
+    i, held = 0, 0
+    for j, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        held += n
+        if held >= SLICE:
+            yield i, j + 1
+            i, held = j + 1, 0
+    if i < len(texts):
+        yield i, len(texts)
+
+
+def _leaks(grams):
+    """mapInArrow over (key, text): key, n_words, hits, items of one block."""
+    def run(batches):
+        for b in batches:
+            for i, j in _slices(b.column(1)):
+                found = scan(b.column(1).slice(i, j - i).to_pylist(), grams.value)
+                runs = [np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else [] for _, at, _ in found]
+                cols = [[n for n, _, _ in found], [[{"first": int(r[0]), "number": len(r)} for r in some] for some in runs], [sorted({str(x) for x in ids}) for _, _, ids in found]]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), _RUNS, pa.list_(pa.string()))))], names=["key", "n_words", "hits", "items"])
+
+    return run
+
+
+def _joined(runs: Column) -> Column:
+    """Runs (first, number), overlapping or touching ones made one."""
+    def step(done, r):
+        last, end = F.element_at(done, -1), r["first"] + r["number"]
+        fits = (F.size(done) > 0) & (r["first"] <= F.element_at(done, -1)["first"] + F.element_at(done, -1)["number"])
+        wider = F.struct(last["first"].alias("first"), (F.greatest(end, last["first"] + last["number"]) - last["first"]).alias("number"))
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(runs), F.array().cast(RUNS), step)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", n: int = N, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_words, n_hit, hits (runs of hit words: first, number), items (ids as strings, sorted),
@@ -114,62 +163,61 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Words are runs of digits, letters and non-ASCII characters after A-Z is lower-cased. A word is hit inside any occurrence
     of a window of n consecutive item words; an item of fewer words, but not none, is one window. Candidates from the hash
-    filter are compared word for word. Null texts have no words; items with a null id are left out; items that repeat an id
-    count once. A benchmark larger than one block is scanned in blocks whose hits are united.
+    filter are compared word for word. Null or empty texts have no words; items with a null id are left out; items that repeat
+    an id count once; rows that repeat an id each give a row; empty tables give no rows or no hits; texts of any length are
+    scanned whole.
+
+    One block of windows is broadcast and scanned in one pass. A larger benchmark takes a pass over the stored documents for each
+    block, so that no worker holds more than one, and what the passes hit is united by row.
     """
     spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(g) for g in blocks_of(benchmark, item_col, item_text_col, n, block)]
-    base = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{text_col}`"].cast("binary").alias("_text"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(keep)))
-
-    def run(cols: dict) -> Iterator[dict]:
-        size = max(1, len(cols["_text"]))
-        i = 0
-        while i < size and cols["_text"]:
-            j, held = i, 0
-            while j < len(cols["_text"]) and held < 4_000_000:
-                held += len(cols["_text"][j] or b"")
-                j += 1
-            yield part({k: v[i:j] for k, v in cols.items()})
-            i = j
-
-    def part(cols: dict) -> dict:
-        out = {"n_words": [], "n_hit": [], "hits": [], "items": []}
-        all_found = [scan(cols["_text"], s.value) for s in sets]
-        for found in zip(*all_found):
-            at = np.unique(np.concatenate([f[1] for f in found]))
-            cuts = np.flatnonzero(np.diff(at) > 1) + 1
-            out["n_words"].append(found[0][0])
-            out["n_hit"].append(len(at))
-            out["hits"].append([{"first": int(r[0]), "number": len(r)} for r in np.split(at, cuts)] if len(at) else [])
-            out["items"].append(sorted({str(x) for f in found for x in f[2]}))
-        return {"_id": cols["_id"]} | out | {k: v for k, v in cols.items() if k.startswith("_k")}
-
-    kinds = "".join(f", _k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    made = map_batches(base, run, f"_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_hit bigint, hits array<struct<first:bigint,number:bigint>>, items array<string>{kinds}")
-    return made.select(F.col("_id").alias(id_col), "n_words", "n_hit", "hits", "items", *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)))
+    first, more = _first_two(blocks_of(benchmark, item_col, item_text_col, n, block))
+    base = docs.select(F.struct(docs[f"`{id_col}`"].alias("id"), *(docs[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep))).alias("key"), docs[f"`{text_col}`"].cast("binary").alias("text"))
+    kind = base.schema["key"].dataType.simpleString()
+    if more is None:
+        made = base.mapInArrow(_leaks(spark.sparkContext.broadcast(first)), f"key {kind}, {_FOUND}")
+    else:
+        scratch = Scratch(spark, "leaks")
+        rows = scratch.store(base.withColumn("row", F.monotonically_increasing_id()), "documents")
+        for k, grams in enumerate(more):
+            held = spark.sparkContext.broadcast(grams)
+            found = rows.select(F.col("row").alias("key"), "text").mapInArrow(_leaks(held), f"key long, {_FOUND}")
+            scratch.store(found if k == 0 else found.where(F.size("hits") > 0), f"block/k={k}")
+            held.unpersist()
+        parts = spark.read.schema(f"key long, {_FOUND}").parquet(scratch.path("block")).drop("k")
+        united = parts.groupBy("key").agg(F.max("n_words").alias("n_words"), _joined(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        made = rows.select("key", "row").join(united.withColumnRenamed("key", "row"), "row").select("key", "n_words", "hits", "items")
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, r: a + r["number"])
+    return made.select(F.col("key.id").alias(id_col), "n_words", hit.alias("n_hit"), "hits", "items", *(F.col(f"key.k{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, block: int = BLOCK, nameless: bool = False) -> DataFrame:
-    """The documents without any hit word, with all their columns, unchanged; repeated rows stay repeated. Items with a null id
-    count if nameless."""
+    """The documents without any hit word, with all their columns, unchanged; repeated rows stay repeated, null and empty texts
+    stay, and an empty table gives an empty one. Items with a null id count if nameless. Each further block of windows takes a
+    pass over what the one before left."""
     spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(g) for g in blocks_of(benchmark, "item_id", "text", n, block, nameless)]
-
     place = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            rows, keep, i = b.column(place), [], 0
-            while i < len(rows):
-                j, held, some = i, 0, []
-                while j < len(rows) and held < 4_000_000:
-                    some.append((rows[j].as_py() or "").encode())
-                    held, j = held + len(some[-1]), j + 1
-                keep += [not any(f[2] for f in per) for per in zip(*(scan(some, s.value) for s in sets))]
-                i = j
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def without(grams):
+        def run(batches):
+            for b in batches:
+                rows = b.column(place).cast(pa.binary())
+                keep = [not f[2] for i, j in _slices(rows) for f in scan(rows.slice(i, j - i).to_pylist(), grams.value)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    first, more = _first_two(blocks_of(benchmark, "item_id", "text", n, block, nameless))
+    if more is None:
+        return docs.mapInArrow(without(spark.sparkContext.broadcast(first)), docs.schema)
+    scratch, left = Scratch(spark, "unleaked"), docs
+    for k, grams in enumerate(more):
+        held = spark.sparkContext.broadcast(grams)
+        left = scratch.store(left.mapInArrow(without(held), docs.schema), f"block-{k}")
+        held.unpersist()
+        if k:
+            scratch.drop(f"block-{k - 1}")
+    return left
 
 
 def cut_spans(text: bytes | None, runs: list[tuple[int, int]]) -> bytes | None:

@@ -67,8 +67,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order times the rate, shifted by the source's offset, and it is emitted once per integer boundary crossed. As the order
     runs through the sizes, each source's taken words stay within about its largest document of its target.
 
-    The numbering needs no task that holds a source: counts per (source, class, bucket) are summed up to starting numbers,
-    at most 16 * 40 * BUCKETS rows for a source, and rows are numbered within a bucket. A null text has size 0; a null
+    The numbering needs no task that holds a source: counts per (source, class), at most 16 * 40 for a source, and per bucket
+    within a class are summed up to starting numbers, and rows are numbered within a bucket. A null text has size 0; a null
     source is a source of its own, the last; null ids come first in their bucket. Documents that repeat an id each count.
     """
     spark = docs.sparkSession
@@ -79,8 +79,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 2))
     cells = scratch.store(rows.groupBy("source", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "cells")
     plan = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    before = F.sum("n").over(W.partitionBy("source").orderBy("cls", "bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = cells.withColumn("before", F.coalesce(before, F.lit(0)))
+    running = lambda by, *order: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = cells.groupBy("source", "cls").agg(F.sum("n").alias("n")).select("source", "cls", running(["source"], "cls").alias("first"))
+    inside = cells.select("source", "cls", "bucket", running(["source", "cls"], "bucket").alias("inside"))
+    i, c = inside.alias("i"), classes.alias("c")
+    starts = i.join(c, F.col("i.source").eqNullSafe(F.col("c.source")) & (F.col("i.cls") == F.col("c.cls"))).select("i.source", "i.cls", "bucket", (F.col("first") + F.col("inside")).alias("before"))
     s, p = starts.alias("s"), plan.alias("p")
     starts = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).select(
         "s.source", "cls", "bucket", "before", "source_size", "target", "rate", offset_of(F.col("s.source"), seed).alias("u"))

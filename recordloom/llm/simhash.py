@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +161,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each node of edges (a, b) with the smallest node it is connected to, by large-star and small-star rounds."""
     now = scratch.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges-0")
     mark = None
-    for k in range(1, 200):
+    for k in count(1):  # ends: each round that changes edges lowers an end
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both, lambda d: d.where("b > a"))
         one = scratch.store(large, f"large-{k}")

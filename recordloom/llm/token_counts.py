@@ -29,18 +29,19 @@ class Merges:
     def __init__(self, pairs: list[tuple[str, str]]):
         number: dict[str, int] = {}
         of = lambda x: number.setdefault(x, len(number))
+        made = [(of(a), of(b), of(a + b)) for a, b in pairs]
+        self.bits = len(number).bit_length()
         self.rank: dict[int, int] = {}
-        self.made: list[int] = []
-        for i, (a, b) in enumerate(pairs):
-            self.rank.setdefault(of(a) << 20 | of(b), i)
-            self.made.append(of(a + b))
+        for i, (a, b, _) in enumerate(made):
+            self.rank.setdefault(a << self.bits | b, i)
+        self.made = [c for _, _, c in made]
         self.number = number
 
     def done_in(self, symbols: str) -> int:
         """How often two neighbours merge: the lowest rank first, of equal ranks the leftmost, until no pair has a rank."""
-        n, rank, made = len(symbols), self.rank.get, self.made
+        n, rank, made, bits = len(symbols), self.rank.get, self.made, self.bits
         sym = [self.number.get(c, -1) for c in symbols]
-        heap = [r * n + i for i in range(n - 1) if sym[i] >= 0 and sym[i + 1] >= 0 and (r := rank(sym[i] << 20 | sym[i + 1])) is not None]
+        heap = [r * n + i for i in range(n - 1) if sym[i] >= 0 and sym[i + 1] >= 0 and (r := rank(sym[i] << bits | sym[i + 1])) is not None]
         if not heap:
             return 0
         heapq.heapify(heap)
@@ -49,7 +50,7 @@ class Merges:
         while heap:
             r, i = divmod(heapq.heappop(heap), n)
             j = after[i]
-            if j >= n or sym[i] < 0 or sym[j] < 0 or rank(sym[i] << 20 | sym[j]) != r:
+            if j >= n or sym[i] < 0 or sym[j] < 0 or rank(sym[i] << bits | sym[j]) != r:
                 continue  # one of the two has merged since
             new = sym[i] = made[r]
             sym[j], k = -1, after[j]
@@ -57,10 +58,10 @@ class Merges:
             done += 1
             if k < n:
                 before[k] = i
-                if sym[k] >= 0 and (r := rank(new << 20 | sym[k])) is not None:
+                if sym[k] >= 0 and (r := rank(new << bits | sym[k])) is not None:
                     heapq.heappush(heap, r * n + i)
             k = before[i]
-            if k >= 0 and sym[k] >= 0 and (r := rank(sym[k] << 20 | new)) is not None:
+            if k >= 0 and sym[k] >= 0 and (r := rank(sym[k] << bits | new)) is not None:
                 heapq.heappush(heap, r * n + k)
         return done
 
