@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 #: Marks of the template.
@@ -75,6 +76,31 @@ def from_messages(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed(messages: DataFrame, piece: int = 48) -> DataFrame:
+    """An event log as a chat client leaves it, from whole messages (conv_id, turn, role, text), whose fold gives them back.
+
+    By a hash of the message, it comes whole; or begins empty and is streamed in deltas of piece characters; or is a draft that an
+    edit replaces; or a draft that is regenerated and streamed anew; or is streamed, edited to a part, and goes on in deltas.
+    Messages that share a turn follow each other by role and text. A null text is empty, as in the fold.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(role, text))
+    d = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), nth.alias("nth"), F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(5)).alias("way"))
+    event = lambda kind, x, who=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if who is None else who).alias("role"), x.alias("text"))
+    none = F.lit(None).cast("string")
+    deltas = lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?s).{{1,{piece}}}"), 0), lambda p: event("delta", p))
+    half = F.expr("char_length(text) div 2")
+    first, rest, draft, me = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text")), F.reverse("text"), F.col("role")
+    log = (F.when(F.col("way") == 0, F.array(event("message", F.col("text"), me)))
+           .when(F.col("way") == 1, F.concat(F.array(event("message", F.lit(""), me)), deltas(F.col("text"))))
+           .when(F.col("way") == 2, F.array(event("message", draft, F.lit("draft")), event("edit", F.col("text"), me)))
+           .when(F.col("way") == 3, F.concat(F.array(event("message", draft, me), event("regenerate", none)), deltas(F.col("text"))))
+           .otherwise(F.concat(F.array(event("message", F.lit(""), me)), deltas(draft), F.array(event("edit", first)), deltas(rest))))
+    each = d.select("conv_id", "turn", "nth", F.posexplode(log).alias("at", "e"))
+    seq = F.col("nth").cast("long") * F.lit(1 << 32) + F.col("at")
+    return each.select("conv_id", "turn", seq.alias("seq"), "e.kind", "e.role", "e.text")
+
+
 def _groups(cols: dict, keys: tuple[str, ...], state: list) -> Iterator[tuple]:
     """Rows gathered by keys over batches that come sorted; the last group stays in state."""
     names = list(cols)
@@ -95,7 +121,8 @@ def format_chats(events: DataFrame) -> DataFrame:
 
     Events are dealt by conversation and turn, so that one long conversation is no task's alone, sorted by seq and folded;
     a conversation's output is its rows' formatted strings by (turn, place). Events that share a seq go by kind, role, text.
-    Null ids and turns are values of their own, first; a null role or text counts as empty; an unknown kind raises.
+    Null ids and turns are values of their own, first; a null role or text counts as empty; an unknown kind raises; repeated
+    events each count; an empty log gives no rows; texts of any length are kept whole; further columns are ignored.
     """
     kind_rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     ranked = events.select("conv_id", "turn", "seq", F.when(F.coalesce(kind_rank, F.lit(0)) > 0, kind_rank).otherwise(F.raise_error(F.lit("unknown kind of event")).cast("long")).alias("rank"), "kind", "role", "text")
@@ -165,5 +192,3 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(done(now), kinds)], names=names)
 
     return dealt.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
-
-

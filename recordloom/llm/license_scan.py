@@ -14,24 +14,52 @@ from .common import byte_table, map_batches, pick
 
 #: Base phrases and their labels; these come from the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates: label, wording, phrases of which each must stand in the matched part.
+# Label, wording of a public licence, phrases of which each must stand in the matched part.
 TEMPLATES = (
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee", "and or distribute")),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License, version 3", ("affero general public license", "version 3")),
+    ("agpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("affero general public license",)),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
     ("apache-2.0", "you may not use this file except in compliance with the License", ("except in compliance",)),
-    ("mit", "Released under the MIT License", ("mit license",)),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby granted", "free of charge")),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
-    ("gpl-2.0", "licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
-    ("lgpl", "licensed under the GNU Lesser General Public License", ("lesser general public license",)),
+    ("apache-2.0", "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ("warranties or conditions of any kind",)),
+    ("artistic-2.0", "This package is free software; you may distribute it under the terms of the Artistic License 2.0", ("artistic license", "2 0")),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use", "source and binary forms")),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("endorse or promote",)),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", ("boost software license",)),
+    ("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial 4 0",)),
+    ("cc-by-nd-4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("attribution noderivatives 4 0",)),
+    ("cc-by-sa-3.0", "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License", ("attribution sharealike 3 0",)),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use", "source and binary forms")),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
+    ("cc-by-sa-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("attribution sharealike 4 0",)),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
+    ("cc0-1.0", "released under CC0 1.0 Universal", ("cc0 1 0",)),
+    ("epl-1.0", "made available under the terms of the Eclipse Public License v1.0", ("eclipse public license", "v1 0")),
+    ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0", ("eclipse public license", "2 0")),
+    ("gpl-2.0", "licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
+    ("gpl-3.0", "licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
+    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ("gnu general public license", "free software foundation")),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", ("with or without fee", "modify and distribute")),
+    ("isc", "Released under the ISC License", ("isc license",)),
+    ("lgpl", "licensed under the GNU Lesser General Public License", ("lesser general public license",)),
+    ("lgpl-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ("lesser general public license", "version 2 1")),
+    ("lgpl-3.0", "licensed under the GNU Lesser General Public License, version 3", ("lesser general public license", "version 3")),
+    ("mit", "Released under the MIT License", ("mit license",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby granted", "free of charge")),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("substantial portions",)),
+    ("mpl-1.1", "subject to the Mozilla Public License Version 1.1", ("mozilla public license", "1 1")),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license", "2 0")),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary", ("compiled binary",)),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", ("you want to public license",)),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable", ("without any express or implied warranty", "held liable")),
 )
-#: A file's so many rarest licence words are looked up first; any template that they can't decide is looked up by its own.
-RARE = 6
 #: Share of a template's words, weighted by rarity, that must stand in place.
 ENOUGH = 0.8
+#: Share of a template's weight that its rare words make up at least, above what a match may lack.
+RARE = 0.25
 _TABLE = byte_table()
 
 
@@ -40,49 +68,60 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Postings of template words: word -> (template, position). A word's IDF is over the templates."""
+    """Postings of the templates' rare words: word -> (template, position). A word's IDF is over the templates.
+
+    A template's rare words are those of its positions of highest IDF that together weigh RARE more than a match may lack. Any
+    match so has rare words in place that weigh RARE at least: only their postings are kept, and common words are never looked up.
+    """
 
     def __init__(self, base: dict[str, str] = BASE, templates=TEMPLATES):
         self.base = [(p.encode().split(), label) for p, label in base.items()]
         self.templates = [(label, words_of(t.encode()), [k.encode().split() for k in keys]) for label, t, keys in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        holders: dict[bytes, set[int]] = defaultdict(set)
         for t, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
+            for w in words:
+                holders[w].add(t)
         n = len(self.templates)
-        self.idf = {w: math.log((n + 1) / len({t for t, _ in p})) for w, p in self.postings.items()}
+        self.idf = {w: math.log((n + 1) / len(ts)) for w, ts in holders.items()}
         self.weight = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
-        self.vocab = {w: i for i, w in enumerate(dict.fromkeys([*self.postings, *(w for p, _ in self.base for w in p)]), 1)}
-        #: Each template's rarest word: a file without it can't reach ENOUGH unless the rest weigh enough.
-        self.by_idf = sorted(self.postings, key=lambda w: (-self.idf[w], w))
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: Weight of rare words in place that a candidate needs.
+        self.need: list[float] = []
+        for t, (_, words, _) in enumerate(self.templates):
+            held, lack = 0.0, (1 - ENOUGH) * self.weight[t]
+            for i in sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], i)):
+                if held >= lack + RARE * self.weight[t]:
+                    break
+                self.postings[words[i]].append((t, i))
+                held += self.idf[words[i]]
+            self.need.append(held - lack)
+        self.vocab = {w: i for i, w in enumerate(dict.fromkeys([*self.postings, *(p[0] for p, _ in self.base)]), 1)}
+
+    def candidates(self, words: list[bytes], at: np.ndarray) -> list[tuple[int, int]]:
+        """(template, start) where the rare words in place weigh enough: postings met at one relative position."""
+        weight: dict[tuple[int, int], float] = defaultdict(float)
+        for i in at.tolist():
+            w = words[i]
+            for t, p in self.postings.get(w, ()):
+                weight[t, i - p] += self.idf[w]
+        return [c for c, x in weight.items() if x >= self.need[c[0]] - 1e-9]
+
+    def score(self, words: list[bytes], t: int, start: int) -> float:
+        """Share of the template's weight in place; 0 unless it is enough and all key phrases stand in that window."""
+        _, want, keys = self.templates[t]
+        share = sum(self.idf[x] for j, x in enumerate(want) if 0 <= start + j < len(words) and words[start + j] == x) / self.weight[t]
+        if share < ENOUGH - 1e-9:
+            return 0.0
+        window = words[max(0, start) : max(0, start + len(want))]
+        return share if all(any(window[k : k + len(key)] == key for k in range(len(window) - len(key) + 1)) for key in keys) else 0.0
 
     def match(self, words: list[bytes], at: np.ndarray) -> tuple[list[tuple[str, float]], float]:
-        """Labels with their scores, and the best score. at: positions of words that the index has.
-
-        Postings of the file's words vote for (template, offset), rarest words first; an offset whose words in place weigh
-        ENOUGH of the template, and whose key phrases all stand in that window, is a match.
-        """
-        places: dict[bytes, list[int]] = defaultdict(list)
-        for i in at.tolist():
-            places[words[i]].append(i)
-        rare = [w for w in self.by_idf if w in places]
+        """Labels with their scores, and the best score. at: positions of words that the index has."""
         found: dict[str, float] = {}
-        tried: set[tuple[int, int]] = set()
-        for depth in (rare[:RARE], rare[RARE:]):
-            for w in depth:
-                for t, p in self.postings[w]:
-                    for i in places[w]:
-                        if (t, i - p) in tried:
-                            continue
-                        tried.add((t, i - p))
-                        label, want, keys = self.templates[t]
-                        start = i - p
-                        got = [start + j for j, x in enumerate(want) if 0 <= start + j < len(words) and words[start + j] == x]
-                        score = sum(self.idf[words[k]] for k in got) / self.weight[t]
-                        if score >= ENOUGH - 1e-9:
-                            window = words[max(0, start) : start + len(want)]
-                            if all(any(window[k : k + len(key)] == key for k in range(len(window) - len(key) + 1)) for key in keys):
-                                found[label] = max(found.get(label, 0.0), score)
+        for t, start in self.candidates(words, at):
+            if share := self.score(words, t, start):
+                label = self.templates[t][0]
+                found[label] = max(found.get(label, 0.0), share)
         return sorted(found.items()), max(found.values(), default=0.0)
 
     def base_places(self, words: list[bytes], at: np.ndarray) -> tuple[list[int], set[str]]:
@@ -99,7 +138,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words as in decontamination. n_base counts all places of base phrases, first_word and last_word are their smallest and
     largest start (null without any). labels unites base labels and those of matched templates. score is the best template's
-    share of weighted words in place; a base phrase alone scores 0.5; 0 without any label. Null or empty texts have no words.
+    share of weighted words in place; a base phrase alone scores 0.5; 0 without any label. Null or empty texts have no words, score 0
+    and have empty labels; rows that repeat an id each give a row; texts of any length are read whole; an empty table gives no rows;
+    further columns are ignored.
     """
     index = Index(base, templates)
 
@@ -110,7 +151,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             words = words_of(text)
             at = np.flatnonzero(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
             starts, base_labels = index.base_places(words, at) if len(at) else ([], set())
-            matches, score = index.match(words, at) if len(at) > 1 else ([], 0.0)
+            matches, score = index.match(words, at) if len(at) else ([], 0.0)
             out["n_words"].append(len(words))
             out["n_base"].append(len(starts))
             out["first_word"].append(min(starts, default=None))
@@ -125,5 +166,3 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<label:string,score:double>>"
     return map_batches(rows, run, schema).withColumnRenamed("id", id_col)
-
-

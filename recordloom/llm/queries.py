@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .chat_format import digests, format_chats, from_messages
+from .chat_format import digests, format_chats, streamed
 from .common import Scratch
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
@@ -77,7 +77,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return digests(Scratch(spark, "chats").store(format_chats(from_messages(chats)), "formatted"))
+    return digests(Scratch(spark, "chats").store(format_chats(streamed(chats)), "formatted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

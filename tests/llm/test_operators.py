@@ -360,9 +360,95 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def brute_licenses(index, words):
+    """Every template laid at every place."""
+    found = {}
+    for t, (label, want, keys) in enumerate(index.templates):
+        for start in range(-len(want), len(words)):
+            here = [(j, start + j) for j in range(len(want)) if 0 <= start + j < len(words)]
+            share = sum(index.idf[want[j]] for j, i in here if words[i] == want[j]) / sum(index.idf[w] for w in want)
+            window = b" " + b" ".join(words[i] for _, i in here) + b" "
+            if share >= license_scan.ENOUGH - 1e-9 and all(b" " + b" ".join(k) + b" " in window for k in keys):
+                found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_license_lookup_is_brute_force():
+    index, r = license_scan.Index(), random.Random(5)
+    vocab = sorted(index.idf)
+    hits = 0
+    for _ in range(150):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            words += [r.choice([b"x", b"the", *vocab[:20]]) for _ in range(r.randint(0, 8))]
+            part = list(r.choice(index.templates)[1])
+            for _ in range(r.randint(0, 4)):
+                part[r.randrange(len(part))] = r.choice(vocab)
+            words += part[r.randint(0, 2) :] if r.random() < 0.5 else part
+        at = np.array([i for i, w in enumerate(words) if w in index.vocab], np.int64)
+        got, want = dict(index.match(words, at)[0]), brute_licenses(index, words)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        hits += len(want)
+        rare = {w for w in words if w in index.postings}
+        assert len(index.candidates(words, at)) <= sum(len(index.postings[w]) * words.count(w) for w in rare)
+    assert hits > 100 and len(index.postings) < len(index.idf) * 0.8
+
+
+def test_each_license_is_found():
+    index = license_scan.Index()
+    for label, text, _ in license_scan.TEMPLATES:
+        words = license_scan.words_of(f"Code: {text}. More.".encode())
+        at = np.array([i for i, w in enumerate(words) if w in index.vocab], np.int64)
+        assert dict(index.match(words, at)[0])[label] == pytest.approx(1.0)
+
+
 # 8
 
 
+def naive_score(model, row):
+    """Each tree walked node by node."""
+    total = model.bias
+    for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+        total += leaf[node - len(feature)]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_against_naive_splits_and_walks():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 2] > 0) & (rng.random(300) > 0.1)).astype(float)
+    model = quality.fit(x, y, rounds=3, depth=3, bins=16)
+    assert np.allclose(model.score(x), [naive_score(model, r) for r in x])
+    p = 1 / (1 + np.exp(-model.bias))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = 0.0
+    for j in range(4):
+        for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 16)[1:-1], method="lower")):
+            left = x[:, j] <= c
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best, gain)
+    left = x[:, model.feature[0][0]] <= model.cut[0][0]
+    assert np.isclose(best, sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1))
+
+
+def test_statistics_of_odd_texts():
+    for text in (None, b"", b" \n", b"a", "é".encode() * 100_000, b"word " * 60_000, bytes(range(256))):
+        got = quality.statistics(text)
+        assert len(got) == len(quality.FEATURES) and np.isfinite(got).all()
+
+
+def test_sample_is_the_least_digests(spark):
+    rows = spark.createDataFrame([(i % 700, i % 2, [float(i)]) for i in range(900)], "id long, y int, x array<double>").repartition(13)
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    want = sorted((digest(i % 700), i % 700, i % 2) for i in range(900))[:50]
+    assert sorted((digest(r.id), r.id, r.y) for r in quality.least(rows, 50).collect()) == want
+    assert quality.least(rows, 5000).count() == 900 and quality.least(rows.limit(0), 5).count() == 0
+
+
 def test_quality(spark):
     r = random.Random(1)
     good = [" ".join(r.choice(["tion", "the", "and", "ing", "over", "Then"]) + r.choice(["er", "ly", ""]) for _ in range(r.randint(5, 80))) for _ in range(300)]
@@ -370,7 +456,7 @@ def test_quality(spark):
     values = texts() + good + junk
     rows, docs = make(spark, values)
     n = len(texts())
-    labels = spark.createDataFrame([(i, int(i < n + 300), 0) for i in range(n, len(values))] + [(1, None, None), (None, 1, 0), (n, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i < n + 300), 0, "x", [0.0]) for i in range(n, len(values))] + [(1, None, None, "x", None), (None, 1, 0, "x", None), (n, 1, 0, "x", None), (n, 0, 0, "x", None), (n, 1, 0, "x", None)], "doc_id long, quality int, toxic int, id string, x array<double>")
     got = quality.score_quality(docs, labels).collect()
     assert Counter(x.doc_id for x in got) == Counter(x[0] for x in rows)
     for x in got:
@@ -459,7 +545,11 @@ def test_chat_digests(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\s>", "[\\\\INST]", None, "", "a\nb", "\\", "<s", "s>"]
     rows = [(c, t, ["user", "assistant", "system", None, "tool\n\\x"][(c + t) % 5], nasty[(c * 3 + t) % len(nasty)]) for c in range(6) for t in range(c + 3)]
     rows += [(1, 1, "assistant", "tie"), (1, 1, "assistant", "tie"), (None, None, "assistant", "x"), (9, 0, "user", "long " * 50_000)]
-    out = chat_format.digests(chat_format.format_chats(chat_format.from_messages(chats(spark, rows)))).collect()
+    table = chats(spark, rows).selectExpr("*", "'x' AS seq", "'what' AS kind", "1 AS place", "'y' AS formatted")
+    out = chat_format.digests(chat_format.format_chats(chat_format.from_messages(table))).collect()
+    log = chat_format.streamed(table, piece=7)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat_format.KINDS)
+    assert sorted(map(str, chat_format.digests(chat_format.format_chats(log.repartition(5))).collect())) == sorted(map(str, out))
     got = {r.conv_id: r for r in out}
     assert len(out) == len({r[0] for r in rows})
     for conv in got:
