@@ -63,6 +63,12 @@ def unique(c: Column) -> Column:
     return F.size(F.array_distinct(c)) == F.size(c)
 
 
+def add_counts(a: Column, b: Column) -> Column:
+    """Two maps of counts, added by key."""
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return F.map_zip_with(a, b, lambda _, x, y: zero(x) + zero(y))
+
+
 def first_code(*rules: tuple[str, Column]) -> Column:
     """The message of the first broken rule, in order; null if none is."""
     return F.coalesce(*(F.when(~F.coalesce(good, F.lit(False)), F.lit(message)) for message, good in rules))

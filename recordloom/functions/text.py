@@ -10,11 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words of a status change, and of routine operations.
+# Words of a status change, words of routine operations, technical terms, and the tags of a client's blocks.
 LIFECYCLE_TERMS = ("変更", "置き換", "廃止", "撤回", "却下", "承認", "採用", "修正", "supersed", "revert", "reject", "cancel", "replace", "approve", "accept")
 ROUTINE_TERMS = ("squash", "merge", "ready", "draft", "ci成功", "pr #", "pr#")
 TECH_TERM = r"[A-Za-z][A-Za-z0-9_.:/\\-]{2,}|\p{Nd}+(?:\.\p{Nd}+)+"
-#: Blocks that a client adds to user messages.
 INTERNAL_TAGS = ("environment_context", "recommended_plugins", "permissions instructions", "skills_instructions", "app-context", "collaboration_mode", "apps_instructions", "plugins_instructions")
 
 
@@ -34,12 +33,17 @@ def strip_blocks(c: Column, tags: tuple[str, ...] = INTERNAL_TAGS) -> Column:
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which the JVM functions lack."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
+
+
+def composed(c: Column) -> Column:
+    """c in compatibility composition. ASCII texts are composed as they are: only a null of theirs goes to Python."""
+    return F.coalesce(nfkc(F.when(F.octet_length(c) != F.char_length(c), c)), c)
 
 
 def normalized(c: Column, compose: bool = True) -> Column:
     """Letters and numbers only, composed and lower-cased. Without compose for text known to be composed."""
-    return F.regexp_replace(F.lower(nfkc(c) if compose else c), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.lower(composed(c) if compose else c), r"[^\p{L}\p{N}]", "")
 
 
 def trigrams(c: Column) -> Column:
@@ -74,7 +78,9 @@ def contains_any(c: Column, terms: tuple[str, ...]) -> Column:
 
 
 def role_title(c: Column) -> Column:
-    return F.initcap(F.when(F.coalesce(c, F.lit("")) == "", "Unknown").otherwise(c))
+    """Each run of cased letters with a capital; an empty or null role is Unknown."""
+    runs = F.regexp_extract_all(F.when(F.coalesce(c, F.lit("")) == "", "Unknown").otherwise(c), F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), 0)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def short_hash(c: Column, digits: int) -> Column:
@@ -91,8 +97,9 @@ def reduction(part: Column, whole: Column) -> Column:
 
 
 def section_number(c: Column) -> Column:
-    """The number in SEC-ddd; anything else is null."""
-    return F.when(c.rlike(r"^SEC-\d{3,}$"), F.regexp_extract(c, r"^SEC-(\d+)$", 1).cast("int"))
+    """The number in SEC-ddd, with three digits; a null is null, and anything else raises."""
+    bad = F.raise_error(F.concat(F.lit("invalid Section id: "), c)).cast("int")
+    return F.when(c.rlike(r"^SEC-[0-9]{3}\z"), F.substring(c, 5, 3).cast("int")).when(c.isNotNull(), bad)
 
 
 def event_id(session: Column, kind: Column, line: Column) -> Column:

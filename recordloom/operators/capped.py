@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import stored
+
 #: Sessions with more pairs are capped by rounds over DataFrames instead of in one task.
 KERNEL_PAIRS = 200_000
 
@@ -29,7 +31,7 @@ def _walk(cap: int):
 def _rounds(edges: DataFrame, cap: int) -> DataFrame:
     """The same choice by rounds: an edge that ranks within what both ends may still take is taken by the walk too."""
     key = ["session_id", "left_ord", "right_ord"]
-    open_, taken = edges.checkpoint(), None
+    open_, taken = stored(edges, "open"), None
     used = None
     while open_.head(1):
         ends = open_.select(*key, "candidate_score", F.explode(F.array("left_ord", "right_ord")).alias("end"))
@@ -37,20 +39,24 @@ def _rounds(edges: DataFrame, cap: int) -> DataFrame:
         room = F.lit(cap) if used is None else F.lit(cap) - F.coalesce(F.col("used"), F.lit(0))
         w = W.partitionBy("session_id", "end").orderBy(F.desc("candidate_score"), "left_ord", "right_ord")
         fit = left.withColumn("_room", room).withColumn("_r", F.row_number().over(w)).groupBy(*key).agg(F.bool_and(F.col("_r") <= F.col("_room")).alias("now"), F.bool_and(F.col("_room") > 0).alias("alive"))
-        fit = fit.checkpoint()
+        fit = stored(fit, "fit")
         now = fit.where("now").select(*key)
-        taken = (now if taken is None else taken.unionByName(now)).checkpoint()
-        used = taken.select("session_id", F.explode(F.array("left_ord", "right_ord")).alias("end")).groupBy("session_id", "end").agg(F.count(F.lit(1)).alias("used")).checkpoint()
+        taken = stored(now if taken is None else taken.unionByName(now), "taken")
+        used = taken.select("session_id", F.explode(F.array("left_ord", "right_ord")).alias("end")).groupBy("session_id", "end").agg(F.count(F.lit(1)).alias("used"))
+        used = stored(used, "used")
         rest = open_.join(fit.where("not now and alive").select(*key), key)
         full = used.where(F.col("used") >= cap)
         for end in ("left_ord", "right_ord"):
             rest = rest.join(full.select("session_id", F.col("end").alias(end)), ["session_id", end], "left_anti")
-        open_ = rest.checkpoint()
+        open_ = stored(rest, "open")
     return taken if taken is not None else edges.select(*key).limit(0)
 
 
 def capped_pairs(pairs: DataFrame, cap: int = 8, kernel_pairs: int = KERNEL_PAIRS) -> DataFrame:
-    """Walks a session's pairs by descending score, then left, then right, and keeps one if both ends have under cap kept."""
+    """Walks a session's pairs by descending score, then left, then right, and keeps one if both ends have under cap kept.
+
+    pairs is read several times: give it as a stored table.
+    """
     key = ["session_id", "left_ord", "right_ord"]
     edges = pairs.select(*key, "candidate_score")
     sizes = edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))

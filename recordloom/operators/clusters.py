@@ -47,6 +47,13 @@ def clusters(feats: DataFrame, inventory: DataFrame, pairs: DataFrame, chosen: D
                     priority(life, n).alias("review_priority"), F.lit(False).alias("automatic_merge_allowed"), F.coalesce("selected_edge_count", F.lit(0)).alias("selected_edge_count"), F.coalesce("candidate_pair_count", F.lit(0)).alias("candidate_pair_count"))
 
 
+def member_mismatches(made: DataFrame, inputs: DataFrame) -> DataFrame:
+    """cluster_id of clusters whose listed members aren't those of their input, repeats counted. inputs: cluster_id,
+    source_decision_key, a row per decision."""
+    got = inputs.groupBy("cluster_id").agg(F.array_sort(F.collect_list("source_decision_key")).alias("_got"))
+    return made.select("cluster_id", F.array_sort("member_decision_keys").alias("_want")).join(got, "cluster_id", "full").where(~F.col("_want").eqNullSafe(F.col("_got"))).select("cluster_id")
+
+
 def singletons(inventory: DataFrame, made: DataFrame) -> DataFrame:
     inside = made.select("session_id", F.explode("member_decision_keys").alias("source_decision_key"))
     return inventory.select("session_id", "source_decision_key").join(inside, ["session_id", "source_decision_key"], "left_anti")

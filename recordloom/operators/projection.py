@@ -8,13 +8,14 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import strip, strip_blocks
 
-#: Project instructions stand in these tags, in messages that name the instruction file.
+# The file that names project instructions, the tags they stand in, and the heading before a block in a dialogue.
 MARKER, BLOCK = "AGENTS.md", r"(?isU)<INSTRUCTIONS>\s*(.*?)\s*</INSTRUCTIONS>"
+HEADED_BLOCK = r"(?isU)(?:^|\n)\s*# AGENTS\.md instructions[^\n]*\n+\s*<INSTRUCTIONS>.*?</INSTRUCTIONS>"
 
 
 def strip_constraints(c):
-    """The block's heading up to the block, and the block."""
-    return F.when(F.contains(c, F.lit(MARKER)), F.regexp_replace(c, r"(?isU)<INSTRUCTIONS>.*?</INSTRUCTIONS>", "")).otherwise(c)
+    """Without blocks that stand behind their heading, and without that heading; other blocks are dialogue."""
+    return F.regexp_replace(c, HEADED_BLOCK, "")
 
 
 def messages(events: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.shape import non_blank
 from ..schemas import SIGNAL_TYPES
+from ..session import stored
 
 # Signal type, rule id and pattern of the phrase rules.
 PHRASE_RULES = (
@@ -21,6 +23,16 @@ PHRASE_RULES = (
     ("reason_candidate", "phrase-reason-v1", r"(?:ので|ため(?:に|、|,|\s)|から(?:、|,|\s)|理由(?:は|で|として))"),
 )
 SIGNAL = "struct<type:string,sources:array<string>,rule_ids:array<string>,trigger:string,char_start:int,char_end:int,reason:string>"
+# Lemmas of each signal type, lemmas of decisions, relations of reason clauses, and words that a reason holds.
+LEMMAS = {
+    "request_candidate": ("頼む", "願う", "依頼"), "acceptance_candidate": ("採用", "承認", "決定", "進める"), "rejection_candidate": ("止める", "やめる", "中止", "停止", "見送る", "却下", "廃止"),
+    "uncertainty_candidate": ("保留", "未定", "再検討", "迷う"), "alternative_candidate": ("代わり", "比較", "選択"), "reason_candidate": ("理由",),
+}
+DECISION_LEMMAS = ("する", "変える", "変更", "採用", "決定", "進める", "止める", "やめる", "中止", "廃止")
+REASON_RELATIONS = ("advcl", "ccomp")
+REASON_WORDS = r"(?:ので|から|ため|理由|せい|ゆえ)"
+#: Tokens of a text, as an analyser gives them: head is the place of the token that one depends on, its own for a root.
+TOKENS = "session_id string, evidence_id string, i int, token string, lemma string, dep string, head int, char_start int, char_end int"
 #: Optional annotators by name (say, of lemmas): texts (key, content) to hits (key and the fields of SIGNAL).
 ANNOTATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -51,6 +63,61 @@ def phrase_signals(c: Column, rules=PHRASE_RULES) -> Column:
     return F.concat(*(of(*r) for r in rules))
 
 
+def analysed(texts: DataFrame, load: Callable[[], Callable], batch: int = 16) -> DataFrame:
+    """Tokens of texts (session_id, evidence_id, content). load() makes an analyser, once per worker; it takes batch texts at a
+    time and gives for each a list of (token, lemma, dep, head, char_start)."""
+    def run(frames):
+        analyser = _analysers.get(load) or _analysers.setdefault(load, load())
+        for f in frames:
+            for k in range(0, len(f), batch):
+                part = f.iloc[k : k + batch]
+                rows = [(s, e, i, t, lemma, dep, head, at, at + len(t)) for s, e, tokens in zip(part["session_id"], part["evidence_id"], analyser(part["content"].tolist())) for i, (t, lemma, dep, head, at) in enumerate(tokens)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
+
+    return texts.select("session_id", "evidence_id", "content").mapInPandas(run, TOKENS)
+
+
+_analysers: dict = {}
+
+
+def _signal(kind, source: str, rule, trigger, start, end, reason=None) -> list[Column]:
+    none = F.lit(None).cast("string")
+    return [kind.alias("type"), F.array(F.lit(source)).alias("sources"), F.array(rule).alias("rule_ids"), trigger.alias("trigger"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), (none if reason is None else reason).alias("reason")]
+
+
+def lemma_signals(tokens: DataFrame, lemmas: Mapping[str, tuple[str, ...]] = LEMMAS) -> DataFrame:
+    """A hit of each signal type that lists a token's lemma: session_id, evidence_id and the fields of SIGNAL."""
+    kinds = F.array_compact(F.array(*(F.when(F.col("lemma").isin(*some), F.lit(kind)) for kind, some in lemmas.items())))
+    d = tokens.withColumn("_kind", F.explode(kinds))
+    return d.select("session_id", "evidence_id", *_signal(F.col("_kind"), "spacy_matcher", F.concat("_kind", F.lit("__lemma-v1")), F.col("token"), F.col("char_start"), F.col("char_end")))
+
+
+def dependency_signals(tokens: DataFrame, texts: DataFrame, lemmas: tuple[str, ...] = DECISION_LEMMAS, relations: tuple[str, ...] = REASON_RELATIONS, words: str = REASON_WORDS) -> DataFrame:
+    """A reason for each decision token with a clause of relations below it, if the clause's text, from the first to the last of
+    what hangs below it, holds one of words. The hit spans the clause; its trigger is the decision token.
+
+    What hangs below a clause is found by going up from each of the message's tokens, a level a round, by a join on the message,
+    until no round gains anything; chains of heads end at a root or in a ring.
+    """
+    key = ["session_id", "evidence_id"]
+    heads = tokens.select(*key, F.col("i").alias("_up"), F.col("lemma").alias("_lemma"), F.col("token").alias("trigger"))
+    child = tokens.where(F.col("dep").isin(*relations) & (F.col("head") != F.col("i"))).withColumnRenamed("head", "_up")
+    clauses = child.join(heads, [*key, "_up"]).where(F.col("_lemma").isin(*lemmas)).select(*key, "trigger", F.col("i").alias("top"))
+    line = tokens.select(*key, "i", "head", "char_start", "char_end")
+    below = stored(clauses.select(*key, F.col("top").alias("i"), "top").distinct(), "clauses")
+    level = below
+    while True:
+        step = level.withColumnRenamed("i", "head").join(line.select(*key, "i", "head"), [*key, "head"]).select(*key, "i", "top")
+        level = stored(step.join(below, [*key, "i", "top"], "left_anti").distinct(), "level")
+        if not level.head(1):
+            break
+        below = below.unionByName(level)
+    spans = below.join(line, [*key, "i"]).groupBy(*key, "top").agg(F.min("char_start").alias("a"), F.max("char_end").alias("b"))
+    d = clauses.join(spans, [*key, "top"]).join(texts.select(*key, "content"), key)
+    d = d.withColumn("reason", F.substring("content", F.col("a") + 1, F.col("b") - F.col("a"))).where(F.col("reason").rlike(words))
+    return d.select(*key, *_signal(F.lit("reason_candidate"), "spacy_dependency_matcher", F.lit("reason_candidate__dependency-v1"), F.col("trigger"), F.col("a"), F.col("b"), F.col("reason")))
+
+
 def deduplicate(signals: Column) -> Column:
     """In order of (start, end, type, rules), each signal joins the first kept one of its type that it overlaps.
 

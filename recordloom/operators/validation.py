@@ -202,6 +202,35 @@ def registry_conflicts(records: DataFrame, key: list[str]) -> DataFrame:
     return marked.groupBy(*key).agg(F.min("_h").alias("a"), F.max("_h").alias("b")).where("a <> b").select(*key)
 
 
+def analysis_violations(docs: DataFrame, messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Of a projection that decisions are checked against: another version than 3, and evidence without an id.
+
+    docs: session_id, projection_version; messages: evidence_id; attachments: attachment_id.
+    """
+    v = docs.where(~F.col("projection_version").eqNullSafe("3")).select(F.lit(0).alias("ord"), F.concat(F.lit("Projection v3 is required: "), "session_id").alias("message"))
+    none = messages.where("evidence_id is null").select(F.lit("message").alias("k")).union(attachments.where("attachment_id is null").select(F.lit("attachment").alias("k"))).distinct()
+    return v.unionByName(none.select(F.lit(1).alias("ord"), F.concat(F.lit("Evidence without an id: "), "k").alias("message")))
+
+
+def scope_violations(docs: DataFrame) -> DataFrame:
+    """Of section documents (section_id, section_scope): another section than they say, or one that isn't marked as no gold."""
+    other = docs.where(~F.col("section_scope.section_id").eqNullSafe(F.col("section_id"))).select(F.lit(0).alias("ord"), F.concat(F.lit("Section scope mismatch: "), "section_id").alias("message"))
+    gold = docs.where(~F.col("section_scope.section_gold").eqNullSafe(False)).select(F.lit(1).alias("ord"), F.concat(F.lit("candidate Section must not be marked Gold: "), "section_id").alias("message"))
+    return other.unionByName(gold)
+
+
+def session_violations(docs: DataFrame) -> DataFrame:
+    """Documents must be of one session, and name it."""
+    n = docs.agg(F.countDistinct("session_id").alias("n"), F.count_if(F.coalesce("session_id", F.lit("")) == "").alias("none"))
+    return n.where("n <> 1 or none > 0").select(F.lit(2).alias("ord"), F.format_string("expected one session id, found %d, missing in %d", "n", "none").alias("message"))
+
+
+def id_violations(integrated: DataFrame) -> DataFrame:
+    """Of integrated decisions: ids that are missing or stand twice in a session."""
+    n = integrated.groupBy("session_id", "decision_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or decision_id is null")
+    return n.select(F.lit(0).alias("ord"), F.concat_ws(" ", F.lit("integrated ids must be unique:"), "session_id", "decision_id").alias("message"))
+
+
 def first_violation(violations: DataFrame, by: str) -> DataFrame:
     """Per group, the message that a checker going in order would stop at."""
     return violations.groupBy(by).agg(F.min_by("message", F.struct("ord", "message")).alias("message"))

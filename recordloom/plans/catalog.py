@@ -15,7 +15,9 @@ from pyspark.sql.window import Window
 from ..functions.shape import at, kind_of, text_at
 from ..functions.text import event_id, normalized, percent, short_hash, strip_blocks, tech_terms, trigrams
 from ..operators import assembly, capped, clusters, lifecycle, normalize, projection, render, sections, signals, similarity, validation
+from ..session import stored
 from ..sources import logs
+from . import shaped
 from .sql import SQL
 
 #: Rules for Latin-script text, in the form of the phrase rules.
@@ -40,13 +42,14 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return projection.messages(_events(spark, sf)).withColumnRenamed("id", "evidence_id")
 
 
-def _inventory(spark: SparkSession, sf: str) -> DataFrame:
+def _inventory(spark: SparkSession, sf: str, together: int = 1) -> DataFrame:
+    """Turns as decisions, a section each; so many conversations together are a session."""
     c = table(spark, sf, "conversations")
-    section = F.format_string("SEC-%03d", F.col("turn") + 1)
+    section = F.format_string("SEC-%03d", F.col("conv_id") % together * 8 + F.col("turn") + 1)
     ref = F.struct(F.lit("message").alias("evidence_type"), F.concat_ws(":", "conv_id", F.floor(F.col("turn") / 2).cast("long")).alias("evidence_id"))
     none = F.array().cast("array<string>")
     return c.select(
-        F.col("conv_id").cast("string").alias("session_id"), F.concat(section, F.lit(":D-001")).alias("source_decision_key"), section.alias("section_id"), F.lit("D-001").alias("source_decision_id"),
+        F.expr(f"conv_id div {together}").cast("string").alias("session_id"), F.concat(section, F.lit(":D-001")).alias("source_decision_key"), section.alias("section_id"), F.lit("D-001").alias("source_decision_id"),
         F.regexp_extract("text", r"^[^.]*", 0).alias("title"), F.col("text").alias("decision"), F.lit(None).cast("string").alias("context"), F.array("role").alias("alternatives"),
         F.array(F.concat(F.lit("turn "), (F.col("turn") % 2).cast("string"))).alias("rationale"), F.array().cast("array<struct<alternative:string,reason:string>>").alias("rejected_alternatives"), none.alias("risks"),
         none.alias("revisit_conditions"), F.when(F.col("role") == "user", "proposed").when(F.col("role") == "assistant", "accepted").otherwise("unknown").alias("status"),
@@ -99,27 +102,18 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
     return life.unionByName(drop).unionByName(same).withColumn("seq", F.struct("pos"))
 
 
-def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    inv = _inventory(spark, sf)
+def _pairs(spark: SparkSession, sf: str, together: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    inv = _inventory(spark, sf, together)
     feats = similarity.features(inv)
     return inv, feats, similarity.pairs(feats)
 
 
-def src09_events_scan(spark, sf):
-    return logs.message_ids(_events(spark, sf))
-
-
 def prj02_classify(spark, sf):
     lines = _log(spark, sf)
     _, e = normalize.normalize(lines.select("session_id", "source_line", "raw_text"))
     return e.select("id", "session_id", "source_line", "source_event_type", "kind", "role", "content")
 
 
-def prj06_first_text(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "event_type", F.parse_json("props").alias("v"))
-    return e.select("event_id", text_at(F.col("v"), "k").alias("k_text"), F.try_variant_get("v", "$.k", "bigint").alias("k"), (kind_of(at(F.col("v"), "k")) == "STRING").alias("is_text"))
-
-
 def prj10_projection(spark, sf):
     return projection.messages(_events(spark, sf))
 
@@ -129,11 +123,6 @@ def prj12_strip_blocks(spark, sf):
     return p.select("page_id", F.md5("t").alias("digest"), F.char_length("t").cast("long").alias("n_chars"))
 
 
-def prj13_extract_blocks(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?isU)<p>\s*(.*?)\s*(?:<br>|</p>)"), 1)).alias("n", "content")).select("page_id", F.col("n").cast("long").alias("n"), "content")
-
-
 def prj19_repair(spark, sf):
     d = validation.repaired(_items(spark, sf))
     return d.select("doc", "pos", F.array_join("repaired_fields", ",").alias("repaired"), F.to_json(at(F.col("item"), "risks")).alias("risks"))
@@ -177,26 +166,42 @@ def jon11_similar_pairs(spark, sf):
     return p.select("session_id", "left_decision_key", "right_decision_key", "title_similarity", "decision_similarity", "combined_similarity", "evidence_similarity", "candidate_score", "strong_cluster_candidate", F.array_join("candidate_reasons", ",").alias("reasons"))
 
 
+#: Conversations of a session where caps on pairs and clusters are to bite.
+TOGETHER = 4
+
+
+def _capped(spark, sf):
+    inv, feats, pairs = _pairs(spark, sf, TOGETHER)
+    return inv, feats, stored(capped.capped_pairs(stored(pairs, "pairs")), "capped")
+
+
 def srt04_capped_pairs(spark, sf):
-    return capped.capped_pairs(_pairs(spark, sf)[2]).select("session_id", "left_decision_key", "right_decision_key", "candidate_score")
+    """SRT-03, SRT-04."""
+    return _capped(spark, sf)[2].select("session_id", "left_decision_key", "right_decision_key", "candidate_score")
 
 
 def _clusters(spark, sf):
-    inv, feats, pairs = _pairs(spark, sf)
-    pairs = capped.capped_pairs(pairs).checkpoint() if spark.sparkContext.getCheckpointDir() else capped.capped_pairs(pairs)
-    chosen = capped.clustered(pairs)
+    inv, feats, pairs = _capped(spark, sf)
+    chosen = stored(capped.clustered(pairs), "members")
     marked = capped.mark_edges(pairs, chosen)
     return inv, feats, marked, clusters.clusters(feats, inv, marked, chosen)
 
 
 def grf01_clusters(spark, sf):
+    """GRF-01 to GRF-05, SRT-05, SRT-06, AGG-12, AGG-17."""
     made = _clusters(spark, sf)[3]
-    return made.select("session_id", "cluster_id", F.array_join("member_decision_keys", ",").alias("members"), "candidate_relation", "review_priority", "candidate_pair_count", "selected_edge_count")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return made.select("session_id", "cluster_id", F.array_join("member_decision_keys", ",").alias("members"), "candidate_relation", "review_priority", "candidate_pair_count", "selected_edge_count", joined("candidate_reasons"), joined("shared_terms"),
+                       F.array_join(F.transform("shared_evidence_refs", lambda r: r["evidence_id"]), ",").alias("shared_evidence"), joined("section_ids"))
 
 
 def agg07_evaluation(spark, sf):
+    """AGG-07, SET-06."""
     inv, _, pairs, made = _clusters(spark, sf)
-    return clusters.evaluation(inv, pairs, made).select("session_id", "inventory_decision_count", "possible_cross_section_pair_count", "candidate_pair_count", "ai_review_decision_count", "candidate_cluster_count", "clustered_decision_count", "pair_comparison_reduction_rate")
+    e = clusters.evaluation(inv, pairs, made)
+    sizes = F.array_join(F.transform(F.map_entries("cluster_size_distribution"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias("sizes")
+    return e.select("session_id", "inventory_decision_count", "possible_cross_section_pair_count", "candidate_pair_count", "ai_review_decision_count", "candidate_cluster_count", "clustered_decision_count", "pair_only_review_decision_count", "singleton_count",
+                    "selected_cluster_edge_count", "pair_comparison_reduction_rate", "ai_review_decision_reduction_rate", F.col("largest_cluster_size").cast("long").alias("largest_cluster_size"), sizes)
 
 
 def grf04_priority(spark, sf):
@@ -221,7 +226,8 @@ def jon15_lifecycle_status(spark, sf):
 def agg11_assembled(spark, sf):
     made = assembly.assemble(_inventory(spark, sf), _relations(spark, sf))
     return made.select("session_id", "decision_id", "canonical_key", "title", "status", "confidence", F.array_join("alternatives", ",").alias("alternatives"), F.array_join("rationale", ",").alias("rationale"),
-                       F.array_join("source_decision_keys", ",").alias("source_keys"), F.array_join("integration_relations", ",").alias("relations"), F.size("evidence_refs").cast("long").alias("n_refs"))
+                       F.array_join("source_decision_keys", ",").alias("source_keys"), F.array_join("integration_relations", ",").alias("relations"), F.size("evidence_refs").cast("long").alias("n_refs"),
+                       F.array_join(F.transform(F.map_entries("original_statuses"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("statuses"))
 
 
 def agg09_assembly_summary(spark, sf):
@@ -254,15 +260,6 @@ def agg01_kind_counts(spark, sf):
     return normalize.kind_counts(table(spark, sf, "events").select("user_id", F.col("event_type").alias("kind")), "user_id")
 
 
-def agg02_loss_report(spark, sf):
-    raw, e = normalize.normalize(_log(spark, sf).select("session_id", "source_line", "raw_text"))
-    return normalize.loss_report(raw, e)
-
-
-def agg03_projection_report(spark, sf):
-    return projection.report(_events(spark, sf))
-
-
 def win01_neighbors(spark, sf):
     d = sections.neighbors(_messages(spark, sf).withColumn("section_id", F.lit("SEC-001")))
     return d.select("session_id", "evidence_id", F.col("previous.evidence_id").alias("previous_id"), F.col("next.evidence_id").alias("next_id"))
@@ -327,16 +324,16 @@ def snk14_markdown(spark, sf):
 
 
 ALL: tuple[Callable, ...] = (
-    src09_events_scan, prj02_classify, prj06_first_text, prj10_projection, prj12_strip_blocks, prj13_extract_blocks, prj19_repair, prj20_partial_acceptance, prj22_section_states, val01_violations, jon03_missing_evidence,
+    prj02_classify, prj10_projection, prj12_strip_blocks, prj19_repair, prj20_partial_acceptance, prj22_section_states, val01_violations, jon03_missing_evidence,
     jon10_asof_section, jon11_similar_pairs, jon14_context_window, jon15_status_updates, jon15_lifecycle_status, jon16_lifecycle_applied, jon17_registry_conflicts, srt04_capped_pairs, grf01_clusters, grf04_priority,
-    agg01_kind_counts, agg02_loss_report, agg03_projection_report, agg04_signal_counts, agg05_signal_rollup, agg06_run_summary, agg07_evaluation, agg09_assembly_summary, agg11_assembled, agg12_shared_set, agg13_latest_run,
+    agg01_kind_counts, agg04_signal_counts, agg05_signal_rollup, agg06_run_summary, agg07_evaluation, agg09_assembly_summary, agg11_assembled, agg12_shared_set, agg13_latest_run,
     win01_neighbors, win02_prev_context, win03_first_occurrence, sig03_phrase_hits, fn02_trigrams, fn05_tech_terms, fn12_hashes, fn15_percent, set03_coverage, snk14_markdown,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, *shaped.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: SQL[f.__name__] for f in ALL if f.__name__ in SQL}
+    return {f.__name__: SQL[f.__name__] for f in ALL if f.__name__ in SQL} | shaped.SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import LIFECYCLE_TERMS, ROUTINE_TERMS
+
 EV = r"""ev AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn + 1 AS INTEGER) AS source_line, role, text AS content,
       conv_id || '-msg-' || lpad(CAST(turn + 1 AS VARCHAR), 6, '0') AS id FROM conversations)"""
 MSG = EV + r""", msg AS (SELECT session_id, id, CASE role WHEN 'user' THEN 'human' ELSE 'assistant' END AS actor, regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS content, source_line
@@ -25,8 +27,7 @@ def _dice(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
 
 
-CHANGE_TERMS = ("変更", "置き換", "廃止", "撤回", "却下", "承認", "採用", "修正", "supersed", "revert", "reject", "cancel", "replace", "approve", "accept")
-_CHANGE = " OR ".join(f"contains(lower(a.title || a.decision || b.title || b.decision), '{t}')" for t in CHANGE_TERMS)
+_CHANGE = " OR ".join(f"contains(lower(a.title || a.decision || b.title || b.decision), '{t}')" for t in LIFECYCLE_TERMS)
 _TECH = r"list_distinct(list_transform(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9_.:/\\-]{2,}|\p{Nd}+(?:\.\p{Nd}+)+'), lambda t: lower(t)))"
 PAIRS = INV + rf""", f0 AS (SELECT *, {_norm('title')} AS t, {_norm('decision')} AS d, {_norm("title || ' ' || decision")} AS c, title || ' ' || decision AS x FROM inv),
 f AS (SELECT *, {_grams('t')} AS tg, {_grams('d')} AS dg, {_grams('c')} AS cg, {_TECH} AS terms FROM f0),
@@ -39,14 +40,32 @@ cand AS (SELECT *, s >= 0.38 OR t >= 0.68 OR d >= 0.65 OR (e >= 0.34 AND c >= 0.
       array_to_string(list_filter([CASE WHEN t >= 0.62 THEN 'similar_title' END, CASE WHEN d >= 0.60 THEN 'similar_decision_text' END, CASE WHEN c >= 0.48 THEN 'similar_combined_text' END,
       CASE WHEN e > 0 THEN 'shared_evidence' END, CASE WHEN dist <= 2 THEN 'nearby_sections' END, CASE WHEN life THEN 'possible_lifecycle_signal' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sc
       WHERE s >= 0.34 OR t >= 0.62 OR d >= 0.60 OR c >= 0.48 OR (e > 0 AND c >= 0.18) OR (life AND c >= 0.28))"""
-CLUSTERS = "WITH RECURSIVE " + PAIRS + r""", ed AS (SELECT session_id, lk AS a, rk AS b FROM cand UNION SELECT session_id, rk, lk FROM cand),
-reach AS (SELECT session_id, a, b FROM ed UNION SELECT r.session_id, r.a, e.b FROM reach r JOIN ed e ON r.session_id = e.session_id AND r.b = e.a),
-root AS (SELECT session_id, a AS k, least(a, min(b)) AS r FROM reach GROUP BY session_id, a),
-mem AS (SELECT root.session_id, r, list(root.k ORDER BY root.k) AS ks, count(DISTINCT status) AS st, count(*) AS n FROM root JOIN inv ON inv.session_id = root.session_id AND inv.k = root.k GROUP BY root.session_id, r),
-rt AS (SELECT root.session_id, r, bool_and(""" + " OR ".join(f"contains(lower(title || ' ' || decision), '{t}')" for t in ("squash", "merge", "ready", "draft", "ci成功", "pr #", "pr#")) + r""") AS routine FROM root JOIN inv ON inv.session_id = root.session_id AND inv.k = root.k GROUP BY 1, 2),
-inn AS (SELECT cand.session_id, r, bool_or(life) AS life, bool_or(strong) AS strong, count(*) AS np FROM cand JOIN root ON root.session_id = cand.session_id AND root.k = cand.lk GROUP BY 1, 2),
-cl AS (SELECT mem.session_id, 'CLUSTER-' || substr(sha256(array_to_string(ks, chr(10))), 1, 12) AS cluster_id, ks, mem.n, np, routine, strong, st > 1 OR life AS life
-      FROM mem JOIN inn ON mem.session_id = inn.session_id AND mem.r = inn.r JOIN rt ON rt.session_id = mem.session_id AND rt.r = mem.r)"""
+#: The same with four conversations to a session.
+_N = "CAST(conv_id % 4 * 8 + turn + 1 AS INTEGER)"
+PAIRS_4 = PAIRS.replace("CAST(conv_id AS VARCHAR) AS session_id", "CAST(conv_id // 4 AS VARCHAR) AS session_id").replace("CAST(turn + 1 AS INTEGER) AS n", f"{_N} AS n").replace("lpad(CAST(turn + 1 AS VARCHAR), 3, '0')", f"lpad(CAST({_N} AS VARCHAR), 3, '0')")
+#: Ranked pairs are walked one by one; ends holds both ends of those kept.
+CAPPED = "WITH RECURSIVE " + PAIRS_4 + r""", rn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, lk, rk) AS i FROM cand),
+wk AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ends FROM rn UNION ALL
+      SELECT wk.session_id, rn.i, CASE WHEN len(list_filter(ends, lambda x: x = lk)) < 8 AND len(list_filter(ends, lambda x: x = rk)) < 8 THEN list_concat(ends, [lk, rk]) ELSE ends END FROM wk JOIN rn ON rn.session_id = wk.session_id AND rn.i = wk.i + 1),
+kept AS MATERIALIZED (SELECT rn.* FROM wk JOIN wk p ON p.session_id = wk.session_id AND p.i = wk.i - 1 JOIN rn ON rn.session_id = wk.session_id AND rn.i = wk.i WHERE len(wk.ends) > len(p.ends))"""
+#: Edges are walked strong ones first; roots holds each node's cluster, of twelve members at most.
+CLUSTERS = CAPPED + r""", nd AS (SELECT session_id, list(k ORDER BY k) AS nodes FROM (SELECT session_id, lk AS k FROM kept UNION SELECT session_id, rk FROM kept) GROUP BY 1),
+re AS MATERIALIZED (SELECT kept.*, nodes, row_number() OVER (PARTITION BY session_id ORDER BY strong DESC, s DESC, lk, rk) AS j FROM kept JOIN nd USING (session_id)),
+un AS (SELECT session_id, CAST(0 AS BIGINT) AS j, nodes AS roots FROM nd UNION ALL
+      SELECT u.session_id, j, CASE WHEN a <> b AND len(list_filter(roots, lambda x: x = a OR x = b)) <= 12 THEN list_transform(roots, lambda x: CASE WHEN x = b THEN a ELSE x END) ELSE roots END
+      FROM (SELECT un.session_id, re.j, roots, roots[list_position(nodes, lk)] AS a, roots[list_position(nodes, rk)] AS b FROM un JOIN re ON re.session_id = un.session_id AND re.j = un.j + 1) u),
+fin AS (SELECT session_id, arg_max(roots, j) AS roots FROM un GROUP BY 1),
+root AS MATERIALIZED (SELECT session_id, unnest(nodes) AS k, unnest(roots) AS r FROM fin JOIN nd USING (session_id)),
+mm AS (SELECT root.session_id, r, root.k, n AS sec, section_id, status, title, decision, ref, terms FROM root JOIN f ON f.session_id = root.session_id AND f.k = root.k),
+mem AS (SELECT session_id, r, list(k ORDER BY k) AS ks, string_agg(section_id, ',' ORDER BY sec) AS secs, count(DISTINCT status) AS st, count(*) AS n,
+      bool_and(""" + " OR ".join(f"contains(lower(title || ' ' || decision), '{t}')" for t in ROUTINE_TERMS) + r""") AS routine FROM mm GROUP BY 1, 2 HAVING count(*) > 1),
+inp AS (SELECT kept.*, a.r FROM kept JOIN root a ON a.session_id = kept.session_id AND a.k = lk JOIN root b ON b.session_id = kept.session_id AND b.k = rk WHERE a.r = b.r),
+inn AS (SELECT session_id, r, bool_or(life) AS life, bool_or(strong) AS strong, count(*) AS np FROM inp GROUP BY 1, 2),
+why AS (SELECT session_id, r, string_agg(x, ',' ORDER BY x) AS why FROM (SELECT DISTINCT session_id, r, unnest(string_split(reasons, ',')) AS x FROM inp) WHERE x <> '' GROUP BY 1, 2),
+tms AS (SELECT session_id, r, array_to_string(list_sort(list(x))[1:20], ',') AS tms FROM (SELECT mm.session_id, mm.r, x FROM (SELECT session_id, r, unnest(terms) AS x FROM mm) mm JOIN mem USING (session_id, r) GROUP BY mm.session_id, mm.r, x, mem.n HAVING count(*) = mem.n) GROUP BY 1, 2),
+evs AS (SELECT mm.session_id, mm.r, any_value(ref) AS evs FROM mm JOIN mem USING (session_id, r) GROUP BY mm.session_id, mm.r HAVING count(DISTINCT ref) = 1),
+cl AS (SELECT session_id, 'CLUSTER-' || substr(sha256(array_to_string(ks, chr(10))), 1, 12) AS cluster_id, ks, secs, mem.n, np, routine, strong, st > 1 OR life AS life, coalesce(why, '') AS why, coalesce(tms, '') AS tms, coalesce(evs, '') AS evs
+      FROM mem JOIN inn USING (session_id, r) LEFT JOIN why USING (session_id, r) LEFT JOIN tms USING (session_id, r) LEFT JOIN evs USING (session_id, r))"""
 ITEMS = r"""it AS (SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INTEGER) AS pos, 'D-' || lpad(CAST(turn + 1 AS VARCHAR), 3, '0') AS decision_id, role = 'user' AND turn > 0 AS scalar, role, text, turn,
       role = 'assistant' AND turn >= 5 AS unknown, conv_id || ':' || turn AS ref FROM conversations),
 er AS (SELECT *, CASE WHEN trim(coalesce(role, '')) = '' OR trim(coalesce(text, '')) = '' THEN 'requires non-empty id, title, and decision' WHEN role NOT IN ('user', 'assistant') THEN 'confidence is invalid' WHEN turn = 0 THEN 'has no evidence' END AS late FROM it),
@@ -63,9 +82,9 @@ ra AS (SELECT session_id, g, string_agg(x, ',' ORDER BY m) AS rationale FROM (SE
 rl AS (SELECT session_id, g, string_agg(DISTINCT r, ',' ORDER BY r) AS relations FROM (
       SELECT kp.session_id, g, 'lifecycle_relation' AS r FROM kp JOIN lf ON kp.session_id = lf.session_id AND kp.k IN (lf.src, lf.dst) UNION SELECT session_id, g, 'same_decision' FROM kp WHERE merged) GROUP BY 1, 2),
 mk AS (SELECT session_id, g, min(n) AS first, arg_max(k, n) AS canonical_key, arg_max(title, n) AS title, coalesce(arg_max(new_status, k) FILTER (new_status IS NOT NULL), arg_max(status, n)) AS status,
-      CASE min(conf) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, string_agg(k, ',' ORDER BY k) AS source_keys, count(DISTINCT ref) AS n_refs FROM kp GROUP BY session_id, g),
+      CASE min(conf) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, string_agg(k, ',' ORDER BY k) AS source_keys, count(DISTINCT ref) AS n_refs, string_agg(k || '=' || status, ',' ORDER BY k) AS statuses FROM kp GROUP BY session_id, g),
 asm AS (SELECT mk.session_id, 'ID-' || lpad(CAST(row_number() OVER (PARTITION BY mk.session_id ORDER BY first) AS VARCHAR), 3, '0') AS decision_id, canonical_key, title, status, confidence, alternatives, rationale, source_keys,
-      coalesce(relations, '') AS relations, n_refs FROM mk JOIN al USING (session_id, g) JOIN ra USING (session_id, g) LEFT JOIN rl USING (session_id, g))"""
+      coalesce(relations, '') AS relations, n_refs, statuses FROM mk JOIN al USING (session_id, g) JOIN ra USING (session_id, g) LEFT JOIN rl USING (session_id, g))"""
 # The catalog's Latin rules.
 RULES = (("request_candidate", "(?:and the|und der|et la|y la)"), ("acceptance_candidate", "(?:of the|of a|de la)"), ("rejection_candidate", "(?:not|nicht|pas)"),
          ("uncertainty_candidate", "(?:th[ae]t?|ist)"), ("alternative_candidate", r"(?:or|oder)\s"), ("reason_candidate", r"(?:for|from|by)\s"))
@@ -78,15 +97,12 @@ _HITS = " UNION ALL ".join(
     f"SELECT id AS evidence_id, '{t}' AS type, unnest(regexp_extract_all(content, '{p}')) AS trigger, unnest(range(1, CAST(len(regexp_extract_all(content, '{p}')) + 1 AS BIGINT))) AS i, regexp_extract_all(content, '{p}') AS m, string_split_regex(content, '{p}') AS g FROM msg" for t, p in RULES)
 
 SQL = {
-    "src09_events_scan": f"WITH {EV} SELECT session_id, id AS evidence_id FROM ev",
     "prj02_classify": f"""WITH {LOG} SELECT session_id || CASE kind WHEN 'message' THEN '-msg-' ELSE '-evt-' END || lpad(CAST(source_line AS VARCHAR), 6, '0') AS id, session_id, source_line,
         CASE event_type WHEN 'view' THEN 'response_item' WHEN 'click' THEN 'event_msg' WHEN 'purchase' THEN 'turn_context' WHEN 'error' THEN NULL ELSE 'new_future_event' END AS source_event_type, kind,
         CASE kind WHEN 'message' THEN 'user' END AS role, CASE event_type WHEN 'view' THEN props WHEN 'click' THEN props WHEN 'purchase' THEN 'turn_context:purchase' END AS content FROM ne""",
-    "prj06_first_text": "SELECT event_id, CAST(NULL AS VARCHAR) AS k_text, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') = 'VARCHAR' AS is_text FROM events",
     "prj10_projection": f"WITH {MSG} SELECT session_id, id, actor, content, source_line FROM msg",
     "prj12_strip_blocks": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script(?:\s[^>]*)?>.*?</script>', '', 'gis'), '<style(?:\s[^>]*)?>.*?</style>', '', 'gis'), '<nav(?:\s[^>]*)?>.*?</nav>', '', 'gis') AS t FROM pages)
         SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM p""",
-    "prj13_extract_blocks": r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '<p>\s*(.*?)\s*(?:<br>|</p>)', 1, 'is') AS m FROM pages) SELECT page_id, unnest(range(0, CAST(len(m) AS BIGINT))) AS n, unnest(m) AS content FROM p""",
     "prj19_repair": f"""WITH {ITEMS} SELECT doc, pos, CASE WHEN scalar THEN 'risks' ELSE '' END AS repaired, CASE WHEN scalar THEN '["late"]' ELSE '[]' END AS risks FROM it""",
     "prj20_partial_acceptance": f"WITH {ITEMS} SELECT doc, pos, decision_id, error FROM sp",
     "prj22_section_states": f"WITH {STATES} SELECT * FROM st",
@@ -98,14 +114,14 @@ SQL = {
     "jon10_asof_section": """WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2), e AS (SELECT user_id, ts, event_id AS error_id FROM events WHERE event_type = 'error')
         SELECT e.user_id, error_id, view_id FROM e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""",
     "jon11_similar_pairs": f"WITH {PAIRS} SELECT session_id, lk AS left_decision_key, rk AS right_decision_key, t AS title_similarity, d AS decision_similarity, c AS combined_similarity, e AS evidence_similarity, s AS candidate_score, strong AS strong_cluster_candidate, reasons FROM cand",
-    "srt04_capped_pairs": f"WITH {PAIRS} SELECT session_id, lk AS left_decision_key, rk AS right_decision_key, s AS candidate_score FROM cand",
+    "srt04_capped_pairs": f"{CAPPED} SELECT session_id, lk AS left_decision_key, rk AS right_decision_key, s AS candidate_score FROM kept",
     "grf01_clusters": f"""{CLUSTERS} SELECT session_id, cluster_id, array_to_string(ks, ',') AS members, CASE WHEN routine OR NOT strong THEN 'uncertain' WHEN life THEN 'possible_lifecycle_relation' ELSE 'possible_same_decision' END AS candidate_relation,
-        CASE WHEN life OR n >= 6 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS review_priority, np AS candidate_pair_count, n - 1 AS selected_edge_count FROM cl""",
-    "agg07_evaluation": f"""{CLUSTERS}, tot AS (SELECT session_id, count(*) AS n, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pp FROM inv GROUP BY 1), cp AS (SELECT session_id, count(*) AS np FROM cand GROUP BY 1),
-        rv AS (SELECT session_id, count(DISTINCT a) AS nr FROM ed GROUP BY 1), cc AS (SELECT session_id, count(*) AS nc, CAST(sum(n) AS BIGINT) AS nm FROM cl GROUP BY 1)
-        SELECT tot.session_id, n AS inventory_decision_count, pp AS possible_cross_section_pair_count, coalesce(np, 0) AS candidate_pair_count, coalesce(nr, 0) AS ai_review_decision_count, coalesce(nc, 0) AS candidate_cluster_count,
-        coalesce(nm, 0) AS clustered_decision_count, CASE WHEN pp = 0 THEN 0.0::DOUBLE ELSE round(1 - coalesce(np, 0)::DOUBLE / pp, 6) END AS pair_comparison_reduction_rate
-        FROM tot LEFT JOIN cp USING (session_id) LEFT JOIN rv USING (session_id) LEFT JOIN cc USING (session_id)""",
+        CASE WHEN life OR n >= 6 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS review_priority, np AS candidate_pair_count, n - 1 AS selected_edge_count, why AS candidate_reasons, tms AS shared_terms, evs AS shared_evidence, secs AS section_ids FROM cl""",
+    "agg07_evaluation": f"""{CLUSTERS}, tot AS (SELECT session_id, count(*) AS n, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pp FROM inv GROUP BY 1), cp AS (SELECT session_id, count(*) AS np FROM kept GROUP BY 1),
+        rv AS (SELECT session_id, len(nodes) AS nr FROM nd), cc AS (SELECT session_id, count(*) AS nc, CAST(sum(n) AS BIGINT) AS nm, max(n) AS big FROM cl GROUP BY 1), sz AS (SELECT session_id, string_agg(z || ':' || x, ',' ORDER BY z) AS sizes FROM (SELECT session_id, n::VARCHAR AS z, count(*) AS x FROM cl GROUP BY 1, 2) GROUP BY 1)
+        SELECT tot.session_id, n AS inventory_decision_count, pp AS possible_cross_section_pair_count, coalesce(np, 0) AS candidate_pair_count, coalesce(nr, 0) AS ai_review_decision_count, coalesce(nc, 0) AS candidate_cluster_count, coalesce(nm, 0) AS clustered_decision_count,
+        coalesce(nr, 0) - coalesce(nm, 0) AS pair_only_review_decision_count, n - coalesce(nm, 0) AS singleton_count, coalesce(nm, 0) - coalesce(nc, 0) AS selected_cluster_edge_count, CASE WHEN pp = 0 THEN 0.0::DOUBLE ELSE round(1 - coalesce(np, 0)::DOUBLE / pp, 6) END AS pair_comparison_reduction_rate,
+        round(1 - coalesce(nr, 0)::DOUBLE / n, 6) AS ai_review_decision_reduction_rate, coalesce(big, 0) AS largest_cluster_size, sizes FROM tot LEFT JOIN cp USING (session_id) LEFT JOIN rv USING (session_id) LEFT JOIN cc USING (session_id) LEFT JOIN sz USING (session_id)""",
     "grf04_priority": "SELECT n_regionkey, CASE WHEN max(n_nationkey) > 23 OR count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS priority FROM nation GROUP BY 1",
     "jon14_context_window": f"WITH {INV} SELECT a.session_id, a.section_id, b.section_id AS context_section_id FROM inv a JOIN inv b ON a.session_id = b.session_id AND b.n BETWEEN a.n AND a.n + 2",
     "jon15_status_updates": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
@@ -121,9 +137,6 @@ SQL = {
     "agg13_latest_run": """WITH r AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
         SELECT o_custkey AS session_id, o_orderkey AS run_id, l_linenumber AS decision_id, l_partkey FROM r JOIN lineitem ON l_orderkey = o_orderkey""",
     "agg01_kind_counts": "SELECT user_id, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2",
-    "agg02_loss_report": f"""WITH {LOG} SELECT session_id, count(*) AS total_lines, count(*) FILTER (kind NOT IN ('unknown', 'parse_error')) AS recognized, count(*) FILTER (kind = 'unknown') AS unknown,
-        count(*) FILTER (kind = 'parse_error') AS parse_errors, CAST(0 AS BIGINT) AS silently_dropped FROM ne GROUP BY 1""",
-    "agg03_projection_report": f"WITH {MSG} SELECT ev.session_id, count(*) AS normalized_events, count(msg.id) AS messages, CAST(0 AS BIGINT) AS constraints, CAST(0 AS BIGINT) AS implementation_events FROM ev LEFT JOIN msg USING (session_id, id) GROUP BY 1",
     "agg04_signal_counts": f"WITH {SIG} SELECT session_id, count(*) AS messages_examined, count(*) FILTER ({_ANY} > 0) AS messages_with_signals, {_SUMS} FROM sg GROUP BY 1",
     "agg05_signal_rollup": f"WITH {SIG} SELECT actor, count(*) AS messages_examined, count(*) FILTER ({_ANY} > 0) AS messages_with_signals, {_SUMS} FROM sg GROUP BY 1",
     "win01_neighbors": f"WITH {MSG} SELECT session_id, id AS evidence_id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM msg WINDOW w AS (PARTITION BY session_id ORDER BY source_line)",

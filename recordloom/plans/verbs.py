@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +20,19 @@ SESSIONS = "id string, source_type string, source_file string, source_sha256 str
 RUNS = "run_id int, session_id string, prompt_version string, runner_type string, status string, created_at timestamp"
 
 
+#: The table of a store that makes a batch of each table seen.
+LAST = {"raw_events": "sessions", "events": "sessions", "sessions": "sessions", "decisions": "analysis_runs", "decision_evidence": "analysis_runs", "analysis_runs": "analysis_runs"}
+
+
 def stored(spark: SparkSession, store: str, name: str, schema: str) -> DataFrame:
     """A table of the store; empty where it hasn't been written."""
-    try:
-        return spark.read.schema(schema).parquet(f"{store}/{name}")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return sinks.read(spark, store, name, schema, LAST[name])
 
 
 def events_in(spark: SparkSession, store: str, session_id: str) -> DataFrame:
     if not logs.session_exists(stored(spark, store, "sessions", SESSIONS), session_id):
         raise errors.SessionNotFound(session_id)
-    return stored(spark, store, "events", schemas.EVENTS).where(F.col("session_id") == session_id)
+    return logs.events_of(stored(spark, store, "events", schemas.EVENTS), session_id)
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -43,7 +41,8 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 def ingest(spark: SparkSession, source: str, store: str, adapter: str = "default") -> list[dict]:
-    """Loads log files; bytes that were loaded before are left out. A loss report per new session."""
+    """Loads log files; bytes that were loaded before are left out. A loss report per new session. The batch is named by the digests of
+    its files, so that a run that died is repeated over itself."""
     lines = logs.only_new(logs.read_log(spark, source), stored(spark, store, "sessions", SESSIONS))
     raw, events = normalize.normalize(lines, adapter)
     found = lines.groupBy("session_id", "source_sha256").agg(F.min("path").alias("source_file"))
@@ -51,7 +50,8 @@ def ingest(spark: SparkSession, source: str, store: str, adapter: str = "default
     new = found.select(F.col("session_id").alias("id"), F.lit("jsonl").alias("source_type"), "source_file", "source_sha256", now.alias("created_at"), now.alias("normalized_at"))
     report = rows(normalize.loss_report(raw, events))
     if report:
-        sinks.publish(spark, {"raw_events": raw, "events": events, "sessions": new}, store, "sessions")
+        marks = found.agg(F.sum(F.xxhash64("source_sha256").cast("decimal(38,0)")).alias("x")).first()["x"]
+        sinks.publish({"raw_events": raw, "events": events, "sessions": new}, store, f"files-{len(report)}-{marks}", "sessions")
     return report or [{"status": "already_ingested"}]
 
 
@@ -123,6 +123,7 @@ def analysis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def validate_decisions_v3(spark: SparkSession, projected: str, decisions: str) -> dict:
     m, a = analysis(spark, projected)
+    errors.raise_first(validation.analysis_violations(spark.read.json(f"{projected}/analysis_session"), m, a), errors.DecisionInvalid)
     doc = m.select("session_id").head(1)[0]["session_id"]
     known = validation.known_evidence(m.select(F.lit(doc).alias("doc"), "evidence_id"), a.select(F.lit(doc).alias("doc"), "attachment_id"))
     d = decision_items(spark, decisions, doc)
@@ -132,12 +133,12 @@ def validate_decisions_v3(spark: SparkSession, projected: str, decisions: str) -
 
 
 def section_documents(m: DataFrame, a: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """session_id, section_id, messages, attachments of each section, and literal columns."""
+    """session_id, section_id, section_scope, messages (in order of source_line), attachments of each section, and literal columns."""
     cols = [c for c in ("source_line", "evidence_id", "actor", "content", "signals", "previous") if c in m.columns]
-    d = m.groupBy("session_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("source_line", "evidence_id", F.struct(*cols[1:]).alias("m")))).alias("_m")) if "signals" not in m.columns else m.groupBy("session_id", "section_id").agg(F.collect_list(F.struct(*cols)).alias("_m"))
-    d = d.withColumn("messages", F.transform("_m", lambda x: x["m"]) if "signals" not in m.columns else F.col("_m")).drop("_m")
+    d = m.groupBy("session_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("source_line", "evidence_id", F.struct(*cols).alias("m")))).alias("_m"))
+    d = d.withColumn("messages", F.transform("_m", lambda x: x["m"])).drop("_m")
     at_ = sections.attachment_sections(a).groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("attachment_id", "content"))).alias("attachments"))
-    d = d.join(at_, "section_id", "left").withColumn("section_gold", F.lit(False))
+    d = d.join(at_, "section_id", "left").withColumn("section_scope", F.struct("section_id", F.lit(False).alias("section_gold")))
     for name, value in (extra or {}).items():
         d = d.withColumn(name, F.lit(value))
     return d
@@ -156,6 +157,8 @@ def export_sections(spark: SparkSession, projected: str, out: str, index: str |
     sinks.write_text(spark, f"{out}/prompt.md", sinks.with_guidance(guidance, prompt))
     report = {"sections": made.count()} | (rows(signals.roll_up(signals.counts(m, ["session_id", "section_id"]), ["session_id"]))[0] if hybrid else {})
     sinks.manifest(spark, f"{out}/sections").write.json(f"{out}/manifest")
+    sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Decision extraction by section", "sections", report["sections"], ["prompt.md", "the section's document"], "sections/SEC-ddd/decisions.raw.json", "validate-decisions-v3"))
+    sinks.write_json(spark, f"{out}/provenance.json", sinks.provenance(spark, {"projection": projected}, {"prompt": sinks.with_guidance(guidance, prompt), "knowledge": knowledge or ""}))
     sinks.write_json(spark, f"{out}/report.json", report)
     return report
 
@@ -183,13 +186,24 @@ def export_experiment(spark: SparkSession, projected: str, out: str, knowledge:
     return {"arms": 2, "sessions": d.count()}
 
 
+def bundle_sections(spark: SparkSession, bundle: str) -> DataFrame:
+    """The documents of a section bundle: of one session, each of the section that it says, none marked as gold."""
+    docs = spark.read.json(f"{bundle}/sections")
+    errors.raise_first(validation.scope_violations(docs).unionByName(validation.session_violations(docs)), errors.CandidateFailure)
+    return docs
+
+
 def load_runs(spark: SparkSession, bundle: str, results: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sections, decisions, known evidence) of an exported section bundle and result files results/sections/SEC-ddd/decisions.raw.json
-    with RUN_RESULT.json beside them, which records output_sha256 (or sha256)."""
-    docs = spark.read.json(f"{bundle}/sections")
-    raw = logs.section_files(spark, results, "decisions.raw.json")
-    ran = logs.section_files(spark, results, "RUN_RESULT.json").select("section_id", F.coalesce(text_at(F.col("doc"), "output_sha256"), text_at(F.col("doc"), "sha256")).alias("recorded_sha256"))
-    checked = logs.verify_hashes(raw.select("section_id", "sha256", "doc"), ran, ["section_id"])
+    with RUN_RESULT.json beside them, which records output_sha256 (or sha256), and the validated output's name and hash if there
+    is one; that file is read instead."""
+    docs = bundle_sections(spark, bundle)
+    files = logs.section_files(spark, results, "*.json").withColumn("name", F.element_at(F.split("path", "/"), -1))
+    said = lambda k: text_at(F.col("doc"), k)
+    ran = files.where("name = 'RUN_RESULT.json'").select("section_id", said("validated_output_path").alias("validated_output_path"), said("validated_output_sha256").alias("validated_output_sha256"), F.coalesce(said("output_sha256"), said("sha256")).alias("output_sha256"))
+    every = files.where("name <> 'RUN_RESULT.json'").select("section_id").distinct().join(ran, "section_id", "left")
+    wanted = logs.preferred(every, files.select("section_id", "name")).select("section_id", F.col("decisions_name").alias("name"), "recorded_sha256")
+    checked = logs.verify_hashes(files.join(wanted.select("section_id", "name"), ["section_id", "name"]).select("section_id", "sha256", "doc"), wanted, ["section_id"])
     have = docs.select(F.col("section_id").alias("doc")).join(checked.select(F.col("section_id").alias("doc"), "hash_matches", (F.size(items(at(F.col("doc"), "decisions"))) >= 0).alias("root_ok")), "doc", "left")
     states = have.select("doc", F.col("hash_matches").isNotNull().alias("has_output"), F.coalesce("root_ok", F.lit(False)).alias("root_ok"), F.coalesce("hash_matches", F.lit(False)).alias("hash_matches"))
     d = checked.select(F.col("section_id").alias("doc"), F.posexplode(items(at(F.col("doc"), "decisions"))).alias("pos", "item"))
@@ -220,6 +234,25 @@ def inventory_of(spark: SparkSession, finalized: str, session_id: str) -> DataFr
                     *(F.col(f"x.{c}") for c in schemas.V3_FIELDS if c != "decision_id"), F.concat(F.lit("sections/"), "doc").alias("source_file"), "source_sha256")
 
 
+#: What a finished candidate bundle says of itself.
+READY = "candidate_bundle_ready_for_review"
+
+
+def check_candidates(spark: SparkSession, candidates: str, made: DataFrame) -> None:
+    """A candidate bundle may be reviewed: finished, nothing merged, with as many clusters as its evaluation says, one at least."""
+    e = logs.read_documents(spark, f"{candidates}/evaluation.json").select(text_at(F.col("doc"), "state").alias("state"), F.try_variant_get("doc", "$.automatic_merge_performed", "boolean").alias("merged"),
+                                                                          F.coalesce(F.try_variant_get("doc", "$.candidate_cluster_count", "bigint"), F.lit(0)).alias("n")).first()
+    found = made.agg(F.count(F.lit(1)).alias("n"), F.count_if("automatic_merge_allowed").alias("merges"), F.count_if(F.size("member_decision_keys") < 2).alias("small"), F.countDistinct("cluster_id").alias("ids")).first()
+    for bad, message in ((e["merged"] is not False or found["merges"], "candidate bundle must not contain an automatic merge"), (not found["n"], "candidate bundle contains no clusters"),
+                         (e["n"] != found["n"], "candidate cluster count mismatch"), (e["state"] != READY, "candidate bundle is not ready for review"), (found["small"] or found["ids"] != found["n"], "candidate bundle contains an invalid cluster")):
+        if bad:
+            raise errors.AdjudicationFailure(message)
+
+
+def section_messages(docs: DataFrame) -> DataFrame:
+    return docs.select("session_id", "section_id", F.explode("messages").alias("m")).select("session_id", "section_id", "m.evidence_id", "m.actor", F.col("m.source_line").cast("int").alias("source_line"), "m.content")
+
+
 def export_candidates(spark: SparkSession, finalized: str, session_id: str, out: str) -> dict:
     """Inventory, candidate pairs, clusters and evaluation."""
     sinks.refuse_non_empty(spark, out, errors.CandidateFailure)
@@ -237,7 +270,7 @@ def export_candidates(spark: SparkSession, finalized: str, session_id: str, out:
     marked = spark.read.parquet(f"{out}/pairs")
     clusters.clusters(feats, inv, marked, chosen).write.parquet(f"{out}/clusters")
     e = rows(clusters.evaluation(inv, marked, spark.read.parquet(f"{out}/clusters")))
-    report = (e[0] if e else {}) | {"parameters": similarity.PARAMETERS, "automatic_merge_performed": False}
+    report = (e[0] if e else {}) | {"parameters": similarity.PARAMETERS, "automatic_merge_performed": False, "state": READY}
     sinks.write_json(spark, f"{out}/evaluation.json", report, sort=True)
     if e:
         sinks.write_text(spark, f"{out}/report.md", sinks.candidate_report(e[0]))
@@ -248,21 +281,26 @@ def export_adjudication(spark: SparkSession, candidates: str, bundle: str, out:
     """A document per cluster without the machine's label; version 2 also leaves out sections and files and lists the keys."""
     sinks.refuse_non_empty(spark, out, errors.AdjudicationFailure)
     made, inv = spark.read.parquet(f"{candidates}/clusters"), spark.read.parquet(f"{candidates}/inventory")
-    if made.where("automatic_merge_allowed").head(1):
-        raise errors.AdjudicationFailure("candidate bundle allows automatic merges")
-    docs = spark.read.json(f"{bundle}/sections")
-    m = docs.select("session_id", "section_id", F.explode("messages").alias("m")).select("session_id", "section_id", "m.evidence_id", "m.actor", "m.content")
-    m = m.withColumn("source_line", F.lit(None).cast("int"))
+    check_candidates(spark, candidates, made)
+    docs = bundle_sections(spark, bundle)
+    m = section_messages(docs)
     ev = m.select("session_id", F.lit("message").alias("evidence_type"), "evidence_id", "content", "section_id", "source_line")
     if "attachments" in docs.columns:
         a = docs.select("session_id", "section_id", F.explode("attachments").alias("a"))
-        ev = ev.unionByName(a.select("session_id", F.lit("attachment").alias("evidence_type"), F.col("a.attachment_id").alias("evidence_id"), F.col("a.content").alias("content"), "section_id", F.lit(None).cast("int").alias("source_line")).dropDuplicates(["session_id", "evidence_id"]))
+        ev = ev.unionByName(a.select("session_id", F.lit("attachment").alias("evidence_type"), F.col("a.attachment_id").alias("evidence_id"), F.col("a.content").alias("content"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("int").alias("source_line")))
+    key = ["session_id", "evidence_type", "evidence_id"]
+    errors.raise_first(validation.registry_conflicts(ev, key).select(F.lit(0).alias("ord"), F.concat(F.lit("conflicting Evidence record: "), "evidence_type", F.lit(":"), "evidence_id").alias("message")), errors.CandidateFailure)
+    ev = ev.dropDuplicates(key)
     inputs = clusters.review_inputs(made, inv, ev, sections.neighbors(m).select("session_id", "evidence_id", "previous", "next"), blind=version == 2).drop(*(["candidate_relation"] if version == 1 else []))
     if version == 2:
-        inputs = inputs.withColumn("allowed_decision_keys", F.transform("decisions", lambda d: d["source_decision_key"]))
+        none = F.array().cast("array<string>")
+        inputs = inputs.withColumn("allowed_decision_keys", F.transform("decisions", lambda d: d["source_decision_key"])).withColumn("output_skeleton", F.struct("cluster_id", none.alias("judgments"), none.alias("unclassified_decision_keys")))
     inputs = inputs.withColumn("mode", F.lit("isolated_cluster_adjudication"))
     sinks.fan_out(inputs, f"{out}/clusters", "cluster_id")
-    return {"clusters": made.count(), "version": version}
+    report = {"clusters": made.count(), "version": version}
+    sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Adjudication of clusters", "clusters", report["clusters"], ["the prompt", "the cluster's document"], "adjudication.raw.json", "validate-integration-adjudication"))
+    sinks.write_json(spark, f"{out}/provenance.json", sinks.provenance(spark, {"candidates": f"{candidates}/clusters", "sections": f"{bundle}/sections"}, {}))
+    return report
 
 
 def read_adjudication(spark: SparkSession, inputs: str, results: str) -> tuple[DataFrame, ...]:
@@ -287,6 +325,8 @@ def assemble(spark: SparkSession, candidates: str, inputs: str, results: str, ou
     sinks.refuse_non_empty(spark, out, errors.AdjudicationFailure)
     validate_adjudication(spark, inputs, results)
     j, d, _, u = read_adjudication(spark, inputs, results)
+    other = clusters.member_mismatches(spark.read.parquet(f"{candidates}/clusters"), d)
+    errors.raise_first(other.select(F.lit(0).alias("ord"), F.concat(F.lit("cluster input mismatch: "), "cluster_id").alias("message")), errors.AdjudicationFailure)
     of = d.select("session_id", "cluster_id").distinct()
     inv = spark.read.parquet(f"{candidates}/inventory")
     rels = assembly.relations(j.join(of, "cluster_id"), u.join(of, "cluster_id"), inv)
@@ -299,8 +339,8 @@ def assemble(spark: SparkSession, candidates: str, inputs: str, results: str, ou
 
 def lifecycle_inputs(spark: SparkSession, integrated: str, bundle: str) -> tuple[DataFrame, DataFrame]:
     review, bad = lifecycle.groups(spark.read.parquet(f"{integrated}/decisions"))
-    docs = spark.read.json(f"{bundle}/sections")
-    m = docs.select("session_id", "section_id", F.explode("messages").alias("m")).select("session_id", "section_id", "m.evidence_id", "m.actor", "m.content").withColumn("source_line", F.lit(None).cast("int"))
+    docs = bundle_sections(spark, bundle)
+    m = section_messages(docs)
     a = spark.createDataFrame([], "session_id string, attachment_id string, section_ids array<string>, content string")
     if "attachments" in docs.columns:
         a = docs.select("session_id", F.array("section_id").alias("section_ids"), F.explode("attachments").alias("a")).select("session_id", "a.attachment_id", "section_ids", "a.content")
@@ -311,16 +351,20 @@ def export_lifecycle(spark: SparkSession, integrated: str, bundle: str, out: str
     sinks.refuse_non_empty(spark, out, errors.LifecycleFailure)
     made, bad = lifecycle_inputs(spark, integrated, bundle)
     errors.raise_first(bad, errors.LifecycleFailure)
-    sinks.fan_out(made, f"{out}/groups", "group_id")
-    return {"groups": made.count()}
+    none = F.array().cast("array<string>")
+    blank = F.transform("decision_ids", lambda x: F.struct(x.alias("decision_id"), F.lit("proposed").alias("final_status"), none.alias("rationale"), none.alias("evidence_refs"), F.lit("low").alias("confidence"), none.alias("missing_information")))
+    sinks.fan_out(made.withColumn("output_skeleton", F.struct("group_id", blank.alias("results"))), f"{out}/groups", "group_id")
+    report = {"groups": made.count(), "state": "ready_for_lifecycle_adjudication"}
+    sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Lifecycle review", "groups", report["groups"], ["the prompt", "the group's document"], "lifecycle.raw.json", "apply-lifecycle-adjudication"))
+    sinks.write_json(spark, f"{out}/manifest.json", report | sinks.provenance(spark, {"integrated": f"{integrated}/decisions", "groups": f"{out}/groups"}, {}))
+    return report
 
 
 def apply_lifecycle(spark: SparkSession, integrated: str, bundle: str, results: str, out: str) -> list[dict]:
     """Checks the review's results (JSON lines: group_id, results) and applies them; every proposed decision must be covered."""
     sinks.refuse_non_empty(spark, out, errors.LifecycleFailure)
     d = spark.read.parquet(f"{integrated}/decisions")
-    if d.groupBy("session_id", "decision_id").count().where("count > 1 or decision_id is null").head(1):
-        raise errors.LifecycleFailure("integrated ids must be unique")
+    errors.raise_first(validation.id_violations(d), errors.LifecycleFailure)
     made, bad = lifecycle_inputs(spark, integrated, bundle)
     errors.raise_first(bad, errors.LifecycleFailure)
     want = "group_id string, results array<struct<" + schemas.LIFECYCLE_RESULTS.split("pos int, ")[1].replace(" string", ":string").replace(" array", ":array").replace(", ", ",") + ">>"

@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..functions.text import section_number
+from ..functions.text import matches, section_number
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+#: Files up to so many bytes are hashed by executors, as one value; larger ones are streamed through the driver.
+WHOLE = 256 << 20
+
+
+def _digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any size, streamed block by block on the driver (the sum is sequential by definition)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = jvm.java.security.DigestInputStream(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p), jvm.java.security.MessageDigest.getInstance("SHA-256"))
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+    return bytes(stream.getMessageDigest().digest()).hex()
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """path, source_sha256 of files."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("source_sha256"))
+    large = [r["p"] for r in files.where(F.col("length") > whole).select(F.col("_metadata.file_path").alias("p")).collect()]
+    return small.unionByName(spark.createDataFrame([(p, _digest(spark, p)) for p in large], "path string, source_sha256 string")) if large else small
+
+
+def read_log(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
     """Lines of log files: path, source_sha256, session_id, source_line (from 1), raw_text.
 
-    Any line end counts, blank lines are lines, and the end of the last line begins none. The file is one value, as its
-    digest names the session; bytes that are no UTF-8 fail the file.
+    Any line end counts, blank lines are lines, and the end of the last line begins none; bytes that are no UTF-8 fail the file.
+    Files are split: a line's number is its place in its split and the number of lines in the file's splits before. A file's
+    digest names its session; of files with equal bytes the one with the least path is read.
     """
-    files = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), "UTF-8")
-    sha = F.sha2("content", 256)
-    lines = F.split(text, "\r\n|\r|\n")
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    base = files.select("path", sha.alias("source_sha256"), F.substring(sha, 1, 16).alias("session_id"), lines.alias("lines"))
-    return base.select("path", "source_sha256", "session_id", F.posexplode("lines").alias("pos", "raw_text")).select(
-        "path", "source_sha256", "session_id", (F.col("pos") + 1).alias("source_line"), "raw_text")
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw_text"))
+    per = text.groupBy("path", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = file_hashes(spark, path, whole).groupBy("source_sha256").agg(F.min("path").alias("path"))
+    splits = per.select("path", "split", "first", before.alias("before")).join(own, "path")
+    good = F.when(F.is_valid_utf8("raw_text"), F.col("raw_text")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path"))).cast("string"))
+    return text.join(splits, ["path", "split"]).select("path", "source_sha256", F.substring("source_sha256", 1, 16).alias("session_id"), (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("source_line"), good.alias("raw_text"))
 
 
 def only_new(lines: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -47,10 +69,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def section_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Documents root/sections/SEC-ddd/name, with section_id and its number, in numeric order."""
+    """Documents root/sections/SEC-ddd/name, with section_id and its number."""
     d = read_documents(spark, f"{root}/sections/SEC-*/{name}")
-    d = d.withColumn("section_id", F.regexp_extract("path", r"/sections/(SEC-\d{3,})/[^/]+$", 1))
-    return d.withColumn("section_number", section_number(F.col("section_id"))).where("section_number is not null").orderBy("section_number")
+    d = d.withColumn("section_id", F.regexp_extract("path", r"/sections/([^/]+)/[^/]+$", 1)).where(matches("SEC-[0-9]{3}", F.col("section_id")))
+    return d.withColumn("section_number", section_number(F.col("section_id")))
 
 
 def verify_hashes(actual: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,8 +81,9 @@ def verify_hashes(actual: DataFrame, recorded: DataFrame, keys: list[str]) -> Da
 
 
 def events_of(events: DataFrame, session_id: str, messages_only: bool = False) -> DataFrame:
+    """A session's events; source_line is their order, which the sinks put them in."""
     found = events.where(F.col("session_id") == session_id)
-    return (found.where("kind = 'message'") if messages_only else found).orderBy("source_line")
+    return found.where("kind = 'message'") if messages_only else found
 
 
 def session_exists(sessions: DataFrame, session_id: str) -> bool:
@@ -72,9 +95,9 @@ def message_ids(events: DataFrame) -> DataFrame:
 
 
 def latest_decisions(runs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions of each session's latest completed run, in order of their ids."""
+    """Decisions of each session's latest completed run; decision_id is their order."""
     latest = runs.where("status = 'completed'").groupBy("session_id").agg(F.max("run_id").alias("run_id"))
-    return decisions.join(latest, ["session_id", "run_id"]).orderBy("session_id", "decision_id")
+    return decisions.join(latest, ["session_id", "run_id"])
 
 
 def preferred(results: DataFrame, files: DataFrame) -> DataFrame:

@@ -39,26 +39,46 @@ def write_json(spark: SparkSession, path: str, value, sort: bool = False) -> Non
     write_text(spark, path, canonical(value, sort))
 
 
-def publish(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, last: str) -> None:
-    """Appends tables to root; the one named last is written after the others, so that readers who start from it see all."""
-    for name, df in tables.items():
-        if name != last:
-            df.write.mode("append").parquet(f"{root}/{name}")
-    tables[last].write.mode("append").parquet(f"{root}/{last}")
+def publish(tables: Mapping[str, DataFrame], root: str, batch: str, last: str) -> None:
+    """Writes tables to root, each under batch, which is overwritten: a run that died and is repeated leaves nothing twice. The one
+    named last is written after the others; what read() gives begins from it, so that nothing is seen before all is there."""
+    for name in [*(n for n in tables if n != last), last]:
+        tables[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+
+
+def read(spark: SparkSession, root: str, name: str, schema: str, last: str) -> DataFrame:
+    """A table's rows of finished batches; empty where none was written."""
+    def rows(which: str, of: str) -> DataFrame:
+        fs, p = _fs(spark, f"{root}/{which}")
+        return spark.read.schema(f"{of}, batch string").parquet(f"{root}/{which}") if fs.exists(p) else spark.createDataFrame([], f"{of}, batch string")
+
+    found = rows(name, schema)
+    return (found if name == last else found.join(rows(last, "batch_ string").select("batch").distinct(), "batch", "left_semi")).drop("batch")
 
 
 def next_run_id(runs: DataFrame) -> int:
     return (runs.agg(F.max("run_id")).first()[0] or 0) + 1
 
 
+def claim(spark: SparkSession, root: str, first: int) -> int:
+    """The first free number from first on; the store's own exclusive creation of a file settles who gets it."""
+    n = first
+    while True:
+        fs, p = _fs(spark, f"{root}/claims/{n}")
+        fs.mkdirs(p.getParent())
+        if fs.createNewFile(p):
+            return n
+        n += 1
+
+
 def save_run(spark: SparkSession, root: str, runs: DataFrame, session_id: str, decisions: DataFrame, prompt_version: str, runner: str) -> int:
     """Appends a completed run, its decisions (with their JSON and true status) and their evidence; returns its id."""
-    run = next_run_id(runs)
-    tagged = decisions.withColumn("run_id", F.lit(run)).withColumn("session_id", F.lit(session_id))
+    run = claim(spark, root, next_run_id(runs))
+    tagged = decisions.withColumn("run_id", F.lit(run)).withColumn("session_id", F.lit(session_id)).withColumn("status", F.coalesce("status", F.lit("unknown")))
     tagged = tagged.withColumn("raw_analysis_json", F.to_json(F.struct(*decisions.columns)))
     evidence = tagged.select("run_id", "decision_id", F.explode("evidence_message_ids").alias("evidence_id"))
     new = spark.createDataFrame([(run, session_id, prompt_version, runner, "completed")], "run_id int, session_id string, prompt_version string, runner_type string, status string")
-    publish(spark, {"decisions": tagged, "decision_evidence": evidence, "analysis_runs": new.withColumn("created_at", F.current_timestamp())}, root, "analysis_runs")
+    publish({"decisions": tagged, "decision_evidence": evidence, "analysis_runs": new.withColumn("created_at", F.current_timestamp())}, root, f"run-{run}", "analysis_runs")
     return run
 
 
@@ -75,7 +95,7 @@ def manifest(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def with_guidance(guidance: str, prompt: str) -> str:
-    return guidance + GUIDANCE_RULE + prompt
+    return guidance.rstrip() + GUIDANCE_RULE + prompt.lstrip()
 
 
 def arms(sessions: DataFrame, knowledge: str) -> DataFrame:
@@ -88,10 +108,30 @@ def arms(sessions: DataFrame, knowledge: str) -> DataFrame:
     return both.withColumn("interpretation_knowledge", F.when(F.col("arm") == "knowledge", F.lit(knowledge))).withColumn("sha256", F.sha2("document", 256))
 
 
+def provenance(spark: SparkSession, inputs: Mapping[str, str], texts: Mapping[str, str]) -> dict:
+    """Names to SHA-256: of each input path's files together, in order of their digests, and of each text."""
+    import hashlib
+
+    def of(path: str) -> str:
+        return manifest(spark, path).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "\n"), 256)).first()[0]
+
+    return {"inputs": {k: of(p) for k, p in inputs.items()}, "texts": {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}}
+
+
+def instructions(title: str, units: str, count: int, given: list[str], result: str, check: str) -> str:
+    """What a person who runs a bundle is told."""
+    lines = [f"# {title}", "", f"This bundle holds {count} independent {units}.", "", f"Give a fresh reader, for each of the {units}, only:", "", *(f"{i}. {x}" for i, x in enumerate(given, 1)), "",
+             f"Save the first answer unchanged as `{result}`; do not repeat or repair it. Check it with `{check}`.", "", "Nothing of another unit, of labels or of reports may be shown. An empty answer is a valid one.", ""]
+    return "\n".join(lines)
+
+
+# The report's lines, each with the count or rate that it shows.
+REPORT = (("Inventory", "inventory_decision_count", " Decisions"), ("全Cross-section組合せ", "possible_cross_section_pair_count", ""), ("機械抽出した候補ペア", "candidate_pair_count", ""), ("ペア比較削減率", "pair_comparison_reduction_rate", "%"),
+          ("AI確認候補クラスタ", "candidate_cluster_count", ""), ("クラスタ内Decision", "clustered_decision_count", ""), ("AI確認対象Decision", "ai_review_decision_count", ""), ("ペアのみの確認対象Decision", "pair_only_review_decision_count", ""),
+          ("singleton", "singleton_count", ""), ("AI確認対象Decision削減率", "ai_review_decision_reduction_rate", "%"), ("最大クラスタ", "largest_cluster_size", " Decisions"), ("Evidence欠落", "evidence_missing_count", ""), ("入力ハッシュ不一致", "input_hash_mismatch_count", ""))
+
+
 def candidate_report(e: Mapping) -> str:
-    """Markdown of a candidate evaluation (one row of reports.evaluation as a mapping)."""
-    lines = ["# Integration candidates", "", f"- decisions: {e['inventory_decision_count']}", f"- possible pairs: {e['possible_cross_section_pair_count']}",
-             f"- candidate pairs: {e['candidate_pair_count']} (reduction {e['pair_comparison_reduction_rate'] * 100:.2f}%)",
-             f"- clusters: {e['candidate_cluster_count']}, largest {e['largest_cluster_size']}",
-             f"- decisions to review: {e['ai_review_decision_count']} (reduction {e['ai_review_decision_reduction_rate'] * 100:.2f}%)"]
-    return "\n".join([*lines, ""])
+    """Markdown of a candidate evaluation (one row of clusters.evaluation as a mapping; counts that it lacks are 0)."""
+    shown = (f"- {name}: {e.get(key) or 0:.2%}" if unit == "%" else f"- {name}: {e.get(key) or 0}{unit}" for name, key, unit in REPORT)
+    return "\n".join(["# Cross-section Integration Candidate v1", "", "## 結果", "", *shown, "", "## 解釈", "", "Machine-made candidates only: nothing is merged, judged or scored here.", ""])

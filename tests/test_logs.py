@@ -44,6 +44,21 @@ def test_line_ends(spark, tmp_path):
     assert [r.raw_text for r in logs.read_log(spark, str(p)).orderBy("source_line").collect()] == ["a", "b", "c", "", "d"]
 
 
+def test_split_files_and_large_files(spark, tmp_path):
+    for name, n in (("a", 900), ("b", 5), ("c", 900), ("d", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"line {i} of {'a' if name == 'c' else name}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        for whole in (logs.WHOLE, 100):
+            got = logs.read_log(spark, f"{tmp_path}/*.jsonl", whole=whole)
+            assert spark.read.text(f"{tmp_path}/*.jsonl").rdd.getNumPartitions() > 20
+            rows = got.collect()
+            assert {(r.source_line, r.raw_text) for r in rows} == {(i + 1, f"line {i} of {x}") for x, n in (("a", 900), ("b", 5)) for i in range(n)} and len(rows) == 905
+            assert {r.source_sha256 for r in rows} == {hashlib.sha256((tmp_path / f"{x}.jsonl").read_bytes()).hexdigest() for x in "ab"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_odd_shapes(spark):
     rows = ['{"type":"response_item","payload":[1]}', '{"type":"event_msg","payload":{"type":"token_count","info":"i"}}', '{"type":"turn_context","payload":{"type":""}}', "[1]", '{"type":7,"payload":{}}',
             '{"type":"response_item","payload":{"type":"message","role":5,"content":[{"x":1}]}}', '{"type":"response_item","payload":{"type":"custom_tool_call","name":"apply_patch"}}', '{"a":1,"a":2}']
@@ -56,11 +71,11 @@ def test_odd_shapes(spark):
 
 
 def test_projection(spark):
-    block = "AGENTS.md\n<INSTRUCTIONS> Keep it </INSTRUCTIONS>"
-    rows = [("1", 1, "message", "developer", block), ("2", 2, "message", "user", "<environment_context>cwd</environment_context>"), ("3", 3, "message", "user", f"{block} <INSTRUCTIONS> </INSTRUCTIONS> Please　"),
+    block = "# AGENTS.md instructions for /w\n\n<INSTRUCTIONS> Keep it </INSTRUCTIONS>"
+    rows = [("1", 1, "message", "developer", block), ("2", 2, "message", "user", "<environment_context>cwd</environment_context>"), ("3", 3, "message", "user", f"{block}\nPlease <INSTRUCTIONS> </INSTRUCTIONS>　"),
             ("4", 4, "message", "assistant", " Done "), ("5", 5, "file_change", None, "p"), ("6", 6, "command", None, "ls"), ("7", 7, "message", "user", "　")]
     e = spark.createDataFrame([("s", i, n, k, r, c, "t") for i, n, k, r, c in rows], "session_id string, id string, source_line int, kind string, role string, content string, source_event_type string")
-    assert [(r.actor, r.content) for r in projection.messages(e).orderBy("source_line").collect()] == [("human", "AGENTS.md\n  Please"), ("assistant", "Done")]
+    assert [(r.actor, r.content) for r in projection.messages(e).orderBy("source_line").collect()] == [("human", "Please <INSTRUCTIONS> </INSTRUCTIONS>"), ("assistant", "Done")]
     assert [(r.id, r.content) for r in projection.constraints(e).collect()] == [("1-constraint-001", "Keep it")]
     r = projection.report(e).first()
     assert (r.messages, r.constraints, r.implementation_events, r.normalized_events) == (2, 1, 2, 7)
@@ -100,7 +115,7 @@ def test_documents_and_hashes(spark, tmp_path):
         d = tmp_path / "sections" / f"SEC-{n}"
         d.mkdir(parents=True)
         (d / "x.json").write_text(text, encoding="utf-8")
-    docs = logs.section_files(spark, str(tmp_path), "x.json")
+    docs = logs.section_files(spark, str(tmp_path), "x.json").orderBy("section_number")
     assert [(r.section_id, r.section_number) for r in docs.collect()] == [("SEC-001", 1), ("SEC-002", 2)]
     sha = hashlib.sha256((tmp_path / "sections/SEC-001/x.json").read_bytes()).hexdigest()
     rec = spark.createDataFrame([("SEC-001", sha), ("SEC-002", "0")], "section_id string, recorded_sha256 string")
@@ -133,4 +148,4 @@ def test_sinks(spark, tmp_path):
     assert arms["control"].interpretation_knowledge is None and arms["knowledge"].interpretation_knowledge == "k" and arms["control"].sha256 == arms["knowledge"].sha256
     sinks.fan_out(spark.createDataFrame([("SEC-001", 1), ("SEC-002", 2)], "section_id string, x int"), f"{out}/sections", "section_id")
     assert sinks.manifest(spark, f"{out}/sections").where("path like '%.json'").count() == 2
-    assert sinks.with_guidance("g", "p") == "g\n\n---\n\np"
+    assert sinks.with_guidance("g \n", "\n p") == "g\n\n---\n\np"

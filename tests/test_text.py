@@ -44,9 +44,15 @@ def test_terms_and_keywords(spark):
 
 
 def test_small_functions(spark):
-    d = spark.createDataFrame([("SEC-012", "user", 1.0, 8.0), ("bad", None, 1.0, 0.0)], "s string, r string, a double, b double")
+    d = spark.createDataFrame([("SEC-012", "tool-call x1y", 1.0, 8.0), (None, None, 1.0, 0.0)], "s string, r string, a double, b double")
     got = [tuple(r) for r in d.select(text.section_number(F.col("s")), text.role_title(F.col("r")), text.percent(F.col("a"), F.col("b")), text.reduction(F.col("a"), F.col("b"))).collect()]
-    assert got == [(12, "User", "12.50%", 0.875), (None, "Unknown", "0.00%", 0.0)]
+    assert got == [(12, "Tool-Call X1Y", "12.50%", 0.875), (None, "Unknown", "0.00%", 0.0)]
+
+
+@pytest.mark.parametrize("name", ["bad", "SEC-1", "SEC-1234", "SEC-01a", "SEC-001\n"])
+def test_other_section_ids_raise(spark, name):
+    with pytest.raises(Exception, match="invalid Section id"):
+        column(spark, [name], text.section_number(F.col("c")))
 
 
 def test_blocks(spark):

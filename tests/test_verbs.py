@@ -79,7 +79,7 @@ def test_sections_to_lifecycle(spark, run):
     (p / "adj.jsonl").write_text(json.dumps({"cluster_id": cluster.cluster_id, "judgments": [judgment], "unclassified_decision_keys": []}))
     assert verbs.validate_adjudication(spark, f"{p}/adj2", f"{p}/adj.jsonl")[0]["classified_decision_count"] == 2
     assert verbs.assemble(spark, f"{p}/cand", f"{p}/adj2", f"{p}/adj.jsonl", f"{p}/made")[0]["decisions_after"] == 2
-    assert verbs.export_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life") == {"groups": 1}
+    assert verbs.export_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life")["groups"] == 1
     result = {"decision_id": "ID-001", "final_status": "superseded", "rationale": ["w"], "evidence_refs": [{"evidence_type": "message", "evidence_id": "M3"}], "confidence": "high", "missing_information": []}
     (p / "life.jsonl").write_text(json.dumps({"group_id": "LIFECYCLE-SEC-001", "results": [result]}))
     report = verbs.apply_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life.jsonl", f"{p}/end")
