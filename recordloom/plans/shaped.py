@@ -716,3 +716,78 @@ def snk02_runs(spark, sf):
     extra = spark.range(1).select(F.lit(runs.where("created_at is not null").count()).alias("runs"), F.lit(read("decision_evidence", "run_id int").count()).cast("long").alias("evidence"))
     found = logs.latest_decisions(runs, read("decisions", "run_id int, session_id string, decision_id string, status string, title string"))
     return found.join(F.broadcast(extra)).select("run_id", "decision_id", "status", "title", "runs", "evidence")
+
+
+# The whole way by the verbs: one session of all conversations, five sections.
+
+_WAY = r"""ln AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n, 'SEC-00' || (conv_id % 5 + 1) AS sec FROM conversations), ms AS (SELECT * FROM ln WHERE role <> 'system')"""
+# What each step reports, beside counts of the tables.
+_STEPS = (("finalize", "valid", "2"), ("finalize", "partially_valid", "1"), ("finalize", "invalid", "1"), ("finalize", "missing", "1"), ("finalize", "decisions", "4"), ("finalize", "rejected", "2"), ("finalize", "repairs", "1"), ("finalize", "all_hashes_match", "false"), ("candidates", "inventory_decision_count", "4"),
+          ("candidates", "candidate_pair_count", "1"), ("candidates", "candidate_cluster_count", "1"), ("candidates", "state", "candidate_bundle_ready_for_review"), ("adjudication", "fields", "cluster_id,decisions,evidence,mode,neighbor_messages,session_id"),
+          ("adjudication v2", "fields", "allowed_decision_keys,cluster_id,decisions,evidence,mode,neighbor_messages,output_skeleton,session_id"), ("adjudication v2", "hidden", "section_id,source_decision_id,source_file,source_sha256"), ("assembled", "decisions_after", "3"), ("assembled", "merged_source_decision_count", "2"),
+          ("lifecycle", "groups", "1"), ("lifecycle", "fields", "context_sections,decision_ids,group_id,messages,output_skeleton,section_id,session_id"), ("end", "cancelled", "1"), ("end", "accepted", "2"), ("experiment", "arms", "2"), ("sections", "sections", "5"), ("sections", "told", "1"), ("rejected", "SEC-003", "unknown evidence: message:none"),
+          ("rejected", "SEC-004", "confidence is invalid"))
+
+
+@query(f"""WITH {_WAY}, {values('st', 'step, name, value', _STEPS)} SELECT step, name, value FROM st UNION ALL SELECT 'ingest', 'total_lines', count(*)::VARCHAR FROM ln UNION ALL SELECT 'analysis', 'messages', count(*)::VARCHAR FROM ms
+    UNION ALL SELECT 'hybrid', 'reason_candidate', count(*)::VARCHAR FROM ms WHERE role = 'user' UNION ALL SELECT 'signals', 'messages_examined', count(*)::VARCHAR FROM ms UNION ALL SELECT 'section', sec, string_agg('M' || n, ',' ORDER BY n) FROM ms GROUP BY sec
+    UNION ALL SELECT 'checked', 'message_evidence_references', '1' UNION ALL SELECT 'lifecycle', 'messages', string_agg('M' || n, ',' ORDER BY n) FROM ms WHERE sec >= 'SEC-003'""")
+def snk13_whole_way(spark, sf):
+    """SNK-03 to SNK-13, SNK-16, SNK-18, VAL-03, VAL-09, VAL-11, JON-13, HLP-03, HLP-07, HLP-08, HLP-09."""
+    p = own_dir(spark, "way")
+    d = table(spark, sf, "conversations").withColumn("n", F.row_number().over(Window.orderBy("conv_id", "turn"))).withColumn("sec", F.format_string("SEC-%03d", F.col("conv_id") % 5 + 1))
+    content = F.when(F.col("role") == "user", F.concat("text", F.lit("ので"))).otherwise(F.col("text"))
+    line = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", content.alias("content")).alias("payload")))
+    d.select("n", line.alias("value")).repartition(1).sortWithinPartitions("n").select("value").write.text(f"{p}/log")
+    m = d.where("role <> 'system'").select(F.col("n").alias("raw_line"), F.concat(F.lit("M"), "n").alias("message_id"), F.when(F.col("role") == "user", "human").otherwise("assistant").alias("actor"), F.col("sec").alias("section_id"))
+    m.write.json(f"{p}/messages")
+    first = {r["section_id"]: r["m"] for r in m.groupBy("section_id").agg(F.min_by("message_id", "raw_line").alias("m")).collect()}
+    sinks.write_text(spark, f"{p}/attachments", json.dumps({"attachment_id": "A1", "parent_message_ids": [first["SEC-001"]], "section_ids": ["SEC-001"], "content": "file"}))
+    out: list[tuple] = []
+    say = lambda step, report, *names: out.extend((step, n, str(report[n]).lower() if isinstance(report[n], bool) else str(report[n])) for n in names)
+    got = verbs.ingest(spark, f"{p}/log/part-*", f"{p}/store")[0]
+    say("ingest", got, "total_lines")
+    session = got["session_id"]
+    say("analysis", verbs.export_analysis(spark, f"{p}/store", session, f"{p}/v3", "ask", "{}", f"{p}/messages", f"{p}/attachments"), "messages")
+    plain = verbs.export_sections(spark, f"{p}/v3", f"{p}/plain", guidance="guide", prompt="ask")
+    told = spark.read.text(f"{p}/plain/RUN_INSTRUCTIONS.md", wholetext=True).where("contains(value, 'holds 5 independent sections')").count()
+    say("sections", plain | {"told": told}, "sections", "told")
+    out += [("section", r["section_id"], ",".join(x["evidence_id"] for x in r["messages"])) for r in spark.read.json(f"{p}/plain/sections").collect()]
+    say("hybrid", verbs.export_sections(spark, f"{p}/v3", f"{p}/hybrid", knowledge="k", hybrid=True), "reason_candidate")
+    say("signals", verbs.export_signals(spark, f"{p}/v3", f"{p}/signals"), "messages_examined")
+    say("experiment", verbs.export_experiment(spark, f"{p}/v3", f"{p}/arms", "k"), "arms")
+    ref = lambda x: [{"evidence_type": "message", "evidence_id": x}]
+    made = lambda i, sec, **change: json.loads(_decision(decision_id=f"D-{i:03d}", **({"evidence_refs": ref(first[sec])} | change)))
+    runs = {"SEC-001": [made(1, "SEC-001", title="Use the column store", decision="Tables are column files")], "SEC-002": [made(1, "SEC-002", title="Use the column store.", decision="Tables are column files!")],
+            "SEC-003": [made(1, "SEC-003", title="Quit zebra jam", decision="Vowel pyjama", status="proposed", risks="late"), made(2, "SEC-003", evidence_refs=ref("none"))], "SEC-004": [made(1, "SEC-004", title="Kiwi fox", decision="Ghost whim"), made(2, "SEC-004", confidence="sure")]}
+    for name, decisions in runs.items():
+        text, at = json.dumps({"decisions": decisions}), f"{p}/results/sections/{name}"
+        sinks.write_text(spark, f"{at}/decisions.raw.json", text)
+        digest = spark.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
+        sinks.write_json(spark, f"{at}/RUN_RESULT.json", {"output_sha256": digest if name != "SEC-004" else "0", "validated_output_path": None})
+    sinks.write_text(spark, f"{p}/one.json", json.dumps({"decisions": runs["SEC-001"]}))
+    say("checked", verbs.validate_decisions_v3(spark, f"{p}/v3", f"{p}/one.json"), "message_evidence_references")
+    say("finalize", verbs.finalize_runs(spark, f"{p}/hybrid", f"{p}/results", f"{p}/final"), "valid", "partially_valid", "invalid", "missing", "decisions", "rejected", "repairs", "all_hashes_match")
+    out += [("rejected", r["doc"], r["error"]) for r in spark.read.parquet(f"{p}/final/rejected").collect()]
+    kept = spark.read.parquet(f"{p}/final/decisions")
+    kept.unionByName(spark.createDataFrame([("SEC-004", 0, json.dumps(runs["SEC-004"][0]), [])], kept.schema)).write.parquet(f"{p}/more/decisions")
+    say("candidates", verbs.export_candidates(spark, f"{p}/more", session, f"{p}/cand"), "inventory_decision_count", "candidate_pair_count", "candidate_cluster_count", "state")
+    for version, step in ((1, "adjudication"), (2, "adjudication v2")):
+        verbs.export_adjudication(spark, f"{p}/cand", f"{p}/hybrid", f"{p}/adj{version}", version)
+        made_ = spark.read.json(f"{p}/adj{version}/clusters")
+        out.append((step, "fields", ",".join(sorted(made_.columns))))
+        if version == 2:
+            out.append((step, "hidden", ",".join(sorted(set(spark.read.parquet(f"{p}/cand/inventory").columns) - {"session_id"} - set(made_.schema["decisions"].dataType.elementType.names) - {"context"}))))
+    cluster = spark.read.parquet(f"{p}/cand/clusters").first()
+    judgment = {"judgment_id": "J-001", "relation": "same_decision", "member_decision_keys": cluster["member_decision_keys"], "direction": None, "rationale": ["w"], "evidence_refs": ref(first["SEC-001"]), "confidence": "high", "missing_information": []}
+    sinks.write_text(spark, f"{p}/adj.jsonl", json.dumps({"cluster_id": cluster["cluster_id"], "judgments": [judgment], "unclassified_decision_keys": []}))
+    say("assembled", verbs.assemble(spark, f"{p}/cand", f"{p}/adj2", f"{p}/adj.jsonl", f"{p}/made")[0], "decisions_after", "merged_source_decision_count")
+    say("lifecycle", verbs.export_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life"), "groups")
+    group = spark.read.json(f"{p}/life/groups")
+    one = group.first()
+    out += [("lifecycle", "fields", ",".join(sorted(group.columns))), ("lifecycle", "messages", ",".join(x["evidence_id"] for x in one["messages"]))]
+    result = {"decision_id": one["decision_ids"][0], "final_status": "cancelled", "rationale": ["w"], "evidence_refs": ref(first["SEC-003"]), "confidence": "high", "missing_information": []}
+    sinks.write_text(spark, f"{p}/life.jsonl", json.dumps({"group_id": one["group_id"], "results": [result]}))
+    report = {r["status"]: r["after"] for r in verbs.apply_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life.jsonl", f"{p}/end") if "status" in r}
+    say("end", report, "cancelled", "accepted")
+    return spark.createDataFrame(out, "step string, name string, value string")
