@@ -19,7 +19,10 @@ BITS_EACH, CELL, CELLS = 16, 32_768, 4096
 
 def normalised(text: Column) -> Column:
     """The text without ASCII white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    made = F.coalesce(text, F.lit(""))
+    for c in SPACES:
+        made = F.replace(made, F.lit(c), F.lit(""))
+    return made
 
 
 def leaf_of(h: Column) -> Column:
