@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, lookup, pick
+from .common import HOT_SHARE, Scratch, lookup, pick
 
 LENGTH, GRAM = 200, 40
 #: Most windows of a segment; longer ones (texts with a short period) are cut.
@@ -326,15 +326,55 @@ def _apply(length: int, with_text: bool, kind: pa.DataType):
     return run
 
 
+def _judge(found: DataFrame, scratch: Scratch, length: int, keep_first: bool, chunk: int, share: int) -> DataFrame:
+    """The segments that matter: settled (a copy of a whole segment), open (its windows must be sorted), sort (laid out by
+    mark for that), hot (its mark has over chunk bytes to sort).
+
+    Segments of one mark are compared in windows over the mark. Marks with over 1/share of all segments, of which there are
+    fewer than share, get the same verdicts from counts by (mark, whole) and by mark, combined on the map side, which come
+    back to the segments by lookup.
+    """
+    total = found.count()
+    crowded = scratch.store(found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, total // share)).select("mark"), "crowded")
+    out = ["k1", "k2", "lo", "hi", "mark", "settled", "open", "sort", "hot"]
+    by_mark, by_whole = W.partitionBy("mark"), W.partitionBy("mark", "whole")
+    cold = found.join(F.broadcast(crowded), "mark", "left_anti").repartition("mark")
+    cold = cold.withColumn("nth", F.rank().over(by_whole.orderBy("k1", "k2", "lo"))).withColumn("n", F.count(F.lit(1)).over(by_whole))
+    cold = cold.withColumn("all", F.count(F.lit(1)).over(by_mark)).where((F.col("all") > 1) | F.col("multi"))
+    cold = cold.withColumn("others", F.col("all") > F.col("n"))
+    settled = F.col("nth") > 1 if keep_first else F.col("n") > 1
+    cold = cold.withColumn("settled", settled).withColumn("open", ~F.col("settled") & (F.col("others") | F.col("multi")))
+    cold = cold.withColumn("any", F.max("open").over(by_mark)).withColumn("sort", F.col("any") & (F.col("nth") == 1) & (F.col("open") | F.col("others")))
+    size = F.col("hi") - F.col("lo") + length
+    cold = cold.withColumn("hot", F.sum(F.when(F.col("sort"), size).otherwise(0)).over(by_mark) > chunk)
+    kept = cold.where(F.col("settled") | F.col("sort")).select(*out)
+    if not crowded.head(1):
+        return kept
+    dense = found.join(F.broadcast(crowded), "mark", "left_semi")
+    alike = scratch.store(dense.groupBy("mark", "whole").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("least"), F.max("multi").alias("twice"), F.max(size).alias("size")), "alike")
+    alone = F.lit(True) if keep_first else F.col("n") == 1
+    marks = alike.groupBy("mark").agg((F.count(F.lit(1)) > 1).alias("others"), F.max(alone).alias("alone"), F.max(alone & F.col("twice")).alias("again"), F.sum("size").alias("bytes"))
+    marks = marks.withColumn("any", (F.col("others") & F.col("alone")) | F.col("again")).withColumn("hot", F.col("any") & (F.col("bytes") > chunk))
+    verdicts = scratch.store(alike.join(F.broadcast(marks.select("mark", "others", "any", "hot")), "mark"), "verdicts")
+    rows = lookup(dense, verdicts, ["mark", "whole"], "n", max(1, total)).withColumn("first", F.struct("k1", "k2", "lo") == F.col("least"))
+    rows = rows.withColumn("settled", ~F.col("first") if keep_first else F.col("n") > 1)
+    rows = rows.withColumn("open", ~F.col("settled") & (F.col("others") | F.col("twice")))
+    rows = rows.withColumn("sort", F.col("any") & F.col("first") & (F.col("open") | F.col("others")))
+    return kept.unionByName(rows.where(F.col("settled") | F.col("sort")).select(*out))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False,
-                   with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
+                   with_text: bool = False, chunk: int = CHUNK, share: int = HOT_SHARE) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left; null unless with_text).
 
     Texts are UTF-8 bytes (null: empty); matches stay within a document on each side. Every byte under a string of length
     bytes that also starts elsewhere, in any document, is removed; with keep_first, only copies of an earlier start, in the
     order of id and position. Strings are judged on the input. A mark whose unsettled segments hold over chunk bytes is hot:
     its windows meet by digest instead, counted on the map side. Ids are whole numbers; rows that repeat an id, with equal or
-    other texts, each give a row; a null id counts as 0 in the order.
+    other texts, each give a row (with keep_first, rows of one id and text count as one place in the order); a null id counts
+    as 0 in the order. Marks with over 1/share of all segments are judged by aggregates, so that none is one task's. An empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -345,22 +385,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = pick(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     keyed = base.select(F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")).alias("k1"), F.xxhash64("id", "text").alias("k2"), "id", "text")
     run, schema = _scan(length, gram)
-    found = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= length).mapInArrow(run, schema).repartition("mark")
-    by_mark, by_whole = W.partitionBy("mark"), W.partitionBy("mark", "whole")
-    found = found.withColumn("nth", F.row_number().over(by_whole.orderBy("k1", "k2", "lo"))).withColumn("alike", F.count(F.lit(1)).over(by_whole))
-    found = found.withColumn("all", F.count(F.lit(1)).over(by_mark)).where((F.col("all") > 1) | F.col("multi"))
-    shared = (F.col("all") > F.col("alike")) | F.col("multi")
-    if keep_first:
-        found = found.withColumn("settled", F.col("nth") > 1).withColumn("open", ~F.col("settled") & shared)
-    else:
-        found = found.withColumn("settled", F.col("alike") > 1).withColumn("open", ~F.col("settled") & shared)
-    found = found.withColumn("any", F.max("open").over(by_mark)).withColumn("sort", F.col("any") & (F.col("nth") == 1) & (F.col("open") | (F.col("all") > F.col("alike"))))
-    found = found.withColumn("hot", F.sum(F.when(F.col("sort"), F.col("hi") - F.col("lo") + length).otherwise(0)).over(by_mark) > chunk)
-    found = found.where(F.col("settled") | F.col("sort")).select("k1", "k2", "lo", "hi", "mark", "settled", "open", "sort", "hot")
-    lists = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "mark", "settled", "open", "sort", "hot")).alias("found"))
+    found = scratch.store(keyed.select("k1", "k2", "text").where(F.octet_length("text") >= length).mapInArrow(run, schema), "found")
+    marked = _judge(found, scratch, length, keep_first, chunk, share)
+    lists = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "mark", "settled", "open", "sort", "hot")).alias("found"))
     with_found = keyed.join(lists, ["k1", "k2"], "left").select("k1", "k2", "id", "text", "found")
     done = f"id {ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     split = scratch.store(with_found.mapInArrow(_split(length, with_text, arrow), f"{done}, k1 long, k2 long, text binary, windows array<struct<lo:int,hi:int>>, mark long, hot boolean, lo int, part binary, open boolean"), "split")
+    scratch.drop("found", "alike", "verdicts")
     parts = split.where("part is not null").select("mark", "k1", "k2", "lo", "part", "open", "hot")
     cold = parts.where("not hot").drop("hot").repartition("mark").sortWithinPartitions("mark")
     windows = cold.mapInArrow(_sort_kernel(length, keep_first), "k1 long, k2 long, lo int, hi int")

@@ -206,12 +206,13 @@ def brute_repeats(rows, length, first):
 REPEAT_COLS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@pytest.mark.parametrize("share", [1, repeats.HOT_SHARE])
 @pytest.mark.parametrize("chunk", [repeats.CHUNK, 400])
-def test_repeats(spark, chunk):
+def test_repeats(spark, chunk, share):
     values = texts(5, 80)
     values += [values[20] + values[30], "x" + values[30][:90] + "y", "ab" * 9000, "for " * 200, "zz" + values[30][5:] + "q"]
     rows, docs = make(spark, values)
-    got = repeats.remove_repeats(docs, length=64, gram=20, chunk=chunk)
+    got = repeats.remove_repeats(docs, length=64, gram=20, chunk=chunk, share=share)
     assert by_rows(got, *REPEAT_COLS) == brute_repeats(rows, 64, False)
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
@@ -220,12 +221,22 @@ def test_repeats_keep_first(spark):
     values = [t for t in texts(6, 40) if t] + ["ab" * 300]
     rows = [(i, t) for i, t in enumerate(values)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for chunk in (repeats.CHUNK, 400):
-        got = repeats.remove_repeats(docs, length=64, gram=20, keep_first=True, chunk=chunk, with_text=True)
+    for chunk, share in ((repeats.CHUNK, 1), (repeats.CHUNK, repeats.HOT_SHARE), (400, 1), (400, 4)):
+        got = repeats.remove_repeats(docs, length=64, gram=20, keep_first=True, chunk=chunk, with_text=True, share=share)
         assert by_rows(got, *REPEAT_COLS) == brute_repeats(rows, 64, True)
         assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+@pytest.mark.parametrize("share", [1, repeats.HOT_SHARE])
+def test_repeats_of_equal_rows(spark, share):
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, shared), (1, shared), (1, shared), (None, shared + " end"), (2, "other " * 3), (None, None), (2, "head " + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_rows(repeats.remove_repeats(docs, length=64, gram=20, share=share), *REPEAT_COLS) == brute_repeats(rows, 64, False)
+    first = repeats.remove_repeats(spark.createDataFrame([(3, shared)] * 4 + [(4, shared)], docs.schema), length=64, gram=20, keep_first=True, share=share)
+    assert Counter(first.select("doc_id", "n_removed").collect()) == {(3, 0): 4, (4, len(shared)): 1}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b", b"ab", b"aab"]), min_size=2, max_size=60))
 def test_previous_factors(parts):
