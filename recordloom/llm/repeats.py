@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -66,10 +67,12 @@ def _slide(a: np.ndarray, width: int, least) -> np.ndarray:
 
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of all texts: number of the text, first and last window's start, mark, hash of the segment's bytes, and whether the mark
-    may occur twice in it. Covers each window of each text once."""
+    may occur twice in it. Covers each window of each text once. The sliding hash is a polynomial modulo 2**64, which some
+    regular strings share whatever its base; it only chooses marks, where that does no harm. Segments are told apart by XXH3."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    a = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    a = np.frombuffer(joined, np.uint8)
     n = len(a)
     none = np.zeros(0, np.int64)
     long_ = sizes >= length
@@ -92,7 +95,8 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
         first = np.concatenate(pieces)
         last = np.concatenate([first[1:], [len(at)]])
     lo, hi, mark = at[first], at[last - 1], m[first]
-    whole = _mix((sums[hi + length] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+    cuts = map(slice, lo.tolist(), (hi + length).tolist())
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, map(joined.__getitem__, cuts)), np.uint64, len(lo))
     peak = _slide(np.concatenate([np.zeros(width - 1, np.uint64), marks, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     spots = np.flatnonzero(h == peak)
     twice = np.concatenate([[0], np.cumsum(h[spots[1:]] == h[spots[:-1]])]) if len(spots) else np.zeros(1, np.int64)

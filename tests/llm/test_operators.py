@@ -217,6 +217,17 @@ def test_repeats(spark, chunk, share):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_segments_of_regular_strings():
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    word = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = (bytes(97 + (x ^ flip) for x in word) for flip in (0, 1))
+    up = repeats._powers(repeats._P, 2048)
+    sums = [((np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)) * up).sum(dtype=np.uint64) for t in (one, other)]
+    assert sums[0] == sums[1]
+    whole = [set(repeats.segments([t], length=2048, gram=40)[4].tolist()) for t in (one, other)]
+    assert not whole[0] & whole[1]
+
+
 def test_repeats_keep_first(spark):
     values = [t for t in texts(6, 40) if t] + ["ab" * 300]
     rows = [(i, t) for i, t in enumerate(values)]
