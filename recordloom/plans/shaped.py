@@ -6,6 +6,8 @@ by itself and never repeats the operator's logic.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import uuid
 
@@ -791,3 +793,40 @@ def snk13_whole_way(spark, sf):
     report = {r["status"]: r["after"] for r in verbs.apply_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life.jsonl", f"{p}/end") if "status" in r}
     say("end", report, "cancelled", "accepted")
     return spark.createDataFrame(out, "step string, name string, value string")
+
+
+# The weights of the score, thresholds and limits that a candidate evaluation states.
+_PARAMETERS = (("title", "0.36"), ("decision", "0.34"), ("combined", "0.12"), ("evidence", "0.12"), ("attachment", "0.03"), ("adjacency", "0.03"), ("candidate_score", "0.34"), ("strong_score", "0.38"), ("max_candidates", "8"),
+               ("max_cluster", "12"))
+
+
+@query(f"WITH {values('p', 'name, value', _PARAMETERS)} SELECT name, value, 0 AS clusters FROM p")
+def hlp05_parameters(spark, sf):
+    """HLP-05: of a session without any decision, as read back from the bundle."""
+    p = own_dir(spark, "parameters")
+    spark.createDataFrame([], "doc string, pos int, item string, repaired_fields array<string>").write.parquet(f"{p}/final/decisions")
+    verbs.export_candidates(spark, f"{p}/final", "s", f"{p}/cand")
+    said = spark.read.text(f"{p}/cand/evaluation.json", wholetext=True).select(F.explode(F.from_json("value", "parameters map<string,string>")["parameters"]).alias("name", "value"))
+    return said.withColumn("clusters", F.lit(spark.read.parquet(f"{p}/cand/clusters").count()).cast("int"))
+
+
+# Arguments (@ is the folder), the exit code, and what is printed first.
+_CALLS = (("", 1, "verbs:"), ("no-such-verb", 1, "verbs:"), ("ingest", 2, "usage:"), ("ingest source=@/log", 2, "usage:"), ("ingest source=@/log store=@/store other=1", 2, "usage:"), ("ingest source=@/log store=@/store", 0, "{n}"),
+          ("ingest source=@/log store=@/store adapter=default", 0, "already_ingested"), ("render store=@/store", 2, "usage:"), ("export-analysis store=@/store session_id=s out=@/store", 2, "refused"))
+
+
+@query(f"WITH {values('c', 'args, code, said', _CALLS)} SELECT args, code, replace(said, '{{n}}', (SELECT count(*) FROM conversations)::VARCHAR) AS said FROM c")
+def hlp10_arguments(spark, sf):
+    """HLP-10: the command line, with defaults left out and named, and with arguments that lack or are too many."""
+    p, out = own_dir(spark, "arguments"), []
+    chats(spark, sf).select(F.to_json(F.struct(F.lit("event_msg").alias("type"), "s", "t")).alias("value")).coalesce(1).write.text(f"{p}/log")
+    for args, *_ in _CALLS:
+        told = io.StringIO()
+        with contextlib.redirect_stdout(told):
+            code = verbs.main(args.replace("@", p).split(), spark)
+        text = told.getvalue()
+        if code == 0:
+            first = json.loads(text)[0]
+            text = str(first.get("total_lines", first.get("status")))
+        out.append((args, code, text if code == 0 else text.split(" ")[0] if code == 1 or text.startswith("usage:") else "refused"))
+    return spark.createDataFrame(out, "args string, code int, said string")

@@ -6,6 +6,7 @@ folder of JSON documents, one line each, that goes to an external reader; result
 
 from __future__ import annotations
 
+import inspect
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -389,15 +390,28 @@ VERBS = {
 }
 
 
-def main(args: list[str]) -> int:
-    """verb key=value ...: prints the report; 2 for an error of the engine's or of files."""
+def usage(verb: str) -> str:
+    """The verb with its arguments, and what those that may be left out default to."""
+    own = [p for p in inspect.signature(VERBS[verb]).parameters.values() if p.name != "spark" and p.kind is p.POSITIONAL_OR_KEYWORD]
+    return " ".join([verb, *(f"{p.name}=..." if p.default is p.empty else f"[{p.name}={p.default or ''}]" for p in own)])
+
+
+def main(args: list[str], spark: SparkSession | None = None) -> int:
+    """verb key=value ...: prints the report; 1 for an unknown verb, 2 for arguments that it doesn't take and for an error of the
+    engine's or of files."""
     from ..session import local_session
 
     if not args or args[0] not in VERBS:
         print("verbs: " + ", ".join(VERBS))
         return 1
+    verb, given = args[0], dict(a.partition("=")[::2] for a in args[1:])
+    try:
+        inspect.signature(VERBS[verb]).bind(spark, **given)
+    except TypeError:
+        print("usage: " + usage(verb))
+        return 2
     try:
-        print(json.dumps(VERBS[args[0]](local_session(), **dict(a.split("=", 1) for a in args[1:])), ensure_ascii=False, default=str))
+        print(json.dumps(VERBS[verb](spark or local_session(), **given), ensure_ascii=False, default=str))
     except (errors.EngineError, OSError, ValueError) as e:
         print(e)
         return 2
