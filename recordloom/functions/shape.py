@@ -2,8 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: What stands for NaN and the infinities in a value read a second time: VARIANT can't read them, and no null must come of a number.
+NAN, INFINITE = 5e-324, 1.7976931348623157e308
+#: Deeper arrays and objects are empty in a value read a second time.
+DEEPEST = 100
+
+
+def _plain(x, depth: int = 0):
+    if isinstance(x, dict):
+        return {k: _plain(v, depth + 1) for k, v in x.items()} if depth < DEEPEST else {}
+    if isinstance(x, list):
+        return [_plain(v, depth + 1) for v in x] if depth < DEEPEST else []
+    if isinstance(x, int) and not -(1 << 63) <= x < 1 << 63:
+        x = float(x) if abs(x) < 10**300 else INFINITE if x > 0 else -INFINITE
+    if isinstance(x, float) and not math.isfinite(x):
+        return NAN if math.isnan(x) else math.copysign(INFINITE, x)
+    return x
+
+
+@F.pandas_udf(StringType())
+def _reread(texts: pd.Series) -> pd.Series:
+    """JSON as Python's reader takes it (repeated keys: the last one; NaN; any depth), rewritten so that every session's VARIANT takes it."""
+    def one(t):
+        try:
+            return None if t is None else json.dumps(_plain(json.loads(t)))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def with_json(df: DataFrame, text: str, into: str, ok: str) -> DataFrame:
+    """Adds a text's JSON as VARIANT and whether it is JSON at all, whatever the session's settings.
+
+    The VARIANT parser stops behind the first value, so the text is parsed between two kinds of brackets: only if exactly one
+    value stands there do both close. What it refuses (repeated keys, unless the session allows them; NaN and the infinities; over 1,000
+    levels; numbers of over 1,000 digits) is read a second time in Python, which gets nulls for all other rows. Of those, repeated
+    keys lose nothing; NaN and the infinities are the numbers NAN and INFINITE, integers beyond 64 bits are doubles, and levels below
+    DEEPEST are empty. Texts that are nested deeper than Python's own limit (some thousands) are no JSON.
+    """
+    t = F.col(text)
+    d = df.withColumn("_list", F.try_parse_json(F.concat(F.lit('{"v":['), t, F.lit("]}")))).withColumn("_object", F.try_parse_json(F.concat(F.lit('[{"v":'), t, F.lit("}]"))))
+    plain = F.col("_list").isNotNull() & F.col("_object").isNotNull()
+    d = d.withColumn("_again", _reread(F.when(~plain, t)))
+    again = F.coalesce(F.try_parse_json("_again"), F.parse_json(F.when(F.col("_again").isNotNull(), F.raise_error(F.concat(F.lit("JSON that VARIANT can't hold: "), F.substring(t, 1, 200))).cast("string"))))
+    d = d.withColumn(into, F.when(plain, F.try_variant_get("_list", '$["v"][0]', "variant")).otherwise(again)).withColumn(ok, plain | F.col("_again").isNotNull())
+    return d.drop("_list", "_object", "_again")
 
 
 def at(v: Column, *keys: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shape import at, first_text, is_kind, items, text_at
+from ..functions.shape import INFINITE, NAN, at, first_text, is_kind, items, text_at, with_json
 from ..functions.text import event_id
 
 #: Types that the adapter knows.
@@ -20,8 +20,9 @@ CALLS = ("custom_tool_call", "custom_tool_call_output", "function_call", "functi
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Adds raw (VARIANT; null unless the line is JSON), parsed_ok, event_type and timestamp (JSON strings only)."""
-    d = lines.withColumn("_any", F.try_parse_json("raw_text")).withColumn("parsed_ok", F.col("_any").isNotNull())
+    """Adds raw (VARIANT; null unless the line is a JSON object), parsed_ok, event_type and timestamp (JSON strings only). What counts
+    as JSON, and what is kept of lines with NaN or of great depth, is with_json's matter; raw_text has all of every line."""
+    d = with_json(lines, "raw_text", "_any", "parsed_ok")
     d = d.withColumn("raw", F.when(is_kind(F.col("_any"), "OBJECT"), F.col("_any"))).drop("_any")
     return d.withColumn("event_type", text_at(F.col("raw"), "type")).withColumn("timestamp", text_at(F.col("raw"), "timestamp"))
 
@@ -42,8 +43,11 @@ def content_text(v: Column) -> Column:
 
 
 def summary(top: Column, payload: Column) -> Column:
-    """type:subtype, or the type where the subtype is missing, empty, null, false or zero."""
-    sub = at(payload, "type").cast("string")
+    """type:subtype, or the type where the subtype is missing, empty, null, false or zero. True, NaN and the infinities are written as
+    the log's own tools write them."""
+    v, said = at(payload, "type"), at(payload, "type").cast("string")
+    number = F.when(is_kind(v, "DOUBLE"), said.cast("double"))
+    sub = (F.when(is_kind(v, "BOOLEAN") & (said == "true"), "True").when(number == NAN, "nan").when(number >= INFINITE, "inf").when(number <= -INFINITE, "-inf").otherwise(said))
     blank = sub.isNull() | is_kind(at(payload, "type"), "VOID") | sub.isin("", "false", "0")
     return F.when(blank, top).otherwise(F.concat_ws(":", top, sub))
 

@@ -92,6 +92,12 @@ LINES = (
     ("[@]", None, None, "unknown", None, None, False, True),
     ('{"type":7,"payload":{}}', None, None, "unknown", None, None, False, True),
     ('{"type":"event_msg","type":"session_meta","payload":{}}', None, "session_meta", "metadata", None, "session_meta", True, True),
+    ('{"type":"response_item","payload":{"type":"message","role":"user","content":"n@","score":NaN}}', None, "response_item", "message", "user", "n@", True, True),
+    ('{"type":"turn_context","payload":{"type":-Infinity,"x":@}}', None, "turn_context", "metadata", None, "turn_context:-inf", True, True),
+    ('{"type":"turn_context","payload":{"type":NaN,"x":1,"x":@}}', None, "turn_context", "metadata", None, "turn_context:nan", True, True),
+    ('{"type":"response_item","payload":{"type":"message","role":"user","content":"d@","deep":' + "[" * 1500 + "]" * 1500 + "}}", None, "response_item", "message", "user", "d@", True, True),
+    ('{"type":"event_msg","payload":{"type":"user_message","message":"@"}} {"a":1}', None, None, "parse_error", None, None, False, False),
+    ('{"type":"event_msg","payload":{"type":"user_message","message":"@"}}}', None, None, "parse_error", None, None, False, False),
 )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.shape import with_json
 from ..functions.text import matches, section_number
 
 
@@ -63,7 +64,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    d = files.select("path", F.sha2("content", 256).alias("sha256"), text.alias("text")).withColumn("doc", F.try_parse_json("text"))
+    d = with_json(files.select("path", F.sha2("content", 256).alias("sha256"), text.alias("text")), "text", "doc", "_ok").drop("_ok")
     good = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
     return d.withColumn("doc", F.when(good, F.col("doc")).otherwise(F.parse_json(F.raise_error(F.concat(F.lit("JSON root must be an object: "), F.col("path"))).cast("string"))))
 

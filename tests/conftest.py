@@ -2,14 +2,17 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from recordloom.session import local_session  # noqa: E402
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.sql.warehouse.dir": f"file://{tmp_path_factory.mktemp('warehouse')}"})
+    """A session as a user's may be: none of the settings in recordloom.session."""
+    conf = {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.sql.warehouse.dir": f"file://{tmp_path_factory.mktemp('warehouse')}", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

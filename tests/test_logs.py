@@ -70,6 +70,22 @@ def test_odd_shapes(spark):
     assert {r.source_line for r in flags if r.x} == {2, 3, 6, 7}
 
 
+def test_json_is_what_python_reads(spark):
+    """Repeated keys, NaN, depth, long numbers and what stands behind a value, whatever the session's settings."""
+    deep = lambda n: '{"type":"x","payload":' + "[" * n + "]" * n + "}"
+    rows = ['{"type":"a","type":"b"}', '{"type":"a","n":NaN}', '{"n":-Infinity,"type":"a"}', '{"type":"a"} x', '{"type":"a"}{"type":"b"}', '{"type":"a"}}', '{"type":"a"}]}', "1 2", "[1]]", '{"type":"a","v":[]', '1,"v":2', '1}],"v":[{"v":1',
+            '{"type":"a","n":' + "9" * 1200 + "}", '{"type":"a","n":1e400}', deep(900), deep(1500), deep(5000), deep(50000), "NaN", "null", '"x" ', "", " ", '\ufeff{"type":"a"}', '{"type":"a"}\x00', '{"type":"\\ud800"}', "{'type':1}", None]
+    d = normalize.parse(spark.createDataFrame([("s", i, x) for i, x in enumerate(rows)], "session_id string, source_line int, raw_text string"))
+    got = {r.source_line: (r.parsed_ok, r.event_type) for r in d.select("source_line", "parsed_ok", "event_type").collect()}
+    for i, x in enumerate(rows):
+        try:
+            v = json.loads(x)
+            want = (True, v.get("type") if isinstance(v, dict) else None)
+        except (ValueError, RecursionError, TypeError):
+            want = (False, None)
+        assert got[i] == want or "ud800" in (x or "") and got[i][0], (i, (x or "")[:60], got[i], want)
+
+
 def test_projection(spark):
     block = "# AGENTS.md instructions for /w\n\n<INSTRUCTIONS> Keep it </INSTRUCTIONS>"
     rows = [("1", 1, "message", "developer", block), ("2", 2, "message", "user", "<environment_context>cwd</environment_context>"), ("3", 3, "message", "user", f"{block}\nPlease <INSTRUCTIONS> </INSTRUCTIONS>　"),
