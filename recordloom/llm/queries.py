@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .alignment import align_tokens
 from .chat_format import digests, format_chats, streamed
 from .common import Scratch
 from .decontamination import find_leaks
@@ -80,8 +81,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(Scratch(spark, "chats").store(format_chats(streamed(chats)), "formatted"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op4_suffix_repeats, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format]
+    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op4_suffix_repeats, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format, op13_alignment]
     return {f.__name__: f for f in found}
 
 
