@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from .common import Scratch, pick
 
 #: Texts are aligned in blocks of so many characters, or of one text that is longer.
-BLOCK = 6_000_000
+BLOCK = 1_500_000
 #: A pair's partial counts are summed under so many salts before they meet.
 SALTS = 16
 #: A place where both tokenizers always cut: before a single space or line end between two characters that are no white space.
