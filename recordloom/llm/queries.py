@@ -13,6 +13,7 @@ from .chat_format import digests, format_chats, streamed
 from .common import Scratch
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_negatives
 from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import score_quality
@@ -20,6 +21,7 @@ from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_store import read_index, write_store
+from .toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,14 +83,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(Scratch(spark, "chats").store(format_chats(streamed(chats)), "formatted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", label))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op4_suffix_repeats, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format, op13_alignment]
+    found = [op1_decontamination, op2_exact_dedup, op3_mixing, op4_suffix_repeats, op5_token_store, op6_token_counts, op7_license_scan, op8_quality, op9_simhash, op10_chat_format, op11_hard_negatives, op12_toxicity, op13_alignment]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1, "op10_chat_format": sql.OP10, "op2_exact_dedup": sql.OP2, "op3_mixing": sql.OP3}
+    return {"op1_decontamination": sql.OP1, "op10_chat_format": sql.OP10, "op11_hard_negatives": sql.OP11, "op2_exact_dedup": sql.OP2, "op3_mixing": sql.OP3}
