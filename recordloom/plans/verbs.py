@@ -21,13 +21,9 @@ SESSIONS = "id string, source_type string, source_file string, source_sha256 str
 RUNS = "run_id int, session_id string, prompt_version string, runner_type string, status string, created_at timestamp"
 
 
-#: The table of a store that makes a batch of each table seen.
-LAST = {"raw_events": "sessions", "events": "sessions", "sessions": "sessions", "decisions": "analysis_runs", "decision_evidence": "analysis_runs", "analysis_runs": "analysis_runs"}
-
-
 def stored(spark: SparkSession, store: str, name: str, schema: str) -> DataFrame:
-    """A table of the store; empty where it hasn't been written."""
-    return sinks.read(spark, store, name, schema, LAST[name])
+    """A table of the store as of now; empty where it hasn't been written."""
+    return sinks.read(spark, store, name, schema)
 
 
 def events_in(spark: SparkSession, store: str, session_id: str) -> DataFrame:
@@ -52,7 +48,7 @@ def ingest(spark: SparkSession, source: str, store: str, adapter: str = "default
     report = rows(normalize.loss_report(raw, events))
     if report:
         marks = found.agg(F.sum(F.xxhash64("source_sha256").cast("decimal(38,0)")).alias("x")).first()["x"]
-        sinks.publish({"raw_events": raw, "events": events, "sessions": new}, store, f"files-{len(report)}-{marks}", "sessions")
+        sinks.publish({"raw_events": raw, "events": events, "sessions": new}, store, f"files-{len(report)}-{marks}")
     return report or [{"status": "already_ingested"}]
 
 

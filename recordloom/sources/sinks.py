@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .logs import file_hashes
 
 GUIDANCE_RULE = "\n\n---\n\n"
 
@@ -39,21 +44,71 @@ def write_json(spark: SparkSession, path: str, value, sort: bool = False) -> Non
     write_text(spark, path, canonical(value, sort))
 
 
-def publish(tables: Mapping[str, DataFrame], root: str, batch: str, last: str) -> None:
-    """Writes tables to root, each under batch, which is overwritten: a run that died and is repeated leaves nothing twice. The one
-    named last is written after the others; what read() gives begins from it, so that nothing is seen before all is there."""
-    for name in [*(n for n in tables if n != last), last]:
-        tables[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+#: An entry of a store's log: what a commit added.
+ENTRY = "version long, batch string, tables map<string,string>"
 
 
-def read(spark: SparkSession, root: str, name: str, schema: str, last: str) -> DataFrame:
-    """A table's rows of finished batches; empty where none was written."""
-    def rows(which: str, of: str) -> DataFrame:
-        fs, p = _fs(spark, f"{root}/{which}")
-        return spark.read.schema(f"{of}, batch string").parquet(f"{root}/{which}") if fs.exists(p) else spark.createDataFrame([], f"{of}, batch string")
+def publish(tables: Mapping[str, DataFrame], root: str, batch: str, by: Mapping[str, str] | None = None) -> int | None:
+    """Commits tables to a store under a batch's name, all or nothing; returns the version, or None if the batch was there already.
 
-    found = rows(name, schema)
-    return (found if name == last else found.join(rows(last, "batch_ string").select("batch").distinct(), "batch", "left_semi")).drop("batch")
+    Files are written once, to folders of their own, and never changed. Then an entry that names them is put in the store's log: its number is
+    claimed by exclusive creation of a file, and its text appears under its name by a rename. A writer that dies before that leaves files
+    that no entry names; one that dies with a claimed number leaves a gap, which readers pass over. Two writers of one batch
+    both succeed, and the entry with the lower number counts. by names, for some tables, a column whose values get folders of
+    their own, for readers to prune by.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if committed(spark, root).where(F.col("batch") == batch).head(1):
+        return None
+    mark, made = uuid.uuid4().hex, {}
+    for name, df in tables.items():
+        made[name] = f"{name}/commit={mark}"
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by[name]) if by and name in by else writer).parquet(f"{root}/{made[name]}")
+    versions = committed(spark, root).agg(F.max("version")).first()[0] or 0
+    version = claim(spark, f"{root}/_log", versions + 1)
+    fs, entry = _fs(spark, f"{root}/_log/{version:012d}.json")
+    _, draft = _fs(spark, f"{root}/_log/.{mark}")
+    write_text(spark, f"{root}/_log/.{mark}", json.dumps({"version": version, "batch": batch, "tables": made}) + "\n")
+    if not fs.rename(draft, entry):
+        raise OSError(f"the log of {root} didn't take version {version}")
+    return version
+
+
+def committed(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A store's log up to a version, its end if none is given: one entry for each batch, the first."""
+    fs, p = _fs(spark, f"{root}/_log")
+    if not (fs.exists(p) and any(f.getPath().getName().endswith(".json") for f in fs.listStatus(p))):
+        return spark.createDataFrame([], ENTRY)
+    entries = spark.read.schema(ENTRY).option("mode", "FAILFAST").json(f"{root}/_log/*.json")
+    entries = entries if version is None else entries.where(F.col("version") <= version)
+    return entries.groupBy("batch").agg(F.min_by(F.struct("version", "tables"), "version").alias("e")).select("e.version", "batch", "e.tables")
+
+
+def read(spark: SparkSession, root: str, name: str, schema: str, version: int | None = None, by: str | None = None) -> DataFrame:
+    """A table's rows as of a version (now, if none is given): the files of its commits, which no writer changes any more. by is the
+    column that the writers gave folders to; a filter or a join on it leaves other folders unread."""
+    found = committed(spark, root, version).select(F.col("tables")[name].alias("path")).where("path is not null")
+    paths = sorted(f"{root}/{r['path']}" for r in found.collect())  # a name a commit
+    if not paths:
+        return spark.createDataFrame([], schema)
+    columns = [c.name for c in StructType.fromDDL(schema).fields]
+    return spark.read.schema(f"{schema}, commit string").option("basePath", f"{root}/{name}").parquet(*paths).select(*columns)
+
+
+def vacuum(spark: SparkSession, root: str, names: tuple[str, ...], hours: float = 24.0) -> list[str]:
+    """Deletes folders of tables that no entry names and that are older than so many hours, which no living writer still fills;
+    returns them. Readers of a batch's later, losing entry are as old."""
+    kept = {p for r in committed(spark, root).select(F.map_values("tables").alias("p")).collect() for p in r["p"]}
+    gone = []
+    for name in names:
+        fs, p = _fs(spark, f"{root}/{name}")
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            own = f"{name}/{f.getPath().getName()}"
+            if own not in kept and f.getModificationTime() <= (time.time() - hours * 3600) * 1000:
+                fs.delete(f.getPath(), True)
+                gone.append(own)
+    return gone
 
 
 def next_run_id(runs: DataFrame) -> int:
@@ -78,7 +133,7 @@ def save_run(spark: SparkSession, root: str, runs: DataFrame, session_id: str, d
     tagged = tagged.withColumn("raw_analysis_json", F.to_json(F.struct(*decisions.columns)))
     evidence = tagged.select("run_id", "decision_id", F.explode("evidence_message_ids").alias("evidence_id"))
     new = spark.createDataFrame([(run, session_id, prompt_version, runner, "completed")], "run_id int, session_id string, prompt_version string, runner_type string, status string")
-    publish({"decisions": tagged, "decision_evidence": evidence, "analysis_runs": new.withColumn("created_at", F.current_timestamp())}, root, f"run-{run}", "analysis_runs")
+    publish({"decisions": tagged, "decision_evidence": evidence, "analysis_runs": new.withColumn("created_at", F.current_timestamp())}, root, f"run-{run}", {"decisions": "run_id", "decision_evidence": "run_id"})
     return run
 
 
@@ -89,9 +144,8 @@ def fan_out(df: DataFrame, path: str, by: str, text: bool = False) -> None:
 
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, size and SHA-256 of files."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
-    return d.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """path, size and SHA-256 of files of any size, below the pattern too."""
+    return file_hashes(spark, pattern, recursive=True).withColumnRenamed("source_sha256", "sha256")
 
 
 def with_guidance(guidance: str, prompt: str) -> str:
@@ -109,11 +163,14 @@ def arms(sessions: DataFrame, knowledge: str) -> DataFrame:
 
 
 def provenance(spark: SparkSession, inputs: Mapping[str, str], texts: Mapping[str, str]) -> dict:
-    """Names to SHA-256: of each input path's files together, in order of their digests, and of each text."""
+    """Names to SHA-256: of each input path's files together, and of each text. The former is a tree's: digests that begin with the same
+    three digits are joined in order and hashed, then those (4,096 at most), so that no task has all files' digests."""
     import hashlib
 
     def of(path: str) -> str:
-        return manifest(spark, path).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "\n"), 256)).first()[0]
+        joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+        part = F.substring("sha256", 1, 3)
+        return manifest(spark, path).groupBy(part.alias("part")).agg(joined("sha256").alias("d")).agg(joined(F.concat_ws(":", "part", "d"))).first()[0]
 
     return {"inputs": {k: of(p) for k, p in inputs.items()}, "texts": {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}}
 

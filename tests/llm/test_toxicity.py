@@ -75,7 +75,7 @@ def some_docs():
         y = int(i % 5 == 0)
         if y:
             words[r.randrange(len(words))] = r.choice(["wretch", "Swineface", "dunghead!"])
-        elif i % 27 == 0:
+        elif i % 41 == 0:
             words += ["poor", "wretch", "indeed"]
         docs.append((i, " ".join(words)))
         labels.append((i, y))

@@ -70,6 +70,45 @@ def test_odd_shapes(spark):
     assert {r.source_line for r in flags if r.x} == {2, 3, 6, 7}
 
 
+def test_hashes_of_streamed_files(spark, tmp_path):
+    """Files over the bar are one task's each, line by line; all kinds of ends, bytes that are no UTF-8, a byte-order mark."""
+    made = {"a": b"x\ny\r\nz", "b": b"x\n", "c": b"\n\n\n", "d": b"\xff\xfe\n\x80", "e": b"\xef\xbb\xbfx\n", "f": b"\xef\xbb\xbfx", "g": b"q" * 5_000_000, "h": b"one\rtwo\r", "i": b"", "j": b"l\n" * 200_000}
+    (tmp_path / "sub").mkdir()
+    for name, data in made.items():
+        (tmp_path / "sub" / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = {r.path.rsplit("/", 1)[1]: (r.size, r.source_sha256) for r in logs.file_hashes(spark, f"{tmp_path}/sub", whole=0).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in made.items() if v} and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert {r.sha256 for r in sinks.manifest(spark, str(tmp_path)).collect()} == {x for _, x in got.values()}
+
+
+def test_numbering_moves_no_line(spark, tmp_path):
+    """Neither exchange nor broadcast lies above the scan of the text; the offset table is what is broadcast."""
+    for k in range(5):
+        (tmp_path / f"{k}.jsonl").write_text("".join(f"{k} {i}\n" for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        d = logs.read_log(spark, f"{tmp_path}/*.jsonl")
+        d.collect()
+        plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        text = [line for line in plan.splitlines() if "FileScan text" in line]
+        broadcast = plan[plan.index("BroadcastExchange"):]
+        assert len(text) == 1 and "FileScan text" not in broadcast and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        in_groups = logs.read_log(spark, f"{tmp_path}/*.jsonl", most=3)
+        assert sorted(map(tuple, in_groups.select("source_line", "raw_text").collect())) == sorted(map(tuple, d.select("source_line", "raw_text").collect())) == sorted((i + 1, f"{k} {i}") for k in range(5) for i in range(300))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        changed = spark.read.text(f"{tmp_path}/*.jsonl")  # a read that is dealt out in another way than its offsets raises
+        offsets = logs._offsets(spark, [f"{tmp_path}/*.jsonl"], logs.file_hashes(spark, f"{tmp_path}/*.jsonl").select("source_sha256", "path"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        try:
+            logs._numbered(spark, [f"{tmp_path}/*.jsonl"], offsets).collect()
+            raise AssertionError("must raise")
+        except Exception as e:
+            assert "changed while they were read" in str(e) and changed.count() == 1500
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json_is_what_python_reads(spark):
     """Repeated keys, NaN, depth, long numbers and what stands behind a value, whatever the session's settings."""
     deep = lambda n: '{"type":"x","payload":' + "[" * n + "]" * n + "}"
