@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import stored
 
-#: Sessions with more pairs are capped by rounds over DataFrames instead of in one task.
+#: Sessions with more pairs are capped and clustered by rounds over DataFrames instead of in one task.
 KERNEL_PAIRS = 200_000
 
 
@@ -68,13 +70,16 @@ def capped_pairs(pairs: DataFrame, cap: int = 8, kernel_pairs: int = KERNEL_PAIR
     return pairs.join(kept, key, "left_semi")
 
 
-def clustered(pairs: DataFrame, most: int = 12) -> DataFrame:
-    """(session_id, ord, root): joins the ends of edges, strong ones first, then by score and keys, while the union has at
-    most that many members. One task per session: an edge's fate depends on all before it in the session's order."""
+NODE = "session_id {kind}, ord long, root long, left_ord long, right_ord long"
+
+
+def _joining(most: int):
+    """Joins the ends of a session's edges in order while the union has at most that many members. Ends are parts: a and b, with sizes a_size
+    and b_size, which edges may already have joined. Gives each part's root, and the edges that joined something."""
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["strong_cluster_candidate", "candidate_score", "left_ord", "right_ord"], ascending=[False, False, True, True])
         up: dict[int, int] = {}
-        size: dict[int, int] = {}
+        size = dict(zip(p["a"].tolist(), p["a_size"].tolist())) | dict(zip(p["b"].tolist(), p["b_size"].tolist()))
 
         def top(x: int) -> int:
             while up.setdefault(x, x) != x:
@@ -83,20 +88,78 @@ def clustered(pairs: DataFrame, most: int = 12) -> DataFrame:
             return x
 
         used = []
-        for a, b in zip(p["left_ord"].tolist(), p["right_ord"].tolist()):
+        for a, b in zip(p["a"].tolist(), p["b"].tolist()):
             x, y = top(a), top(b)
-            join = x != y and size.get(x, 1) + size.get(y, 1) <= most
+            join = x != y and size[x] + size[y] <= most
             used.append(join)
             if join:
-                up[y], size[x] = x, size.get(x, 1) + size.get(y, 1)
-        p = p.assign(selected_cluster_edge=used)
+                up[y], size[x] = x, size[x] + size[y]
         session = p["session_id"].iloc[0]
         nodes = pd.DataFrame({"session_id": session, "ord": list(up), "root": [top(x) for x in up], "left_ord": None, "right_ord": None})
-        edges = p[p["selected_cluster_edge"]][["session_id", "left_ord", "right_ord"]]
-        return pd.concat([nodes.astype({"ord": "Int64", "root": "Int64", "left_ord": "Int64", "right_ord": "Int64"}), edges.assign(ord=None, root=None).astype({"ord": "Int64", "root": "Int64", "left_ord": "Int64", "right_ord": "Int64"})])
+        edges = p[used][["session_id", "left_ord", "right_ord"]]
+        whole = {c: "Int64" for c in ("ord", "root", "left_ord", "right_ord")}
+        return pd.concat([nodes.astype(whole), edges.assign(ord=None, root=None).astype(whole)])
+
+    return kernel
 
+
+def _contracted(edges: DataFrame, most: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, chosen, rest) of large sessions' edges: members are (session_id, ord, part, size), chosen edges joined something, and rest,
+    at most few edges a session, join parts and are still open.
+
+    Rounds on the graph of parts. As parts only grow, an edge inside a part or between parts that are too large together is out,
+    whatever its turn. Of the others, one that comes first at both its parts has no earlier open edge that could change either: it is
+    taken in the walk too. So each round takes the first edge of every pair of parts that agree on it, all at once, until few are left.
+    """
+    by, key = ["session_id"], F.struct((~F.col("strong_cluster_candidate")).alias("late"), (-F.col("candidate_score")).alias("low"), "left_ord", "right_ord")
+    kind = edges.schema["session_id"].dataType.simpleString()
+    members = edges.select(*by, F.explode(F.array("left_ord", "right_ord")).alias("ord")).distinct().withColumn("part", F.col("ord")).withColumn("size", F.lit(1).cast("long"))
+    members = stored(members, "members")
+    open_ = stored(edges.withColumn("a", F.col("left_ord")).withColumn("b", F.col("right_ord")).withColumn("a_size", F.lit(1).cast("long")).withColumn("b_size", F.lit(1).cast("long")), "open")
+    taken, rest = [], []
+    while True:
+        n = stored(open_.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "counts")
+        rest.append(open_.join(n.where(F.col("_n") <= few), by, "left_semi"))
+        large = n.where(F.col("_n") > few)
+        if not large.head(1):
+            break
+        live = open_.join(large, by, "left_semi")
+        ends = live.select(*by, key.alias("k"), "a", "b", "a_size", "b_size", F.explode(F.array("a", "b")).alias("end"))
+        first = ends.groupBy(*by, "end").agg(F.min(F.struct("k", "a", "b", "a_size", "b_size")).alias("e"))
+        agreed = stored(first.groupBy(*by, "e").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 2).select(*by, "e.a", "e.b", (F.col("e.a_size") + F.col("e.b_size")).alias("size"), F.col("e.k.left_ord").alias("left_ord"), F.col("e.k.right_ord").alias("right_ord")), "agreed")
+        taken.append(agreed.select(*by, "left_ord", "right_ord"))
+        moved = stored(agreed.select(*by, F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), F.col("size").alias("grown")), "moved")
+        members = stored(members.join(moved.withColumnRenamed("old", "part"), [*by, "part"], "left").select(*by, "ord", F.coalesce("new", "part").alias("part"), F.coalesce("grown", "size").alias("size")), "members")
+        for end in ("a", "b"):
+            live = live.join(moved.withColumnRenamed("old", end), [*by, end], "left").withColumn(end, F.coalesce("new", end)).withColumn(f"{end}_size", F.coalesce("grown", f"{end}_size")).drop("new", "grown")
+        open_ = stored(live.where((F.col("a") != F.col("b")) & (F.col("a_size") + F.col("b_size") <= most)), "open")
+    none = edges.sparkSession.createDataFrame([], f"session_id {kind}, left_ord long, right_ord long")
+    return members, reduce(DataFrame.unionByName, taken, none), reduce(DataFrame.unionByName, rest)
+
+
+def clustered(pairs: DataFrame, most: int = 12, kernel_pairs: int = KERNEL_PAIRS) -> DataFrame:
+    """(session_id, ord, root, left_ord, right_ord): joins the ends of edges, strong ones first, then by score and keys, while the union has
+    at most that many members. Rows with a root say where each end went, the others which edges joined something.
+
+    A session of up to kernel_pairs edges is walked by one task. In larger ones, rounds over DataFrames take all edges that the walk would take
+    whatever else it does, until so few are left that a task can walk the parts; with scores in any order but a chain of ever later edges,
+    each round takes a share of them. pairs is read several times: give it as a stored table.
+    """
+    kind = pairs.schema["session_id"].dataType.simpleString()
     e = pairs.select("session_id", F.col("left_ord").cast("long"), F.col("right_ord").cast("long"), "candidate_score", "strong_cluster_candidate")
-    return e.groupBy("session_id").applyInPandas(kernel, f"session_id {pairs.schema['session_id'].dataType.simpleString()}, ord long, root long, left_ord long, right_ord long")
+    large = e.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > kernel_pairs).select("session_id")
+    one = F.lit(1).cast("long")
+    alone = lambda d: d.withColumn("a", F.col("left_ord")).withColumn("b", F.col("right_ord")).withColumn("a_size", one).withColumn("b_size", one)
+    walk = lambda d: d.groupBy("session_id").applyInPandas(_joining(most), NODE.format(kind=kind))
+    if not large.head(1):
+        return walk(alone(e))
+    members, chosen, rest = _contracted(e.join(large, "session_id", "left_semi"), most, kernel_pairs)
+    walked = stored(walk(rest.select("session_id", "left_ord", "right_ord", "candidate_score", "strong_cluster_candidate", "a", "b", "a_size", "b_size")), "walked")
+    ends = walked.where("root is not null").select("session_id", F.col("ord").alias("part"), "root")
+    none = F.lit(None).cast("long")
+    nodes = members.join(ends, ["session_id", "part"], "left").select("session_id", "ord", F.coalesce("root", "part").alias("root"), none.alias("left_ord"), none.alias("right_ord"))
+    edges = walked.where("root is null").select("session_id", "left_ord", "right_ord").unionByName(chosen).select("session_id", none.alias("ord"), none.alias("root"), "left_ord", "right_ord")
+    return walk(alone(e.join(large, "session_id", "left_anti"))).unionByName(nodes).unionByName(edges)
 
 
 def mark_edges(pairs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import LIFECYCLE_TERMS, contains_any, dice, jaccard, normalized, section_number, tech_terms, trigrams
 from ..schemas import LIFECYCLE_STATUSES
+from ..session import stored
 
-#: Decisions of a session are paired in blocks of so many, so that a large session is many tasks' work.
+#: Sessions of up to so many decisions are compared pair by pair; in larger ones an index finds the pairs to compare.
 BLOCK = 256
 #: Weights of the score, and thresholds; published with each result.
 PARAMETERS = {"title": 0.36, "decision": 0.34, "combined": 0.12, "evidence": 0.12, "attachment": 0.03, "adjacency": 0.03, "candidate_score": 0.34, "strong_score": 0.38, "max_candidates": 8, "max_cluster": 12}
@@ -40,24 +45,11 @@ def ranked(d: DataFrame) -> DataFrame:
     return d.withColumn("ord", F.row_number().over(W.partitionBy("session_id").orderBy("n", "source_decision_key")))
 
 
-def pairs(feats: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (left before right) with similarities, score, strong and reasons.
-
-    The predicate needs a text similarity of 0.12 only, which nearly all texts of one language reach, so that no index of
-    shared trigrams would leave much out. All pairs of a session are compared inside the join, and only candidates come out of
-    it. A session of more than block decisions is cut: each block meets each other in a task of its own.
-    """
-    d = ranked(feats).withColumn("_b", F.floor((F.col("ord") - 1) / block).cast("int"))
-    blocks = d.groupBy("session_id").agg((F.max("_b") + 1).alias("_nb"))
-    d = d.join(blocks, "session_id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    d = d.withColumn("_x", F.least("_b", "_o")).withColumn("_y", F.greatest("_b", "_o"))
-    l, r = d.alias("l"), d.alias("r")
-    on = (F.col("l.session_id") == F.col("r.session_id")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.ord") < F.col("r.ord")) & (F.col("l.section_id") != F.col("r.section_id"))
-    on = on & (F.col("l._b") == F.col("l._x")) & (F.col("r._b") == F.col("r._y"))
-    names = [c for c in d.columns if c != "session_id"]
-    cols = {s: {c: F.col(f"{s}.{c}") for c in names} for s in "lr"}
-    a, b = cols["l"], cols["r"]
-    j = l.join(r, on).select(
+def _scored(both: DataFrame) -> DataFrame:
+    """Candidate pairs of joined decisions l and r (left before right) with similarities, score, strong and reasons."""
+    names = ("source_decision_key", "section_id", "n", "status", "_l", "title_grams", "decision_grams", "combined_grams", "evidence", "attachments", "terms", "ord")
+    a, b = ({c: F.col(f"{side}.{c}") for c in names} for side in "lr")
+    j = both.select(
         "l.session_id", a["source_decision_key"].alias("left_decision_key"), b["source_decision_key"].alias("right_decision_key"), a["ord"].alias("left_ord"), b["ord"].alias("right_ord"),
         F.abs(a["n"] - b["n"]).alias("section_distance"), dice(a["title_grams"], b["title_grams"]).alias("title_similarity"), dice(a["decision_grams"], b["decision_grams"]).alias("decision_similarity"),
         dice(a["combined_grams"], b["combined_grams"]).alias("combined_similarity"), jaccard(a["evidence"], b["evidence"]).alias("evidence_similarity"),
@@ -66,15 +58,115 @@ def pairs(feats: DataFrame, block: int = BLOCK) -> DataFrame:
     t, dd, c, e, n, life = (F.col(x) for x in ("title_similarity", "decision_similarity", "combined_similarity", "evidence_similarity", "section_distance", "possible_lifecycle_relation"))
     files, terms = F.size("shared_attachments"), F.size("terms")
     near = F.when(n == 1, 1.0).when(n == 2, 0.5).otherwise(0.0)
-    j = j.withColumn("candidate_score", F.round(0.36 * t + 0.34 * dd + 0.12 * c + 0.12 * e + 0.03 * F.least(F.lit(1), files) + 0.03 * near, 6))
+    j = j.withColumn("candidate_score", _score(t, dd, c, e, files, near))
     s = F.col("candidate_score")
-    j = j.where((s >= 0.34) | (t >= 0.62) | (dd >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28)))
+    j = j.where(_candidate(s, t, dd, c, e, files, life))
     strong = ((s >= 0.38) | (t >= 0.68) | (dd >= 0.65) | ((e >= 0.34) & (c >= 0.28)) | ((files > 0) & (c >= 0.35)) | (life & (n <= 2) & ((c >= 0.16) | (terms >= 3))) | ((terms >= 2) & (t >= 0.62) & (c >= 0.18)))
     reasons = F.array_compact(F.array(*(F.when(cond, name) for name, cond in (
         ("similar_title", t >= 0.62), ("similar_decision_text", dd >= 0.60), ("similar_combined_text", c >= 0.48), ("shared_evidence", e > 0), ("shared_attachment", files > 0), ("nearby_sections", n <= 2), ("possible_lifecycle_signal", life)))))
     return j.withColumn("strong_cluster_candidate", strong).withColumn("candidate_reasons", reasons).withColumn("shared_terms", F.slice("terms", 1, 20)).drop("terms")
 
 
+def _score(t, d, c, e, files, near) -> Column:
+    return F.round(0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * F.least(F.lit(1), files) + 0.03 * near, 6)
+
+
+def _candidate(s, t, d, c, e, files, life) -> Column:
+    return (s >= 0.34) | (t >= 0.62) | (d >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28))
+
+
+#: Without shared evidence (a shared attachment is one), every rule needs a combined similarity of 0.28, or a score whose three texts give
+#: 0.34 less 0.03 for nearness and less than a rounding: then one of them is at least that by the sum of their weights.
+LEAST = (0.34 - 0.03 - 1e-6) / (0.36 + 0.34 + 0.12)
+KINDS = (("title_grams", LEAST), ("decision_grams", LEAST), ("combined_grams", 0.28))
+#: So many of the most frequent trigrams are ranked by frequency; all others count as rarer, in order of their hashes.
+FREQUENT = 10_000
+
+
+def coded(d: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """session_id, ord, section_id, n, and for each of KINDS its trigrams as numbers, rarest first; evidence hashed. A number is a
+    trigram's hash, of 62 bits, or above all hashes its rank among the frequent ones, whose table (frequent rows) goes to every task."""
+    spark = d.sparkSession
+    told = d.select(F.explode(F.array_union("title_grams", F.array_union("decision_grams", "combined_grams"))).alias("g")).groupBy("g").count()
+    top = [r["h"] for r in told.select(F.xxhash64("g").alias("h"), "count").orderBy(F.desc("count"), "h").limit(frequent).collect()]
+    ranks = spark.sparkContext.broadcast(np.array(top[::-1], np.int64))
+    kinds = [k for k, _ in KINDS]
+    hashed = d.select("session_id", "ord", "section_id", "n", F.transform("evidence", lambda x: F.xxhash64(x)).alias("evidence"), *(F.transform(k, lambda g: F.xxhash64(g)).alias(k) for k in kinds))
+
+    def run(batches):
+        order = np.argsort(ranks.value)
+        table = ranks.value[order]
+        for b in batches:
+            columns = list(b.columns)
+            for i in range(len(columns) - len(kinds), len(columns)):
+                flat, sizes = columns[i].flatten().to_numpy(), np.diff(columns[i].offsets.to_numpy())
+                at = np.minimum(np.searchsorted(table, flat), max(len(table) - 1, 0))
+                known = table[at] == flat if len(table) else np.zeros(len(flat), bool)
+                code = np.where(known, (1 << 61) + order[at], flat >> 2) if len(table) else flat >> 2
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                columns[i] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(code[np.lexsort((code, row))], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    session, section = (d.schema[c].dataType.simpleString() for c in ("session_id", "section_id"))
+    return hashed.mapInArrow(run, f"session_id {session}, ord int, section_id {section}, n int, evidence array<long>, " + ", ".join(f"{k} array<long>" for k in kinds))
+
+
+def candidates(codes: DataFrame) -> DataFrame:
+    """(session_id, left_ord, right_ord) that may be candidate pairs, of coded decisions: those that share a piece of evidence, and those
+    of which one of KINDS may have its Dice similarity.
+
+    Sets of a and b trigrams with a similarity of s share s / 2 * (a + b), and neither is smaller than s / (2 - s) of the other; so they
+    share one of the first trigrams of each, all but the last of that part, and the first that they share leaves enough behind it. Empty sets
+    are alike and have a key of their own. Only numbers and places are joined, and no row is copied per block of others.
+    """
+    keys = [codes.select("session_id", "ord", "section_id", F.lit(-1).alias("kind"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.explode("evidence").alias("code"))]
+    for k, (name, least) in enumerate(KINDS):
+        size = F.size(name)
+        first = size - F.ceil(size * (least / (2 - least)) - 1e-9).cast("int") + 1
+        part = F.when(size == 0, F.array(F.lit(-(1 << 63)))).otherwise(F.slice(name, F.lit(1), first))
+        keys.append(codes.select("session_id", "ord", "section_id", F.lit(k).alias("kind"), size.alias("size"), F.posexplode(part).alias("at", "code")))
+    d = stored(reduce(DataFrame.unionByName, keys), "keys")
+    l, r = d.alias("l"), d.alias("r")
+    L, R = ({c: F.col(f"{side}.{c}") for c in d.columns} for side in "lr")
+    least = F.element_at(F.array(*(F.lit(x) for _, x in KINDS)), L["kind"] + 1)
+    enough = F.ceil(least / 2 * (L["size"] + R["size"]) - 1e-9)
+    fits = (F.least(L["size"], R["size"]) >= least / (2 - least) * F.greatest(L["size"], R["size"]) - 1e-9) & (F.least(L["size"] - L["at"], R["size"] - R["at"]) >= enough)
+    both_empty = (L["size"] == 0) & (R["size"] == 0)
+    on = (L["session_id"] == R["session_id"]) & (L["kind"] == R["kind"]) & (L["code"] == R["code"]) & (L["ord"] < R["ord"]) & (L["section_id"] != R["section_id"])
+    rule = F.when((L["kind"] < 0) | both_empty, F.lit(True)).otherwise(fits)
+    return l.join(r, on).where(rule).select("l.session_id", L["ord"].alias("left_ord"), R["ord"].alias("right_ord")).distinct()
+
+
+def _filtered(d: DataFrame) -> DataFrame:
+    """Candidate pairs of large sessions: possible ones by index, weighed by their numbers, and only what passes joined with its texts."""
+    codes = stored(coded(d), "codes")
+    ends = lambda p, of: p.alias("p").join(of.alias("l"), (F.col("p.session_id") == F.col("l.session_id")) & (F.col("p.left_ord") == F.col("l.ord"))).join(
+        of.alias("r"), (F.col("p.session_id") == F.col("r.session_id")) & (F.col("p.right_ord") == F.col("r.ord")))
+    of = lambda name: dice(F.col(f"l.{name}"), F.col(f"r.{name}"))
+    shared = jaccard(F.col("l.evidence"), F.col("r.evidence"))
+    w = ends(candidates(codes), codes).select("p.*", of("title_grams").alias("t"), of("decision_grams").alias("d"), of("combined_grams").alias("c"), shared.alias("e"))
+    files = F.when(F.col("e") > 0, 1).otherwise(0)  # at most
+    weighed = w.where(_candidate(_score(F.col("t"), F.col("d"), F.col("c"), F.col("e"), files, F.lit(1.0)) + 1e-6, F.col("t"), F.col("d"), F.col("c"), F.col("e"), files, F.lit(True)))
+    return _scored(ends(stored(weighed.select("session_id", "left_ord", "right_ord"), "weighed"), d))
+
+
+def pairs(feats: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (left before right) with similarities, score, strong and reasons; exact.
+
+    A session of up to block decisions is compared pair by pair inside a join on the session. In larger ones, of which this asks when it is
+    called, an index finds the pairs that may be candidates (candidates); no row is copied. Hashes stand for trigrams there: a pair
+    could be lost only if two trigrams of one text had the same 62 bits.
+    """
+    d = ranked(feats)
+    large = feats.groupBy("session_id").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > block).select("session_id")
+    some = bool(large.head(1))
+    small = d.join(large, "session_id", "left_anti") if some else d
+    l, r = small.alias("l"), small.alias("r")
+    on = (F.col("l.session_id") == F.col("r.session_id")) & (F.col("l.ord") < F.col("r.ord")) & (F.col("l.section_id") != F.col("r.section_id"))
+    made = _scored(l.join(r, on))
+    return made.unionByName(_filtered(stored(d.join(large, "session_id", "left_semi"), "large"))) if some else made
+
+
 def possible_pairs(inventory: DataFrame) -> DataFrame:
     """Per session, pairs across sections, in closed form."""
     per = inventory.groupBy("session_id", "section_id").agg(F.count(F.lit(1)).alias("n"))

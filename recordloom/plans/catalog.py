@@ -166,6 +166,15 @@ def jon11_similar_pairs(spark, sf):
     return p.select("session_id", "left_decision_key", "right_decision_key", "title_similarity", "decision_similarity", "combined_similarity", "evidence_similarity", "candidate_score", "strong_cluster_candidate", F.array_join("candidate_reasons", ",").alias("reasons"))
 
 
+#: Conversations of a session that is compared by index.
+LARGE = 40
+
+
+def jon11_large_sessions(spark, sf):
+    """JON-11 by the index of rare trigrams: sessions of hundreds of decisions."""
+    return _pairs(spark, sf, LARGE)[2].select("session_id", "left_decision_key", "right_decision_key", "title_similarity", "decision_similarity", "combined_similarity", "candidate_score", "strong_cluster_candidate")
+
+
 #: Conversations of a session where caps on pairs and clusters are to bite.
 TOGETHER = 4
 
@@ -325,7 +334,7 @@ def snk14_markdown(spark, sf):
 
 ALL: tuple[Callable, ...] = (
     prj02_classify, prj10_projection, prj12_strip_blocks, prj19_repair, prj20_partial_acceptance, prj22_section_states, val01_violations, jon03_missing_evidence,
-    jon10_asof_section, jon11_similar_pairs, jon14_context_window, jon15_status_updates, jon15_lifecycle_status, jon16_lifecycle_applied, jon17_registry_conflicts, srt04_capped_pairs, grf01_clusters, grf04_priority,
+    jon10_asof_section, jon11_similar_pairs, jon11_large_sessions, jon14_context_window, jon15_status_updates, jon15_lifecycle_status, jon16_lifecycle_applied, jon17_registry_conflicts, srt04_capped_pairs, grf01_clusters, grf04_priority,
     agg01_kind_counts, agg04_signal_counts, agg05_signal_rollup, agg06_run_summary, agg07_evaluation, agg09_assembly_summary, agg11_assembled, agg12_shared_set, agg13_latest_run,
     win01_neighbors, win02_prev_context, win03_first_occurrence, sig03_phrase_hits, fn02_trigrams, fn05_tech_terms, fn12_hashes, fn15_percent, set03_coverage, snk14_markdown,
 )

@@ -40,9 +40,13 @@ cand AS (SELECT *, s >= 0.38 OR t >= 0.68 OR d >= 0.65 OR (e >= 0.34 AND c >= 0.
       array_to_string(list_filter([CASE WHEN t >= 0.62 THEN 'similar_title' END, CASE WHEN d >= 0.60 THEN 'similar_decision_text' END, CASE WHEN c >= 0.48 THEN 'similar_combined_text' END,
       CASE WHEN e > 0 THEN 'shared_evidence' END, CASE WHEN dist <= 2 THEN 'nearby_sections' END, CASE WHEN life THEN 'possible_lifecycle_signal' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sc
       WHERE s >= 0.34 OR t >= 0.62 OR d >= 0.60 OR c >= 0.48 OR (e > 0 AND c >= 0.18) OR (life AND c >= 0.28))"""
-#: The same with four conversations to a session.
-_N = "CAST(conv_id % 4 * 8 + turn + 1 AS INTEGER)"
-PAIRS_4 = PAIRS.replace("CAST(conv_id AS VARCHAR) AS session_id", "CAST(conv_id // 4 AS VARCHAR) AS session_id").replace("CAST(turn + 1 AS INTEGER) AS n", f"{_N} AS n").replace("lpad(CAST(turn + 1 AS VARCHAR), 3, '0')", f"lpad(CAST({_N} AS VARCHAR), 3, '0')")
+def pairs_of(together: int) -> str:
+    """The same with several conversations to a session."""
+    n = f"CAST(conv_id % {together} * 8 + turn + 1 AS INTEGER)"
+    return PAIRS.replace("CAST(conv_id AS VARCHAR) AS session_id", f"CAST(conv_id // {together} AS VARCHAR) AS session_id").replace("CAST(turn + 1 AS INTEGER) AS n", f"{n} AS n").replace("lpad(CAST(turn + 1 AS VARCHAR), 3, '0')", f"lpad(CAST({n} AS VARCHAR), 3, '0')")
+
+
+PAIRS_4 = pairs_of(4)
 #: Ranked pairs are walked one by one; ends holds both ends of those kept.
 CAPPED = "WITH RECURSIVE " + PAIRS_4 + r""", rn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, lk, rk) AS i FROM cand),
 wk AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ends FROM rn UNION ALL
@@ -114,6 +118,7 @@ SQL = {
     "jon10_asof_section": """WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2), e AS (SELECT user_id, ts, event_id AS error_id FROM events WHERE event_type = 'error')
         SELECT e.user_id, error_id, view_id FROM e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""",
     "jon11_similar_pairs": f"WITH {PAIRS} SELECT session_id, lk AS left_decision_key, rk AS right_decision_key, t AS title_similarity, d AS decision_similarity, c AS combined_similarity, e AS evidence_similarity, s AS candidate_score, strong AS strong_cluster_candidate, reasons FROM cand",
+    "jon11_large_sessions": f"WITH {pairs_of(40)} SELECT session_id, lk AS left_decision_key, rk AS right_decision_key, t AS title_similarity, d AS decision_similarity, c AS combined_similarity, s AS candidate_score, strong AS strong_cluster_candidate FROM cand",
     "srt04_capped_pairs": f"{CAPPED} SELECT session_id, lk AS left_decision_key, rk AS right_decision_key, s AS candidate_score FROM kept",
     "grf01_clusters": f"""{CLUSTERS} SELECT session_id, cluster_id, array_to_string(ks, ',') AS members, CASE WHEN routine OR NOT strong THEN 'uncertain' WHEN life THEN 'possible_lifecycle_relation' ELSE 'possible_same_decision' END AS candidate_relation,
         CASE WHEN life OR n >= 6 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS review_priority, np AS candidate_pair_count, n - 1 AS selected_edge_count, why AS candidate_reasons, tms AS shared_terms, evs AS shared_evidence, secs AS section_ids FROM cl""",

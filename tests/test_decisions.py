@@ -116,24 +116,91 @@ def brute_pairs(rows):
         return "".join(c for c in x.lower() if c.isalnum())
 
     def grams(x):
-        return {x[i : i + 3] for i in range(len(x) - 2)} or {x}
+        return {x[i : i + 3] for i in range(len(x) - 2)} or ({x} if x else set())
 
     def dice(a, b):
-        return 2 * len(a & b) / (len(a) + len(b))
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
     out = {}
     for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0]:
+            continue
         t, d, c = (dice(grams(plain(f(a))), grams(plain(f(b)))) for f in (lambda r: r[2], lambda r: r[3], lambda r: r[2] + r[3]))
         ea, eb = ({tuple(x) for x in r[7]} for r in (a, b))
-        e = len(ea & eb) / len(ea | eb)
+        e = len(ea & eb) / len(ea | eb) if ea | eb else 0.0
+        files = any(kind == "attachment" for kind, _ in ea & eb)
         n = abs(int(a[0][4:]) - int(b[0][4:]))
-        s = round(0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * (1.0 if n == 1 else 0.5 if n == 2 else 0.0), 6)
+        s = round(0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * files + 0.03 * (1.0 if n == 1 else 0.5 if n == 2 else 0.0), 6)
         life = a[5] != b[5] or any(w in (a[2] + a[3] + b[2] + b[3]).lower() for w in similarity.LIFECYCLE_TERMS)
-        if s >= 0.34 or t >= 0.62 or d >= 0.6 or c >= 0.48 or (e > 0 and c >= 0.18) or (life and c >= 0.28):
+        if s >= 0.34 or t >= 0.62 or d >= 0.6 or c >= 0.48 or (e > 0 and c >= 0.18) or (files and c >= 0.12) or (life and c >= 0.28):
             out[f"{a[0]}:{a[1]}", f"{b[0]}:{b[1]}"] = s
     return out
 
 
+def random_decisions(n=160, seed=3):
+    """Texts over a few words, some of them variants of each other, empty ones, shared evidence and files; two or three a section."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        title, text = (" ".join(r.choice(words) for _ in range(k)) for k in (r.randint(1, 5), r.randint(1, 14)))
+        if rows and r.random() < 0.3:
+            other = r.choice(rows)
+            title = r.choice([title, other[2], other[2] + " " + r.choice(words)])
+            text = r.choice([text, " ".join(w for w in other[3].split() if r.random() < 0.6)])
+        if r.random() < 0.06:
+            title = ""
+        if r.random() < 0.06:
+            text = ""
+        refs = [("message", f"M{r.randrange(60)}")] if r.random() < 0.5 else []
+        refs += [("attachment", f"A{r.randrange(30)}")] if r.random() < 0.2 else []
+        rows.append((f"SEC-{i // 3 + 1:03d}", f"D-{i % 3 + 1:03d}", title, text, [], r.choice(["accepted"] * 5 + ["proposed"]), "high", refs))
+    return rows
+
+
+def test_filter_join_loses_no_pair(spark):
+    rows = random_decisions()
+    feats = similarity.features(inventory(spark, rows))
+    want = brute_pairs(rows)
+    for block in (10, 1000):
+        got = {(r.left_decision_key, r.right_decision_key): r.candidate_score for r in similarity.pairs(feats, block=block).collect()}
+        assert set(got) == set(want) and got == pytest.approx(want)
+    codes = similarity.coded(similarity.ranked(feats), frequent=20)
+    compared, possible = similarity.candidates(codes).count(), sum(a[0] != b[0] for a, b in itertools.combinations(rows, 2))
+    assert len(want) < compared < possible / 2, (len(want), compared, possible)
+
+
+def walked(edges, most):
+    """The walk, edge by edge."""
+    of, used = {}, []
+    for s, _, a, b in sorted(((not strong, -score, a, b), score, a, b) for a, b, score, strong in edges):
+        x, y = of.setdefault(a, frozenset([a])), of.setdefault(b, frozenset([b]))
+        if x != y and len(x) + len(y) <= most:
+            used.append((a, b))
+            for k in x | y:
+                of[k] = x | y
+    return set(of.values()), set(used)
+
+
+@pytest.mark.parametrize("few", [10**6, 20, 0])
+def test_clusters_by_rounds_are_the_walk(spark, few):
+    r = random.Random(9)
+    graphs = {"random": [(*sorted(r.sample(range(40), 2)), r.randint(1, 9) / 10, r.random() < 0.3) for _ in range(150)], "chain": [(i, i + 1, 1 - i / 100, True) for i in range(14)],
+              "ties": [(i, j, 0.5, False) for i in range(8) for j in range(i + 1, 8)], "one": [(1, 2, 0.5, True)]}
+    graphs["random"] = list({(a, b): (a, b, s, t) for a, b, s, t in graphs["random"]}.values())
+    rows = [(name, a, b, s, t) for name, g in graphs.items() for a, b, s, t in g]
+    pairs = spark.createDataFrame(rows, "session_id string, left_ord int, right_ord int, candidate_score double, strong_cluster_candidate boolean")
+    got = capped.clustered(pairs, 5, few).collect()
+    for name, g in graphs.items():
+        parts, used = walked(g, 5)
+        mine = {}
+        for x in got:
+            if x.session_id == name and x.root is not None:
+                mine.setdefault(x.root, set()).add(x.ord)
+        assert {frozenset(m) for m in mine.values()} == parts and all(root in m for root, m in mine.items())
+        assert {(x.left_ord, x.right_ord) for x in got if x.session_id == name and x.root is None} == used
+
+
 def test_candidates_and_clusters(spark):
     inv = inventory(spark, ROWS)
     feats = similarity.features(inv)
