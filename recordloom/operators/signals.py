@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Mapping
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..errors import SignalFailure
 from ..functions.shape import non_blank
 from ..schemas import SIGNAL_TYPES
 from ..session import stored
@@ -92,32 +95,93 @@ def lemma_signals(tokens: DataFrame, lemmas: Mapping[str, tuple[str, ...]] = LEM
     return d.select("session_id", "evidence_id", *_signal(F.col("_kind"), "spacy_matcher", F.concat("_kind", F.lit("__lemma-v1")), F.col("token"), F.col("char_start"), F.col("char_end")))
 
 
+def spans_below(tokens: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, int]]:
+    """For each token (place, head, start, end) of a text, the first start and last end of what hangs below it, itself included.
+
+    Bottom-up, each token handed to its head once all below it are in; what is left then are rings of heads, whose tokens all hang
+    below each other. A head that isn't there, or is the token itself, ends a chain.
+    """
+    at = {t[0]: k for k, t in enumerate(tokens)}
+    up = [at.get(head, -1) if head != i else -1 for i, head, _, _ in tokens]
+    low, high, waiting = [t[2] for t in tokens], [t[3] for t in tokens], [0] * len(tokens)
+    for p in up:
+        if p >= 0:
+            waiting[p] += 1
+    ready = [k for k, n in enumerate(waiting) if not n]
+    while ready:
+        k = ready.pop()
+        p = up[k]
+        if p >= 0:
+            low[p], high[p] = min(low[p], low[k]), max(high[p], high[k])
+            waiting[p] -= 1
+            if not waiting[p]:
+                ready.append(p)
+    for k in range(len(tokens)):
+        if waiting[k]:
+            ring = [k]
+            while up[ring[-1]] != k:
+                ring.append(up[ring[-1]])
+            a, b = min(low[x] for x in ring), max(high[x] for x in ring)
+            for x in ring:
+                low[x], high[x], waiting[x] = a, b, 0
+    return {t[0]: (low[k], high[k]) for k, t in enumerate(tokens)}
+
+
 def dependency_signals(tokens: DataFrame, texts: DataFrame, lemmas: tuple[str, ...] = DECISION_LEMMAS, relations: tuple[str, ...] = REASON_RELATIONS, words: str = REASON_WORDS) -> DataFrame:
     """A reason for each decision token with a clause of relations below it, if the clause's text, from the first to the last of
     what hangs below it, holds one of words. The hit spans the clause; its trigger is the decision token.
 
-    What hangs below a clause is found by going up from each of the message's tokens, a level a round, by a join on the message,
-    until no round gains anything; chains of heads end at a root or in a ring.
+    Tokens and text of a message meet in one shuffle; a task takes a message's tokens at a time and folds them bottom-up.
     """
     key = ["session_id", "evidence_id"]
-    heads = tokens.select(*key, F.col("i").alias("_up"), F.col("lemma").alias("_lemma"), F.col("token").alias("trigger"))
-    child = tokens.where(F.col("dep").isin(*relations) & (F.col("head") != F.col("i"))).withColumnRenamed("head", "_up")
-    clauses = child.join(heads, [*key, "_up"]).where(F.col("_lemma").isin(*lemmas)).select(*key, "trigger", F.col("i").alias("top"))
-    line = tokens.select(*key, "i", "head", "char_start", "char_end")
-    below = stored(clauses.select(*key, F.col("top").alias("i"), "top").distinct(), "clauses")
-    level = below
-    while True:
-        step = level.withColumnRenamed("i", "head").join(line.select(*key, "i", "head"), [*key, "head"]).select(*key, "i", "top")
-        level = stored(step.join(below, [*key, "i", "top"], "left_anti").distinct(), "level")
-        if not level.head(1):
-            break
-        below = below.unionByName(level)
-    spans = below.join(line, [*key, "i"]).groupBy(*key, "top").agg(F.min("char_start").alias("a"), F.max("char_end").alias("b"))
-    d = clauses.join(spans, [*key, "top"]).join(texts.select(*key, "content"), key)
-    d = d.withColumn("reason", F.substring("content", F.col("a") + 1, F.col("b") - F.col("a"))).where(F.col("reason").rlike(words))
+    fields = ("i", "token", "lemma", "dep", "head", "char_start", "char_end")
+    token = F.struct(*fields)
+    both = tokens.select(*key, token.alias("t"), F.lit(None).cast("string").alias("content")).unionByName(
+        texts.select(*key, F.lit(None).cast(tokens.select(token.alias("t")).schema["t"].dataType).alias("t"), "content"))
+    whole = both.groupBy(*key).agg(F.collect_list("t").alias("tokens"), F.max("content").alias("content"))
+    kinds = [tokens.schema[k].dataType.simpleString() for k in key]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for session, evidence, found, content in zip(f["session_id"], f["evidence_id"], f["tokens"], f["content"]):
+                by = {t["i"]: t for t in found}
+                spans = None
+                for t in found:
+                    head = by.get(t["head"])
+                    if t["dep"] in relations and t["head"] != t["i"] and head is not None and head["lemma"] in lemmas:
+                        spans = spans or spans_below([(x["i"], x["head"], x["char_start"], x["char_end"]) for x in by.values()])
+                        a, b = spans[t["i"]]
+                        rows.append((session, evidence, head["token"], a, b, (content or "")[a:b]))
+            yield pd.DataFrame(rows, columns=[*key, "trigger", "a", "b", "reason"])
+
+    d = whole.mapInPandas(run, f"session_id {kinds[0]}, evidence_id {kinds[1]}, trigger string, a int, b int, reason string").where(F.col("reason").rlike(words))
     return d.select(*key, *_signal(F.lit("reason_candidate"), "spacy_dependency_matcher", F.lit("reason_candidate__dependency-v1"), F.col("trigger"), F.col("a"), F.col("b"), F.col("reason")))
 
 
+def _spacy(model: str):
+    import spacy
+
+    nlp = spacy.load(model)
+    return lambda texts: [[(t.text, t.lemma_, t.dep_, t.head.i, t.idx) for t in doc] for doc in nlp.pipe(texts)]
+
+
+def analyser_of(spec: str) -> Callable[[], Callable]:
+    """What makes the analyser that spec names, package.module:function or spacy:MODEL, tried once here: one that isn't there is an error, so that
+    no run silently does without it."""
+    module, _, name = spec.partition(":")
+    try:
+        load = partial(_spacy, name) if module == "spacy" else getattr(importlib.import_module(module), name)
+        load()([])
+    except (ImportError, AttributeError, OSError, ValueError) as e:
+        raise SignalFailure(f"analyser is not available: {spec or 'none named'} ({e})") from e
+    return load
+
+
+#: What the annotators that need an analyser make of its tokens.
+TOKEN_ANNOTATORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"lemma": lambda tokens, texts: lemma_signals(tokens), "dependency": dependency_signals}
+
+
 def deduplicate(signals: Column) -> Column:
     """In order of (start, end, type, rules), each signal joins the first kept one of its type that it overlaps.
 
@@ -135,18 +199,24 @@ def deduplicate(signals: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(f"array<{SIGNAL}>"), step)
 
 
-def annotate(messages: DataFrame, rules=PHRASE_RULES, annotators: tuple[str, ...] = ()) -> DataFrame:
+def annotate(messages: DataFrame, rules=PHRASE_RULES, annotators: tuple[str, ...] = (), analyser: str = "") -> DataFrame:
     """Adds signals (null where there are none) and previous (evidence_id, actor, types of the message before; null for the
     first, and where there are no signals).
 
-    Only human and assistant messages with text are examined. annotators names further ones from ANNOTATORS, which must be there.
+    Only human and assistant messages with text are examined. annotators names further ones: lemma and dependency, which take the tokens of
+    the analyser (analyser_of), made once and stored, or those in ANNOTATORS. One that isn't there is an error.
     """
+    lost = sorted(set(annotators) - set(ANNOTATORS) - set(TOKEN_ANNOTATORS))
+    if lost:
+        raise SignalFailure(f"no such annotator: {', '.join(lost)}")
     eligible = F.col("actor").isin("human", "assistant") & non_blank(F.col("content"))
     d = messages.withColumn("examined", F.coalesce(eligible, F.lit(False)))
     found = F.when(F.col("examined"), phrase_signals(F.col("content"), rules)).otherwise(F.array().cast(f"array<{SIGNAL}>"))
     d = d.withColumn("_s", found.cast(f"array<{SIGNAL}>"))
+    texts = d.where("examined").select("session_id", "evidence_id", "content")
+    tokens = stored(analysed(texts, analyser_of(analyser)), "tokens") if set(annotators) - set(ANNOTATORS) else None
     for name in annotators:
-        more = ANNOTATORS[name](d.where("examined").select("session_id", "evidence_id", "content"))
+        more = ANNOTATORS[name](texts) if name in ANNOTATORS else TOKEN_ANNOTATORS[name](tokens, texts)
         more = more.groupBy("session_id", "evidence_id").agg(F.collect_list(F.struct("type", "sources", "rule_ids", "trigger", "char_start", "char_end", "reason")).alias("_more"))
         d = d.join(more, ["session_id", "evidence_id"], "left").withColumn("_s", F.concat("_s", F.coalesce("_more", F.array().cast(f"array<{SIGNAL}>")))).drop("_more")
     d = d.withColumn("signals", deduplicate(F.col("_s"))).withColumn("signals", F.when(F.size("signals") > 0, F.col("signals"))).drop("_s")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import errors
 from ..functions.shape import add_counts, first_text
 from ..functions.text import matches, normalized, role_title, section_number
 from ..operators import assembly, clusters, lifecycle, normalize, projection, render, sections, signals, validation
@@ -408,6 +409,33 @@ def sig05_dependencies(spark, sf):
     return hits.select("evidence_id", "trigger", "char_start", "char_end", "reason")
 
 
+# Texts, and the signals that phrase rules, lemmas and dependencies find in them together, with their sources.
+ANNOTATED = (
+    ("依頼 です", "request_candidate@0依頼:spacy_matcher"), ("x y 変更 速いから ね", "reason_candidate@7変更:phrase+spacy_dependency_matcher"), ("no hint", ""),
+    ("保留 を 採用", "uncertainty_candidate@0保留:phrase+spacy_matcher,acceptance_candidate@5採用:phrase+spacy_matcher"), ("a b 採用 早く c", "acceptance_candidate@4採用:phrase+spacy_matcher"),
+)
+
+
+@query(f"""WITH {CHATS}, {values('sh', 'text, hits', ANNOTATED)}, x AS (SELECT s || ':' || t AS evidence_id, unnest(string_split(hits, ',')) AS h FROM ch JOIN sh ON (c + t) % {len(ANNOTATED)} = i WHERE role <> 'system' AND hits <> '')
+    SELECT evidence_id, regexp_extract(h, '^([a-z_]+)', 1) AS type, CAST(regexp_extract(h, '@([0-9]+)', 1) AS INTEGER) AS char_start, regexp_extract(h, '@[0-9]+([^:]*):', 1) AS trigger, regexp_extract(h, ':(.*)$', 1) AS sources,
+    'SIGNAL_ANNOTATION_ERROR: analyser is not available: no.such:thing' AS refused FROM x""")
+def sig08_verb(spark, sf):
+    """SIG-02, SIG-04 to SIG-08, SNK-06: all annotators switched on by the verb; an analyser that isn't there is refused."""
+    root = own_dir(spark, "annotated")
+    d = chats(spark, sf).select(F.col("s").alias("session_id"), F.struct(F.concat_ws(":", "s", "t").alias("evidence_id"), F.lit("SEC-001").alias("section_id"), F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("actor"),
+                                                                          F.col("t").alias("source_line"), chosen([x[0] for x in ANNOTATED], (F.col("c") + F.col("t")) % len(ANNOTATED)).alias("content")).alias("m"))
+    d.groupBy("session_id").agg(F.collect_list("m").alias("messages")).write.json(f"{root}/in/analysis_session")
+    spark.createDataFrame([], "attachment_id string").write.json(f"{root}/in/attachments")
+    try:
+        verbs.export_signals(spark, f"{root}/in", f"{root}/none", "lemma", "no.such:thing")
+        refused = None
+    except errors.SignalFailure as e:
+        refused = str(e).split(" (")[0]
+    verbs.export_signals(spark, f"{root}/in", f"{root}/out", "lemma,dependency", f"{__name__}:toy_analyser")
+    found = spark.read.json(f"{root}/out/messages").select("evidence_id", F.explode("signals").alias("x"))
+    return found.select("evidence_id", "x.type", F.col("x.char_start").cast("int").alias("char_start"), "x.trigger", F.array_join("x.sources", "+").alias("sources"), F.lit(refused).alias("refused"))
+
+
 @query(f"WITH {CHATS} SELECT s, CAST(sum(len(text) + t) AS DOUBLE) / sum(len(text)) - 1 AS growth FROM ch GROUP BY s")
 def agg15_growth(spark, sf):
     """AGG-15."""

@@ -141,14 +141,14 @@ def section_documents(m: DataFrame, a: DataFrame, extra: dict[str, str] | None =
     return d
 
 
-def export_sections(spark: SparkSession, projected: str, out: str, index: str | None = None, guidance: str = "", prompt: str = "", knowledge: str | None = None, hybrid: bool = False) -> dict:
-    """A document per section (SNK-04); hybrid adds signals and knowledge (SNK-05)."""
+def export_sections(spark: SparkSession, projected: str, out: str, index: str | None = None, guidance: str = "", prompt: str = "", knowledge: str | None = None, hybrid: bool = False, annotators: str = "", analyser: str = "") -> dict:
+    """A document per section (SNK-04); hybrid adds signals, of the annotators named too, and knowledge (SNK-05)."""
     sinks.refuse_non_empty(spark, out, errors.SectionBundle)
     m, a = analysis(spark, projected)
     if index:
         ix = spark.read.json(index).select("section_id", F.col("source.message_ids").alias("message_ids"), F.col("source.attachment_ids").alias("attachment_ids"))
         errors.raise_first(sections.membership_violations(m, ix).unionByName(sections.attachment_violations(a, m, ix)), errors.SectionBundle)
-    m = signals.annotate(m) if hybrid else m
+    m = signals.annotate(m, annotators=named(annotators), analyser=analyser) if hybrid else m
     made = section_documents(m, a, {"interpretation_knowledge": knowledge} if hybrid and knowledge else None)
     sinks.fan_out(made, f"{out}/sections", "section_id")
     sinks.write_text(spark, f"{out}/prompt.md", sinks.with_guidance(guidance, prompt))
@@ -160,16 +160,21 @@ def export_sections(spark: SparkSession, projected: str, out: str, index: str |
     return report
 
 
-def export_signals(spark: SparkSession, projected: str, out: str) -> dict:
-    """The projection with signals, and how much it grew."""
+def named(names: str) -> tuple[str, ...]:
+    return tuple(n.strip() for n in names.split(",") if n.strip())
+
+
+def export_signals(spark: SparkSession, projected: str, out: str, annotators: str = "", analyser: str = "") -> dict:
+    """The projection with signals, and how much it grew. annotators (lemma,dependency) need an analyser (package.module:function or
+    spacy:MODEL) and are refused without it."""
     sinks.refuse_non_empty(spark, out, errors.SignalFailure)
     m, _ = analysis(spark, projected)
     if "signals" in m.columns:
         raise errors.SignalFailure("input already carries signals")
-    d = signals.annotate(m)
+    d = signals.annotate(m, annotators=named(annotators), analyser=analyser)
     d.write.json(f"{out}/messages")
     size = d.agg(F.sum(F.octet_length(F.to_json(F.struct(*m.columns)))).alias("a"), F.sum(F.octet_length(F.to_json(F.struct(*d.columns)))).alias("b")).first()
-    report = rows(signals.annotation_report(d))[0] | {"growth": (size["b"] / size["a"] - 1) if size["a"] else 0.0}
+    report = rows(signals.annotation_report(d, named(annotators)))[0] | {"growth": (size["b"] / size["a"] - 1) if size["a"] else 0.0}
     sinks.write_json(spark, f"{out}/report.json", report)
     return report
 
