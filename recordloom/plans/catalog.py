@@ -17,7 +17,7 @@ from ..functions.text import event_id, normalized, percent, short_hash, strip_bl
 from ..operators import assembly, capped, clusters, lifecycle, normalize, projection, render, sections, signals, similarity, validation
 from ..session import stored
 from ..sources import logs
-from . import shaped
+from . import bundles, shaped
 from .sql import SQL
 
 #: Rules for Latin-script text, in the form of the phrase rules.
@@ -341,8 +341,8 @@ ALL: tuple[Callable, ...] = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*ALL, *shaped.QUERIES)}
+    return {f.__name__: f for f in (*ALL, *shaped.QUERIES, *bundles.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: SQL[f.__name__] for f in ALL if f.__name__ in SQL} | shaped.SQL
+    return {f.__name__: SQL[f.__name__] for f in ALL if f.__name__ in SQL} | shaped.SQL | bundles.SQL

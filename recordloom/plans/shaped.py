@@ -835,14 +835,16 @@ _PARAMETERS = (("title", "0.36"), ("decision", "0.34"), ("combined", "0.12"), ("
                ("max_cluster", "12"))
 
 
-@query(f"WITH {values('p', 'name, value', _PARAMETERS)} SELECT name, value, 0 AS clusters FROM p")
+@query(f"WITH {values('p', 'name, value', _PARAMETERS)} SELECT name, value, (SELECT count(*) FROM conversations WHERE turn = 0)::VARCHAR AS decisions FROM p")
 def hlp05_parameters(spark, sf):
-    """HLP-05: of a session without any decision, as read back from the bundle."""
-    p = own_dir(spark, "parameters")
-    spark.createDataFrame([], "doc string, pos int, item string, repaired_fields array<string>").write.parquet(f"{p}/final/decisions")
-    verbs.export_candidates(spark, f"{p}/final", "s", f"{p}/cand")
-    said = spark.read.text(f"{p}/cand/evaluation.json", wholetext=True).select(F.explode(F.from_json("value", "parameters map<string,string>")["parameters"]).alias("name", "value"))
-    return said.withColumn("clusters", F.lit(spark.read.parquet(f"{p}/cand/clusters").count()).cast("int"))
+    """HLP-05: as read back from the candidate bundle of a decision per conversation."""
+    p, none = own_dir(spark, "parameters"), F.array().cast("array<string>")
+    c = chats(spark, sf).where("t = 0")
+    item = F.to_json(F.struct(F.format_string("D-%s", "s").alias("decision_id"), F.col("role").alias("title"), F.col("text").alias("decision"), F.lit("high").alias("confidence"), F.lit("accepted").alias("status")))
+    c.select(F.format_string("SEC-%03d", F.col("c") % 900 + 1).alias("doc"), F.col("t").alias("pos"), item.alias("item"), none.alias("repaired_fields")).write.parquet(f"{p}/final/decisions")
+    verbs.export_candidates(spark, f"{p}/final", "x", f"{p}/cand")
+    said = spark.read.text(f"{p}/cand/evaluation.json", wholetext=True)
+    return said.select(F.get_json_object("value", "$.inventory_decision_count").alias("decisions"), F.explode(F.from_json("value", "parameters map<string,string>")["parameters"]).alias("name", "value"))
 
 
 # Arguments (@ is the folder), the exit code, and what is printed first.
