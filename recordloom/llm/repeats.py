@@ -68,7 +68,7 @@ def _slide(a: np.ndarray, width: int, least) -> np.ndarray:
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of all texts: number of the text, first and last window's start, mark, hash of the segment's bytes, and whether the mark
     may occur twice in it. Covers each window of each text once. The sliding hash is a polynomial modulo 2**64, which some
-    regular strings share whatever its base; it only chooses marks, where that does no harm. Segments are told apart by XXH3."""
+    regular strings share whatever its base; it only chooses marks, where that does no harm. Segments are told apart by 128-bit XXH3."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     joined = b"".join(texts)
@@ -77,7 +77,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     none = np.zeros(0, np.int64)
     long_ = sizes >= length
     if not long_.any():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none.astype(np.uint64), none.astype(object), none.astype(bool)
     up, down = _Scale.of(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
     h = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -96,7 +96,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
         last = np.concatenate([first[1:], [len(at)]])
     lo, hi, mark = at[first], at[last - 1], m[first]
     cuts = map(slice, lo.tolist(), (hi + length).tolist())
-    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, map(joined.__getitem__, cuts)), np.uint64, len(lo))
+    whole = np.fromiter(map(xxhash.xxh3_128_digest, map(joined.__getitem__, cuts)), object, len(lo))
     peak = _slide(np.concatenate([np.zeros(width - 1, np.uint64), marks, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     spots = np.flatnonzero(h == peak)
     twice = np.concatenate([[0], np.cumsum(h[spots[1:]] == h[spots[:-1]])]) if len(spots) else np.zeros(1, np.int64)
@@ -202,16 +202,17 @@ def _batches(ids: list, texts: list, block: int = BLOCK) -> Iterator[tuple[int,
 
 def _scan(length: int, gram: int):
     names = ["k1", "k2", "lo", "hi", "mark", "whole", "multi"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
 
     def run(batches):
         for b in batches:
             k1, k2, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             for i, j in _batches(k1, texts):
                 doc, lo, hi, mark, whole, multi = segments(texts[i:j], length, gram)
-                cols = [k1[i:j][doc], k2[i:j][doc], lo.astype(np.int32), hi.astype(np.int32), mark.view(np.int64), whole.view(np.int64), multi]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                cols = [k1[i:j][doc], k2[i:j][doc], lo.astype(np.int32), hi.astype(np.int32), mark.view(np.int64), whole, multi]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return run, "k1 long, k2 long, lo int, hi int, mark long, whole long, multi boolean"
+    return run, "k1 long, k2 long, lo int, hi int, mark long, whole binary, multi boolean"
 
 
 def _finish(cols: dict[str, list], k1, k2, id_, text: bytes, windows: list[tuple[int, int]], length: int, with_text: bool) -> None:
