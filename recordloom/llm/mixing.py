@@ -27,26 +27,39 @@ def size_class(size: Column) -> Column:
     return F.when(digits <= 5, size).otherwise(16 * digits + F.call_function("shiftright", size, (digits - 5).cast("int"))).cast("int")
 
 
+def before(df: DataFrame, order: list, sums: dict[str, Column], scratch: Scratch, name: str) -> DataFrame:
+    """Adds, for each of sums, its sum over all rows that come before in an order without ties. Rows are dealt out by ranges of the order
+    and summed within each; what the ranges before hold, a row for each range, is broadcast."""
+    d = df.select("*", *(c.alias(f"_{k}") for k, c in sums.items())).repartitionByRange(*order)
+    d = scratch.store(d.withColumn("_range", F.spark_partition_id()), name)
+    whole = d.groupBy("_range").agg(*(F.sum(f"_{k}").alias(f"_all_{k}") for k in sums))
+    past = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.select("_range", *(F.coalesce(F.sum(f"_all_{k}").over(past), F.lit(0)).alias(f"_past_{k}") for k in sums))
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    d = d.join(F.broadcast(whole), "_range")
+    return d.select(*df.columns, *((F.col(f"_past_{k}") + F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0))).alias(k) for k in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """sizes: (source, source_size), a row per source. Adds target, and the rate of expected copies.
+    """sizes: (source, source_size), a row per source. Adds weight, target, and the rate of expected copies.
 
     Water filling: in order of cap / weight, a source is capped while its cap is no more than its share by weight of what
-    the sources before left; from the first that isn't, all share by weight. The window holds one row per source.
+    the sources before left; from the first that isn't, all share by weight. Sources are numbered, and caps summed, by ranges
+    of the order, so that no task holds all sources; only totals come to the driver. An empty table gives an empty one.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.withColumn("_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", w.cast("long")).withColumn("cap", F.lit(most) * F.col("source_size"))
-    order = W.orderBy(F.col("cap") / F.col("weight"), "_rank").rowsBetween(W.unboundedPreceding, -1)
-    full = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(full) - F.coalesce(F.sum("cap").over(order), F.lit(0))
-    weight_left = F.sum("weight").over(full) - F.coalesce(F.sum("weight").over(order), F.lit(0))
-    d = ranked.withColumn("left", left).withColumn("weight_left", weight_left)
+    scratch = Scratch(sizes.sparkSession, "targets")
+    one = F.lit(1).cast("long")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int"))
+    ranked = before(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], {"_rank": one}, scratch, "ranked")
+    ranked = ranked.withColumn("weight", w.cast("long")).withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("_ratio", F.col("cap") / F.col("weight"))
+    d = before(ranked, [F.col("_ratio"), F.col("_rank")], {"caps": F.col("cap"), "weights": F.col("weight")}, scratch, "ordered")
+    total = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    size, weight = total[0] or 0, total[1] or 0
+    d = scratch.store(d.withColumn("left", F.lit(size) - F.col("caps")).withColumn("weight_left", F.lit(weight) - F.col("weights")), "filled")
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     d = d.withColumn("capped", wide("cap") * F.col("weight_left").cast("decimal(12,0)") <= wide("left") * F.col("weight").cast("decimal(12,0)"))
-    open_ = F.struct("left", "weight_left")
-    first = F.min(F.when(~F.col("capped"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("_rank").alias("k"), open_.alias("o")))).over(full)
-    d = d.withColumn("first", first["o"])
-    share = F.col("first.left").cast("double") * F.col("weight").cast("double") / F.col("first.weight_left").cast("double")
+    first = d.where(~F.col("capped")).agg(F.min(F.struct("_ratio", "_rank", "left", "weight_left"))).first()[0]
+    share = F.lit(float(first["left"])) * F.col("weight").cast("double") / F.lit(float(first["weight_left"])) if first else F.lit(None).cast("double")
     d = d.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     return d.select("source", "source_size", "weight", "target", rate.alias("rate"))

@@ -180,6 +180,30 @@ def test_targets_are_capped_and_reshared(spark):
     assert got["a"] == 30 and got["c"] == 15 and got[None] == 0 and abs(sum(got.values()) - 1015) < 1e-6
 
 
+def test_many_sources_by_ranges(spark):
+    """Sums over what comes before, and water filling, in ranges of the order."""
+    r = random.Random(4)
+    sizes = [(f"s{i:04d}", r.choice([0, 1, 5, 5, 40, 1000, 10**6])) for i in r.sample(range(5000), 300)] + [(None, 7)]
+    d = spark.createDataFrame(sizes, "source string, source_size long")
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0]))
+    got = mixing.before(d, [mixing.F.col("source").asc_nulls_last()], {"n": mixing.F.lit(1), "x": mixing.F.col("source_size")}, Scratch(spark, "before"), "b").collect()
+    assert {(x.source, x.n, x.x) for x in got} == {(s, k, sum(z for _, z in order[:k])) for k, (s, _) in enumerate(order)}
+    weight = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(order)}
+    want, open_, left = {}, dict(sizes), sum(z for _, z in sizes)
+    while True:  # cap all that reach their cap, share the rest again
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s, z in open_.items() if 3 * z <= unit * weight[s]]
+        if not full:
+            break
+        for s in full:
+            want[s] = 3.0 * open_[s]
+            left -= 3 * open_.pop(s)
+    want |= {s: unit * weight[s] for s in open_}
+    made = {x.source: x.target for x in mixing.targets(d).collect()}
+    assert made == pytest.approx(want) and sum(made.values()) == pytest.approx(sum(z for _, z in sizes))
+    assert mixing.targets(d.limit(0)).collect() == []
+
+
 # 4
 
 
