@@ -83,6 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The numbering needs no task that holds a source: counts per (source, class), at most 16 * 40 for a source, and per bucket
     within a class are summed up to starting numbers, and rows are numbered within a bucket. A null text has size 0; a null
     source is a source of its own, the last; null ids come first in their bucket. Documents that repeat an id each count.
+    An empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")

@@ -131,6 +131,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Statistics of whole texts are computed once and stored; the model is fitted on at most sample labelled rows that aren't
     held out, brought to the driver (sample * len(FEATURES) doubles, 4.5 MB), and scores all stored rows. Labels, language,
     source and id are no inputs. Rows with a null label are left out of the fit; a document labelled twice counts twice.
+    Null and empty texts have a score like others; repeated rows each a row; without labels all scores are one half; an empty table gives no rows;
+    further columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -139,7 +141,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     stats = map_batches(base, lambda c: {"id": c["id"], "x": [statistics(t) for t in c["text"]]}, f"id {kind}, x array<double>")
     stats = scratch.store(stats, "statistics")
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).where("y is not null and id is not null").where(~held_out(F.col("id")))
-    taken = least(stats.join(known, "id").select("x", "y", "id"), sample).toPandas()
+    joined = scratch.store(stats.join(known, "id").select("x", "y", "id"), "labelled")  # read to count, to bound and to sort
+    taken = least(joined, sample).toPandas()
     x = np.array(taken["x"].tolist(), float).reshape(-1, len(FEATURES))
     model = spark.sparkContext.broadcast(fit(x, (taken["y"].to_numpy(float) > 0).astype(float)))
 

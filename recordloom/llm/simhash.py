@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased in A-Z and cut at ASCII white space; a text of fewer words than a shingle is one shingle, an empty
     or null one has fingerprint zero and is linked like any other. Equal fingerprints form a class, whatever its size, which
     is joined once; rows that repeat an id each give a row. Null ids are never a component's id unless all its ids are null.
+    An empty table gives no rows; further columns are ignored.
     """
     found = _assign(docs, id_col, text_col, words, budget)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.id").alias("component_id"))

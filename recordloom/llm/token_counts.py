@@ -113,7 +113,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row per document: id, n_bytes (UTF-8), n_tokens.
 
     No begin or end token; the file's special strings inside a text count one each. A null or empty text has 0 tokens;
-    repeated rows each give a row; a text of any length is counted whole. Further columns are ignored.
+    repeated rows each give a row; a text of any length is counted whole. An empty table gives no rows; further columns are
+    ignored.
     """
     def run(cols: dict) -> dict:
         count = counter_of(path).count

@@ -481,6 +481,42 @@ def test_trees_against_naive_splits_and_walks():
     assert np.isclose(best, sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_all_levels_and_leaves_against_naive_splits(seed):
+    """Each node of each tree has a split of the best gain that any cut has there (several may share it), each leaf the value of its rows;
+    scores add the leaves up, on rows seen and unseen."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(240, 5))
+    y = ((x[:, 1] > 0.3) ^ (x[:, 2] * x[:, 0] > 0) & (rng.random(240) > 0.1)).astype(float)
+    rate, bins, ridge, least, depth = 0.3, 12, 1.0, 2.0, 3
+    model = quality.fit(x, y, rounds=4, depth=depth, rate=rate, bins=bins, ridge=ridge, least=least)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1], method="lower")) for j in range(5)]
+    raw, split = np.full(240, model.bias), 0
+    for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        term = lambda s: g[s].sum() ** 2 / (h[s].sum() + ridge)
+
+        def gain(rows, j, c):
+            low, high = rows & (x[:, j] <= c), rows & (x[:, j] > c)
+            return term(low) + term(high) - term(rows) if min(h[low].sum(), h[high].sum()) >= least else 0.0
+
+        parts = {0: np.ones(240, bool)}
+        for k in range(2**depth - 1):
+            best = max(gain(parts[k], j, c) for j, some in enumerate(cuts) for c in some)
+            assert np.isclose(gain(parts[k], feature[k], cut[k]), max(best, 0.0), atol=1e-8)
+            split += np.isfinite(cut[k])
+            low = x[:, feature[k]] <= cut[k]
+            parts[2 * k + 1], parts[2 * k + 2] = parts[k] & low, parts[k] & ~low
+        for k, value in enumerate(leaf):
+            rows = parts[2**depth - 1 + k]
+            assert np.isclose(value, -rate * g[rows].sum() / (h[rows].sum() + ridge))
+            raw[rows] += value
+    assert split > 12 and np.allclose(model.raw(x), raw)
+    unseen = rng.normal(size=(100, 5))
+    assert np.allclose(model.score(unseen), [naive_score(model, r) for r in unseen])
+
+
 def test_statistics_of_odd_texts():
     for text in (None, b"", b" \n", b"a", "é".encode() * 100_000, b"word " * 60_000, bytes(range(256))):
         got = quality.statistics(text)

@@ -58,3 +58,23 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark, tmp_path):
+    """Columns with the operators' own names stay as they are, and texts of a million characters are judged whole."""
+    passage = " ".join(f"bench{i}" for i in range(14))
+    long_ = " ".join(f"word{i % 5003}" for i in range(150_000))
+    texts = [f"{long_} {passage}", long_, f"{long_} and an end", None, "", *(f"plain text number {i} of its own kind, {i * 7} and {i * 11}" for i in range(30))]
+    clash = ["id", "_id", "copies", "_copies", "copy", "predicted", "score", "size", "source_size", "target", "rate", "u", "k1", "n_hit", "cls", "bucket", "x", "y", "keep"]
+    rows = [(i, t, f"s{i % 3}", *[f"c{i}"] * len(clash)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in clash))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = [r.doc_id for r in docs.collect()]
+    for k, want in enumerate([set(now), set(now) - {1, 2, 4}, set(now) - {0, 1, 2, 4}]):  # near copies of row 0, the empty twin of row 3, then its passage
+        docs = spark.createDataFrame(corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).collect(), docs.schema)
+        got = docs.collect()
+        assert {r.doc_id for r in got} == want and all(r[c] == f"c{r.doc_id}" for r in got for c in clash), k
+    copies = {r.doc_id: r.copies for r in mix(docs).collect()}
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == +Counter(copies)
