@@ -56,10 +56,35 @@ TEMPLATES = (
     ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", ("you want to public license",)),
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable", ("without any express or implied warranty", "held liable")),
 )
+# Sentences of the licences' own texts, so that a file that holds only a part of one is seen.
+BODIES = (
+    ("agpl-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software", ("network server software",)),
+    ("apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form", ("irrevocable copyright license", "source or object form")),
+    ("apache-2.0", "Work shall mean the work of authorship, whether in Source or Object form, made available under the License, as indicated by a copyright notice that is included in or attached to the work", ("work of authorship",)),
+    ("apache-2.0", "You must cause any modified files to carry prominent notices stating that You changed the files", ("prominent notices stating that you changed the files",)),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ("redistributions of source code",)),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ("redistributions in binary form",)),
+    ("bsd", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("copyright holders and contributors", "are disclaimed")),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement", ("all advertising materials",)),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    ("cc0-1.0", "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights", ("waives abandons and surrenders",)),
+    ("gpl-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software", ("take away your freedom",)),
+    ("gpl-2.0", "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium", ("copy and distribute verbatim copies of the program",)),
+    ("gpl-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works", ("gnu general public license is a free",)),
+    ("gpl-3.0", "You may convey verbatim copies of the Program's source code as you receive it, in any medium", ("convey verbatim copies of the program",)),
+    ("isc", "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("author disclaims all warranties",)),
+    ("lgpl-2.1", "We call this license the \"Lesser\" General Public License because it does Less to protect the user's freedom than the ordinary General Public License", ("does less to protect",)),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", ("without restriction", "sublicense and or sell copies")),
+    ("mit", "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", ("purpose and noninfringement",)),
+    ("mit", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software", ("use or other dealings in the software",)),
+    ("mpl-2.0", "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license", ("world wide royalty free",)),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain", ("dedicate any and all copyright interest",)),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", ("altered source versions",)),
+)
 #: Share of a template's words, weighted by rarity, that must stand in place.
 ENOUGH = 0.8
 #: Share of a template's weight that its rare words make up at least, above what a match may lack.
-RARE = 0.25
+RARE = 0.2
 _TABLE = byte_table()
 
 
@@ -74,7 +99,7 @@ class Index:
     match so has rare words in place that weigh RARE at least: only their postings are kept, and common words are never looked up.
     """
 
-    def __init__(self, base: dict[str, str] = BASE, templates=TEMPLATES):
+    def __init__(self, base: dict[str, str] = BASE, templates=(*TEMPLATES, *BODIES)):
         self.base = [(p.encode().split(), label) for p, label in base.items()]
         self.templates = [(label, words_of(t.encode()), [k.encode().split() for k in keys]) for label, t, keys in templates]
         holders: dict[bytes, set[int]] = defaultdict(set)
@@ -133,7 +158,7 @@ class Index:
         return starts, labels
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates=TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates=(*TEMPLATES, *BODIES)) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, score).
 
     Words as in decontamination. n_base counts all places of base phrases, first_word and last_word are their smallest and

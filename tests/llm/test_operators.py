@@ -442,12 +442,31 @@ def test_license_lookup_is_brute_force():
 
 def test_each_license_is_found():
     index = license_scan.Index()
-    for label, text, _ in license_scan.TEMPLATES:
+    for label, text, _ in (*license_scan.TEMPLATES, *license_scan.BODIES):
         words = license_scan.words_of(f"Code: {text}. More.".encode())
         at = np.array([i for i, w in enumerate(words) if w in index.vocab], np.int64)
         assert dict(index.match(words, at)[0])[label] == pytest.approx(1.0)
 
 
+def test_bodies_without_titles():
+    """Parts of licence texts, laid out over lines and comment marks, without any name of the licence; and what resembles them."""
+    index = license_scan.Index()
+
+    def labels(text):
+        words = license_scan.words_of(text.encode())
+        return [x for x, _ in index.match(words, np.array([i for i, w in enumerate(words) if w in index.vocab], np.int64))[0]]
+
+    mit = """/* to deal in the Software without restriction, including
+     * without limitation the rights to use, copy, modify, merge, publish, distribute,
+     * sublicense, and/or sell copies of the Software, and to permit persons to whom the
+     * Software is furnished to do so, subject to the following conditions: */"""
+    assert labels(mit) == ["mit"]
+    assert labels("# Redistributions of source code must retain the above copyright\n# notice, this list of conditions and the following disclaimer.") == ["bsd"]
+    assert labels("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.") == ["agpl-3.0"]
+    assert labels("The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.") == ["gpl-3.0"]
+    assert labels("The software is provided to all members, without restriction of any kind, and the authors are listed below.") == []
+
+
 # 8
 
 
