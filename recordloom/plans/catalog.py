@@ -214,8 +214,8 @@ def agg07_evaluation(spark, sf):
 
 
 def grf04_priority(spark, sf):
-    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.max("n_nationkey").alias("m"))
-    return n.select("n_regionkey", clusters.priority(F.col("m") > 23, F.col("n")).alias("priority"))
+    n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("m"))
+    return n.select("o_custkey", clusters.priority(F.col("m") > 400000, F.col("n")).alias("priority"))
 
 
 def jon14_context_window(spark, sf):

@@ -127,7 +127,7 @@ SQL = {
         SELECT tot.session_id, n AS inventory_decision_count, pp AS possible_cross_section_pair_count, coalesce(np, 0) AS candidate_pair_count, coalesce(nr, 0) AS ai_review_decision_count, coalesce(nc, 0) AS candidate_cluster_count, coalesce(nm, 0) AS clustered_decision_count,
         coalesce(nr, 0) - coalesce(nm, 0) AS pair_only_review_decision_count, n - coalesce(nm, 0) AS singleton_count, coalesce(nm, 0) - coalesce(nc, 0) AS selected_cluster_edge_count, CASE WHEN pp = 0 THEN 0.0::DOUBLE ELSE round(1 - coalesce(np, 0)::DOUBLE / pp, 6) END AS pair_comparison_reduction_rate,
         round(1 - coalesce(nr, 0)::DOUBLE / n, 6) AS ai_review_decision_reduction_rate, coalesce(big, 0) AS largest_cluster_size, sizes FROM tot LEFT JOIN cp USING (session_id) LEFT JOIN rv USING (session_id) LEFT JOIN cc USING (session_id) LEFT JOIN sz USING (session_id)""",
-    "grf04_priority": "SELECT n_regionkey, CASE WHEN max(n_nationkey) > 23 OR count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS priority FROM nation GROUP BY 1",
+    "grf04_priority": "SELECT o_custkey, CASE WHEN max(o_totalprice) > 400000 OR count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS priority FROM orders GROUP BY 1",
     "jon14_context_window": f"WITH {INV} SELECT a.session_id, a.section_id, b.section_id AS context_section_id FROM inv a JOIN inv b ON a.session_id = b.session_id AND b.n BETWEEN a.n AND a.n + 2",
     "jon15_status_updates": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
     "jon15_lifecycle_status": f"WITH {RELS} SELECT session_id, k AS source_decision_key, status FROM up",
