@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -70,6 +70,8 @@ def capped_pairs(pairs: DataFrame, cap: int = 8, kernel_pairs: int = KERNEL_PAIR
     return pairs.join(kept, key, "left_semi")
 
 
+#: If fewer than one open edge in so many is first at both its parts, a round walks the first edges instead.
+SLOW = 20
 NODE = "session_id {kind}, ord long, root long, left_ord long, right_ord long"
 
 
@@ -103,6 +105,20 @@ def _joining(most: int):
     return kernel
 
 
+def _first_walked(live: DataFrame, key: Column, most: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """(edges that joined something, parts with what they went into and its size) of the first few open edges of each session."""
+    by = ["session_id"]
+    place = F.row_number().over(W.partitionBy(*by).orderBy(key))
+    first = live.withColumn("_k", place).where(F.col("_k") <= few).drop("_k")
+    kind = live.schema["session_id"].dataType.simpleString()
+    walked = stored(first.groupBy(*by).applyInPandas(_joining(most), NODE.format(kind=kind)), "walked")
+    nodes = walked.where("root is not null").select(*by, F.col("ord").alias("old"), F.col("root").alias("new"))
+    parts = first.select(*by, F.explode(F.array(F.struct(F.col("a").alias("old"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("old"), F.col("b_size").alias("size")))).alias("p")).select(*by, "p.*").distinct()
+    nodes = nodes.join(parts, [*by, "old"])
+    grown = nodes.groupBy(*by, "new").agg(F.sum("size").alias("grown"))
+    return walked.where("root is null"), nodes.join(grown, [*by, "new"]).select(*by, "old", "new", "grown")
+
+
 def _contracted(edges: DataFrame, most: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, chosen, rest) of large sessions' edges: members are (session_id, ord, part, size), chosen edges joined something, and rest,
     at most few edges a session, join parts and are still open.
@@ -110,6 +126,8 @@ def _contracted(edges: DataFrame, most: int, few: int) -> tuple[DataFrame, DataF
     Rounds on the graph of parts. As parts only grow, an edge inside a part or between parts that are too large together is out,
     whatever its turn. Of the others, one that comes first at both its parts has no earlier open edge that could change either: it is
     taken in the walk too. So each round takes the first edge of every pair of parts that agree on it, all at once, until few are left.
+    Where hardly any agree (a chain of ever later edges), the round walks the first few edges of each session in a task instead, which
+    no other edge comes before: so there are no more rounds than a logarithm of the edges, or edges / few.
     """
     by, key = ["session_id"], F.struct((~F.col("strong_cluster_candidate")).alias("late"), (-F.col("candidate_score")).alias("low"), "left_ord", "right_ord")
     kind = edges.schema["session_id"].dataType.simpleString()
@@ -127,8 +145,12 @@ def _contracted(edges: DataFrame, most: int, few: int) -> tuple[DataFrame, DataF
         ends = live.select(*by, key.alias("k"), "a", "b", "a_size", "b_size", F.explode(F.array("a", "b")).alias("end"))
         first = ends.groupBy(*by, "end").agg(F.min(F.struct("k", "a", "b", "a_size", "b_size")).alias("e"))
         agreed = stored(first.groupBy(*by, "e").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 2).select(*by, "e.a", "e.b", (F.col("e.a_size") + F.col("e.b_size")).alias("size"), F.col("e.k.left_ord").alias("left_ord"), F.col("e.k.right_ord").alias("right_ord")), "agreed")
-        taken.append(agreed.select(*by, "left_ord", "right_ord"))
-        moved = stored(agreed.select(*by, F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), F.col("size").alias("grown")), "moved")
+        if agreed.count() * SLOW < (large.agg(F.sum("_n")).first()[0] or 0):
+            chosen, moved = _first_walked(live, key, most, max(few, 1))
+        else:
+            chosen, moved = agreed, agreed.select(*by, F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), F.col("size").alias("grown"))
+        taken.append(chosen.select(*by, "left_ord", "right_ord"))
+        moved = stored(moved, "moved")
         members = stored(members.join(moved.withColumnRenamed("old", "part"), [*by, "part"], "left").select(*by, "ord", F.coalesce("new", "part").alias("part"), F.coalesce("grown", "size").alias("size")), "members")
         for end in ("a", "b"):
             live = live.join(moved.withColumnRenamed("old", end), [*by, end], "left").withColumn(end, F.coalesce("new", end)).withColumn(f"{end}_size", F.coalesce("grown", f"{end}_size")).drop("new", "grown")
@@ -142,8 +164,7 @@ def clustered(pairs: DataFrame, most: int = 12, kernel_pairs: int = KERNEL_PAIRS
     at most that many members. Rows with a root say where each end went, the others which edges joined something.
 
     A session of up to kernel_pairs edges is walked by one task. In larger ones, rounds over DataFrames take all edges that the walk would take
-    whatever else it does, until so few are left that a task can walk the parts; with scores in any order but a chain of ever later edges,
-    each round takes a share of them. pairs is read several times: give it as a stored table.
+    whatever else it does, until so few are left that a task can walk the parts. pairs is read several times: give it as a stored table.
     """
     kind = pairs.schema["session_id"].dataType.simpleString()
     e = pairs.select("session_id", F.col("left_ord").cast("long"), F.col("right_ord").cast("long"), "candidate_score", "strong_cluster_candidate")

@@ -182,6 +182,22 @@ def walked(edges, most):
     return set(of.values()), set(used)
 
 
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Of a chain of ever later edges only the first is first at both ends; the first edges are walked instead."""
+    rounds, store = [], capped.stored
+    monkeypatch.setattr(capped, "stored", lambda df, name: rounds.append(name) or store(df, name))
+    g = [(i, i + 1, 1 - i / 1000, True) for i in range(200)]
+    pairs = spark.createDataFrame([("s", *e) for e in g], "session_id string, left_ord int, right_ord int, candidate_score double, strong_cluster_candidate boolean")
+    got = capped.clustered(pairs, 7, 60).collect()
+    parts, used = walked(g, 7)
+    mine = {}
+    for x in got:
+        if x.root is not None:
+            mine.setdefault(x.root, set()).add(x.ord)
+    assert {frozenset(m) for m in mine.values()} == parts and {(x.left_ord, x.right_ord) for x in got if x.root is None} == used
+    assert rounds.count("agreed") <= 4
+
+
 @pytest.mark.parametrize("few", [10**6, 20, 0])
 def test_clusters_by_rounds_are_the_walk(spark, few):
     r = random.Random(9)
