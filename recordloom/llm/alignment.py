@@ -66,9 +66,20 @@ class Both:
         self.text_b = {end: text(len(pieces), end) for end in ",;"}
 
     def encode_a(self, segments: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all segments, number of each one's): they are encoded together, as no token crosses from one to the next."""
-        parts = [self.a.encode_ordinary("".join(segments[k : k + 20_000])) for k in range(0, len(segments), 20_000)]
-        ids = np.concatenate([np.array(x, np.int64) for x in parts]) if parts else np.zeros(0, np.int64)
+        """(ids of all segments, number of each one's). Many are encoded together, as no token crosses from one to the next; those that end
+        in white space, or begin with more than one, as only ends of texts do, by themselves, as white space would run on."""
+        parts, held = [], []
+        for s in segments:
+            odd = s[-1:].isspace() or s[:2].isspace()
+            if held and (odd or len(held) >= 20_000):
+                parts.append(self.a.encode_ordinary("".join(held)))
+                held = []
+            if odd:
+                parts.append(self.a.encode_ordinary(s))
+            else:
+                held.append(s)
+        parts.append(self.a.encode_ordinary("".join(held)))
+        ids = np.concatenate([np.array(x, np.int64) for x in parts])
         upto = np.searchsorted(self.size_a[ids].cumsum(), size.cumsum(), "right")
         return ids, np.diff(upto, prepend=0)
 

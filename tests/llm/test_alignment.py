@@ -101,6 +101,17 @@ def test_blocks_are_the_libraries(libraries, texts):
         assert got == ((0, 0, 0, 0, "") if want is None else (*want[:3], len(want[4]), hashlib.sha256(want[3].encode()).hexdigest()))
 
 
+def test_white_space_doesnt_run_on_from_text_to_text(libraries):
+    """Ends and beginnings of texts that would make one token together, as a space and a no-break space twice do."""
+    ends, starts = ["a \u00a0", "a\n", "a \n", "a  ", "a \u00a0 \u00a0", " ", "\n"], ["\u00a0\u00a0b", "\n\nb", " \u00a0 \u00a0b", "  b", "b", "\u00a0", "\n"]
+    for x in ends:
+        for y in starts:
+            block = alignment.align_block(alignment.both_of(A, B), [x, y, x + y])
+            for i, t in enumerate((x, y, x + y)):
+                want = naive(libraries, t)
+                assert (*(int(s[i]) for s in block["sums"]), block["shas"][i]) == (*want[:3], len(want[4]), hashlib.sha256(want[3].encode()).hexdigest()), (x, y, t)
+
+
 def test_tokens_without_bytes_link_with_all_that_end_there():
     """The expansion takes every pair, though no token of these files is empty."""
     both = object.__new__(alignment.Both)
