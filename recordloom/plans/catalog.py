@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.shape import at, kind_of, text_at
+from ..functions.shape import at
 from ..functions.text import event_id, normalized, percent, short_hash, strip_blocks, tech_terms, trigrams
 from ..operators import assembly, capped, clusters, lifecycle, normalize, projection, render, sections, signals, similarity, validation
 from ..session import stored
