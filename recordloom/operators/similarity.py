@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,34 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import LIFECYCLE_TERMS, contains_any, dice, jaccard, normalized, section_number, tech_terms, trigrams
+from ..functions.text import LIFECYCLE_TERMS, contains_any, normalized, section_number, tech_terms
 from ..schemas import LIFECYCLE_STATUSES
-from ..session import stored
 
-#: Sessions of up to so many decisions are compared pair by pair; in larger ones an index finds the pairs to compare.
-BLOCK = 256
+#: Decisions of a session that a unit of work holds on either side.
+BLOCK = 1024
+#: Trigrams that a unit of work compares at once.
+COLUMNS = 4096
+#: Characters of a term that may stand on one side of where two texts meet.
+EDGE = max(map(len, LIFECYCLE_TERMS)) - 1
 #: Weights of the score, and thresholds; published with each result.
 PARAMETERS = {"title": 0.36, "decision": 0.34, "combined": 0.12, "evidence": 0.12, "attachment": 0.03, "adjacency": 0.03, "candidate_score": 0.34, "strong_score": 0.38, "max_candidates": 8, "max_cluster": 12}
 
 
 def features(inventory: DataFrame, compose: bool = True) -> DataFrame:
-    """Per decision: key, section, status, sets of trigrams, evidence, attachments and technical terms."""
+    """Per decision: key, section, status, normalised title and text, evidence, attachments and technical terms."""
     both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("decision", F.lit("")))
     refs = F.coalesce("evidence_refs", F.array().cast("array<struct<evidence_type:string,evidence_id:string>>"))
     files = F.transform(F.filter(refs, lambda r: r["evidence_type"] == "attachment"), lambda r: r["evidence_id"])
     lower = F.lower(F.concat(F.coalesce("title", F.lit("")), F.coalesce("decision", F.lit(""))))
-    d = inventory.select(
-        "session_id", "source_decision_key", "section_id", section_number(F.col("section_id")).alias("n"), "status", contains_any(lower, LIFECYCLE_TERMS).alias("changes"),
-        normalized(F.coalesce("title", F.lit("")), compose).alias("_t"), normalized(F.coalesce("decision", F.lit("")), compose).alias("_d"), normalized(both, compose).alias("_c"), lower.alias("_l"),
+    return inventory.select(
+        "session_id", "source_decision_key", "section_id", section_number(F.col("section_id")).alias("n"), "status", contains_any(lower, LIFECYCLE_TERMS).alias("changes"), lower.alias("_l"),
+        normalized(F.coalesce("title", F.lit("")), compose).alias("title_text"), normalized(F.coalesce("decision", F.lit("")), compose).alias("decision_text"),
         F.array_distinct(F.transform(refs, lambda r: F.concat_ws(":", r["evidence_type"], r["evidence_id"]))).alias("evidence"), F.array_distinct(files).alias("attachments"), tech_terms(both).alias("terms"))
-    return d.select("session_id", "source_decision_key", "section_id", "n", "status", "changes", "_l", trigrams(F.col("_t")).alias("title_grams"), trigrams(F.col("_d")).alias("decision_grams"),
-                    trigrams(F.col("_c")).alias("combined_grams"), "evidence", "attachments", "terms")
-
-
-def lifecycle_signal(l: dict, r: dict) -> Column:  # noqa: E741
-    """Two known statuses that differ, or a word of change in either; or one that only their texts joined up make."""
-    known = l["status"].isin(*LIFECYCLE_STATUSES) & r["status"].isin(*LIFECYCLE_STATUSES) & (l["status"] != r["status"])
-    return F.coalesce(known, F.lit(False)) | contains_any(F.concat(l["_l"], r["_l"]), LIFECYCLE_TERMS)
 
 
 def ranked(d: DataFrame) -> DataFrame:
@@ -45,126 +41,162 @@ def ranked(d: DataFrame) -> DataFrame:
     return d.withColumn("ord", F.row_number().over(W.partitionBy("session_id").orderBy("n", "source_decision_key")))
 
 
-def _scored(both: DataFrame) -> DataFrame:
-    """Candidate pairs of joined decisions l and r (left before right) with similarities, score, strong and reasons."""
-    names = ("source_decision_key", "section_id", "n", "status", "_l", "title_grams", "decision_grams", "combined_grams", "evidence", "attachments", "terms", "ord")
-    a, b = ({c: F.col(f"{side}.{c}") for c in names} for side in "lr")
-    j = both.select(
-        "l.session_id", a["source_decision_key"].alias("left_decision_key"), b["source_decision_key"].alias("right_decision_key"), a["ord"].alias("left_ord"), b["ord"].alias("right_ord"),
-        F.abs(a["n"] - b["n"]).alias("section_distance"), dice(a["title_grams"], b["title_grams"]).alias("title_similarity"), dice(a["decision_grams"], b["decision_grams"]).alias("decision_similarity"),
-        dice(a["combined_grams"], b["combined_grams"]).alias("combined_similarity"), jaccard(a["evidence"], b["evidence"]).alias("evidence_similarity"),
-        F.array_sort(F.array_intersect(a["evidence"], b["evidence"])).alias("shared_evidence"), F.array_sort(F.array_intersect(a["attachments"], b["attachments"])).alias("shared_attachments"),
-        F.array_sort(F.array_intersect(a["terms"], b["terms"])).alias("terms"), lifecycle_signal(a, b).alias("possible_lifecycle_relation"))
+def _scored(j: DataFrame) -> DataFrame:
+    """Candidate pairs, of pairs with similarities and counts, with score, strong and reasons."""
     t, dd, c, e, n, life = (F.col(x) for x in ("title_similarity", "decision_similarity", "combined_similarity", "evidence_similarity", "section_distance", "possible_lifecycle_relation"))
-    files, terms = F.size("shared_attachments"), F.size("terms")
+    files, terms = F.col("files"), F.col("terms")
     near = F.when(n == 1, 1.0).when(n == 2, 0.5).otherwise(0.0)
-    j = j.withColumn("candidate_score", _score(t, dd, c, e, files, near))
+    j = j.withColumn("candidate_score", F.round(0.36 * t + 0.34 * dd + 0.12 * c + 0.12 * e + 0.03 * F.least(F.lit(1), files) + 0.03 * near, 6))
     s = F.col("candidate_score")
-    j = j.where(_candidate(s, t, dd, c, e, files, life))
+    j = j.where((s >= 0.34) | (t >= 0.62) | (dd >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28)))
     strong = ((s >= 0.38) | (t >= 0.68) | (dd >= 0.65) | ((e >= 0.34) & (c >= 0.28)) | ((files > 0) & (c >= 0.35)) | (life & (n <= 2) & ((c >= 0.16) | (terms >= 3))) | ((terms >= 2) & (t >= 0.62) & (c >= 0.18)))
     reasons = F.array_compact(F.array(*(F.when(cond, name) for name, cond in (
         ("similar_title", t >= 0.62), ("similar_decision_text", dd >= 0.60), ("similar_combined_text", c >= 0.48), ("shared_evidence", e > 0), ("shared_attachment", files > 0), ("nearby_sections", n <= 2), ("possible_lifecycle_signal", life)))))
-    return j.withColumn("strong_cluster_candidate", strong).withColumn("candidate_reasons", reasons).withColumn("shared_terms", F.slice("terms", 1, 20)).drop("terms")
-
-
-def _score(t, d, c, e, files, near) -> Column:
-    return F.round(0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * F.least(F.lit(1), files) + 0.03 * near, 6)
-
-
-def _candidate(s, t, d, c, e, files, life) -> Column:
-    return (s >= 0.34) | (t >= 0.62) | (d >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28))
-
-
-#: Without shared evidence (a shared attachment is one), every rule needs a combined similarity of 0.28, or a score whose three texts give
-#: 0.34 less 0.03 for nearness and less than a rounding: then one of them is at least that by the sum of their weights.
-LEAST = (0.34 - 0.03 - 1e-6) / (0.36 + 0.34 + 0.12)
-KINDS = (("title_grams", LEAST), ("decision_grams", LEAST), ("combined_grams", 0.28))
-#: So many of the most frequent trigrams are ranked by frequency; all others count as rarer, in order of their hashes.
-FREQUENT = 10_000
-
-
-def coded(d: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """session_id, ord, section_id, n, and for each of KINDS its trigrams as numbers, rarest first; evidence hashed. A number is a
-    trigram's hash, of 62 bits, or above all hashes its rank among the frequent ones, whose table (frequent rows) goes to every task."""
-    spark = d.sparkSession
-    told = d.select(F.explode(F.array_union("title_grams", F.array_union("decision_grams", "combined_grams"))).alias("g")).groupBy("g").count()
-    top = [r["h"] for r in told.select(F.xxhash64("g").alias("h"), "count").orderBy(F.desc("count"), "h").limit(frequent).collect()]
-    ranks = spark.sparkContext.broadcast(np.array(top[::-1], np.int64))
-    kinds = [k for k, _ in KINDS]
-    hashed = d.select("session_id", "ord", "section_id", "n", F.transform("evidence", lambda x: F.xxhash64(x)).alias("evidence"), *(F.transform(k, lambda g: F.xxhash64(g)).alias(k) for k in kinds))
+    return j.withColumn("strong_cluster_candidate", strong).withColumn("candidate_reasons", reasons).drop("files", "terms")
+
+
+def coded(d: DataFrame, frequent: int | None = None) -> DataFrame:
+    """What the comparison reads of ranked decisions: evidence, attachments and terms as hashes, a status as its number (0: none that a
+    lifecycle knows), and the ends of the text, where a word of change may come about. frequent is no longer of use."""
+    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x)).alias(c)
+    status = F.coalesce(*(F.when(F.col("status") == x, k) for k, x in enumerate(LIFECYCLE_STATUSES, 1)), F.lit(0))
+    return d.where("section_id is not null").select(
+        "session_id", "ord", "source_decision_key", F.xxhash64("section_id").alias("section"), "n", status.alias("status"), "changes", F.substring("_l", 1, EDGE).alias("head"), F.right(F.col("_l"), F.lit(EDGE)).alias("tail"),
+        "title_text", "decision_text", hashes("evidence"), hashes("attachments"), hashes("terms"))
+
+
+def grams(text: str) -> np.ndarray:
+    """Distinct trigrams of a text, each as its three code points in one number; a text of one or two characters is its own, an empty one
+    has none."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if len(c) < 3:
+        return np.array([sum(int(x) << 21 * k for k, x in enumerate(c)) | 1 << 62], np.int64) if len(c) else c
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set on the left shares with each on the right; the same list twice is one side, whose sets are not counted
+    with themselves. Sets are rows of zeros and ones, so many columns at once."""
+    out, same = np.zeros((len(left), len(right)), np.int32), left is right
+    sets = left if same else left + right
+    known, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    number = np.cumsum(times > 1) - 1
+    row, code = row[times[code] > 1], number[code[times[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        part = slice(*np.searchsorted(code, (first, first + COLUMNS)))
+        table = np.zeros((len(sets), min(COLUMNS, int(code[-1]) + 1 - first)), np.float32)
+        table[row[part], code[part] - first] = 1
+        out += (table @ table.T if same else table[: len(left)] @ table[len(left) :].T).astype(np.int32)
+    return out
+
+
+def _met(tails: list[str], heads: list[str]) -> np.ndarray:
+    """Whether a word of change stands where a tail and a head meet."""
+    out = np.zeros((len(tails), len(heads)), bool)
+    for term in LIFECYCLE_TERMS:
+        for k in range(1, len(term)):
+            a, b = (np.array([f(x) for x in side]) for side, f in ((tails, lambda x: x.endswith(term[:k])), (heads, lambda x: x.startswith(term[k:]))))
+            if a.any() and b.any():
+                out |= a[:, None] & b
+    return out
+
+
+def compared(l: dict, r: dict) -> dict[str, np.ndarray]:  # noqa: E741
+    """Columns of the pairs (left before right, of different sections) that may be candidates; l and r hold columns of decisions, and may be
+    the same. The rules are those of _scored, which decides, with the most that nearness can add and room for its rounding."""
+    size = lambda side, c: np.array([len(x) for x in side[c]], np.int64)
+    both = {c: common(l[c], r[c]) for c in ("title", "decision", "combined", "evidence", "attachments", "terms")}
+    total = {c: size(l, c)[:, None] + size(r, c) for c in ("title", "decision", "combined", "evidence")}
+    t, d, c = (np.where(total[k] == 0, 1.0, 2.0 * both[k] / np.maximum(total[k], 1)) for k in ("title", "decision", "combined"))
+    e = both["evidence"] / np.maximum(total["evidence"] - both["evidence"], 1)
+    distance = np.abs(l["n"][:, None] - r["n"])
+    known = (l["status"][:, None] > 0) & (r["status"] > 0) & (l["status"][:, None] != r["status"])
+    life = known | l["changes"][:, None] | r["changes"] | _met(l["tail"], r["head"])
+    files = both["attachments"]
+    s = 0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * (files > 0) + 0.03
+    may = (s >= 0.34 - 1e-5) | (t >= 0.62) | (d >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28))
+    a, b = np.nonzero(may & (l["ord"][:, None] < r["ord"]) & (l["section"][:, None] != r["section"]))
+    return {"left_ord": l["ord"][a], "right_ord": r["ord"][b], "left_at": a, "right_at": b, "section_distance": distance[a, b], "title_similarity": t[a, b], "decision_similarity": d[a, b], "combined_similarity": c[a, b],
+            "evidence_similarity": e[a, b], "files": files[a, b], "terms": both["terms"][a, b], "possible_lifecycle_relation": life[a, b]}
+
+
+def _columns(b: pa.Table) -> dict:
+    """Columns of decisions as compared() takes them."""
+    out = {c: b[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("ord", "section", "n", "status", "changes")} | {c: b[c].to_pylist() for c in ("head", "tail")}
+    texts = {c: b[f"{c}_text"].to_pylist() for c in ("title", "decision")}
+    out |= {c: [grams(x) for x in texts[c]] for c in texts} | {"combined": [grams(x + y) for x, y in zip(texts["title"], texts["decision"])]}
+    return out | {c: [np.array(x, np.int64) for x in b[c].to_pylist()] for c in ("evidence", "attachments", "terms")}
+
+
+def units(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of by, of batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in chain(batches, [None]):
+        if b is not None and not b.num_rows:
+            continue
+        if b is not None:
+            keys = [b.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in by]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist(), b.num_rows]
+            parts = [b.slice(i, j - i) for i, j in zip(cuts, cuts[1:])]
+            if held and all(held[0].column(c)[0].as_py() == parts[0].column(c)[0].as_py() for c in by):
+                held.append(parts.pop(0))
+                if not parts:
+                    continue
+        if held:
+            yield pa.Table.from_batches(held)
+        if b is not None:
+            yield from (pa.Table.from_batches([p]) for p in parts[:-1])
+            held = parts[-1:]
+
+
+def candidates(codes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (left before right) of coded decisions that may be candidates, with similarities and counts of what they share.
+
+    Every two blocks of a session meet in one unit of work, which numbers the trigrams of both and counts what each pair shares by products of
+    tables of zeros and ones; most sessions are one block. A row is copied once for each block of its session.
+    """
+    by = ["session_id", "one", "other"]
+    own = F.floor((F.col("ord") - 1) / block).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.floor((F.col("_most") - 1) / block).cast("int")), lambda x: F.struct(F.least(x, own).alias("one"), F.greatest(x, own).alias("other")))
+    dealt = codes.withColumn("_most", F.max("ord").over(W.partitionBy("session_id"))).withColumn("_u", F.explode(meets)).select("*", "_u.*").drop("_u", "_most")
+    dealt = dealt.repartition(*by).sortWithinPartitions(*by, "ord")
+    session = codes.schema["session_id"].dataType.simpleString()
+    kinds = {"left_ord": pa.int32(), "right_ord": pa.int32(), "section_distance": pa.int32(), "title_similarity": pa.float64(), "decision_similarity": pa.float64(), "combined_similarity": pa.float64(), "evidence_similarity": pa.float64(),
+             "files": pa.int32(), "terms": pa.int32(), "possible_lifecycle_relation": pa.bool_()}
 
     def run(batches):
-        order = np.argsort(ranks.value)
-        table = ranks.value[order]
-        for b in batches:
-            columns = list(b.columns)
-            for i in range(len(columns) - len(kinds), len(columns)):
-                flat, sizes = columns[i].flatten().to_numpy(), np.diff(columns[i].offsets.to_numpy())
-                at = np.minimum(np.searchsorted(table, flat), max(len(table) - 1, 0))
-                known = table[at] == flat if len(table) else np.zeros(len(flat), bool)
-                code = np.where(known, (1 << 61) + order[at], flat >> 2) if len(table) else flat >> 2
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                columns[i] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(code[np.lexsort((code, row))], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-    session, section = (d.schema[c].dataType.simpleString() for c in ("session_id", "section_id"))
-    return hashed.mapInArrow(run, f"session_id {session}, ord int, section_id {section}, n int, evidence array<long>, " + ", ".join(f"{k} array<long>" for k in kinds))
-
-
-def candidates(codes: DataFrame) -> DataFrame:
-    """(session_id, left_ord, right_ord) that may be candidate pairs, of coded decisions: those that share a piece of evidence, and those
-    of which one of KINDS may have its Dice similarity.
-
-    Sets of a and b trigrams with a similarity of s share s / 2 * (a + b), and neither is smaller than s / (2 - s) of the other; so they
-    share one of the first trigrams of each, all but the last of that part, and the first that they share leaves enough behind it. Empty sets
-    are alike and have a key of their own. Only numbers and places are joined, and no row is copied per block of others.
-    """
-    keys = [codes.select("session_id", "ord", "section_id", F.lit(-1).alias("kind"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.explode("evidence").alias("code"))]
-    for k, (name, least) in enumerate(KINDS):
-        size = F.size(name)
-        first = size - F.ceil(size * (least / (2 - least)) - 1e-9).cast("int") + 1
-        part = F.when(size == 0, F.array(F.lit(-(1 << 63)))).otherwise(F.slice(name, F.lit(1), first))
-        keys.append(codes.select("session_id", "ord", "section_id", F.lit(k).alias("kind"), size.alias("size"), F.posexplode(part).alias("at", "code")))
-    d = stored(reduce(DataFrame.unionByName, keys), "keys")
-    l, r = d.alias("l"), d.alias("r")
-    L, R = ({c: F.col(f"{side}.{c}") for c in d.columns} for side in "lr")
-    least = F.element_at(F.array(*(F.lit(x) for _, x in KINDS)), L["kind"] + 1)
-    enough = F.ceil(least / 2 * (L["size"] + R["size"]) - 1e-9)
-    fits = (F.least(L["size"], R["size"]) >= least / (2 - least) * F.greatest(L["size"], R["size"]) - 1e-9) & (F.least(L["size"] - L["at"], R["size"] - R["at"]) >= enough)
-    both_empty = (L["size"] == 0) & (R["size"] == 0)
-    on = (L["session_id"] == R["session_id"]) & (L["kind"] == R["kind"]) & (L["code"] == R["code"]) & (L["ord"] < R["ord"]) & (L["section_id"] != R["section_id"])
-    rule = F.when((L["kind"] < 0) | both_empty, F.lit(True)).otherwise(fits)
-    return l.join(r, on).where(rule).select("l.session_id", L["ord"].alias("left_ord"), R["ord"].alias("right_ord")).distinct()
-
-
-def _filtered(d: DataFrame) -> DataFrame:
-    """Candidate pairs of large sessions: possible ones by index, weighed by their numbers, and only what passes joined with its texts."""
-    codes = stored(coded(d), "codes")
-    ends = lambda p, of: p.alias("p").join(of.alias("l"), (F.col("p.session_id") == F.col("l.session_id")) & (F.col("p.left_ord") == F.col("l.ord"))).join(
-        of.alias("r"), (F.col("p.session_id") == F.col("r.session_id")) & (F.col("p.right_ord") == F.col("r.ord")))
-    of = lambda name: dice(F.col(f"l.{name}"), F.col(f"r.{name}"))
-    shared = jaccard(F.col("l.evidence"), F.col("r.evidence"))
-    w = ends(candidates(codes), codes).select("p.*", of("title_grams").alias("t"), of("decision_grams").alias("d"), of("combined_grams").alias("c"), shared.alias("e"))
-    files = F.when(F.col("e") > 0, 1).otherwise(0)  # at most
-    weighed = w.where(_candidate(_score(F.col("t"), F.col("d"), F.col("c"), F.col("e"), files, F.lit(1.0)) + 1e-6, F.col("t"), F.col("d"), F.col("c"), F.col("e"), files, F.lit(True)))
-    return _scored(ends(stored(weighed.select("session_id", "left_ord", "right_ord"), "weighed"), d))
+        for unit in units(batches, by):
+            at = (unit["ord"].combine_chunks().to_numpy() - 1) // block
+            one, other = unit["one"][0].as_py(), unit["other"][0].as_py()
+            left = unit.filter(pa.array(at == one))
+            right = left if one == other else unit.filter(pa.array(at == other))
+            l = _columns(left)  # noqa: E741
+            found = compared(l, l if one == other else _columns(right))
+            a, b = (pa.array(found.pop(x)) for x in ("left_at", "right_at"))
+            made = [left["session_id"].take(a), left["source_decision_key"].take(a), right["source_decision_key"].take(b), *(pa.chunked_array([pa.array(found[c], kinds[c])]) for c in kinds)]
+            yield from pa.Table.from_arrays(made, names=["session_id", "left_decision_key", "right_decision_key", *kinds]).to_batches(max_chunksize=100_000)
 
+    return dealt.mapInArrow(run, f"session_id {session}, left_decision_key string, right_decision_key string, left_ord int, right_ord int, section_distance int, title_similarity double, decision_similarity double, combined_similarity double, "
+                                 "evidence_similarity double, files int, terms int, possible_lifecycle_relation boolean")
 
-def pairs(feats: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (left before right) with similarities, score, strong and reasons; exact.
 
-    A session of up to block decisions is compared pair by pair inside a join on the session. In larger ones, of which this asks when it is
-    called, an index finds the pairs that may be candidates (candidates); no row is copied. Hashes stand for trigrams there: a pair
-    could be lost only if two trigrams of one text had the same 62 bits.
-    """
-    d = ranked(feats)
-    large = feats.groupBy("session_id").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > block).select("session_id")
-    some = bool(large.head(1))
-    small = d.join(large, "session_id", "left_anti") if some else d
-    l, r = small.alias("l"), small.alias("r")
-    on = (F.col("l.session_id") == F.col("r.session_id")) & (F.col("l.ord") < F.col("r.ord")) & (F.col("l.section_id") != F.col("r.section_id"))
-    made = _scored(l.join(r, on))
-    return made.unionByName(_filtered(stored(d.join(large, "session_id", "left_semi"), "large"))) if some else made
+def pairs(feats: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (left before right) with similarities, score, strong and reasons; exact, all pairs compared in blocks."""
+    return _scored(candidates(coded(ranked(feats)), block))
+
+
+def detailed(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """Adds shared_evidence, shared_attachments and shared_terms (20 at most) to pairs."""
+    names = ("evidence", "attachments", "terms")
+    own = ranked(feats).select("session_id", "ord", *names)
+    for side in ("left", "right"):
+        pairs = pairs.join(own.select("session_id", F.col("ord").alias(f"{side}_ord"), *(F.col(c).alias(f"_{side}_{c}") for c in names)), ["session_id", f"{side}_ord"])
+    shared = {c: F.array_sort(F.array_intersect(f"_left_{c}", f"_right_{c}")) for c in names}
+    pairs = pairs.withColumns({f"shared_{c}": F.slice(x, 1, 20) if c == "terms" else x for c, x in shared.items()})
+    return pairs.drop(*(f"_{side}_{c}" for side in ("left", "right") for c in names))
 
 
 def possible_pairs(inventory: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ def export_candidates(spark: SparkSession, finalized: str, session_id: str, out:
     pairs = spark.read.parquet(f"{out}/capped")
     capped.clustered(pairs, similarity.PARAMETERS["max_cluster"]).write.parquet(f"{out}/members")
     chosen = spark.read.parquet(f"{out}/members")
-    capped.mark_edges(pairs, chosen).write.parquet(f"{out}/pairs")
+    similarity.detailed(capped.mark_edges(pairs, chosen), feats).write.parquet(f"{out}/pairs")
     marked = spark.read.parquet(f"{out}/pairs")
     clusters.clusters(feats, inv, marked, chosen).write.parquet(f"{out}/clusters")
     e = rows(clusters.evaluation(inv, marked, spark.read.parquet(f"{out}/clusters")))

@@ -356,3 +356,17 @@ def test_coverage_and_conflicts(spark):
     assert {(r.k, r.side) for r in validation.coverage(a, b, ["k"]).collect()} == {(1, "missing"), (3, "extra")}
     r = spark.createDataFrame([("x", 1), ("x", 1), ("y", 1), ("y", 2)], "k string, v int")
     assert [x.k for x in validation.registry_conflicts(r, ["k"]).collect()] == ["y"]
+
+
+def test_pairs_are_counted_in_blocks(spark, capsys):
+    """No join of rows, whose texts would be compared pair by pair; a unit of work holds two blocks at most, and counts as sets do."""
+    feats = similarity.features(inventory(spark, random_decisions(60)))
+    similarity.pairs(feats).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Join" not in plan and "array_intersect" not in plan
+    left, right = ([similarity.grams(x) for x in texts] for texts in (["", "a", "ab", "abc", "abcabcd", "bcabca"], ["abcd", "a", "", "aab"]))
+    assert similarity.common(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    own = similarity.common(left, left)  # a decision isn't paired with itself
+    assert all(own[i, j] == len(set(left[i].tolist()) & set(left[j].tolist())) for i, j in itertools.permutations(range(len(left)), 2))
+    batches = spark.range(10).selectExpr("id div 4 AS k", "id").toArrow().to_batches(max_chunksize=3)
+    assert [u["id"].to_pylist() for u in similarity.units(iter(batches), ["k"])] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
