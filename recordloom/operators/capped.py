@@ -13,6 +13,8 @@ from ..session import stored
 
 #: Sessions with more pairs are capped and clustered by rounds over DataFrames instead of in one task.
 KERNEL_PAIRS = 200_000
+#: First open edges of a session that a round of the degree cap walks.
+WALK = 1_000_000
 
 
 def _walk(cap: int):
@@ -30,28 +32,43 @@ def _walk(cap: int):
     return kernel
 
 
-def _rounds(edges: DataFrame, cap: int) -> DataFrame:
-    """The same choice by rounds: an edge that ranks within what both ends may still take is taken by the walk too."""
-    key = ["session_id", "left_ord", "right_ord"]
-    open_, taken = stored(edges, "open"), None
-    used = None
+def _prefix(cap: int):
+    """The walk over the first open edges, whose ends have left_used and right_used kept edges from before; adds now: whether one is kept."""
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["candidate_score", "left_ord", "right_ord"], ascending=[False, True, True])
+        degree = dict(zip(p["left_ord"].tolist(), p["left_used"].tolist())) | dict(zip(p["right_ord"].tolist(), p["right_used"].tolist()))
+        kept = []
+        for a, b in zip(p["left_ord"].tolist(), p["right_ord"].tolist()):
+            good = degree[a] < cap and degree[b] < cap
+            kept.append(good)
+            if good:
+                degree[a] += 1
+                degree[b] += 1
+        return p.drop(columns=["left_used", "right_used"]).assign(now=kept)
+
+    return kernel
+
+
+def _rounds(edges: DataFrame, cap: int, few: int = WALK) -> DataFrame:
+    """The same choice by rounds: each walks a session's first few open edges, which none comes before, then drops the edges whose ends are
+    full. An edge of a prefix is kept or has a full end, so there are about as many rounds as kept edges / few, and a few."""
+    key, zero = ["session_id", "left_ord", "right_ord"], F.lit(0).cast("long")
+    place = F.struct((-F.col("candidate_score")).alias("low"), "left_ord", "right_ord")
+    open_, taken = stored(edges.withColumn("left_used", zero).withColumn("right_used", zero), "open"), []
     while open_.head(1):
-        ends = open_.select(*key, "candidate_score", F.explode(F.array("left_ord", "right_ord")).alias("end"))
-        left = ends if used is None else ends.join(used, ["session_id", "end"], "left")
-        room = F.lit(cap) if used is None else F.lit(cap) - F.coalesce(F.col("used"), F.lit(0))
-        w = W.partitionBy("session_id", "end").orderBy(F.desc("candidate_score"), "left_ord", "right_ord")
-        fit = left.withColumn("_room", room).withColumn("_r", F.row_number().over(w)).groupBy(*key).agg(F.bool_and(F.col("_r") <= F.col("_room")).alias("now"), F.bool_and(F.col("_room") > 0).alias("alive"))
-        fit = stored(fit, "fit")
-        now = fit.where("now").select(*key)
-        taken = stored(now if taken is None else taken.unionByName(now), "taken")
-        used = taken.select("session_id", F.explode(F.array("left_ord", "right_ord")).alias("end")).groupBy("session_id", "end").agg(F.count(F.lit(1)).alias("used"))
+        w = W.partitionBy("session_id").orderBy(F.desc("candidate_score"), "left_ord", "right_ord")
+        first = open_.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= few).drop("_r")
+        walked = stored(first.groupBy("session_id").applyInPandas(_prefix(cap), edges.withColumn("now", F.lit(True)).schema), "walked")
+        taken.append(walked.where("now").select(*key))
+        used = reduce(DataFrame.unionByName, taken).select("session_id", F.explode(F.array("left_ord", "right_ord")).alias("end")).groupBy("session_id", "end").agg(F.count(F.lit(1)).alias("n"))
         used = stored(used, "used")
-        rest = open_.join(fit.where("not now and alive").select(*key), key)
-        full = used.where(F.col("used") >= cap)
-        for end in ("left_ord", "right_ord"):
-            rest = rest.join(full.select("session_id", F.col("end").alias(end)), ["session_id", end], "left_anti")
+        last = walked.groupBy("session_id").agg(F.max(place).alias("_last"))
+        rest = open_.drop("left_used", "right_used").join(F.broadcast(last), "session_id").where(place > F.col("_last")).drop("_last")
+        for side in ("left", "right"):
+            end = used.select("session_id", F.col("end").alias(f"{side}_ord"), F.col("n").alias(f"{side}_used"))
+            rest = rest.join(end, ["session_id", f"{side}_ord"], "left").na.fill(0, [f"{side}_used"]).where(F.col(f"{side}_used") < cap)
         open_ = stored(rest, "open")
-    return taken if taken is not None else edges.select(*key).limit(0)
+    return reduce(DataFrame.unionByName, taken) if taken else edges.select(*key).limit(0)
 
 
 def capped_pairs(pairs: DataFrame, cap: int = 8, kernel_pairs: int = KERNEL_PAIRS) -> DataFrame:

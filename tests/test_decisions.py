@@ -370,3 +370,14 @@ def test_pairs_are_counted_in_blocks(spark, capsys):
     assert all(own[i, j] == len(set(left[i].tolist()) & set(left[j].tolist())) for i, j in itertools.permutations(range(len(left)), 2))
     batches = spark.range(10).selectExpr("id div 4 AS k", "id").toArrow().to_batches(max_chunksize=3)
     assert [u["id"].to_pylist() for u in similarity.units(iter(batches), ["k"])] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
+@pytest.mark.parametrize("few", [1, 10])
+def test_degree_cap_by_prefixes(spark, monkeypatch, few):
+    """Of ever lower edges at one node only the first is first at both ends; a prefix of the walk settles what its full ends had left, too."""
+    names, store = [], capped.stored
+    monkeypatch.setattr(capped, "stored", lambda df, name: names.append(name) or store(df, name))
+    rows = [("s", 0, i, 1 - i / 100, True) for i in range(1, 40)] + [("s", i, i + 1, i / 100, True) for i in range(1, 7)] + [("t", 3, 4, 0.5, True)]
+    got = capped._rounds(edges(spark, rows).drop("strong_cluster_candidate"), 2, few)
+    assert {(r.session_id, r.left_ord, r.right_ord) for r in got.collect()} == {("s", 0, 1), ("s", 0, 2), ("s", 6, 7), ("s", 5, 6), ("s", 4, 5), ("s", 3, 4), ("s", 2, 3), ("t", 3, 4)}
+    assert names.count("walked") == (7 if few == 1 else 2)
