@@ -14,10 +14,12 @@ def priority(lifecycle: Column, size: Column) -> Column:
     return F.when(lifecycle | (size >= 6), "high").when(size >= 3, "medium").otherwise("low")
 
 
-def shared_by_all(items: DataFrame, by: list[str], item: str, size: DataFrame) -> DataFrame:
-    """Items that all of a group's members have: counted over distinct (member, item); size: by, members."""
-    n = items.distinct().groupBy(*by, item).agg(F.count(F.lit(1)).alias("_n"))
-    return n.join(size, by).where(F.col("_n") == F.col("members")).select(*by, item)
+def shared_by_all(items: DataFrame, by: list[str], item: str, size: DataFrame, parts: int | None = None) -> DataFrame:
+    """Items that all of a group's members have: counted over distinct (member, item); size: by, members. parts: partitions that large
+    inputs are dealt to, so that a task's memory doesn't grow with them."""
+    dealt = lambda d, *c: d.repartition(parts, *c) if parts else d
+    n = dealt(items, *by, item).distinct().groupBy(*by, item).agg(F.count(F.lit(1)).alias("_n"))
+    return dealt(n, *by).join(dealt(size, *by), by).where(F.col("_n") == F.col("members")).select(*by, item)
 
 
 def clusters(feats: DataFrame, inventory: DataFrame, pairs: DataFrame, chosen: DataFrame) -> DataFrame:

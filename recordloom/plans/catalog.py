@@ -251,11 +251,17 @@ def jon16_lifecycle_applied(spark, sf):
     return lifecycle.summary(lifecycle.apply(made, review))
 
 
+#: Rows of lineitem that a task of agg12 gets, about.
+ROWS = 500_000
+
+
 def agg12_shared_set(spark, sf):
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")  # noqa: E741
-    bought = o.select("o_custkey", "o_orderkey").join(l.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
-    size = bought.groupBy("o_custkey").agg(F.countDistinct("o_orderkey").alias("members"))
-    return clusters.shared_by_all(bought.select("o_custkey", "o_orderkey", "l_partkey"), ["o_custkey"], "l_partkey", size)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), l.count() // ROWS + 1)
+    lines = l.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").repartition(parts, "o_orderkey")
+    bought = o.select("o_custkey", "o_orderkey").repartition(parts, "o_orderkey").join(lines, "o_orderkey").select("o_custkey", "o_orderkey", "l_partkey")
+    size = bought.select("o_custkey", "o_orderkey").distinct().repartition(parts, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("members"))
+    return clusters.shared_by_all(bought, ["o_custkey"], "l_partkey", size, parts)
 
 
 def agg13_latest_run(spark, sf):
