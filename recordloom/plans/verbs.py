@@ -299,9 +299,9 @@ def export_adjudication(spark: SparkSession, candidates: str, bundle: str, out:
         none = F.array().cast("array<string>")
         inputs = inputs.withColumn("allowed_decision_keys", F.transform("decisions", lambda d: d["source_decision_key"])).withColumn("output_skeleton", F.struct("cluster_id", none.alias("judgments"), none.alias("unclassified_decision_keys")))
     inputs = inputs.withColumn("mode", F.lit("isolated_cluster_adjudication"))
-    sinks.fan_out(inputs, f"{out}/clusters", "cluster_id")
+    sinks.documents(inputs, f"{out}/clusters", "cluster_id")
     report = {"clusters": made.count(), "version": version}
-    sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Adjudication of clusters", "clusters", report["clusters"], ["the prompt", "the cluster's document"], "adjudication.raw.json", "validate-integration-adjudication"))
+    sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Adjudication of clusters", "clusters", report["clusters"], ["the prompt", "the cluster's document (a line of clusters/)"], "adjudication.raw.json", "validate-integration-adjudication"))
     sinks.write_json(spark, f"{out}/provenance.json", sinks.provenance(spark, {"candidates": f"{candidates}/clusters", "sections": f"{bundle}/sections"}, {}))
     return report
 

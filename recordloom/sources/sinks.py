@@ -143,6 +143,12 @@ def fan_out(df: DataFrame, path: str, by: str, text: bool = False) -> None:
     writer.text(path) if text else writer.json(path)
 
 
+def documents(df: DataFrame, path: str, by: str) -> None:
+    """A JSON document, one line, for each value of by, named in it; refuses an existing path. Files hold many: of units that grow in number
+    with the input, a folder each would take more time to write and list than all else."""
+    df.repartition(by).write.mode("errorifexists").json(path)
+
+
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """path, size and SHA-256 of files of any size, below the pattern too."""
     return file_hashes(spark, pattern, recursive=True).withColumnRenamed("source_sha256", "sha256")

@@ -87,3 +87,14 @@ def test_sections_to_lifecycle(spark, run):
     (p / "bad.jsonl").write_text(json.dumps({"group_id": "LIFECYCLE-SEC-001", "results": []}))
     with pytest.raises(errors.LifecycleFailure, match="coverage"):
         verbs.apply_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/bad.jsonl", f"{p}/end2")
+
+
+def test_documents_share_files(spark, tmp_path):
+    """The files of a bundle don't grow with its units, each of which is a line that names it."""
+    from recordloom.sources import sinks
+
+    sinks.documents(spark.range(2000).selectExpr("format_string('CLUSTER-%04d', id) AS cluster_id", "id AS x"), f"{tmp_path}/clusters", "cluster_id")
+    files = [p for p in tmp_path.rglob("*.json")]
+    assert len(files) <= 8 and sum(len(p.read_text().splitlines()) for p in files) == 2000
+    got = spark.read.json(f"{tmp_path}/clusters")
+    assert sorted(map(tuple, got.select("cluster_id", "x").collect())) == [(f"CLUSTER-{i:04d}", i) for i in range(2000)]
