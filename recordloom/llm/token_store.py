@@ -35,6 +35,8 @@ WORDS = 8192
 AT_ONCE = 12_000_000
 #: ASCII marks: behind a letter and before white space they are one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that the tokenizer's normaliser ends in what is no letter, as the dot above that İ leaves: marks behind them belong to that piece.
+OPEN = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha())
 
 
 class Encoder:
@@ -97,7 +99,7 @@ class Encoder:
         """Ids of all texts one after the other, and where each text's begin (and the end). Null texts have none.
 
         Each different piece of the texts is looked up once. Pieces are in lower case, as the tokenizer's normaliser has them,
-        but for texts that might hold its special strings. ASCII marks at the end of a piece, behind a letter, are a piece too.
+        but for texts that might hold its special strings. ASCII marks at the end of a piece, behind a letter that stays one, are a piece too.
         """
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
@@ -105,7 +107,7 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         whole = coded.dictionary
         words = pc.utf8_rtrim(whole, MARKS)
-        words = pc.if_else(pc.and_(pc.match_substring_regex(words, r"\pL$"), pc.invert(pc.match_substring(whole, "<|"))), words, whole)
+        words = pc.if_else(pc.and_(pc.match_substring_regex(words, rf"[^\PL{OPEN}]$"), pc.invert(pc.match_substring(whole, "<|"))), words, whole)
         parted = words.dictionary_encode()
         ids_of = self.known(parted.dictionary.cast(pa.binary()).to_pylist())
         cut_at = pc.binary_length(words).to_numpy(zero_copy_only=False)

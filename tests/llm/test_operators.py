@@ -358,6 +358,15 @@ def test_encoder_is_the_library(text):
     assert np.frombuffer(_tk[1].encode([text.encode()])[0], "<u2").tolist() == _tk[0].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["İ!", "aİ. b", "क़!?", "שּׁ. x", "é! ñ.", "!", "a!b!"])
+def test_marks_behind_letters_that_end_in_marks(text):
+    """İ in small letters ends in a dot above, which is one piece with what stands behind it."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORDS_FILE).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(token_store.Encoder(WORDS_FILE, 2).encode([text.encode()])[0], "<u2").tolist() == whole
+
+
 # 6
 
 BYTES_FILE = public_tokenizers.path("byte_bpe_50k.json")
