@@ -9,6 +9,7 @@ Files, all Parquet, under one root:
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 import zlib
 from array import array as pack
@@ -35,6 +36,8 @@ WORDS = 8192
 AT_ONCE = 12_000_000
 #: ASCII marks: behind a letter and before white space they are one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: All of a piece but such marks at its end.
+BEFORE_MARKS = rf"(?s)^.*[^{re.escape(MARKS)}]"
 #: Letters that the tokenizer's normaliser ends in what is no letter, as the dot above that İ leaves: marks behind them belong to that piece.
 OPEN = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha())
 
@@ -86,15 +89,22 @@ class Encoder:
 
     def known(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of different pieces: those of short ones are kept, in two generations."""
-        found = [self.now.get(b) or self.before.get(b) for b in pieces]
-        new = [i for i, ids in enumerate(found) if ids is None]
+        found = [*map(self.now.get, pieces)]
+        old = [i for i, ids in enumerate(found) if ids is None]
+        for i in old:
+            found[i] = self.before.get(pieces[i])
+        new = [i for i in old if found[i] is None]
         for i, ids in zip(new, self.learn([pieces[i] for i in new])):
             found[i] = ids
         if len(self.now) >= CACHE:
-            self.now, self.before = {}, self.now
-        self.now.update((b, ids) for b, ids in zip(pieces, found) if len(b) <= 48)
+            self.now, self.before, old = {}, self.now, range(len(pieces))
+        self.now.update((pieces[i], found[i]) for i in old if len(pieces[i]) <= 48)
         return found
 
+    def _looked_up(self, pieces: pa.DictionaryArray) -> pa.Array:
+        """Ids of each piece, as bytes."""
+        return pa.array(self.known(pieces.dictionary.cast(pa.binary()).to_pylist()), pa.large_binary()).take(pieces.indices)
+
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (and the end). Null texts have none.
 
@@ -109,22 +119,14 @@ class Encoder:
         words = pc.utf8_rtrim(whole, MARKS)
         words = pc.if_else(pc.and_(pc.match_substring_regex(words, rf"[^\PL{OPEN}]$"), pc.invert(pc.match_substring(whole, "<|"))), words, whole)
         parted = words.dictionary_encode()
-        ids_of = self.known(parted.dictionary.cast(pa.binary()).to_pylist())
-        cut_at = pc.binary_length(words).to_numpy(zero_copy_only=False)
-        odd = np.flatnonzero(pc.binary_length(whole).to_numpy(zero_copy_only=False) > cut_at)
-        found = [ids_of[i] for i in parted.indices.to_pylist()]
-        marks = [t[n:] for t, n in zip(whole.take(pa.array(odd)).cast(pa.binary()).to_pylist(), cut_at[odd].tolist())]
-        kinds = list(dict.fromkeys(marks))
-        mark_ids = dict(zip(kinds, self.known(kinds)))
-        for i, m in zip(odd.tolist(), marks):
-            found[i] += mark_ids[m]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        data = np.frombuffer(b"".join(found), self.dtype)
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = data[np.repeat(begins[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        found = self._looked_up(parted)
+        odd = pc.greater(pc.binary_length(whole), pc.binary_length(words))
+        marks = pc.replace_substring_regex(whole.filter(odd), BEFORE_MARKS, "").dictionary_encode()
+        behind = pc.replace_with_mask(pa.repeat(pa.scalar(b"", pa.large_binary()), len(whole)), odd, self._looked_up(marks))
+        taken = pc.binary_join_element_wise(found, behind, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset) if len(taken) else np.zeros(1, np.int64)
+        ids = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(self.dtype) if len(taken) else np.zeros(0, self.dtype)
+        ends = (ends - ends[0]) // self.dtype.itemsize
         return ids, ends[bounds - bounds[0]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
