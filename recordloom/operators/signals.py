@@ -41,10 +41,11 @@ ANNOTATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def hits(c: Column, pattern: str) -> Column:
-    """All matches in order, with code-point offsets: array of (trigger, char_start, char_end)."""
+    """All matches in order, with code-point offsets: array of (trigger, char_start, char_end). Most texts have none, which one search tells."""
+    none = F.array().cast("array<struct<trigger:string,char_start:int,char_end:int>>")
     p = F.lit(f"(?U){pattern}")
     found, gaps = F.regexp_extract_all(c, p, 0), F.split(c, f"(?U){pattern}", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<trigger:string,char_start:int,char_end:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         lo = acc["at"] + F.char_length(x["gap"])
@@ -53,7 +54,7 @@ def hits(c: Column, pattern: str) -> Column:
         return F.struct(hi.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     pairs = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("h")), lambda x: F.struct(x["g"].alias("gap"), x["h"].alias("hit")))
-    return F.aggregate(pairs, start, step)["out"]
+    return F.when(c.rlike(f"(?U){pattern}"), F.aggregate(pairs, start, step)["out"]).when(c.isNotNull(), none)
 
 
 def phrase_signals(c: Column, rules=PHRASE_RULES) -> Column:

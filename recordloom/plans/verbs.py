@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import errors, schemas
+from .. import errors, schemas, session
 from ..functions.shape import at, items, text_at
 from ..operators import assembly, capped, clusters, lifecycle, normalize, projection, render, sections, signals, similarity, validation
 from ..sources import logs, sinks
@@ -111,9 +111,9 @@ def render_session(spark: SparkSession, store: str, session_id: str, out: str) -
 
 
 def analysis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(messages, attachments) of an exported version 3 projection."""
+    """(messages, attachments) of an exported version 3 projection. A session's document is one task's to read; its messages are dealt to all."""
     d = spark.read.json(f"{path}/analysis_session")
-    m = d.select("session_id", F.explode("messages").alias("m")).select("session_id", "m.*")
+    m = d.select("session_id", F.explode("messages").alias("m")).select("session_id", "m.*").repartition("source_line")
     a = spark.read.schema("attachment_id string, parent_message_ids array<string>, section_ids array<string>, content string").json(f"{path}/attachments")
     return m, a
 
@@ -148,7 +148,7 @@ def export_sections(spark: SparkSession, projected: str, out: str, index: str |
     if index:
         ix = spark.read.json(index).select("section_id", F.col("source.message_ids").alias("message_ids"), F.col("source.attachment_ids").alias("attachment_ids"))
         errors.raise_first(sections.membership_violations(m, ix).unionByName(sections.attachment_violations(a, m, ix)), errors.SectionBundle)
-    m = signals.annotate(m, annotators=named(annotators), analyser=analyser) if hybrid else m
+    m = session.stored(signals.annotate(m, annotators=named(annotators), analyser=analyser) if hybrid else m, "sections-of")
     made = section_documents(m, a, {"interpretation_knowledge": knowledge} if hybrid and knowledge else None)
     sinks.fan_out(made, f"{out}/sections", "section_id")
     sinks.write_text(spark, f"{out}/prompt.md", sinks.with_guidance(guidance, prompt))
@@ -171,7 +171,7 @@ def export_signals(spark: SparkSession, projected: str, out: str, annotators: st
     m, _ = analysis(spark, projected)
     if "signals" in m.columns:
         raise errors.SignalFailure("input already carries signals")
-    d = signals.annotate(m, annotators=named(annotators), analyser=analyser)
+    d = session.stored(signals.annotate(m, annotators=named(annotators), analyser=analyser), "annotated")
     d.write.json(f"{out}/messages")
     size = d.agg(F.sum(F.octet_length(F.to_json(F.struct(*m.columns)))).alias("a"), F.sum(F.octet_length(F.to_json(F.struct(*d.columns)))).alias("b")).first()
     report = rows(signals.annotation_report(d, named(annotators)))[0] | {"growth": (size["b"] / size["a"] - 1) if size["a"] else 0.0}

@@ -98,3 +98,13 @@ def test_documents_share_files(spark, tmp_path):
     assert len(files) <= 8 and sum(len(p.read_text().splitlines()) for p in files) == 2000
     got = spark.read.json(f"{tmp_path}/clusters")
     assert sorted(map(tuple, got.select("cluster_id", "x").collect())) == [(f"CLUSTER-{i:04d}", i) for i in range(2000)]
+
+
+def test_messages_of_one_document_are_dealt(spark, tmp_path):
+    """A session's document is one line of one file; what is done to its messages isn't one task's."""
+    (tmp_path / "analysis_session").mkdir()
+    (tmp_path / "attachments").mkdir()
+    messages = [{"source_line": i, "id": f"e{i}", "evidence_id": f"m{i}", "section_id": "SEC-001", "actor": "human", "content": "x"} for i in range(100)]
+    (tmp_path / "analysis_session" / "a.json").write_text(json.dumps({"session_id": "s", "messages": messages}))
+    m, _ = verbs.analysis(spark, str(tmp_path))
+    assert m.count() == 100 and "hashpartitioning(source_line" in m._jdf.queryExecution().toString()
