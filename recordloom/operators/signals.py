@@ -6,7 +6,10 @@ import importlib
 from collections.abc import Callable, Mapping
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,6 +39,8 @@ REASON_RELATIONS = ("advcl", "ccomp")
 REASON_WORDS = r"(?:ので|から|ため|理由|せい|ゆえ)"
 #: Tokens of a text, as an analyser gives them: head is the place of the token that one depends on, its own for a root.
 TOKENS = "session_id string, evidence_id string, i int, token string, lemma string, dep string, head int, char_start int, char_end int"
+#: Tokens that a task folds at once.
+TOKENS_AT_ONCE = 20_000
 #: Optional annotators by name (say, of lemmas): texts (key, content) to hits (key and the fields of SIGNAL).
 ANNOTATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -132,7 +137,7 @@ def dependency_signals(tokens: DataFrame, texts: DataFrame, lemmas: tuple[str, .
     """A reason for each decision token with a clause of relations below it, if the clause's text, from the first to the last of
     what hangs below it, holds one of words. The hit spans the clause; its trigger is the decision token.
 
-    Tokens and text of a message meet in one shuffle; a task takes a message's tokens at a time and folds them bottom-up.
+    Tokens and text of a message meet in one shuffle; a task holds so many tokens at once, or one message's, and folds them bottom-up.
     """
     key = ["session_id", "evidence_id"]
     fields = ("i", "token", "lemma", "dep", "head", "char_start", "char_end")
@@ -142,21 +147,30 @@ def dependency_signals(tokens: DataFrame, texts: DataFrame, lemmas: tuple[str, .
     whole = both.groupBy(*key).agg(F.collect_list("t").alias("tokens"), F.max("content").alias("content"))
     kinds = [tokens.schema[k].dataType.simpleString() for k in key]
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for session, evidence, found, content in zip(f["session_id"], f["evidence_id"], f["tokens"], f["content"]):
-                by = {t["i"]: t for t in found}
-                spans = None
-                for t in found:
-                    head = by.get(t["head"])
-                    if t["dep"] in relations and t["head"] != t["i"] and head is not None and head["lemma"] in lemmas:
-                        spans = spans or spans_below([(x["i"], x["head"], x["char_start"], x["char_end"]) for x in by.values()])
-                        a, b = spans[t["i"]]
-                        rows.append((session, evidence, head["token"], a, b, (content or "")[a:b]))
-            yield pd.DataFrame(rows, columns=[*key, "trigger", "a", "b", "reason"])
-
-    d = whole.mapInPandas(run, f"session_id {kinds[0]}, evidence_id {kinds[1]}, trigger string, a int, b int, reason string").where(F.col("reason").rlike(words))
+    def run(batches):
+        for b in batches:
+            at, i = np.cumsum(pc.fill_null(b.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + TOKENS_AT_ONCE, "right")))
+                yield reasons(b.slice(i, j - i))
+                i = j
+
+    def reasons(b):
+        rows, ends = [], np.cumsum(pc.fill_null(b.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
+        place, token, lemma, dep, head, start, end = (c.to_pylist() for c in b.column(2).flatten().flatten())
+        for session, evidence, content, low, high in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), [0, *ends], ends):
+            by = {place[k]: k for k in range(low, high)}
+            spans = None
+            for k in range(low, high):
+                h = by.get(head[k])
+                if dep[k] in relations and head[k] != place[k] and h is not None and lemma[h] in lemmas:
+                    spans = spans or spans_below([(place[x], head[x], start[x], end[x]) for x in by.values()])
+                    first, last = spans[place[k]]
+                    rows.append((session, evidence, token[h], first, last, (content or "")[first:last]))
+        types = (b.schema.field(0).type, b.schema.field(1).type, pa.string(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, types)], names=[*key, "trigger", "a", "b", "reason"])
+
+    d = whole.mapInArrow(run, f"session_id {kinds[0]}, evidence_id {kinds[1]}, trigger string, a int, b int, reason string").where(F.col("reason").rlike(words))
     return d.select(*key, *_signal(F.lit("reason_candidate"), "spacy_dependency_matcher", F.lit("reason_candidate__dependency-v1"), F.col("trigger"), F.col("a"), F.col("b"), F.col("reason")))
 
 

@@ -61,3 +61,16 @@ def test_annotators_are_refused_if_missing(spark):
         with pytest.raises(errors.SignalFailure):
             signals.annotate(m, **more)
     assert verbs.named(" lemma, dependency,") == ("lemma", "dependency") and shaped.toy_analyser()(["a b"])[0][1][3] == 0
+
+
+def test_dependencies_of_more_tokens_than_are_held_at_once(spark):
+    """Messages are folded some at a time, each by its own tokens: here 3 by 9,000 and some short ones, one without a hit."""
+    many = 9_000
+    tokens = [("s", f"m{m}", i, f"t{i}", "する" if i == 0 else "x", "advcl" if i == 2 else "dep", 0, 2 * i, 2 * i + 1) for m in range(3) for i in range(many)]
+    tokens += [("s", f"k{m}", i, f"t{i}", "する" if i == 0 and m else "x", "advcl" if i == 2 else "dep", 0, 2 * i, 2 * i + 1) for m in range(4) for i in range(3)]
+    text = "a b " + "ので " * many
+    texts = [("s", f"m{m}", text) for m in range(3)] + [("s", f"k{m}", "a b ので") for m in range(4)] + [("s", "none", "x")]
+    d = signals.dependency_signals(spark.createDataFrame(tokens, signals.TOKENS).coalesce(1), spark.createDataFrame(texts, "session_id string, evidence_id string, content string"), words="の")
+    assert sorted((r.evidence_id, r.trigger, r.char_start, r.reason) for r in d.collect()) == [(f"k{m}", "t0", 4, "の") for m in (1, 2, 3)] + [(f"m{m}", "t0", 4, "の") for m in range(3)]
+    plan = d._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" in plan
