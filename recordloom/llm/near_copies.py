@@ -1,4 +1,5 @@
-"""Near-copy removal by the exact Jaccard similarity of word shingles; candidates meet in bands of minimal hashes."""
+"""Near-copy removal by the exact Jaccard similarity of word shingles; candidates are what operator 9 links, and
+what meets in bands of minimal hashes."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, Scratch, free, lookup, map_batches, pick
-from .simhash import SEED, components, signed
+from .simhash import SEED, components, fingerprint, link, signed
 
 #: Words of a shingle, and the similarity from which documents are near copies, as a fraction.
 WORDS, LEAST = 5, (4, 5)
@@ -78,6 +79,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.store(pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long"), "edges")
 
 
+def _linked(marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of classes that operator 9 connects: those of each component of fingerprints within two bits, with its first. marked:
+    cls, fp, bands; the empty set has no bands and is left out."""
+    prints = scratch.store(marked.where(F.size("bands") > 0).select("cls", "fp").distinct(), "prints")
+    own = Scratch(scratch.spark, "near-links")
+    roots = components(own.store(link(prints.select("fp").distinct(), own), "links"), own).withColumnRenamed("node", "fp")
+    named = scratch.store(prints.join(roots, "fp", "left").select("cls", F.coalesce("root", "fp").alias("root")).distinct(), "prints-named")
+    firsts = named.groupBy("root").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return lookup(named, scratch.store(firsts, "firsts"), ["root"], "k", max(1, named.count())).where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
+
+
 def _members(spread: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     """spread JOIN groups on band, as lookup() does it, but most rows have no group: those of hot bands, fewer than HOT_SHARE, are
     told by their names, so that no row goes through a join that doesn't keep it."""
@@ -144,7 +156,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are lower-cased in A-Z and cut at ASCII white space. Near copies share four fifths of the shingles that either has; a
     group is all that is connected. Equal sets of shingles form a class, whatever its size, which is joined once. Classes that
-    meet in a band are candidates, and each candidate pair that isn't connected yet is compared set by set: first all with the
+    operator 9 connects by fingerprints of these shingles, or that meet in a band, are candidates, and each candidate pair that isn't connected yet is compared set by set: first all with the
     class of the band that meets most others, so that a band of copies of one text costs a comparison a class, then what that
     left apart.
     """
@@ -153,14 +165,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
 
     def scan(c: dict) -> dict:
-        out = {"id": c["id"], "key": c["key"], "cls": [], "bands": []}
+        out = {"id": c["id"], "key": c["key"], "cls": [], "fp": [signed(fingerprint(t, words)) for t in c["text"]], "bands": []}
         for t in c["text"]:
             h = shingles(t, words)
             out["cls"].append(signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
             out["bands"].append(band_keys(h))
         return out
 
-    marked = scratch.store(map_batches(base, scan, f"id {kind}, key long, cls long, bands array<long>"), "shingles")
+    marked = scratch.store(map_batches(base, scan, f"id {kind}, key long, cls long, fp long, bands array<long>"), "shingles")
     head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least")
     classes = scratch.store(marked.groupBy("cls").agg(head), "classes")
     spread = scratch.store(marked.select("cls", F.explode("bands").alias("band")).distinct(), "bands")
@@ -169,10 +181,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = max(1, met.count())
     weighed = met.join(met.groupBy("cls").agg(F.sum("n").alias("w")), "cls")
     pivots = weighed.groupBy("band").agg(F.max(F.struct("w", "cls")).alias("top"), F.count(F.lit(1)).alias("k")).select("band", F.col("top.cls").alias("pivot"), "k")
-    stars = lookup(met, scratch.store(pivots, "pivots"), ["band"], "k", rows).where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    scratch.drop("bands")
+    stars = lookup(met, scratch.store(pivots, "pivots"), ["band"], "k", rows).where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    linked = scratch.store(_linked(marked, scratch), "linked")
+    stars = linked.unionByName(stars).distinct()
+    scratch.drop("bands", "prints", "prints-named")
 
-    wanted = classes.join(met.select("cls").distinct(), "cls").select("cls", F.col("least.id").alias("_id"), F.col("least.key").alias("_key"))
+    named = met.select("cls").unionByName(linked.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
+    wanted = classes.join(named, "cls").select("cls", F.col("least.id").alias("_id"), F.col("least.key").alias("_key"))
     texts = base.join(wanted, base["key"].eqNullSafe(wanted["_key"]) & base["id"].eqNullSafe(wanted["_id"])).select("cls", "text")
     sets = map_batches(texts, lambda c: {"cls": c["cls"], "hashes": [shingles(t, words).tobytes() for t in c["text"]]}, "cls long, hashes binary")
     sets = scratch.store(sets.dropDuplicates(["cls"]), "sets")

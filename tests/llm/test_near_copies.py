@@ -76,3 +76,17 @@ def test_comparison_by_set():
         b = a[cut:]
         assert near_copies.similar(a.tobytes(), b.tobytes()) == (5 * len(b) >= 4 * len(a))
         assert near_copies.between([(1, 1, a.tobytes())], [(2, 2, b.tobytes()), (3, 1, a.tobytes())]) == ([(1, 2)] if 5 * len(b) >= 4 * len(a) else [])
+
+
+def test_operator_9_proposes_pairs(spark):
+    """Long texts that differ in a word are within two bits; sets, as ever, decide."""
+    from recordloom.llm.common import Scratch
+    from recordloom.llm.simhash import fingerprint, signed
+
+    words = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words[::-1])]
+    prints = [fingerprint(t.encode(), near_copies.WORDS) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count()
+    marked = spark.createDataFrame([(k, signed(p), [k]) for k, p in enumerate(prints)] + [(9, 0, [])], "cls long, fp long, bands array<long>")
+    found = near_copies._linked(marked, Scratch(spark, "test-linked"))
+    assert [tuple(r) for r in found.select("a", "b").collect()] == [(0, 1)]
