@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,18 +19,31 @@ KERNEL_PAIRS = 200_000
 #: First open edges of a session that a round of the degree cap walks.
 WALK = 1_000_000
 
+#: The order in which edges are capped, and that in which they are joined; whether each column ascends.
+CAP_ORDER = {"candidate_score": False, "left_ord": True, "right_ord": True}
+JOIN_ORDER = {"strong_cluster_candidate": False} | CAP_ORDER
+
+
+def _sorted(d: DataFrame, order: dict[str, bool]) -> DataFrame:
+    """Sessions whole in a partition, one behind the other, their edges in order."""
+    return d.repartition("session_id").sortWithinPartitions("session_id", *order, ascending=[True, *order.values()])
+
 
 def _walk(cap: int):
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["candidate_score", "left_ord", "right_ord"], ascending=[False, True, True])
-        degree: dict[int, int] = {}
-        kept = []
-        for a, b in zip(p["left_ord"], p["right_ord"]):
-            good = degree.get(a, 0) < cap and degree.get(b, 0) < cap
-            kept.append(good)
-            if good:
-                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-        return p[kept]
+    """The walk over sessions' sorted edges as they stream by; only a session's degrees are held."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, degree = None, {}
+        for p in batches:
+            kept = []
+            for s, a, b in zip(*(p.column(c).to_pylist() for c in ("session_id", "left_ord", "right_ord"))):
+                if s != session:
+                    session, degree = s, {}
+                x, y = degree.get(a, 0), degree.get(b, 0)
+                good = x < cap and y < cap
+                kept.append(good)
+                if good:
+                    degree[a], degree[b] = x + 1, y + 1
+            yield p.filter(pa.array(kept, pa.bool_()))
 
     return kernel
 
@@ -80,11 +96,11 @@ def capped_pairs(pairs: DataFrame, cap: int = 8, kernel_pairs: int = KERNEL_PAIR
     edges = pairs.select(*key, "candidate_score")
     sizes = edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
     big = sizes.where(F.col("_n") > kernel_pairs).select("session_id")
-    small = edges.join(big, "session_id", "left_anti")
-    kept = small.groupBy("session_id").applyInPandas(_walk(cap), edges.schema).select(*key)
-    if big.head(1):
-        kept = kept.unionByName(_rounds(edges.join(big, "session_id", "left_semi"), cap))
-    return pairs.join(kept, key, "left_semi")
+    walk = lambda d: _sorted(d, CAP_ORDER).mapInArrow(_walk(cap), pairs.schema)
+    if not big.head(1):
+        return walk(pairs)
+    kept = _rounds(edges.join(big, "session_id", "left_semi"), cap)
+    return walk(pairs.join(big, "session_id", "left_anti")).unionByName(pairs.join(kept, key, "left_semi"))
 
 
 #: If fewer than one open edge in so many is first at both its parts, a round walks the first edges instead.

@@ -3,8 +3,11 @@ import json
 import random
 import re
 from collections import defaultdict
+from functools import reduce
 
+import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom import errors, schemas
@@ -381,3 +384,50 @@ def test_degree_cap_by_prefixes(spark, monkeypatch, few):
     got = capped._rounds(edges(spark, rows).drop("strong_cluster_candidate"), 2, few)
     assert {(r.session_id, r.left_ord, r.right_ord) for r in got.collect()} == {("s", 0, 1), ("s", 0, 2), ("s", 6, 7), ("s", 5, 6), ("s", 4, 5), ("s", 3, 4), ("s", 2, 3), ("t", 3, 4)}
     assert names.count("walked") == (7 if few == 1 else 2)
+
+
+def test_small_sessions_are_compared_together(spark):
+    """Sessions of a few decisions are numbered, counted and judged as many at once as a block holds, each by itself."""
+    odd = [("", ""), ("a", "a"), ("ab", "ab"), ("日本", "日本"), ("日本語の変更", "日本語の 変更"), ("😀ab c", "abc"), ("appro", "ve"), ("x", "ve and appro")]
+    sessions = {f"s{k}": random_decisions(3 + k, seed=k) for k in range(12)} | {"odd": [(f"SEC-{i + 1:03d}", "D-001", t, d, [], "accepted", "high", []) for i, (t, d) in enumerate(odd)]}
+    inv = reduce(DataFrame.unionByName, [inventory(spark, rows).withColumn("session_id", F.lit(s)) for s, rows in sessions.items()])
+    want = {(s, *k): v for s, rows in sessions.items() for k, v in brute_pairs(rows).items()}
+    codes = similarity.coded(similarity.ranked(similarity.features(inv)))
+    for block in (4, 50, 1024):
+        got = similarity._scored(similarity.candidates(codes, block)).collect()
+        assert {(r.session_id, r.left_decision_key, r.right_decision_key): r.candidate_score for r in got} == pytest.approx(want)
+    rows = codes.orderBy("session_id", "ord").toArrow()
+    together = list(similarity.gathered(similarity.units(iter(rows.to_batches()), ["session_id"]), 50))
+    assert [len(starts) for _, starts in together] == [6, 5, 2] and sum(t.num_rows for t, _ in together) == rows.num_rows
+    assert [list(x) for x in similarity.gathered(iter([rows]), 5)] == [[rows, [0]]]
+
+
+def test_codes_too_wide_for_a_key():
+    """Numbers that don't fit into one word beside unit and set are numbered anew."""
+    row, code = np.array([0, 0, 1, 1, 2, 3, 3]), np.array([1 << 61, 5, 5, 1 << 61, 7, 7, 7])
+    sizes, products = similarity.shared(row, code, np.array([[0, 0, 2], [2, 3, 4]]))
+    a, b = products
+    assert sizes.tolist() == [2, 2, 1, 1] and a[0, 1] == 2 and b.tolist() == [[1]]
+
+
+def many(sessions=40):
+    """Sessions with a graph each."""
+    return {f"s{k}": [e[1:] for e in graph(k, 4 + k % 9)] for k in range(sessions)}
+
+
+def test_cap_walk_streams(spark, capsys):
+    """The degree cap takes sorted edges as they come; no session is a frame of its own, and rows pass by without a join."""
+    graphs = many()
+    got = capped.capped_pairs(edges(spark, [(s, *e) for s, g in graphs.items() for e in g]), 2)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "Join" not in plan
+    want = set()
+    for s, g in graphs.items():
+        degree = defaultdict(int)
+        for a, b, _, _ in sorted(g, key=lambda x: (-x[2], x[0], x[1])):
+            if degree[a] < 2 and degree[b] < 2:
+                degree[a] += 1
+                degree[b] += 1
+                want.add((s, a, b))
+    assert {(r.session_id, r.left_ord, r.right_ord) for r in got.collect()} == want
