@@ -109,12 +109,12 @@ NODE = "session_id {kind}, ord long, root long, left_ord long, right_ord long"
 
 
 def _joining(most: int):
-    """Joins the ends of a session's edges in order while the union has at most that many members. Ends are parts: a and b, with sizes a_size
-    and b_size, which edges may already have joined. Gives each part's root, and the edges that joined something."""
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["strong_cluster_candidate", "candidate_score", "left_ord", "right_ord"], ascending=[False, False, True, True])
-        up: dict[int, int] = {}
-        size = dict(zip(p["a"].tolist(), p["a_size"].tolist())) | dict(zip(p["b"].tolist(), p["b_size"].tolist()))
+    """Joins the ends of sessions' sorted edges in order while the union has at most that many members. Ends are parts: a and b, with sizes
+    a_size and b_size, which edges may already have joined. Gives each part's root, and the edges that joined something."""
+    names = ["session_id", "ord", "root", "left_ord", "right_ord"]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, up, size = None, {}, {}
 
         def top(x: int) -> int:
             while up.setdefault(x, x) != x:
@@ -122,29 +122,39 @@ def _joining(most: int):
                 x = up[x]
             return x
 
-        used = []
-        for a, b in zip(p["a"].tolist(), p["b"].tolist()):
-            x, y = top(a), top(b)
-            join = x != y and size[x] + size[y] <= most
-            used.append(join)
-            if join:
-                up[y], size[x] = x, size[x] + size[y]
-        session = p["session_id"].iloc[0]
-        nodes = pd.DataFrame({"session_id": session, "ord": list(up), "root": [top(x) for x in up], "left_ord": None, "right_ord": None})
-        edges = p[used][["session_id", "left_ord", "right_ord"]]
-        whole = {c: "Int64" for c in ("ord", "root", "left_ord", "right_ord")}
-        return pd.concat([nodes.astype(whole), edges.assign(ord=None, root=None).astype(whole)])
+        for p in chain(batches, [None]):
+            made: list[tuple] = []
+            ends = () if p is None else zip(*(p.column(c).to_pylist() for c in ("session_id", "a", "b", "a_size", "b_size", "left_ord", "right_ord")))
+            for s, a, b, a_size, b_size, left, right in ends:
+                if s != session:
+                    made += [(session, x, top(x), None, None) for x in up]
+                    session, up, size = s, {}, {}
+                x, y = top(a), top(b)
+                n = size.setdefault(x, a_size) + size.setdefault(y, b_size)
+                if x != y and n <= most:
+                    up[y], size[x] = x, n
+                    made.append((s, None, None, left, right))
+            if p is None:
+                made += [(session, x, top(x), None, None) for x in up]
+            else:
+                kind = p.schema.field("session_id").type
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind if k == 0 else pa.int64()) for k, c in enumerate(zip(*made))], names=names)
 
     return kernel
 
 
+def _joined(edges: DataFrame, most: int) -> DataFrame:
+    kind = edges.schema["session_id"].dataType.simpleString()
+    return _sorted(edges.select("session_id", "left_ord", "right_ord", "candidate_score", "strong_cluster_candidate", "a", "b", "a_size", "b_size"), JOIN_ORDER).mapInArrow(_joining(most), NODE.format(kind=kind))
+
+
 def _first_walked(live: DataFrame, key: Column, most: int, few: int) -> tuple[DataFrame, DataFrame]:
     """(edges that joined something, parts with what they went into and its size) of the first few open edges of each session."""
     by = ["session_id"]
     place = F.row_number().over(W.partitionBy(*by).orderBy(key))
     first = live.withColumn("_k", place).where(F.col("_k") <= few).drop("_k")
-    kind = live.schema["session_id"].dataType.simpleString()
-    walked = stored(first.groupBy(*by).applyInPandas(_joining(most), NODE.format(kind=kind)), "walked")
+    walked = stored(_joined(first, most), "walked")
     nodes = walked.where("root is not null").select(*by, F.col("ord").alias("old"), F.col("root").alias("new"))
     parts = first.select(*by, F.explode(F.array(F.struct(F.col("a").alias("old"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("old"), F.col("b_size").alias("size")))).alias("p")).select(*by, "p.*").distinct()
     nodes = nodes.join(parts, [*by, "old"])
@@ -196,24 +206,22 @@ def clustered(pairs: DataFrame, most: int = 12, kernel_pairs: int = KERNEL_PAIRS
     """(session_id, ord, root, left_ord, right_ord): joins the ends of edges, strong ones first, then by score and keys, while the union has
     at most that many members. Rows with a root say where each end went, the others which edges joined something.
 
-    A session of up to kernel_pairs edges is walked by one task. In larger ones, rounds over DataFrames take all edges that the walk would take
+    A session of up to kernel_pairs edges is walked by one task, which takes many of them, edge by edge. In larger ones, rounds over DataFrames take all edges that the walk would take
     whatever else it does, until so few are left that a task can walk the parts. pairs is read several times: give it as a stored table.
     """
-    kind = pairs.schema["session_id"].dataType.simpleString()
     e = pairs.select("session_id", F.col("left_ord").cast("long"), F.col("right_ord").cast("long"), "candidate_score", "strong_cluster_candidate")
     large = e.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > kernel_pairs).select("session_id")
     one = F.lit(1).cast("long")
     alone = lambda d: d.withColumn("a", F.col("left_ord")).withColumn("b", F.col("right_ord")).withColumn("a_size", one).withColumn("b_size", one)
-    walk = lambda d: d.groupBy("session_id").applyInPandas(_joining(most), NODE.format(kind=kind))
     if not large.head(1):
-        return walk(alone(e))
+        return _joined(alone(e), most)
     members, chosen, rest = _contracted(e.join(large, "session_id", "left_semi"), most, kernel_pairs)
-    walked = stored(walk(rest.select("session_id", "left_ord", "right_ord", "candidate_score", "strong_cluster_candidate", "a", "b", "a_size", "b_size")), "walked")
+    walked = stored(_joined(rest, most), "walked")
     ends = walked.where("root is not null").select("session_id", F.col("ord").alias("part"), "root")
     none = F.lit(None).cast("long")
     nodes = members.join(ends, ["session_id", "part"], "left").select("session_id", "ord", F.coalesce("root", "part").alias("root"), none.alias("left_ord"), none.alias("right_ord"))
     edges = walked.where("root is null").select("session_id", "left_ord", "right_ord").unionByName(chosen).select("session_id", none.alias("ord"), none.alias("root"), "left_ord", "right_ord")
-    return walk(alone(e.join(large, "session_id", "left_anti"))).unionByName(nodes).unionByName(edges)
+    return _joined(alone(e.join(large, "session_id", "left_anti")), most).unionByName(nodes).unionByName(edges)
 
 
 def mark_edges(pairs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -431,3 +431,19 @@ def test_cap_walk_streams(spark, capsys):
                 degree[b] += 1
                 want.add((s, a, b))
     assert {(r.session_id, r.left_ord, r.right_ord) for r in got.collect()} == want
+
+
+def test_join_walk_streams(spark, capsys):
+    """So do the clusters' walks."""
+    graphs = many()
+    got = capped.clustered(edges(spark, [(s, *e) for s, g in graphs.items() for e in g]), 4)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    rows = got.collect()
+    for s, g in graphs.items():
+        parts, mine = defaultdict(set), [r for r in rows if r.session_id == s]
+        for r in mine:
+            if r.root is not None:
+                parts[r.root].add(r.ord)
+        assert ({frozenset(x) for x in parts.values()}, {(r.left_ord, r.right_ord) for r in mine if r.root is None}) == walked(g, 4)
