@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,13 +64,9 @@ def at(v: Column, *keys: str) -> Column:
     return F.try_variant_get(v, "$" + "".join(f'["{k}"]' for k in keys), "variant")
 
 
-def kind_of(v: Column) -> Column:
-    """STRING, BIGINT, OBJECT, ARRAY, BOOLEAN, VOID and so on; null for an absent value."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
-
-
 def is_kind(v: Column, *kinds: str) -> Column:
-    return F.coalesce(kind_of(v).isin(*kinds), F.lit(False))
+    """Whether a value is a STRING, BIGINT, OBJECT, ARRAY, BOOLEAN, VOID and so on; an absent value is none. No kind may begin another's name."""
+    return F.coalesce(reduce(Column.__or__, (F.startswith(F.schema_of_variant(v), F.lit(k)) for k in kinds)), F.lit(False))
 
 
 def text_at(v: Column, *keys: str) -> Column:

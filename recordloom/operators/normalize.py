@@ -76,11 +76,20 @@ def classify(parsed: DataFrame) -> DataFrame:
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"default": classify}
 
 
+def adapted(lines: DataFrame, adapter: str = "default") -> DataFrame:
+    """Lines with all that their raw and normalised events hold, to be stored where several readers would parse them anew."""
+    d = ADAPTERS[adapter](parse(lines)).drop("raw")
+    raw_id = F.format_string("%s-raw-%06d", F.col("session_id"), F.col("source_line"))
+    return d.withColumn("raw_event_id", raw_id).withColumn("id", event_id(F.col("session_id"), F.col("kind"), F.col("source_line")))
+
+
 def normalize(lines: DataFrame, adapter: str = "default") -> tuple[DataFrame, DataFrame]:
     """(raw events, normalised events) of log lines; a row each per line."""
-    d = ADAPTERS[adapter](parse(lines))
-    raw_id = F.format_string("%s-raw-%06d", F.col("session_id"), F.col("source_line"))
-    d = d.withColumn("raw_event_id", raw_id).withColumn("id", event_id(F.col("session_id"), F.col("kind"), F.col("source_line")))
+    return events_of(adapted(lines, adapter))
+
+
+def events_of(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw events, normalised events) of adapted lines."""
     raw = d.select(F.col("raw_event_id").alias("id"), "session_id", "source_line", "raw_text", "parsed_ok", "event_type", "timestamp")
     return raw, d.select("id", "session_id", "raw_event_id", "source_line", F.col("event_type").alias("source_event_type"), "kind", "role", "timestamp", "content")
 

@@ -19,7 +19,7 @@ from .. import errors
 from ..functions.shape import add_counts, first_text
 from ..functions.text import matches, normalized, role_title, section_number
 from ..operators import assembly, clusters, lifecycle, normalize, projection, render, sections, signals, validation
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import logs, sinks
 from . import verbs
 
@@ -182,7 +182,7 @@ def snk01_ingest(spark, sf):
     """SRC-03, SNK-01, HLP-01, VAL-11: files are loaded after a run that died, and again."""
     files, store = log_files(spark, sf), own_dir(spark, "store")
     lines = logs.read_log(spark, f"{files}/*/*")
-    raw, events = normalize.normalize(lines)
+    raw, events = normalize.events_of(stored(normalize.adapted(lines), "adapted"))
     raw.write.parquet(f"{store}/raw_events/commit=died")  # a writer that died before its entry: never seen
     events.write.parquet(f"{store}/events/commit=died")
     first = verbs.ingest(spark, f"{files}/*/*", store)

@@ -39,13 +39,15 @@ def rows(df: DataFrame) -> list[dict]:
 
 def ingest(spark: SparkSession, source: str, store: str, adapter: str = "default") -> list[dict]:
     """Loads log files; bytes that were loaded before are left out. A loss report per new session. The batch is named by the digests of
-    its files, so that a run that died is repeated over itself."""
-    lines = logs.only_new(logs.read_log(spark, source), stored(spark, store, "sessions", SESSIONS))
-    raw, events = normalize.normalize(lines, adapter)
-    found = lines.groupBy("session_id", "source_sha256").agg(F.min("path").alias("source_file"))
+    its files, so that a run that died is repeated over itself. Lines are parsed once; the report compares what was stored of them with the
+    files' lines, which are read again."""
+    lines = logs.read_log(spark, source, seen=stored(spark, store, "sessions", SESSIONS))
+    adapted = session.stored(normalize.adapted(lines, adapter), "adapted")
+    raw, events = normalize.events_of(adapted)
+    found = adapted.groupBy("session_id", "source_sha256").agg(F.min("path").alias("source_file"))
     now = F.current_timestamp()
     new = found.select(F.col("session_id").alias("id"), F.lit("jsonl").alias("source_type"), "source_file", "source_sha256", now.alias("created_at"), now.alias("normalized_at"))
-    report = rows(normalize.loss_report(raw, events))
+    report = rows(normalize.loss_report(normalize.normalize(lines, adapter)[0], events)) if adapted.head(1) else []
     if report:
         marks = found.agg(F.sum(F.xxhash64("source_sha256").cast("decimal(38,0)")).alias("x")).first()["x"]
         sinks.publish({"raw_events": raw, "events": events, "sessions": new}, store, f"files-{len(report)}-{marks}")

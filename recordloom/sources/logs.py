@@ -93,18 +93,20 @@ def _offsets(spark: SparkSession, paths: list[str], own: DataFrame) -> DataFrame
     return stored(counted.withColumn("before", before).join(own, "path", "left"), "offsets")
 
 
-def read_log(spark: SparkSession, path: str, whole: int = WHOLE, most: int = SPLITS) -> DataFrame:
+def read_log(spark: SparkSession, path: str, whole: int = WHOLE, most: int = SPLITS, seen: DataFrame | None = None) -> DataFrame:
     """Lines of log files: path, source_sha256, session_id, source_line (from 1), raw_text.
 
     Any line end counts, blank lines are lines, and the end of the last line begins none; bytes that are no UTF-8 fail the file.
     Files are split: a line's number is its place in its split and the number of lines in the file's splits before. A file's
-    digest names its session; of files with equal bytes the one with the least path is read.
+    digest names its session; of files with equal bytes the one with the least path is read, and those whose digests are in seen
+    (source_sha256) are left out.
 
     Lines are counted and files hashed when this is called. The reading itself moves no line: each split's task looks its offset up in a
     table with a row a split, which is broadcast; files whose splits are more than most are read in groups of fewer (a single
     file with more is a group by itself).
     """
-    own = stored(file_hashes(spark, path, whole).groupBy("source_sha256").agg(F.min("path").alias("path")), "files")
+    own = file_hashes(spark, path, whole).groupBy("source_sha256").agg(F.min("path").alias("path"))
+    own = stored(own if seen is None else only_new(own, seen), "files")
     splits = _offsets(spark, [path], own)
     if splits.count() <= most:
         return _numbered(spark, [path], splits)
@@ -119,7 +121,7 @@ def read_log(spark: SparkSession, path: str, whole: int = WHOLE, most: int = SPL
 
 
 def only_new(lines: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Lines of files whose bytes haven't been loaded before."""
+    """Lines of files, or files, whose bytes haven't been loaded before. Lines would move to a task a file: read_log leaves files out."""
     return lines.join(sessions.select("source_sha256"), "source_sha256", "left_anti")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 
 from recordloom.operators import normalize, projection, sections
+from recordloom.plans import verbs
 from recordloom.sources import logs, sinks
 
 LOG = [
@@ -204,3 +205,33 @@ def test_sinks(spark, tmp_path):
     sinks.fan_out(spark.createDataFrame([("SEC-001", 1), ("SEC-002", 2)], "section_id string, x int"), f"{out}/sections", "section_id")
     assert sinks.manifest(spark, f"{out}/sections").where("path like '%.json'").count() == 2
     assert sinks.with_guidance("g \n", "\n p") == "g\n\n---\n\np"
+
+
+def test_loaded_files_are_left_out_where_they_lie(spark, tmp_path, capsys):
+    """Files are compared by digest before their lines are read; no line moves for it, to a task a file."""
+    for name, text in (("a", "1\n2\n"), ("b", "3\n"), ("c", "1\n2\n")):
+        (tmp_path / name).write_text(text)
+    seen = spark.createDataFrame([(hashlib.sha256(b"1\n2\n").hexdigest(),)], "source_sha256 string")
+    got = logs.read_log(spark, f"{tmp_path}/*", seen=seen)
+    assert [(r.raw_text, r.source_line) for r in got.collect()] == [("3", 1)]
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_ingest_parses_once(spark, tmp_path, monkeypatch, capsys):
+    """What is published was parsed before; the report sets it against the files' lines."""
+    p, made, publish, compared, report = write(tmp_path, LOG), {}, sinks.publish, [], normalize.loss_report
+    monkeypatch.setattr(sinks, "publish", lambda tables, *more: made.update(tables) or publish(tables, *more))
+    monkeypatch.setattr(normalize, "loss_report", lambda raw, events: compared.append(raw) or report(raw, events))
+    got = verbs.ingest(spark, str(p), f"{tmp_path}/store")
+    assert [(r["total_lines"], r["recognized"], r["unknown"], r["parse_errors"], r["silently_dropped"]) for r in got] == [(8, 5, 1, 2, 0)]
+    for d in made.values():
+        d.explain()
+    plan = capsys.readouterr().out
+    assert sorted(made) == ["events", "raw_events", "sessions"] and "parse_json" not in plan and "ArrowEvalPython" not in plan and "Scan text" not in plan
+    compared[0].explain()
+    assert "Scan text" in capsys.readouterr().out
+    raw, events = normalize.normalize(logs.read_log(spark, str(p)))
+    for d, name in ((raw, "raw_events"), (events, "events")):
+        assert sorted(map(str, d.collect())) == sorted(map(str, made[name].collect()))
