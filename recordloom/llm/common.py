@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -19,6 +19,8 @@ SPACES = " \t\n\x0b\f\r"
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A key with over 1/HOT_SHARE of the rows counts as hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Rows of a key that no task minds, however few rows the table has.
+FEW = 100
 
 
 def byte_table() -> bytes:
@@ -61,6 +63,11 @@ class Scratch:
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def counted(self, df: DataFrame, name: str, **more: Column) -> tuple[DataFrame, dict]:
+        """store(), and what the same job saw of the rows: their number as rows, and further aggregates."""
+        seen = Observation()
+        return self.store(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in more.items())), name), seen.get
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
@@ -82,13 +89,17 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, most: int | None = None) -> DataFrame:
     """left LEFT JOIN right on keys (null-free, unique in right), whatever share of left one key holds.
 
     right[weight] is the key's number of rows in left, total the sum. Keys with over total/HOT_SHARE rows, of which there
-    are fewer than HOT_SHARE, are broadcast; for all others the shuffle's largest group is under that share.
+    are fewer than HOT_SHARE, are broadcast; for all others the shuffle's largest group is under that share. most: the largest
+    weight, if known; where no key is hot or has over FEW rows, a plain join does.
     """
     bar = max(1, total // HOT_SHARE)
+    if most is not None and most <= max(FEW, bar):
+        names = [c for c in right.columns if c not in keys]
+        return left.join(right, keys, "left").select(*left.columns, *names)
     hot = right.where(F.col(weight) > bar).withColumn("_hot", F.lit(True))
     first = left.join(F.broadcast(hot), keys, "left")
     names = [c for c in right.columns if c not in keys]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, Scratch, free, lookup, map_batches, pick
+from .common import FEW, HOT_SHARE, Scratch, free, lookup, map_batches, pick
 from .simhash import SEED, components, fingerprint, link, signed
 
 #: Words of a shingle, and the similarity from which documents are near copies, as a fraction.
@@ -65,11 +65,11 @@ def similar(a: bytes, b: bytes) -> bool:
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of classes that are near copies. sets: cls, hashes."""
-    pairs = scratch.store(pairs, "pairs")
-    total = max(1, pairs.count())
+    pairs, seen = scratch.counted(pairs, "pairs")
     for side in ("a", "b"):
         own = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("w")).join(sets.select(F.col("cls").alias(side), F.col("hashes").alias(f"{side}_set")), side)
-        pairs = lookup(pairs, scratch.store(own, f"sets-{side}"), [side], "w", total).drop("w")
+        own, of = scratch.counted(own, f"sets-{side}", most=F.max("w"))
+        pairs = lookup(pairs, own, [side], "w", seen["rows"], of["most"] or 0).drop("w")
 
     def run(batches):
         for b in batches:
@@ -85,15 +85,18 @@ def _linked(marked: DataFrame, scratch: Scratch) -> DataFrame:
     prints = scratch.store(marked.where(F.size("bands") > 0).select("cls", "fp").distinct(), "prints")
     own = Scratch(scratch.spark, "near-links")
     roots = components(own.store(link(prints.select("fp").distinct(), own), "links"), own).withColumnRenamed("node", "fp")
-    named = scratch.store(prints.join(roots, "fp", "left").select("cls", F.coalesce("root", "fp").alias("root")).distinct(), "prints-named")
+    named, seen = scratch.counted(prints.join(roots, "fp", "left").select("cls", F.coalesce("root", "fp").alias("root")).distinct(), "prints-named")
     firsts = named.groupBy("root").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return lookup(named, scratch.store(firsts, "firsts"), ["root"], "k", max(1, named.count())).where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
+    firsts, of = scratch.counted(firsts, "firsts", most=F.max("k"))
+    return lookup(named, firsts, ["root"], "k", seen["rows"], of["most"] or 0).where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
 
 
-def _members(spread: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+def _members(spread: DataFrame, groups: DataFrame, total: int, most: int) -> DataFrame:
     """spread JOIN groups on band, as lookup() does it, but most rows have no group: those of hot bands, fewer than HOT_SHARE, are
     told by their names, so that no row goes through a join that doesn't keep it."""
     bar = max(1, total // HOT_SHARE)
+    if most <= max(FEW, bar):
+        return spread.join(groups, "band").select("cls", "band", "n")
     hot = [r["band"] for r in groups.where(F.col("n") > bar).select("band").collect()]
     done = spread.where(F.col("band").isin(hot)).join(F.broadcast(groups.where(F.col("n") > bar)), "band")
     rest = spread.where(~F.col("band").isin(hot)).join(groups.where(F.col("n") <= bar), "band")
@@ -101,25 +104,25 @@ def _members(spread: DataFrame, groups: DataFrame, total: int) -> DataFrame:
 
 
 def between(odd: list[tuple], all_: list[tuple]) -> list[tuple[int, int]]:
-    """Rows are (class, root, hashes). Edges from each odd row to one near copy of each other root."""
+    """Rows are (class, root, hashes). Edges between roots: from each odd row's to that of each near copy with another."""
     sizes = np.array([len(x[2]) // 8 for x in all_], np.int64)
-    names, roots = np.array([x[0] for x in all_], np.int64), np.array([x[1] for x in all_], np.int64)
+    roots = np.array([x[1] for x in all_], np.int64)
     known, code = np.unique(np.frombuffer(b"".join(x[2] for x in all_), np.uint64), return_inverse=True)
-    begins, out = np.concatenate([[0], np.cumsum(sizes)[:-1]]), []
+    begins, out = np.concatenate([[0], np.cumsum(sizes)[:-1]]), set()
     up, down = LEAST
-    for cls, root, hashes in odd:
+    for _, root, hashes in odd:
         h = np.frombuffer(hashes, np.uint64)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         mark = np.zeros(len(known), np.int64)
         mark[at[known[at] == h]] = 1
         both = np.add.reduceat(mark[code], begins)
         near = np.flatnonzero((down * both >= up * (sizes + len(h) - both)) & (roots != root))
-        out += [(cls, int(names[near[i]])) for i in np.unique(roots[near], return_index=True)[1]]
-    return out
+        out.update((root, r) for r in np.unique(roots[near]).tolist())
+    return sorted(out)
 
 
 def _rest(apart: DataFrame, sets: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """Edges between the components that a band still has. apart: band, cls, root, and of its band n, main (the root of most
+    """Edges between the components that a band still has, as pairs of their roots. apart: band, cls, root, and of its band n, main (the root of most
     members) and odd (members with another root). Odd members meet all members in blocks of either, so that no task's work
     grows with a band."""
     place = F.xxhash64("cls")
@@ -175,13 +178,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = scratch.store(map_batches(base, scan, f"id {kind}, key long, cls long, fp long, bands array<long>"), "shingles")
     head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least")
     classes = scratch.store(marked.groupBy("cls").agg(head), "classes")
-    spread = scratch.store(marked.select("cls", F.explode("bands").alias("band")).distinct(), "bands")
+    spread, seen = scratch.counted(marked.select("cls", F.explode("bands").alias("band")).distinct(), "bands")
     groups = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = scratch.store(_members(spread, scratch.store(groups, "groups"), spread.count()), "met")
-    rows = max(1, met.count())
+    groups, of = scratch.counted(groups, "groups", most=F.max("n"))
+    most = of["most"] or 0
+    met, seen = scratch.counted(_members(spread, groups, seen["rows"], most), "met")
+    rows = seen["rows"]
     weighed = met.join(met.groupBy("cls").agg(F.sum("n").alias("w")), "cls")
     pivots = weighed.groupBy("band").agg(F.max(F.struct("w", "cls")).alias("top"), F.count(F.lit(1)).alias("k")).select("band", F.col("top.cls").alias("pivot"), "k")
-    stars = lookup(met, scratch.store(pivots, "pivots"), ["band"], "k", rows).where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    stars = lookup(met, scratch.store(pivots, "pivots"), ["band"], "k", rows, most).where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     linked = scratch.store(_linked(marked, scratch), "linked")
     stars = linked.unionByName(stars).distinct()
     scratch.drop("bands", "prints", "prints-named")
@@ -193,15 +198,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = scratch.store(sets.dropDuplicates(["cls"]), "sets")
 
     edges = _verified(stars, sets, scratch)
-    named = met.select("band", "cls").join(components(edges, scratch).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = scratch.store(named, "named")
+    roots = components(edges, scratch).withColumnRenamed("node", "cls")
+    named = scratch.store(met.select("band", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
     parts = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most"))
     parts = parts.where("n > most.c").select("band", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.c")).alias("odd"))
-    apart = lookup(named, scratch.store(parts, "parts"), ["band"], "n", rows).where("n is not null")
-    edges = edges.unionByName(_rest(apart, sets, scratch, block))
-
-    roots = components(edges, Scratch(scratch.spark, "near-roots")).withColumnRenamed("node", "cls")
+    parts, seen = scratch.counted(parts, "parts")
     own = classes.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("least").alias("least"))
+    if seen["rows"]:
+        apart = lookup(named, parts, ["band"], "n", rows, most).where("n is not null")
+        tops = components(_rest(apart, sets, scratch, block), Scratch(scratch.spark, "near-roots"))
+        own = own.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("least").alias("least"))
     kept = scratch.store(own.select(F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "kept")
     name = free(docs, "text_hash")
     d = docs.withColumn(name, F.xxhash64(docs[f"`{text_col}`"]))

@@ -7,7 +7,7 @@ from itertools import count, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, free, lookup, map_batches, pick
@@ -141,14 +141,15 @@ def link(prints: DataFrame, scratch: Scratch, budget: int = BUDGET, root: int =
     """
     masks = [signed(m) for m in _masks(budget)]
     spread = prints.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
-    sizes = spread.groupBy("mask", "val").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = scratch.store(sizes, "roots")
-    total = prints.count() * len(masks)
-    rows = lookup(spread, sizes, ["mask", "val"], "n", total).where("n > 1")
+    sizes = spread.groupBy("mask", "val").agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation()
+    sizes = scratch.store(sizes.observe(seen, F.sum("n").alias("total"), F.max("n").alias("most")).where("n > 1"), "roots")
+    total, most = (seen.get[k] or 0 for k in ("total", "most"))
+    rows = lookup(spread, sizes, ["mask", "val"], "n", total, most).where("n > 1")
     small = rows if budget != 2 else rows.where(F.col("n") <= root)
     dealt = small.select("mask", "val", "fp").repartition("mask", "val").sortWithinPartitions("mask", "val", F.expr("fp < 0"), "fp")
     edges = dealt.mapInArrow(_root_links(budget), "a long, b long")
-    if budget == 2 and sizes.where(F.col("n") > root).head(1):
+    if budget == 2 and most > root:
         flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(BITS)])
         free = F.filter(flips, lambda x: x.bitwiseAND(F.col("mask")) == 0)
         big = rows.where(F.col("n") > root).select("fp", "mask", F.explode(free).alias("flip")).select("fp", "mask", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
@@ -158,32 +159,33 @@ def link(prints: DataFrame, scratch: Scratch, budget: int = BUDGET, root: int =
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root): each node of edges (a, b) with the smallest node it is connected to, by large-star and small-star rounds."""
-    now = scratch.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges-0")
-    mark = None
-    for k in count(1):  # ends: each round that changes edges lowers an end
+    """(node, root): each node of edges (a, b) with the smallest node it is connected to, by large-star and small-star rounds.
+
+    A round begins with each node's smaller and larger neighbours: once no node has two smaller ones, or one and larger ones too,
+    all edges lead to roots. The same counts bound what either star joins on one key.
+    """
+    below, above = F.count(F.when(F.col("b") < F.col("a"), 1)), F.count(F.when(F.col("b") > F.col("a"), 1))
+    bad = F.count(F.when((F.col("below") > 1) | (F.col("below") == 1) & (F.col("above") > 0), 1))
+    now, seen = scratch.counted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges-0")
+    for k in count(1):  # ends: a round that finds such a node lowers an end
+        if not (total := seen["rows"]):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both, lambda d: d.where("b > a"))
-        one = scratch.store(large, f"large-{k}")
-        down = one.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        small = _star(down, lambda d: d)
-        small = small.unionByName(down.groupBy("a").agg(F.min("b").alias("b")))
-        new = scratch.store(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"edges-{k}")
-        scratch.drop(f"large-{k}", f"edges-{k - 1}")
-        now, last = new, mark
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
+        ends = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), below.alias("below"), above.alias("above"))
+        ends, of = scratch.counted(ends, f"ends-{k}", bad=bad, below=F.max("below"), above=F.max("above"))
+        if not of["bad"]:
+            scratch.drop(f"ends-{k}")
             break
+        large = lookup(both.where("b > a"), ends.where("above > 0").select("a", "m", "above"), ["a"], "above", total, of["above"])
+        down = scratch.store(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"large-{k}")
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(down, least, ["a"], "n", total, of["below"])
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        now, seen = scratch.counted(small.where("a <> b").distinct(), f"edges-{k}")
+        scratch.drop(f"large-{k}", f"ends-{k}", f"edges-{k - 1}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _star(pairs: DataFrame, part) -> DataFrame:
-    """Each neighbour b of a, with the smallest of a and its neighbours."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-    found = lookup(part(pairs), least, ["a"], "n", max(1, pairs.count()))
-    return found.select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
 def _assign(docs: DataFrame, id_col: str, text_col: str, words: int, budget: int) -> DataFrame:
     """A row per document: id, key (hash of the text, for rows that repeat an id), fp, head (of its component: its smallest
     (id, key), null ids last)."""

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from recordloom.llm import near_copies
-from test_operators import empty, make
+from test_operators import empty, jobs, make
 
 
 def brute_sets(text, words=5):
@@ -59,6 +59,12 @@ def test_drop_near_copies(spark, block):
     assert near_copies.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_few_jobs(spark):
+    """The driver's threads, plans and compiled code grow with the jobs it starts, however small the table."""
+    docs = make(spark, planted(20, 4))[1]
+    assert jobs(spark, lambda: near_copies.drop_near_copies(docs).count()) <= 110
+
+
 def test_pipeline_stage_drops_copies_with_changed_words(spark):
     w = [f"w{i}" for i in range(300)]
     changed = [*w]

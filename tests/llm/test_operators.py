@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from recordloom.llm import chat_format, decontamination, exact_dedup, license_scan, mixing, quality, repeats, simhash, sql, token_counts, token_store
+from recordloom.llm import chat_format, common, decontamination, exact_dedup, license_scan, mixing, quality, repeats, simhash, sql, token_counts, token_store
 from recordloom.llm.common import Scratch
 
 CLASH = ["id", "h", "sha", "norm", "n", "k1", "_id", "size", "bucket", "row", "copies", "fp", "key", "_text"]
@@ -636,6 +637,42 @@ def test_links_of_dense_prints(spark, root):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def jobs(spark, run):
+    """Spark jobs that run() starts."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("kind", ["chain", "hub", "random", "loops", "none"])
+def test_components(spark, kind):
+    r = random.Random(8)
+    if kind == "chain":
+        nodes = r.sample(range(10**6), 90)
+        pairs = list(zip(nodes, nodes[1:]))
+    elif kind == "hub":  # more neighbours than FEW, smaller and larger ones, and two hubs that share one
+        pairs = [(h, n) for h in (500, 20_000) for n in r.sample(range(30_000), 3 * common.FEW)] + [(500, 7), (20_000, 7)]
+    else:
+        pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] if kind == "random" else [(3, 3), (-4, -4), (5, -4)] if kind == "loops" else []
+    up = {n: n for p in pairs for n in p}
+    for a, b in pairs:
+        x, y = sorted((up[a], up[b]))
+        up = {n: x if t == y else t for n, t in up.items()}
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = {x.node: x.root for x in simhash.components(df, Scratch(spark, "t")).collect()}
+    assert got == {n: t for n, t in up.items() if n != t}
+
+
+def test_components_of_stars_take_no_round(spark):
+    df = spark.createDataFrame([(n, n % 5) for n in range(5, 60)], "a long, b long")
+    assert jobs(spark, lambda: simhash.components(df, Scratch(spark, "t"))) <= 6
+
+
 def test_trie_with_other_budgets():
     r = np.random.default_rng(1)
     keys = np.unique(np.concatenate([r.integers(0, 1 << 63, 200, np.uint64), np.uint64(7) ^ (np.uint64(1) << r.integers(0, 60, 40, np.uint64))]))
