@@ -21,6 +21,8 @@ WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 HOT_SHARE = 1000
 #: Rows of a key that no task minds, however few rows the table has.
 FEW = 100
+#: The map of hashes: bits for each, and the most cells of 32,768 bits (4 KB each, so 16 MB at most are broadcast).
+BITS_EACH, CELL, CELLS = 16, 32_768, 4096
 
 
 def byte_table() -> bytes:
@@ -108,6 +110,19 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     return done.select(*left.columns, *names).unionByName(rest.select(*left.columns, *names))
 
 
+def among(rows: DataFrame, again: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of rows (with h) whose hash may be one of again (h), by a map of bits that is broadcast: all whose hash is, and of the
+    others one in BITS_EACH at most while the map may grow, so that hardly any text that isn't asked for moves."""
+    cells = max(1, min(CELLS, -(-BITS_EACH * again.count() // CELL)))
+    place = F.pmod(F.col("h").bitwiseXOR(F.shiftrightunsigned("h", 29)), F.lit(cells * CELL))
+    spot = lambda d: d.withColumn("cell", F.expr(f"place div {CELL}").cast("int")).withColumn("at", F.col("place") % CELL).drop("place")
+    bits = spot(again.select(place.alias("place"))).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = scratch.store(bits, "repeated")
+    found = spot(rows.withColumn("place", place)).join(F.broadcast(bits), "cell")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.where(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(1) == 1).drop("cell", "at", "bits")
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists: fn takes one dict of lists at a time and gives one, or an iterator of them."""
     fields = StructType.fromDDL(schema).fields

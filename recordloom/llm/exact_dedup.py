@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACES, Scratch, free, lookup, pick
+from .common import SPACES, Scratch, among, free, lookup, pick
 
 #: Distinct hashes that a bucket holds before it is split, and that a page of a bucket at MAX_DEPTH holds.
 CAPACITY = 8192
 #: Bits of the hash that the directory may use; bounds it to 65,536 entries of 16 bytes, about 1 MB.
 MAX_DEPTH = 16
 FIRST_DEPTH = 3
-#: The map of repeated hashes: bits for each, and the most cells of 32,768 bits (4 KB each, so 16 MB at most are broadcast).
-BITS_EACH, CELL, CELLS = 16, 32_768, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -61,20 +59,6 @@ def _owned(rows: DataFrame, directory: DataFrame) -> DataFrame:
     return d.withColumn("page", page_of(F.col("h"), F.col("pages"))).drop("leaf", "pages")
 
 
-def _repeated(rows: DataFrame, heads: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of rows (with h) whose hash may stand in several rows, by a map of bits that is broadcast: all that do, and of the
-    others one in BITS_EACH at most while the map may grow, so that hardly any text that is no copy moves."""
-    again = heads.where("n > 1").select("h")
-    cells = max(1, min(CELLS, -(-BITS_EACH * again.count() // CELL)))
-    place = F.pmod(F.col("h").bitwiseXOR(F.shiftrightunsigned("h", 29)), F.lit(cells * CELL))
-    spot = lambda d: d.withColumn("cell", F.expr(f"place div {CELL}").cast("int")).withColumn("at", F.col("place") % CELL).drop("place")
-    bits = spot(again.select(place.alias("place"))).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
-    bits = scratch.store(bits, "repeated")
-    found = spot(rows.withColumn("place", place)).join(F.broadcast(bits), "cell")
-    byte = F.conv(F.hex(F.substring("bits", F.expr("at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
-    return found.where(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(1) == 1).drop("cell", "at", "bits")
-
-
 RANK = "struct(-n_cp AS a, id IS NULL AS b, id AS c)"
 
 
@@ -95,7 +79,7 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     heads = scratch.store(pages.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr(RANK)).alias("best"), F.min("tag").alias("tag")), "heads")
     directory = scratch.store(build_directory(scratch, heads.select("h"), capacity), "directory")
 
-    texts = _repeated(norm, heads, scratch).groupBy("h", "norm").agg(F.count(F.lit(1)).alias("size"), F.min(F.expr(RANK)).alias("best"))
+    texts = among(norm, heads.where("n > 1").select("h"), scratch).groupBy("h", "norm").agg(F.count(F.lit(1)).alias("size"), F.min(F.expr(RANK)).alias("best"))
     texts = texts.select("h", "norm", "size", "best", F.lit(None).cast("long").alias("n"), F.unhex(F.sha2("norm", 256)).alias("tag"))
     counts = heads.select("h", F.lit(None).cast("string").alias("norm"), F.lit(None).cast("long").alias("size"), "best", "n", "tag")
     owned = _owned(texts.unionByName(counts), directory).repartition("bucket", "page")

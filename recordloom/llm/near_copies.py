@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, HOT_SHARE, Scratch, free, lookup, map_batches, pick
+from .common import FEW, HOT_SHARE, Scratch, among, free, lookup, map_batches, pick
 from .simhash import SEED, components, fingerprint, link, signed
 
 #: Words of a shingle, and the similarity from which documents are near copies, as a fraction.
@@ -176,8 +176,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return out
 
     marked = scratch.store(map_batches(base, scan, f"id {kind}, key long, cls long, fp long, bands array<long>"), "shingles")
-    head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least")
-    classes = scratch.store(marked.groupBy("cls").agg(head), "classes")
+    each = marked.groupBy("cls", "id", "key").agg(F.count(F.lit(1)).alias("n"))
+    classes = scratch.store(each.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key", "n")).alias("least")), "classes")
     spread, seen = scratch.counted(marked.select("cls", F.explode("bands").alias("band")).distinct(), "bands")
     groups = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups, of = scratch.counted(groups, "groups", most=F.max("n"))
@@ -192,8 +192,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch.drop("bands", "prints", "prints-named")
 
     named = met.select("cls").unionByName(linked.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
-    wanted = classes.join(named, "cls").select("cls", F.col("least.id").alias("_id"), F.col("least.key").alias("_key"))
-    texts = base.join(wanted, base["key"].eqNullSafe(wanted["_key"]) & base["id"].eqNullSafe(wanted["_id"])).select("cls", "text")
+    wanted = scratch.store(classes.join(named, "cls").select("cls", F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "wanted")
+    some = among(base.withColumnRenamed("key", "h"), wanted.select(F.col("_key").alias("h")), scratch)
+    texts = some.join(wanted, (some["h"] == wanted["_key"]) & some["id"].eqNullSafe(wanted["_id"])).select("cls", "text")
     sets = map_batches(texts, lambda c: {"cls": c["cls"], "hashes": [shingles(t, words).tobytes() for t in c["text"]]}, "cls long, hashes binary")
     sets = scratch.store(sets.dropDuplicates(["cls"]), "sets")
 
@@ -208,7 +209,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         apart = lookup(named, parts, ["band"], "n", rows, most).where("n is not null")
         tops = components(_rest(apart, sets, scratch, block), Scratch(scratch.spark, "near-roots"))
         own = own.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("least").alias("least"))
-    kept = scratch.store(own.select(F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "kept")
+    kept = own.select(F.col("least.id").alias("_id"), F.col("least.key").alias("_key"), (F.col("least.n") > 1).alias("_many"))
+    kept, seen = scratch.counted(kept, "kept", many=F.count_if("_many"))
     name = free(docs, "text_hash")
     d = docs.withColumn(name, F.xxhash64(docs[f"`{text_col}`"]))
-    return d.join(kept, d[f"`{id_col}`"].eqNullSafe(kept["_id"]) & (d[name] == kept["_key"]), "left_semi").dropDuplicates([id_col, name]).drop(name)
+    rows = lambda k: d.join(k, d[f"`{id_col}`"].eqNullSafe(k["_id"]) & (d[name] == k["_key"]), "left_semi")
+    found = rows(kept.where("NOT _many"))
+    if seen["many"]:
+        found = found.union(rows(kept.where("_many")).dropDuplicates([id_col, name]))
+    return found.drop(name)
