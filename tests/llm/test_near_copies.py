@@ -59,6 +59,15 @@ def test_drop_near_copies(spark, block):
     assert near_copies.drop_near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("again", [1, 3])
+def test_rows_that_repeat(spark, again):
+    """Rows that repeat the kept id and text leave one; equal texts under other ids leave none."""
+    rows = [(i, t) for i, t in ((4, "a b c"), (None, "d e f"), (7, "A  b c"), (9, None), (2, "g")) for _ in range(again)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = near_copies.drop_near_copies(docs)
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == [(0, "d e f"), (2, "g"), (4, "a b c"), (9, "")]
+
+
 def test_few_jobs(spark):
     """The driver's threads, plans and compiled code grow with the jobs it starts, however small the table."""
     docs = make(spark, planted(20, 4))[1]
