@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import stored
+from . import similarity
 
 #: Sessions with more pairs are capped and clustered by rounds over DataFrames instead of in one task.
 KERNEL_PAIRS = 200_000
@@ -103,6 +104,83 @@ def capped_pairs(pairs: DataFrame, cap: int = 8, kernel_pairs: int = KERNEL_PAIR
     return walk(pairs.join(big, "session_id", "left_anti")).unionByName(pairs.join(kept, key, "left_semi"))
 
 
+#: Sessions with more decisions are compared and capped by lists of each decision's first pairs; all pairs of others are written.
+LARGE = 500
+
+
+def _listed_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The degree cap's walk over the listed edges of sessions, sorted, each once or twice: from the list of either end (end), with the room it has.
+
+    An edge that only one end lists comes behind all that the other lists, between which and it there may be more. So an edge is kept if
+    both list it and both have room whatever becomes of the edges left open before it; it is dropped if either is full; else it
+    is left open. Gives kept edges and, without a right_ord, ends of open ones.
+    """
+    names = ["session_id", "left_ord", "right_ord"]
+    session, last, room, sure, hanging = None, None, {}, {}, set()
+    for p in chain(batches, [None]):
+        made: list[tuple] = []
+        if p is not None:
+            kind = p.schema.field("session_id").type
+        rows = ((None,) * 5,) if p is None else zip(*(p.column(c).to_pylist() for c in (*names, "end", "room")))
+        for s, a, b, end, free in rows:
+            twice = last == (a, b) and s == session
+            if last and not twice:
+                x, y = last
+                if room[x] > 0 and room[y] > 0:
+                    sure[x], sure[y] = sure[x] - 1, sure[y] - 1
+                    hanging |= {x, y}
+            if s != session:
+                made += [(session, x, None) for x in hanging]
+                session, room, sure, hanging = s, {}, {}, set()
+            if end is not None and end not in room:
+                room[end] = sure[end] = free
+            if twice and room[a] > 0 and room[b] > 0:
+                if sure[a] > 0 and sure[b] > 0:
+                    room[a], room[b] = room[a] - 1, room[b] - 1
+                    made.append((s, a, b))
+                else:
+                    hanging |= {a, b}
+                sure[a], sure[b] = sure[a] - 1, sure[b] - 1
+            last = None if twice or p is None else (a, b)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind if k == 0 else pa.int32()) for k, c in enumerate(zip(*made))], names=names)
+
+
+def _by_lists(codes: DataFrame, cap: int, block: int = similarity.BLOCK, least: int = similarity.NEAREST) -> DataFrame:
+    """(session_id, left_ord, right_ord) of the pairs that the degree cap keeps of coded decisions, of which not all candidate pairs are ever held:
+    rounds list the first candidate pairs of each decision that has room, walk the lists, and go on with the decisions that a list
+    left open. The first open pair of all is first at both its ends, so each round keeps one at least; mostly few decisions go on."""
+    by, kind = ["session_id", "ord"], codes.schema["session_id"].dataType.simpleString()
+    open_, kept = stored(codes.withColumn("taken", F.array().cast("array<int>")), "decisions"), []
+    while open_.head(1):
+        lists = stored(similarity.nearest(open_, block, least), "nearest")
+        key, other = F.col("key"), F.col("key").bitwiseAND(F.lit((1 << similarity.BITS) - 1)).cast("int")
+        entries = lists.join(open_.select(*by, (F.lit(cap) - F.size("taken")).alias("room")), by).select(*by, "room", F.explode("keys").alias("key"))
+        entries = entries.select("session_id", F.shiftright(key, similarity.BITS).cast("int").alias("low"), F.least("ord", other).alias("left_ord"), F.greatest("ord", other).alias("right_ord"), F.col("ord").alias("end"), "room")
+        walked = stored(_sorted(entries, {"low": True, "left_ord": True, "right_ord": True}).mapInArrow(_listed_walk, f"session_id {kind}, left_ord int, right_ord int"), "walked")
+        edges = walked.where("right_ord is not null")
+        kept.append(edges)
+        ends = F.explode(F.array(F.struct(F.col("left_ord").alias("ord"), F.col("right_ord").alias("other")), F.struct(F.col("right_ord").alias("ord"), F.col("left_ord").alias("other"))))
+        now = edges.select("session_id", ends.alias("e")).groupBy("session_id", "e.ord").agg(F.collect_list("e.other").alias("_now"))
+        hanging = walked.where("right_ord is null").select("session_id", F.col("left_ord").alias("ord"), F.lit(True).alias("_open"))
+        left = lists.select(*by, "whole").join(hanging, by, "left").where("_open or not whole").select(*by).join(now, by, "left")
+        taken = F.concat("taken", F.coalesce("_now", F.array().cast("array<int>")))
+        open_ = stored(open_.join(left, by).withColumn("taken", taken).drop("_now").where(F.size("taken") < cap), "decisions")
+    return reduce(DataFrame.unionByName, kept) if kept else codes.sparkSession.createDataFrame([], f"session_id {kind}, left_ord int, right_ord int")
+
+
+def best_pairs(feats: DataFrame, cap: int = 8, large: int = LARGE) -> DataFrame:
+    """The pairs that the degree cap keeps of all candidate pairs of decisions' features. Candidate pairs grow with a session's square; of
+    sessions with more than large decisions they are compared but not written. feats is read several times."""
+    sizes = feats.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select("session_id")
+    if not sizes.head(1):
+        return capped_pairs(stored(similarity.pairs(feats), "similar"), cap)
+    codes = stored(similarity.coded(similarity.ranked(feats.join(F.broadcast(sizes), "session_id", "left_semi"))), "codes")
+    made = similarity.rated(_by_lists(codes, cap), codes)
+    small = feats.join(F.broadcast(sizes), "session_id", "left_anti")
+    return made.unionByName(capped_pairs(stored(similarity.pairs(small), "similar"), cap)) if small.head(1) else made
+
+
 #: If fewer than one open edge in so many is first at both its parts, a round walks the first edges instead.
 SLOW = 20
 NODE = "session_id {kind}, ord long, root long, left_ord long, right_ord long"

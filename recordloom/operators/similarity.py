@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import chain
 
 import numpy as np
@@ -16,6 +17,12 @@ from ..schemas import LIFECYCLE_STATUSES
 
 #: Decisions of a session that a unit of work holds on either side.
 BLOCK = 1024
+#: Parts that a large session is dealt to, and decisions of a part, at most; of more decisions there are more parts.
+PARTS, PART = 16, 16_384
+#: Candidate pairs that are listed for a decision of a large session; more of fewer decisions, up to so many in all.
+NEAREST, LISTED = 64, 1_000_000
+#: The bits of a listed pair's key that hold the other decision's ord, and what stands for no pair.
+BITS, NONE = 40, np.iinfo(np.int64).max
 #: Trigrams that a unit of work compares at once.
 COLUMNS = 4096
 #: Characters of a term that may stand on one side of where two texts meet.
@@ -41,14 +48,24 @@ def ranked(d: DataFrame) -> DataFrame:
     return d.withColumn("ord", F.row_number().over(W.partitionBy("session_id").orderBy("n", "source_decision_key")))
 
 
+def _sum(t, d, c, e, files, near):
+    """The score before it is rounded, of columns or arrays; files: 1 if any is shared."""
+    return 0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * files + 0.03 * near
+
+
+def _chosen(s, t, d, c, e, files, life, room: float = 0.0):
+    """Which pairs are candidates, of columns or arrays. room: what a score may lack."""
+    return (s >= 0.34 - room) | (t >= 0.62) | (d >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28))
+
+
 def _scored(j: DataFrame) -> DataFrame:
     """Candidate pairs, of pairs with similarities and counts, with score, strong and reasons."""
     t, dd, c, e, n, life = (F.col(x) for x in ("title_similarity", "decision_similarity", "combined_similarity", "evidence_similarity", "section_distance", "possible_lifecycle_relation"))
     files, terms = F.col("files"), F.col("terms")
     near = F.when(n == 1, 1.0).when(n == 2, 0.5).otherwise(0.0)
-    j = j.withColumn("candidate_score", F.round(0.36 * t + 0.34 * dd + 0.12 * c + 0.12 * e + 0.03 * F.least(F.lit(1), files) + 0.03 * near, 6))
+    j = j.withColumn("candidate_score", F.round(_sum(t, dd, c, e, F.least(F.lit(1), files), near), 6))
     s = F.col("candidate_score")
-    j = j.where((s >= 0.34) | (t >= 0.62) | (dd >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28)))
+    j = j.where(_chosen(s, t, dd, c, e, files, life))
     strong = ((s >= 0.38) | (t >= 0.68) | (dd >= 0.65) | ((e >= 0.34) & (c >= 0.28)) | ((files > 0) & (c >= 0.35)) | (life & (n <= 2) & ((c >= 0.16) | (terms >= 3))) | ((terms >= 2) & (t >= 0.62) & (c >= 0.18)))
     reasons = F.array_compact(F.array(*(F.when(cond, name) for name, cond in (
         ("similar_title", t >= 0.62), ("similar_decision_text", dd >= 0.60), ("similar_combined_text", c >= 0.48), ("shared_evidence", e > 0), ("shared_attachment", files > 0), ("nearby_sections", n <= 2), ("possible_lifecycle_signal", life)))))
@@ -172,9 +189,7 @@ def compared(b: pa.Table, cuts: np.ndarray) -> dict[str, np.ndarray]:
     known = (status[l] > 0) & (status[r] > 0) & (status[l] != status[r])
     life = known | changes[l] | changes[r] | ((tail[l] & head[r]) != 0)
     files = both["attachments"]
-    s = 0.36 * t + 0.34 * d + 0.12 * c + 0.12 * e + 0.03 * (files > 0) + 0.03
-    may = (s >= 0.34 - 1e-5) | (t >= 0.62) | (d >= 0.60) | (c >= 0.48) | ((e > 0) & (c >= 0.18)) | ((files > 0) & (c >= 0.12)) | (life & (c >= 0.28))
-    may &= section[l] != section[r]
+    may = _chosen(_sum(t, d, c, e, files > 0, 1), t, d, c, e, files, life, 1e-5) & (section[l] != section[r])
     l, r = l[may], r[may]  # noqa: E741
     return {"left_at": l, "right_at": r, "left_ord": own["ord"][l], "right_ord": own["ord"][r], "section_distance": np.abs(n[l] - n[r]), "title_similarity": t[may], "decision_similarity": d[may], "combined_similarity": c[may],
             "evidence_similarity": e[may], "files": files[may], "terms": both["terms"][may], "possible_lifecycle_relation": life[may]}
@@ -212,6 +227,20 @@ def gathered(units: Iterator[pa.Table], most: int) -> Iterator[tuple[pa.Table, l
             held, size = [*held, unit], size + unit.num_rows
 
 
+#: What is told of a pair.
+KINDS = {"left_ord": pa.int32(), "right_ord": pa.int32(), "section_distance": pa.int32(), "title_similarity": pa.float64(), "decision_similarity": pa.float64(), "combined_similarity": pa.float64(), "evidence_similarity": pa.float64(),
+         "files": pa.int32(), "terms": pa.int32(), "possible_lifecycle_relation": pa.bool_()}
+PAIR = ("session_id {kind}, left_decision_key string, right_decision_key string, left_ord int, right_ord int, section_distance int, title_similarity double, decision_similarity double, combined_similarity double, "
+        "evidence_similarity double, files int, terms int, possible_lifecycle_relation boolean")
+
+
+def _told(rows: pa.Table, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs that compared() found among rows, as PAIR has them."""
+    a, b = (pa.array(found[x]) for x in ("left_at", "right_at"))
+    made = [rows["session_id"].take(a), rows["source_decision_key"].take(a), rows["source_decision_key"].take(b), *(pa.chunked_array([pa.array(found[c], KINDS[c])]) for c in KINDS)]
+    yield from pa.Table.from_arrays(made, names=["session_id", "left_decision_key", "right_decision_key", *KINDS]).to_batches(max_chunksize=100_000)
+
+
 def candidates(codes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (left before right) of coded decisions that may be candidates, with similarities and counts of what they share.
 
@@ -224,9 +253,6 @@ def candidates(codes: DataFrame, block: int = BLOCK) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), F.floor((F.col("_most") - 1) / block).cast("int")), lambda x: F.struct(F.least(x, own).alias("one"), F.greatest(x, own).alias("other")))
     dealt = codes.withColumn("_most", F.max("ord").over(W.partitionBy("session_id"))).withColumn("_u", F.explode(meets)).select("*", "_u.*").drop("_u", "_most")
     dealt = dealt.repartition(*by).sortWithinPartitions(*by, "ord")
-    session = codes.schema["session_id"].dataType.simpleString()
-    kinds = {"left_ord": pa.int32(), "right_ord": pa.int32(), "section_distance": pa.int32(), "title_similarity": pa.float64(), "decision_similarity": pa.float64(), "combined_similarity": pa.float64(), "evidence_similarity": pa.float64(),
-             "files": pa.int32(), "terms": pa.int32(), "possible_lifecycle_relation": pa.bool_()}
 
     def run(batches):
         for rows, starts in gathered(units(batches, by), block):
@@ -234,13 +260,102 @@ def candidates(codes: DataFrame, block: int = BLOCK) -> DataFrame:
             one, other = (rows[c].combine_chunks().to_numpy() for c in ("one", "other"))
             first, end = np.array(starts), np.array([*starts[1:], rows.num_rows])
             left = np.add.reduceat(at == one, first, dtype=np.int64)
-            found = compared(rows, np.stack([first, np.where(one[first] == other[first], first, first + left), end], 1))
-            a, b = (pa.array(found.pop(x)) for x in ("left_at", "right_at"))
-            made = [rows["session_id"].take(a), rows["source_decision_key"].take(a), rows["source_decision_key"].take(b), *(pa.chunked_array([pa.array(found[c], kinds[c])]) for c in kinds)]
-            yield from pa.Table.from_arrays(made, names=["session_id", "left_decision_key", "right_decision_key", *kinds]).to_batches(max_chunksize=100_000)
+            yield from _told(rows, compared(rows, np.stack([first, np.where(one[first] == other[first], first, first + left), end], 1)))
+
+    return dealt.mapInArrow(run, PAIR.format(kind=codes.schema["session_id"].dataType.simpleString()))
+
 
-    return dealt.mapInArrow(run, f"session_id {session}, left_decision_key string, right_decision_key string, left_ord int, right_ord int, section_distance int, title_similarity double, decision_similarity double, combined_similarity double, "
-                                 "evidence_similarity double, files int, terms int, possible_lifecycle_relation boolean")
+def millionths(score: np.ndarray) -> np.ndarray:
+    """Scores as round(score, 6) gives them, times a million: half up by their decimal digits, which only scores beside a half need."""
+    x = score * 1e6
+    out = np.floor(x + 0.5).astype(np.int64)
+    half = np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-6)
+    values, of = np.unique(score[half], return_inverse=True)
+    out[half] = np.array([int((Decimal(repr(v)) * 1_000_000).to_integral_value(ROUND_HALF_UP)) for v in values.tolist()], np.int64)[of]
+    return out
+
+
+def _grids(rows: pa.Table, middle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs that are candidates, of rows of two blocks, the second from middle on, or of one if that is 0: a row for each on the left
+    and, again, for each on the right. Pairs that were taken before are left out. Keys ascend in the order of the degree cap's walk at one end: by
+    falling score, then by the other end's ord."""
+    n, ords = rows.num_rows, rows["ord"].combine_chunks().to_numpy().astype(np.int64)
+    found = compared(rows, np.array([[0, middle, n]]))
+    t, d, c, e, files, life, far = (found[x] for x in ("title_similarity", "decision_similarity", "combined_similarity", "evidence_similarity", "files", "possible_lifecycle_relation", "section_distance"))
+    low = 1_000_000 - millionths(_sum(t, d, c, e, np.minimum(files, 1), np.where(far == 1, 1.0, np.where(far == 2, 0.5, 0.0))))
+    good = _chosen((1_000_000 - low) / 1e6, t, d, c, e, files, life)
+    l, r, low = found["left_at"][good], found["right_at"][good], low[good] << BITS  # noqa: E741
+    taken = rows["taken"].combine_chunks()
+    a, b = np.repeat(np.arange(n), taken.value_lengths().to_numpy()), taken.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(ords, b), n - 1)
+    gone = ords[at] == b
+    a, b = a[gone], at[gone]
+    if not middle:
+        grid = np.full((n, n), NONE)
+        grid[l, r], grid[r, l], grid[a, b] = low | ords[r], low | ords[l], NONE
+        return grid, grid
+    left, right = np.full((middle, n - middle), NONE), np.full((n - middle, middle), NONE)
+    left[l, r - middle], right[r - middle, l] = low | ords[r], low | ords[l]
+    across = (a < middle) & (b >= middle)
+    left[a[across], b[across] - middle], right[b[across] - middle, a[across]] = NONE, NONE
+    return left, right
+
+
+def nearest(codes: DataFrame, block: int = BLOCK, least: int = NEAREST) -> DataFrame:
+    """(session_id, ord, keys, whole) for each of coded decisions: the first of its candidate pairs in the order of the degree cap's walk, and whether
+    they are all. A key's high bits are a million less the score's millionths, its low BITS the other decision's ord. codes also has
+    taken, the ords that a decision is paired with already.
+
+    All pairs are compared, but only least a decision leave a unit of work (more where a session has few decisions). A session is dealt to PARTS
+    parts, or more of PART decisions, and every two parts meet in a unit, which compares them block by block: a row is copied once
+    for each part, not for each block.
+    """
+    by, n = ["session_id", "one", "other"], F.col("_n")
+    parts = F.when(n <= block, 1).otherwise(F.greatest(F.least(F.ceil(n / block), F.lit(PARTS)), F.ceil(n / PART)))
+    d = codes.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("session_id"))).withColumn("_k", F.row_number().over(W.partitionBy("session_id").orderBy("ord")))
+    d = d.withColumn("most", F.greatest(F.lit(least), F.least(n, F.floor(F.lit(LISTED) / n))).cast("int")).withColumn("_parts", parts.cast("int")).withColumn("part", F.floor((F.col("_k") - 1) * F.col("_parts") / n).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("one"), F.greatest(x, F.col("part")).alias("other")))
+    dealt = d.drop("_n", "_k").withColumn("_u", F.explode(meets)).select("*", "_u.*").drop("_u", "_parts").repartition(*by).sortWithinPartitions(*by, "ord")
+
+    def run(batches):
+        for unit in units(batches, by):
+            n, most = unit.num_rows, unit["most"][0].as_py()
+            split = int((unit["part"].to_numpy() == unit["one"][0].as_py()).sum()) % n
+            ranges = lambda i, j: [(k, min(k + block, j)) for k in range(i, j, block)]
+            ends, first = ranges(0, split or n) + (ranges(split, n) if split else []), len(ranges(0, split))
+            best = [np.full((j - i, most), NONE) for i, j in ends]
+            for x, (i, j) in enumerate(ends[: first or None]):
+                for y in range(first or x, len(ends)):
+                    a, b = ends[y]
+                    grids = _grids(unit.slice(i, j - i) if x == y else pa.concat_tables([unit.slice(i, j - i), unit.slice(a, b - a)]), 0 if x == y else j - i)
+                    for at, grid in {x: grids[0], y: grids[1]}.items():
+                        best[at] = np.partition(np.concatenate([best[at], grid], axis=1), most - 1, axis=1)[:, :most]
+            for (i, j), keys in zip(ends, best):
+                there = keys != NONE
+                listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(there.sum(1))).astype(np.int32), keys[there])
+                own = unit.slice(i, j - i)
+                yield from pa.Table.from_arrays([own["session_id"], own["ord"], own["most"], pa.chunked_array([listed])], names=["session_id", "ord", "most", "keys"]).to_batches(max_chunksize=1024)
+
+    made = dealt.mapInArrow(run, f"session_id {codes.schema['session_id'].dataType.simpleString()}, ord int, most int, keys array<long>")
+    made = made.groupBy("session_id", "ord").agg(F.max("most").alias("most"), F.flatten(F.collect_list("keys")).alias("keys"))
+    return made.select("session_id", "ord", F.slice(F.sort_array("keys"), F.lit(1), F.col("most")).alias("keys"), (F.size("keys") < F.col("most")).alias("whole"))
+
+
+def rated(edges: DataFrame, codes: DataFrame) -> DataFrame:
+    """Candidate pairs, as pairs() gives them, of given ones (session_id, left_ord, right_ord) of coded decisions."""
+    own = codes.select("session_id", "ord", F.struct(*codes.columns).alias("d"))
+    for side in ("left", "right"):
+        edges = edges.join(own.select("session_id", F.col("ord").alias(f"{side}_ord"), F.col("d").alias(side)), ["session_id", f"{side}_ord"])
+
+    def run(batches):
+        for b in batches:
+            if n := b.num_rows:
+                both = pa.concat_tables(pa.Table.from_batches([pa.RecordBatch.from_struct_array(b.column(k))]) for k in (0, 1)).combine_chunks()
+                first = np.arange(0, 2 * n, 2)
+                rows = both.take(pa.array(np.stack([np.arange(n), np.arange(n) + n], 1).ravel()))
+                yield from _told(rows, compared(rows, np.stack([first, first + 1, first + 2], 1)))
+
+    return _scored(edges.select("left", "right").mapInArrow(run, PAIR.format(kind=codes.schema["session_id"].dataType.simpleString())))
 
 
 def pairs(feats: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -266,8 +266,7 @@ def export_candidates(spark: SparkSession, finalized: str, session_id: str, out:
     inv.write.parquet(f"{out}/inventory")
     inv = spark.read.parquet(f"{out}/inventory")
     feats = similarity.features(inv)
-    similarity.pairs(feats).write.parquet(f"{out}/similar")
-    capped.capped_pairs(spark.read.parquet(f"{out}/similar"), similarity.PARAMETERS["max_candidates"]).write.parquet(f"{out}/capped")
+    capped.best_pairs(feats, similarity.PARAMETERS["max_candidates"]).write.parquet(f"{out}/capped")
     pairs = spark.read.parquet(f"{out}/capped")
     capped.clustered(pairs, similarity.PARAMETERS["max_cluster"]).write.parquet(f"{out}/members")
     chosen = spark.read.parquet(f"{out}/members")

@@ -447,3 +447,33 @@ def test_join_walk_streams(spark, capsys):
             if r.root is not None:
                 parts[r.root].add(r.ord)
         assert ({frozenset(x) for x in parts.values()}, {(r.left_ord, r.right_ord) for r in mine if r.root is None}) == walked(g, 4)
+
+
+@pytest.mark.parametrize(("block", "least", "listed"), [(1024, 64, 10**6), (7, 9, 1), (16, 10, 1)])
+def test_capped_without_all_pairs(spark, monkeypatch, block, least, listed):
+    """Lists of each decision's first pairs give what the walk over all candidate pairs gives, copies and ties too, and at most so many are written."""
+    rows = random_decisions(90)
+    rows += [(f"SEC-{i + 200:03d}", "D-001", rows[0][2], rows[0][3], [], "accepted", "high", []) for i in range(30)]
+    rows += [(f"SEC-{i + 300:03d}", "D-001", "user", " ".join(rows[i][3].split()[:5]), [], "accepted", "high", []) for i in range(40)]
+    both = inventory(spark, rows)
+    both = both.unionByName(inventory(spark, random_decisions(20, seed=5)).withColumn("session_id", F.lit("small")))
+    feats = similarity.features(both)
+    pairs = similarity.pairs(feats)
+    want = {tuple(r.asDict(recursive=True).items()) for r in capped.capped_pairs(pairs, 3).withColumn("candidate_reasons", F.array_join("candidate_reasons", ",")).collect()}
+    sizes, store = [], capped.stored
+    monkeypatch.setattr(similarity, "LISTED", listed)
+    monkeypatch.setattr(capped, "stored", lambda df, name: sizes.append((name, store(df, name))) or sizes[-1][1])
+    monkeypatch.setattr(similarity.nearest, "__defaults__", (block, least))
+    monkeypatch.setattr(capped._by_lists, "__defaults__", (block, least))
+    got = capped.best_pairs(feats, 3, large=50).withColumn("candidate_reasons", F.array_join("candidate_reasons", ","))
+    assert {tuple(r.asDict(recursive=True).items()) for r in got.collect()} == want
+    lists = [d for name, d in sizes if name == "nearest"]
+    assert len(lists) == 1 if listed > 1 else len(lists) > 1
+    assert all(r.n <= max(least, listed // r.all) for d in lists for r in d.select(F.size("keys").alias("n"), F.lit(len(rows)).alias("all")).collect())
+    assert all(d.where("session_id <> 'small'").count() == 0 for name, d in sizes if name == "similar")
+
+
+def test_scores_round_as_spark(spark):
+    values = [0.1234565, 0.1234575, 0.5, 0.34 - 5e-7, 1 / 3, 0.0000005, 0.8499995, 0.9999995, 1.0] + [k / 10**7 for k in range(5, 10**7, 99_991)]
+    want = [round(r.x * 10**6) for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("x")).collect()]
+    assert similarity.millionths(np.array(values)).tolist() == want
