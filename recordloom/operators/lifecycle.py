@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import section_number
+from .projection import part_of
 from .sections import context_order, window_sections
 
 
@@ -19,17 +20,23 @@ def groups(integrated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made.withColumn("group_id", F.concat(F.lit("LIFECYCLE-"), "section_id")), bad
 
 
-def context(review: DataFrame, messages: DataFrame, attachments: DataFrame, reach: int = 2) -> DataFrame:
-    """Per group the messages and attachments of sections n to n + reach, each once, in context order."""
+def context(review: DataFrame, messages: DataFrame, attachments: DataFrame, reach: int = 2, parts: bool = False) -> DataFrame:
+    """Per group the messages and attachments of sections n to n + reach, each once, in context order. With parts, a row for each part of a group's
+    messages; its first has the attachments."""
     sections = messages.select("session_id", "section_id").distinct()
     wide = window_sections(review.select("session_id", "group_id", "section_id"), sections, reach).select("session_id", "group_id", F.col("context_section_id").alias("section_id"))
     m = wide.join(messages, ["session_id", "section_id"]).dropDuplicates(["session_id", "group_id", "evidence_id"])
     item = F.struct(context_order(F.col("source_line"), F.col("evidence_id")).alias("k"), F.struct("evidence_id", "actor", "source_line", "content").alias("m"))
-    ms = m.groupBy("session_id", "group_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("messages"))
+    key = ["session_id", "group_id"]
+    ms = m.groupBy(*key, *([part_of(F.col("source_line")).alias("part")] if parts else [])).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("messages"))
     a = wide.join(attachments.withColumn("section_id", F.explode("section_ids")), ["session_id", "section_id"]).select("session_id", "group_id", "attachment_id", "content").dropDuplicates(["session_id", "group_id", "attachment_id"])
     at = a.groupBy("session_id", "group_id").agg(F.array_sort(F.collect_list(F.struct("attachment_id", "content"))).alias("attachments"))
     named = wide.groupBy("session_id", "group_id").agg(F.transform(F.array_sort(F.collect_set(F.struct(section_number(F.col("section_id")).alias("n"), "section_id"))), lambda x: x["section_id"]).alias("context_sections"))
-    return review.join(named, ["session_id", "group_id"], "left").join(ms, ["session_id", "group_id"], "left").join(at, ["session_id", "group_id"], "left")
+    d = review.join(named, key, "left").join(ms, key, "left")
+    if not parts:
+        return d.join(at, key, "left")
+    first = ms.groupBy(*key).agg(F.min("part").alias("part"))
+    return d.withColumn("part", F.coalesce("part", F.lit(0))).join(at.join(first, key, "left").withColumn("part", F.coalesce("part", F.lit(0))), [*key, "part"], "left")
 
 
 def apply(integrated: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -13,6 +13,15 @@ MARKER, BLOCK = "AGENTS.md", r"(?isU)<INSTRUCTIONS>\s*(.*?)\s*</INSTRUCTIONS>"
 HEADED_BLOCK = r"(?isU)(?:^|\n)\s*# AGENTS\.md instructions[^\n]*\n+\s*<INSTRUCTIONS>.*?</INSTRUCTIONS>"
 
 
+#: Lines of a log whose messages may stand in one line of a bundle's document.
+PART = 10_000
+
+
+def part_of(line: Column, lines: int | None = None) -> Column:
+    """The part of a document, from 0, that a source line's rows stand in. A document of more lines is several rows, so that none grows with its session."""
+    return F.greatest(F.floor((line - 1) / (lines or PART)), F.lit(0)).cast("int")
+
+
 def strip_constraints(c):
     """Without blocks that stand behind their heading, and without that heading; other blocks are dialogue."""
     return F.regexp_replace(c, HEADED_BLOCK, "")
@@ -64,12 +73,16 @@ def report(events: DataFrame) -> DataFrame:
     return made.na.fill(0)
 
 
-def project(events: DataFrame) -> DataFrame:
-    """One nested document per session, in source order: for a JSON sink only."""
-    ordered = lambda d, *cols: d.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("source_line", *cols))).alias("x"))
-    parts = [("messages", ordered(messages(events), "id", "actor", "content")), ("constraints", ordered(constraints(events), "id", "source_message_id", "source", "content")),
-             ("implementation_events", ordered(implementation_events(events), "id", "kind", "source_event_type", "content"))]
-    made = events.select("session_id").distinct()
-    for name, d in parts:
-        made = made.join(d.withColumnRenamed("x", name), "session_id", "left")
+def project(events: DataFrame, said: DataFrame | None = None, parts: bool = False) -> DataFrame:
+    """One nested document per session, in source order: for a JSON sink only. With parts, a row for each part of it. said: its messages, if they
+    aren't messages(events), with session_id and source_line."""
+    by = ["session_id", *(["part"] if parts else [])]
+    dealt = lambda d: d.withColumn("part", part_of(F.col("source_line"))) if parts else d
+    ordered = lambda d, *cols: dealt(d).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("source_line", *cols))).alias("x"))
+    said = messages(events).select("session_id", "source_line", "id", "actor", "content") if said is None else said
+    made_of = [("messages", ordered(said, *(c for c in said.columns if c not in ("session_id", "source_line")))), ("constraints", ordered(constraints(events), "id", "source_message_id", "source", "content")),
+               ("implementation_events", ordered(implementation_events(events), "id", "kind", "source_event_type", "content"))]
+    made = dealt(events).select(*by).distinct()
+    for name, d in made_of:
+        made = made.join(d.withColumnRenamed("x", name), by, "left")
     return made

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors, schemas
+from ..operators import projection
 from ..sources import sinks
 from . import verbs
 from .shaped import _FILES, CHATS, chats, log_files, own_dir, values
@@ -34,8 +35,8 @@ def _messages(spark, sf) -> DataFrame:
 
 
 def _sections(m: DataFrame, path: str, gold: bool = False) -> None:
-    d = m.groupBy("session_id", "section_id").agg(F.collect_list(F.struct("evidence_id", "actor", "source_line", "content")).alias("messages"))
-    d.withColumn("section_scope", F.struct("section_id", F.lit(gold).alias("section_gold"))).write.json(f"{path}/sections")
+    d = m.groupBy("session_id", "section_id", projection.part_of(F.col("source_line"), 100_000).alias("part")).agg(F.collect_list(F.struct("evidence_id", "actor", "source_line", "content")).alias("messages"))
+    d.drop("part").withColumn("section_scope", F.struct("section_id", F.lit(gold).alias("section_gold"))).write.json(f"{path}/sections")
 
 
 def _candidates(spark, sf, path: str, members: int = 2, **said) -> None:
@@ -136,7 +137,7 @@ def val09_refusals(spark, sf):
         _candidates(spark, sf, f"{p}/cand-{name}", **said)
     for with_signals in (False, True):
         text = F.to_json(F.struct(F.lit("x").alias("session_id"), F.collect_list(F.struct("evidence_id", *([F.lit(1).alias("signals")] if with_signals else []))).alias("messages")))
-        m.groupBy("session_id").agg(text.alias("value")).select("value").write.text(f"{p}/projected{int(with_signals)}/analysis_session")
+        m.groupBy("session_id", projection.part_of(F.col("source_line"), 100_000)).agg(text.alias("value")).select("value").write.text(f"{p}/projected{int(with_signals)}/analysis_session")
     sinks.write_text(spark, f"{p}/there/file", "x")
     review = lambda cand, bundle, out: str(verbs.export_adjudication(spark, f"{p}/{cand}", f"{p}/{bundle}", out)["clusters"])
     tries = {name: (lambda n=name: review(f"cand-{n}", "good", f"{p}/out-{n}")) for name in ("state", "merged", "count", "none", "small")}
@@ -193,7 +194,7 @@ def snk06_growth(spark, sf):
     """SNK-06: how much larger the annotated projection is; here only by what says whether a message was examined."""
     p = own_dir(spark, "growth")
     m = chats(spark, sf).select(F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("actor"), F.lit("no hint").alias("content"), F.concat_ws(":", "s", "t").alias("evidence_id"), F.lit("SEC-001").alias("section_id"), F.col("t").alias("source_line"))
-    m.select(F.struct("*").alias("m")).groupBy(F.lit("x").alias("session_id")).agg(F.collect_list("m").alias("messages")).write.json(f"{p}/in/analysis_session")
+    m.select(F.struct("*").alias("m")).groupBy(F.lit("x").alias("session_id"), F.pmod(F.xxhash64("m.evidence_id"), F.lit(200)).alias("part")).agg(F.collect_list("m").alias("messages")).drop("part").write.json(f"{p}/in/analysis_session")
     spark.createDataFrame([], "attachment_id string").write.json(f"{p}/in/attachments")
     r = verbs.export_signals(spark, f"{p}/in", f"{p}/out")
     return spark.createDataFrame([(r["messages_examined"], r["growth"])], "examined long, growth double")

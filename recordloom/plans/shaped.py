@@ -789,7 +789,8 @@ def snk13_whole_way(spark, sf):
     plain = verbs.export_sections(spark, f"{p}/v3", f"{p}/plain", guidance="guide", prompt="ask")
     told = spark.read.text(f"{p}/plain/RUN_INSTRUCTIONS.md", wholetext=True).where("contains(value, 'holds 5 independent sections')").count()
     say("sections", plain | {"told": told}, "sections", "told")
-    out += [("section", r["section_id"], ",".join(x["evidence_id"] for x in r["messages"])) for r in spark.read.json(f"{p}/plain/sections").collect()]
+    ids = lambda d: F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("messages")[0]["source_line"].alias("first"), d.alias("ids")))), lambda x: x["ids"])), ",").alias("value")
+    told_ids = spark.read.json(f"{p}/plain/sections").groupBy(F.lit("section").alias("step"), F.col("section_id").alias("name")).agg(ids(F.col("messages.evidence_id")))
     say("hybrid", verbs.export_sections(spark, f"{p}/v3", f"{p}/hybrid", knowledge="k", hybrid=True), "reason_candidate")
     say("signals", verbs.export_signals(spark, f"{p}/v3", f"{p}/signals"), "messages_examined")
     say("experiment", verbs.export_experiment(spark, f"{p}/v3", f"{p}/arms", "k"), "arms")
@@ -821,13 +822,14 @@ def snk13_whole_way(spark, sf):
     say("assembled", verbs.assemble(spark, f"{p}/cand", f"{p}/adj2", f"{p}/adj.jsonl", f"{p}/made")[0], "decisions_after", "merged_source_decision_count")
     say("lifecycle", verbs.export_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life"), "groups")
     group = spark.read.json(f"{p}/life/groups")
-    one = group.first()
-    out += [("lifecycle", "fields", ",".join(sorted(group.columns))), ("lifecycle", "messages", ",".join(x["evidence_id"] for x in one["messages"]))]
+    one = group.select("group_id", "decision_ids").first()
+    out.append(("lifecycle", "fields", ",".join(sorted(group.columns))))
+    told_ids = told_ids.unionByName(group.where(F.col("group_id") == one["group_id"]).groupBy(F.lit("lifecycle").alias("step"), F.lit("messages").alias("name")).agg(ids(F.col("messages.evidence_id"))))
     result = {"decision_id": one["decision_ids"][0], "final_status": "cancelled", "rationale": ["w"], "evidence_refs": ref(first["SEC-003"]), "confidence": "high", "missing_information": []}
     sinks.write_text(spark, f"{p}/life.jsonl", json.dumps({"group_id": one["group_id"], "results": [result]}))
     report = {r["status"]: r["after"] for r in verbs.apply_lifecycle(spark, f"{p}/made", f"{p}/hybrid", f"{p}/life.jsonl", f"{p}/end") if "status" in r}
     say("end", report, "cancelled", "accepted")
-    return spark.createDataFrame(out, "step string, name string, value string")
+    return spark.createDataFrame(out, "step string, name string, value string").unionByName(told_ids)
 
 
 # The weights of the score, thresholds and limits that a candidate evaluation states.

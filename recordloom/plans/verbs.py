@@ -2,6 +2,7 @@
 
 A store is a folder of Parquet tables: sessions, raw_events, events, analysis_runs, decisions, decision_evidence. A bundle is a
 folder of JSON documents, one line each, that goes to an external reader; results come back as JSON files. No verb calls a model.
+A document of more than projection.PART lines of a log is several lines, its parts by source line, each of which says what it belongs to.
 """
 
 from __future__ import annotations
@@ -57,16 +58,16 @@ def ingest(spark: SparkSession, source: str, store: str, adapter: str = "default
 def export_analysis(spark: SparkSession, store: str, session_id: str, out: str, prompt: str = "", schema: str = "", messages: str | None = None, attachments: str | None = None) -> dict:
     """The projection of a session as a bundle, with prompt and schema; with messages (JSONL), its evidence ids too."""
     events = events_in(spark, store, session_id)
-    doc, bad = projection.project(events), None
+    joined = None
     if messages:
         m = logs.read_jsonl(spark, messages, "raw_line int, message_id string, actor string, section_id string")
         a = logs.read_jsonl(spark, attachments, "attachment_id string, parent_message_ids array<string>, section_ids array<string>, content string, sha256 string, authority_note string") if attachments else spark.createDataFrame([], "attachment_id string, parent_message_ids array<string>, section_ids array<string>, content string")
         errors.raise_first(sections.input_violations(m, a), errors.ProjectionInput)
         joined, bad = projection.with_evidence(projection.messages(events), m.withColumn("session_id", F.lit(session_id)))
         errors.raise_first(bad, errors.ProjectionInput)
-        doc = doc.drop("messages").join(joined.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("source_line", "id", "evidence_id", "section_id", "actor", "content"))).alias("messages")), "session_id", "left")
+        joined = joined.select("session_id", "source_line", "id", "evidence_id", "section_id", "actor", "content")
         a.write.mode("overwrite").json(f"{out}/attachments")
-    doc.withColumn("projection_version", F.lit("3" if messages else "1")).write.mode("overwrite").json(f"{out}/analysis_session")
+    projection.project(events, joined, parts=True).drop("part").withColumn("projection_version", F.lit("3" if messages else "1")).write.mode("overwrite").json(f"{out}/analysis_session")
     sinks.write_text(spark, f"{out}/prompt.md", prompt)
     sinks.write_text(spark, f"{out}/schema.json", schema)
     report = rows(projection.report(events))[0]
@@ -113,7 +114,7 @@ def render_session(spark: SparkSession, store: str, session_id: str, out: str) -
 
 
 def analysis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(messages, attachments) of an exported version 3 projection. A session's document is one task's to read; its messages are dealt to all."""
+    """(messages, attachments) of an exported version 3 projection. A line of a session's document is one task's to read; its messages are dealt to all."""
     d = spark.read.json(f"{path}/analysis_session")
     m = d.select("session_id", F.explode("messages").alias("m")).select("session_id", "m.*").repartition("source_line")
     a = spark.read.schema("attachment_id string, parent_message_ids array<string>, section_ids array<string>, content string").json(f"{path}/attachments")
@@ -132,12 +133,15 @@ def validate_decisions_v3(spark: SparkSession, projected: str, decisions: str) -
 
 
 def section_documents(m: DataFrame, a: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """session_id, section_id, section_scope, messages (in order of source_line), attachments of each section, and literal columns."""
+    """session_id, section_id, part, section_scope, messages (in order of source_line), attachments of each section, and literal columns. A section's
+    parts follow each other by source line; its first has the attachments."""
     cols = [c for c in ("source_line", "evidence_id", "actor", "content", "signals", "previous") if c in m.columns]
-    d = m.groupBy("session_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("source_line", "evidence_id", F.struct(*cols).alias("m")))).alias("_m"))
+    part, by = projection.part_of(F.col("source_line")).alias("part"), ["session_id", "section_id"]
+    d = m.groupBy(*by, part).agg(F.array_sort(F.collect_list(F.struct("source_line", "evidence_id", F.struct(*cols).alias("m")))).alias("_m"))
     d = d.withColumn("messages", F.transform("_m", lambda x: x["m"])).drop("_m")
+    first = m.groupBy(*by).agg(F.min(part).alias("part"))
     at_ = sections.attachment_sections(a).groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("attachment_id", "content"))).alias("attachments"))
-    d = d.join(at_, "section_id", "left").withColumn("section_scope", F.struct("section_id", F.lit(False).alias("section_gold")))
+    d = d.join(first.join(at_, "section_id"), [*by, "part"], "left").withColumn("section_scope", F.struct("section_id", F.lit(False).alias("section_gold")))
     for name, value in (extra or {}).items():
         d = d.withColumn(name, F.lit(value))
     return d
@@ -152,9 +156,9 @@ def export_sections(spark: SparkSession, projected: str, out: str, index: str |
         errors.raise_first(sections.membership_violations(m, ix).unionByName(sections.attachment_violations(a, m, ix)), errors.SectionBundle)
     m = session.stored(signals.annotate(m, annotators=named(annotators), analyser=analyser) if hybrid else m, "sections-of")
     made = section_documents(m, a, {"interpretation_knowledge": knowledge} if hybrid and knowledge else None)
-    sinks.fan_out(made, f"{out}/sections", "section_id")
+    sinks.fan_out(made, f"{out}/sections", "section_id", part="part")
     sinks.write_text(spark, f"{out}/prompt.md", sinks.with_guidance(guidance, prompt))
-    report = {"sections": made.count()} | (rows(signals.roll_up(signals.counts(m, ["session_id", "section_id"]), ["session_id"]))[0] if hybrid else {})
+    report = {"sections": made.select("session_id", "section_id").distinct().count()} | (rows(signals.roll_up(signals.counts(m, ["session_id", "section_id"]), ["session_id"]))[0] if hybrid else {})
     sinks.manifest(spark, f"{out}/sections").write.json(f"{out}/manifest")
     sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Decision extraction by section", "sections", report["sections"], ["prompt.md", "the section's document"], "sections/SEC-ddd/decisions.raw.json", "validate-decisions-v3"))
     sinks.write_json(spark, f"{out}/provenance.json", sinks.provenance(spark, {"projection": projected}, {"prompt": sinks.with_guidance(guidance, prompt), "knowledge": knowledge or ""}))
@@ -187,7 +191,7 @@ def export_experiment(spark: SparkSession, projected: str, out: str, knowledge:
     text = spark.read.text(f"{projected}/analysis_session").select(F.col("value").alias("document"))
     d = text.select(F.get_json_object("document", "$.session_id").alias("session_id"), "document", F.contains("document", F.lit('"signals":')).alias("has_signals"))
     sinks.arms(d, knowledge).write.partitionBy("arm").json(f"{out}/arms")
-    return {"arms": 2, "sessions": d.count()}
+    return {"arms": 2, "sessions": d.select("session_id").distinct().count()}
 
 
 def bundle_sections(spark: SparkSession, bundle: str) -> DataFrame:
@@ -208,7 +212,7 @@ def load_runs(spark: SparkSession, bundle: str, results: str) -> tuple[DataFrame
     every = files.where("name <> 'RUN_RESULT.json'").select("section_id").distinct().join(ran, "section_id", "left")
     wanted = logs.preferred(every, files.select("section_id", "name")).select("section_id", F.col("decisions_name").alias("name"), "recorded_sha256")
     checked = logs.verify_hashes(files.join(wanted.select("section_id", "name"), ["section_id", "name"]).select("section_id", "sha256", "doc"), wanted, ["section_id"])
-    have = docs.select(F.col("section_id").alias("doc")).join(checked.select(F.col("section_id").alias("doc"), "hash_matches", (F.size(items(at(F.col("doc"), "decisions"))) >= 0).alias("root_ok")), "doc", "left")
+    have = docs.select(F.col("section_id").alias("doc")).distinct().join(checked.select(F.col("section_id").alias("doc"), "hash_matches", (F.size(items(at(F.col("doc"), "decisions"))) >= 0).alias("root_ok")), "doc", "left")
     states = have.select("doc", F.col("hash_matches").isNotNull().alias("has_output"), F.coalesce("root_ok", F.lit(False)).alias("root_ok"), F.coalesce("hash_matches", F.lit(False)).alias("hash_matches"))
     d = checked.select(F.col("section_id").alias("doc"), F.posexplode(items(at(F.col("doc"), "decisions"))).alias("pos", "item"))
     m = docs.select(F.col("section_id").alias("doc"), F.explode("messages").alias("m")).select("doc", "m.evidence_id")
@@ -348,7 +352,7 @@ def lifecycle_inputs(spark: SparkSession, integrated: str, bundle: str) -> tuple
     a = spark.createDataFrame([], "session_id string, attachment_id string, section_ids array<string>, content string")
     if "attachments" in docs.columns:
         a = docs.select("session_id", F.array("section_id").alias("section_ids"), F.explode("attachments").alias("a")).select("session_id", "a.attachment_id", "section_ids", "a.content")
-    return lifecycle.context(review, m, a), bad
+    return lifecycle.context(review, m, a, parts=True), bad
 
 
 def export_lifecycle(spark: SparkSession, integrated: str, bundle: str, out: str) -> dict:
@@ -357,8 +361,8 @@ def export_lifecycle(spark: SparkSession, integrated: str, bundle: str, out: str
     errors.raise_first(bad, errors.LifecycleFailure)
     none = F.array().cast("array<string>")
     blank = F.transform("decision_ids", lambda x: F.struct(x.alias("decision_id"), F.lit("proposed").alias("final_status"), none.alias("rationale"), none.alias("evidence_refs"), F.lit("low").alias("confidence"), none.alias("missing_information")))
-    sinks.fan_out(made.withColumn("output_skeleton", F.struct("group_id", blank.alias("results"))), f"{out}/groups", "group_id")
-    report = {"groups": made.count(), "state": "ready_for_lifecycle_adjudication"}
+    sinks.fan_out(made.withColumn("output_skeleton", F.struct("group_id", blank.alias("results"))), f"{out}/groups", "group_id", part="part")
+    report = {"groups": made.select("session_id", "group_id").distinct().count(), "state": "ready_for_lifecycle_adjudication"}
     sinks.write_text(spark, f"{out}/RUN_INSTRUCTIONS.md", sinks.instructions("Lifecycle review", "groups", report["groups"], ["the prompt", "the group's document"], "lifecycle.raw.json", "apply-lifecycle-adjudication"))
     sinks.write_json(spark, f"{out}/manifest.json", report | sinks.provenance(spark, {"integrated": f"{integrated}/decisions", "groups": f"{out}/groups"}, {}))
     return report
@@ -375,8 +379,8 @@ def apply_lifecycle(spark: SparkSession, integrated: str, bundle: str, results:
     r = spark.read.schema(want).json(results).select("group_id", F.posexplode("results").alias("pos", "r")).select("group_id", "pos", "r.*")
     ev = made.select("group_id", F.explode("messages").alias("m")).select("group_id", F.lit("message").alias("evidence_type"), "m.evidence_id")
     ev = ev.unionByName(made.select("group_id", F.explode("attachments").alias("a")).select("group_id", F.lit("attachment").alias("evidence_type"), F.col("a.attachment_id").alias("evidence_id")))
-    errors.raise_first(validation.lifecycle_violations(r, made.select("group_id", "decision_ids"), ev), errors.LifecycleFailure)
-    done = lifecycle.apply(d, r.join(made.select("group_id", "session_id"), "group_id"))
+    errors.raise_first(validation.lifecycle_violations(r, made.select("group_id", "decision_ids").distinct(), ev), errors.LifecycleFailure)
+    done = lifecycle.apply(d, r.join(made.select("group_id", "session_id").distinct(), "group_id"))
     done.write.parquet(f"{out}/decisions")
     done = spark.read.parquet(f"{out}/decisions")
     report = rows(lifecycle.summary(done)) + rows(lifecycle.changes(done))

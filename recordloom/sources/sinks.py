@@ -137,9 +137,10 @@ def save_run(spark: SparkSession, root: str, runs: DataFrame, session_id: str, d
     return run
 
 
-def fan_out(df: DataFrame, path: str, by: str, text: bool = False) -> None:
-    """A directory per value of by, all in one job; refuses an existing path."""
-    writer = df.repartition(by).write.mode("errorifexists").partitionBy(by)
+def fan_out(df: DataFrame, path: str, by: str, text: bool = False, part: str | None = None) -> None:
+    """A directory per value of by, all in one job; refuses an existing path. part names a column that deals a value's rows to several
+    tasks and isn't written."""
+    writer = (df.repartition(by, part).drop(part) if part else df.repartition(by)).write.mode("errorifexists").partitionBy(by)
     writer.text(path) if text else writer.json(path)
 
 

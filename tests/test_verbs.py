@@ -108,3 +108,47 @@ def test_messages_of_one_document_are_dealt(spark, tmp_path):
     (tmp_path / "analysis_session" / "a.json").write_text(json.dumps({"session_id": "s", "messages": messages}))
     m, _ = verbs.analysis(spark, str(tmp_path))
     assert m.count() == 100 and "hashpartitioning(source_line" in m._jdf.queryExecution().toString()
+
+
+def test_documents_have_parts(spark, run, tmp_path, monkeypatch):
+    """No line of a bundle grows with its session: documents of more lines are parts by source line, which say the same together."""
+    from recordloom.operators import projection
+
+    p, session = run
+    texts = [f"message {i}" + ("ので" if i % 2 else "") for i in range(40)]
+    log = [{"type": "response_item", "payload": {"type": "message", "role": "user", "content": x}} for x in texts]
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in log) + "\n", encoding="utf-8")
+    session = verbs.ingest(spark, f"{tmp_path}/log.jsonl", f"{tmp_path}/store")[0]["session_id"]
+    (tmp_path / "m.jsonl").write_text("\n".join(json.dumps({"raw_line": i + 1, "message_id": f"M{i}", "actor": "human", "section_id": f"SEC-00{i % 2 + 1}"}) for i in range(40)))
+    (tmp_path / "a.jsonl").write_text(json.dumps({"attachment_id": "A1", "parent_message_ids": ["M0"], "section_ids": ["SEC-001"], "content": "file", "sha256": "x", "authority_note": ""}))
+    one = decision(title="t", decision="d", status="proposed", evidence_refs=[{"evidence_type": "message", "evidence_id": "M39"}], rationale=["w"])
+    said = {}
+    for lines in (10_000, 7):
+        monkeypatch.setattr(projection, "PART", lines)
+        at = tmp_path / str(lines)
+        verbs.export_analysis(spark, f"{tmp_path}/store", session, f"{at}/v3", messages=f"{tmp_path}/m.jsonl", attachments=f"{tmp_path}/a.jsonl")
+        (at / "d.json").write_text(json.dumps({"decisions": [one]}))
+        report = [verbs.validate_decisions_v3(spark, f"{at}/v3", f"{at}/d.json"), verbs.export_sections(spark, f"{at}/v3", f"{at}/hybrid", hybrid=True), verbs.export_experiment(spark, f"{at}/v3", f"{at}/arms", "k")]
+        s = at / "results/sections/SEC-001"
+        s.mkdir(parents=True)
+        (s / "decisions.raw.json").write_text(json.dumps({"decisions": [one | {"evidence_refs": [{"evidence_type": "message", "evidence_id": "M38"}, {"evidence_type": "attachment", "evidence_id": "A1"}]}]}))
+        (s / "RUN_RESULT.json").write_text(json.dumps({"output_sha256": hashlib.sha256((s / "decisions.raw.json").read_bytes()).hexdigest()}))
+        report.append(verbs.finalize_runs(spark, f"{at}/hybrid", f"{at}/results", f"{at}/final"))
+        fields = "session_id string, decision_id string, source_decision_keys array<string>, status string"
+        spark.createDataFrame([(session, "ID-001", ["SEC-001:D-001"], "proposed")], fields).write.parquet(f"{at}/made/decisions")
+        report.append(verbs.export_lifecycle(spark, f"{at}/made", f"{at}/hybrid", f"{at}/life"))
+        result = {"decision_id": "ID-001", "final_status": "accepted", "rationale": ["w"], "evidence_refs": [{"evidence_type": "message", "evidence_id": "M39"}], "confidence": "high", "missing_information": []}
+        (at / "life.jsonl").write_text(json.dumps({"group_id": "LIFECYCLE-SEC-001", "results": [result]}))
+        report.append(verbs.apply_lifecycle(spark, f"{at}/made", f"{at}/hybrid", f"{at}/life.jsonl", f"{at}/end"))
+        docs = {}
+        for name in ("v3/analysis_session", "hybrid/sections", "life/groups"):
+            found = [(f.parent.name, json.loads(x)) for f in (at / name).rglob("*.json") for x in f.read_text(encoding="utf-8").splitlines()]
+            assert all(len(d["messages"]) <= lines for _, d in found) and (len(found) > 2 or lines > 40)
+            docs[name] = {}
+            for key, d in sorted(found, key=lambda x: (x[0], x[1]["messages"][0]["source_line"])):
+                whole = docs[name].setdefault(key, {k: [] if k in ("messages", "attachments") else v for k, v in d.items()})
+                whole["messages"] += d["messages"]
+                whole["attachments"] = whole.get("attachments", []) + d.get("attachments", [])
+        said[lines] = report, docs
+    assert said[7] == said[10_000]
+    assert [m["evidence_id"] for m in said[7][1]["v3/analysis_session"]["analysis_session"]["messages"]] == [f"M{i}" for i in range(40)]
